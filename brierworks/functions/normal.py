@@ -40,17 +40,20 @@ def _horner(coeffs: tuple[float, ...], x: str) -> str:
     return text
 
 
-def norm_cdf_text(z: str) -> str:
-    """Standard normal CDF of the expression ``z``."""
-    a = f"least(abs({z}), {number(38.0)})"
+def norm_tail_text(a: str) -> str:
+    """Upper tail of the standard normal at ``a`` >= 0."""
     body = f"exp(-{a} * {a} / 2.0e0)"
     near = f"{body} * {_horner(TAIL_NUMERATOR, a)} / {_horner(TAIL_DENOMINATOR, a)}"
     chain = f"({a} + 0.65e0)"
     for k in (4, 3, 2, 1):
         chain = f"({a} + {k}.0e0 / {chain})"
     far = f"{body} / {chain} / {number(math.sqrt(2 * math.pi))}"
-    tail = f"(CASE WHEN {a} < {number(TAIL_SWITCH)} THEN {near} ELSE {far} END)"
-    return f"(CASE WHEN {z} > 0 THEN 1.0e0 - {tail} ELSE {tail} END)"
+    return f"(CASE WHEN {a} < {number(TAIL_SWITCH)} THEN {near} ELSE {far} END)"
+
+
+def norm_cdf_text(z: str) -> str:
+    """Standard normal CDF of ``z`` (a name, or a short expression: it is repeated)."""
+    return f"(CASE WHEN {z} > 0 THEN 1.0e0 - {norm_tail_text(f'abs({z})')} ELSE {norm_tail_text(f'abs({z})')} END)"
 
 
 def _owen_small_text(h: str, a: str) -> str:
@@ -64,37 +67,42 @@ def _owen_small_text(h: str, a: str) -> str:
 
 
 def skew_cdf_steps(z: str, alpha: str) -> list[tuple[str, str]]:
-    """Named expressions whose last one, ``cdf``, is the skew-normal CDF at ``z``.
+    """Named expressions whose last one, ``_cdf``, is the skew-normal CDF at ``z``.
 
-    Steps are projections one after another, so no sub-expression is written twice.
-    Shapes beyond 1 use the reflection T(h,a) = (F(h)+F(ah))/2 - F(h)F(ah) - T(ah,1/a).
+    Steps are projections one after another, so no costly sub-expression is written twice.
+    Shapes beyond 1 use the reflection T(h,a) = (F(h)+F(ah))/2 - F(h)F(ah) - T(ah,1/a), which in
+    upper tails u, v of h and ah reads (u+v)/2 - u*v - T(ah,1/a).
     """
     return [
         ("_h", f"abs({z})"),
-        ("_a", f"abs({alpha})"),
-        ("_big", "_a > 1.0e0"),
-        ("_hh", "CASE WHEN _big THEN _a * _h ELSE _h END"),
-        ("_aa", "CASE WHEN _big THEN 1.0e0 / _a ELSE _a END"),
+        ("_g", f"abs({alpha} * {z})"),
+        ("_u", norm_tail_text("_h")),
+        ("_v", f"CASE WHEN abs({alpha}) > 1.0e0 THEN {norm_tail_text('_g')} ELSE 0.0e0 END"),
+        ("_hh", f"CASE WHEN abs({alpha}) > 1.0e0 THEN _g ELSE _h END"),
+        ("_aa", f"CASE WHEN abs({alpha}) > 1.0e0 THEN 1.0e0 / abs({alpha}) ELSE abs({alpha}) END"),
         ("_t", _owen_small_text("_hh", "_aa")),
-        ("_pz", norm_cdf_text(z)),
-        ("_ph", norm_cdf_text("_h")),
-        ("_pah", norm_cdf_text("(_a * _h)")),
-        ("_owen", "CASE WHEN _big THEN (_ph + _pah) / 2.0e0 - _ph * _pah - _t ELSE _t END"),
-        ("_cdf", f"_pz - 2.0e0 * (CASE WHEN {alpha} < 0 THEN -_owen ELSE _owen END)"),
+        (
+            "_cdf",
+            f"(CASE WHEN {z} > 0 THEN 1.0e0 - _u ELSE _u END) - 2.0e0 * sign({alpha}) * "
+            f"(CASE WHEN abs({alpha}) > 1.0e0 THEN (_u + _v) / 2.0e0 - _u * _v - _t ELSE _t END)",
+        ),
     ]
 
 
 def norm_cdf(z: str) -> Column:
-    """Standard normal CDF of a column (or expression text)."""
+    """Standard normal CDF of a named column."""
     return F.expr(norm_cdf_text(z))
 
 
 def with_skew_cdf(df: DataFrame, z: str, alpha: str, name: str) -> DataFrame:
     """Add the skew-normal CDF of column ``z`` with shape ``alpha``."""
     keep = df.columns
-    for step, text in skew_cdf_steps(z, alpha):
-        df = df.withColumn(step, F.expr(text))
-    return df.select(*keep, F.col("_cdf").alias(name))
+    steps = skew_cdf_steps(z, alpha)
+    # three projections: tails, quadrature, result
+    df = df.select("*", *[F.expr(t).alias(n) for n, t in steps[:2]])
+    df = df.select("*", *[F.expr(t).alias(n) for n, t in steps[2:6]])
+    df = df.select("*", F.expr(steps[6][1]).alias(steps[6][0]))
+    return df.select(*keep, F.expr(steps[7][1]).alias(name))
 
 
 def skew_params(mu: Column, sigma: Column, g1: Column, p: Params = DEFAULTS) -> dict[str, Column]:

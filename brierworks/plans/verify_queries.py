@@ -551,11 +551,10 @@ def _(spark, sf):
 
 
 @query("w14_monotone_decay", T("graded", extra="""
-m AS (SELECT o_orderkey % 500 AS station_id, target_type, lead_bracket, avg(p - price) AS bss FROM graded GROUP BY 1, 2, 3),
+m AS (SELECT o_orderkey // 5 % 300 AS station_id, target_type, lead_bracket, avg(p - price) AS bss FROM graded GROUP BY 1, 2, 3),
 st AS (SELECT *, lag(bss) OVER (PARTITION BY station_id, target_type ORDER BY lead_bracket) AS pb FROM m),
 dg AS (SELECT station_id, target_type, count(*) AS n_cells, bool_and(pb IS NULL OR bss <= pb) AS monotone, (arg_max(bss, lead_bracket) - arg_min(bss, lead_bracket)) / nullif(count(*) - 1, 0) AS slope FROM st GROUP BY 1, 2)""") + f"""
 SELECT station_id, target_type, n_cells, monotone, {R('slope', 'slope')} FROM dg WHERE n_cells >= 3 AND monotone AND slope < -0.05""")
 def _(spark, sf):
-    cells = B.graded(spark, sf).withColumn("station_id", F.expr("o_orderkey % 500")).withColumn(
-        "lead_bracket", F.expr("concat('h', cast(o_orderkey % 5 + 1 as string))")).groupBy("station_id", "target_type", "lead_bracket").agg(F.avg(F.col("p") - F.col("price")).alias("bss"))
+    cells = B.graded(spark, sf).withColumn("station_id", F.expr("(o_orderkey div 5) % 300")).groupBy("station_id", "target_type", "lead_bracket").agg(F.avg(F.col("p") - F.col("price")).alias("bss"))
     return rounded(V.monotone_decay(cells))
