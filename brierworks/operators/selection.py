@@ -98,7 +98,9 @@ def kelly_exclusive(df: DataFrame, by: list[str] = GROUP, price: str = "price",
     return kept.withColumn("f_star", F.greatest(F.lit(0.0), q - c * ratio)).drop("_ok", "_in")
 
 
-def vwap(levels: DataFrame, need: Column, by: list[str], price: str = "price", qty: str = "quantity") -> DataFrame:
+def vwap(
+    levels: DataFrame, need: Column, by: list[str], price: str = "price", qty: str = "quantity", decimals: int | None = 4
+) -> DataFrame:
     """W-08: average price of filling ``need`` from the best level up, and what the depth allows.
 
     Levels of one price are merged first (sums before the shuffle), so a book has at most one row
@@ -109,10 +111,10 @@ def vwap(levels: DataFrame, need: Column, by: list[str], price: str = "price", q
     ahead = F.coalesce(F.sum("_q").over(before), F.lit(0.0))
     take = F.greatest(F.least(F.col("_q"), need - ahead), F.lit(0.0))
     filled = book.withColumn("_take", take).groupBy(*by).agg(
-        F.sum("_take").alias("filled"), F.sum(F.col(price) / 100.0 * F.col("_take")).alias("_cost"), F.min(price).alias("_best")
+        F.sum("_take").alias("filled"), F.sum(F.col(price) * F.col("_take")).alias("_cost"), F.min(price).alias("_best")
     )
-    value = F.coalesce(F.col("_cost") / F.nullif(F.col("filled"), F.lit(0.0)), F.lit(0.0))
-    return filled.withColumn("vwap", F.bround(value, 4)).withColumn("best", F.col("_best") / 100.0).drop("_cost", "_best")
+    value = F.coalesce(F.col("_cost") / F.nullif(F.col("filled") * 100.0, F.lit(0.0)), F.lit(0.0))
+    return filled.withColumn("vwap", value if decimals is None else F.bround(value, decimals)).withColumn("best", F.col("_best") / 100.0).drop("_cost", "_best")
 
 
 def book_staleness(df: DataFrame, a: str = "vwap", b: str = "best", p: Params = DEFAULTS) -> DataFrame:
