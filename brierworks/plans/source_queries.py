@@ -294,6 +294,14 @@ def listing_docs(spark, sf):
     return B.table(spark, sf, "orders").select("o_orderkey", doc.alias("raw_json"))
 
 
+def landed_listings(spark, sf):
+    """The listings as landed files, several per table, which is how a feed delivers them."""
+    path = scratch(spark, "listings")
+    docs = listing_docs(spark, sf)
+    docs.repartition(F.col("o_orderkey")).write.parquet(path)
+    return spark.read.schema("o_orderkey bigint, raw_json string").parquet(path)
+
+
 @query("src14_decode_markets", f"""WITH e AS (SELECT o_orderkey, o_orderkey % 4 AS k, (o_orderkey % 60 + 20)::DOUBLE AS b, CAST(o_orderdate AS DATE) AS target_date FROM orders WHERE o_orderkey % 10 <> 3),
  m AS (SELECT *, unnest(range(-1, 6)) AS i FROM e)
  SELECT o_orderkey, target_date, i IN (-1, 5) AS is_tail,
@@ -301,7 +309,7 @@ def listing_docs(spark, sf):
   {R('''CASE WHEN i = 5 THEN NULL WHEN k = 0 THEN CASE WHEN i = -1 THEN b - 0.5 ELSE b + 2 * i + 1.5 END WHEN i = -1 THEN CASE WHEN k = 2 THEN b + 0.5 ELSE b - 1.5 END WHEN k = 2 THEN b + 2 * i + 2.5 ELSE b + 2 * i + 1.5 END''', 'bin_upper')},
   {R('0.42', 'yes_ask')} FROM m""")
 def _(spark, sf):
-    ev = L.parse_events(listing_docs(spark, sf))
+    ev = L.parse_events(landed_listings(spark, sf))
     ignored = ev.filter("o_orderkey % 10 = 3").select("event_ticker")
     return rounded(L.decode_markets(ev, ignored).select("o_orderkey", "target_date", "is_tail", "bin_lower", "bin_upper", "yes_ask"))
 
@@ -316,7 +324,7 @@ def _(spark, sf):
 @query("src15_match_station", """WITH s AS (SELECT DISTINCT user_id % 20 AS station_id FROM events), e AS (SELECT o_orderkey, o_orderkey % 4 AS k, o_custkey % 25 AS c FROM orders)
  SELECT o_orderkey, CASE WHEN (k = 1 AND c < 5) OR c < 15 OR c < 20 THEN c END AS station_id, CASE WHEN k = 1 AND c < 5 THEN 'series' WHEN c < 15 THEN 'city_code' WHEN c < 20 THEN 'title' END AS matched_by FROM e""")
 def _(spark, sf):
-    ev = L.parse_events(listing_docs(spark, sf)).drop("markets")
+    ev = L.parse_events(landed_listings(spark, sf)).drop("markets")
     two = F.lpad(F.col("station_id").cast("string"), 2, "0")
     st = B.stations(spark, sf).select(
         "station_id", F.concat(F.lit("Town "), F.col("station_id").cast("string")).alias("city"),
