@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from brierworks.operators.joins import asof_join
 from brierworks.operators.series import ewm_variance_of
 from brierworks.params import DEFAULTS, Params
 
@@ -141,9 +142,8 @@ def kalman_replay(
 
 
 def apply_bias(fc: DataFrame, history: DataFrame, by: list[str], date: str = "target_date", f: str = "f_raw") -> DataFrame:
-    """PRJ-20: forecast plus the last bias known strictly before the day (one row per key and day on
-    the history side; blocks keep a hot key balanced)."""
-    from brierworks.operators.joins import asof_join
-
-    out = asof_join(fc, history.select(*by, F.col(date).alias("_bias_date"), "b_k"), by, date, "_bias_date", ["b_k"])
+    """PRJ-20: forecast plus the last bias known strictly before the day. Both sides have a bounded
+    number of rows per key and day (sources, and one state), so the key's series is bounded too."""
+    states = history.select(*by, F.col(date).alias("_bias_date"), "b_k")
+    out = asof_join(fc, states, by, date, "_bias_date", ["b_k"], bounded=True)
     return out.withColumn("b_k", F.coalesce("b_k", F.lit(0.0))).withColumn("f_adjusted", F.col(f) + F.col("b_k"))

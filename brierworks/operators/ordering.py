@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from brierworks.session import cut_lineage
+
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """W-01: first row per key in ``order``. Spark prunes to one row per key before the shuffle
@@ -63,12 +65,6 @@ def concat(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def group_totals(df: DataFrame, by: list[str], aggs: list[Column]) -> DataFrame:
-    """Attach group aggregates by aggregate-then-join: partial sums before the shuffle, and a join
-    that adaptive execution can split, where a window would sort a hot group in one task."""
-    return df.join(df.groupBy(*by).agg(*aggs), by)
-
-
 # ---------------------------------------------------------------- blocks
 
 def block_bounds(df: DataFrame, order: Column, n: int = 64) -> list[float]:
@@ -157,14 +153,25 @@ def _running_blocks(df, by, order, measures, exclusive):
     return local_df.join(carry_in, keys).select(*[c for c in df.columns if c != "_blk"], *merged)
 
 
+def positions(df: DataFrame, by: list[str], key: str, tie: list[str], nulls: str = "first", name: str = "pos") -> DataFrame:
+    """TOP-05: position of each row in its key's order by a number, open (NULL) values first or last."""
+    flag = F.col(key).isNull() if nulls == "last" else F.col(key).isNotNull()
+    # NULLs get their own place before or after every number, in the order and in the blocks
+    edge = F.coalesce(F.col(key).cast("double"), F.lit(float("inf") if nulls == "last" else float("-inf")))
+    keyed = df.withColumn("_open", flag.cast("int")).withColumn("_edge", edge)
+    out = running(keyed, by, ["_open", "_edge", *tie], {name: ("count", F.lit(1))}, F.col("_edge"))
+    return out.drop("_open", "_edge")
+
+
 # ---------------------------------------------------------------- exact quantiles
 
 def grouped_percentiles(
     df: DataFrame, by: list[str], value: str, probs: dict[str, float], n_blocks: int = 64
 ) -> DataFrame:
     """Exact interpolated percentiles without gathering a group: count equal values, rank them with
-    block-wise prefix sums and pick the two order statistics each percentile needs."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    block-wise prefix sums and pick the two order statistics each percentile needs. The counts are
+    read several times, so they are written once to the shared folder."""
+    counts = cut_lineage(df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")))
     ranked = running(counts, by, [value], {"_cum": ("sum", F.col("_n"))}, F.col(value), n_blocks)
     totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
     joined = ranked.join(totals, by) if by else ranked.withColumn("_total", totals.scalar())

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from brierworks.functions.scalar import brier, in_bin, lead_bracket, preferred_error, trailing, unbiased_skew
+from brierworks.functions.scalar import brier, in_bin, lead_bracket, preferred_error, shrink, trailing, unbiased_skew
 from brierworks.operators.joins import attach_issue
 from brierworks.operators.ordering import grouped_percentiles, latest_per_key
 from brierworks.params import DEFAULTS, Params
+from brierworks.session import cut_lineage
 
 CELL = ["station_id", "target_type", "lead_bracket"]
 GROUP = ["station_id", "target_date", "target_type"]
@@ -122,15 +123,13 @@ def robust_sigma(sigmas: DataFrame, by: list[str], pool_by: list[str], date: str
     members is not, hence the distributed percentile.
     """
     w = Window.partitionBy(*by).orderBy(date).rowsBetween(-(window - 1), 0)
-    kept = sigmas.withColumn("_roll", F.avg(sigma).over(w)).filter(F.col(sigma) <= 2.0 * F.col("_roll"))
+    kept = cut_lineage(sigmas.withColumn("_roll", F.avg(sigma).over(w)).filter(F.col(sigma) <= 2.0 * F.col("_roll")))
     mean = kept.groupBy(*pool_by).agg(F.avg(sigma).alias("sigma_mean"), F.count(sigma).alias("n"))
     return grouped_percentiles(kept, pool_by, sigma, {"sigma_median": 0.5}).join(mean, pool_by)
 
 
 def shrink_sigma(errors: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """AGG-07: cell sigma pulled to the pooled sigma of its type and bracket."""
-    from brierworks.functions.scalar import shrink
-
     cell = rmse_by(errors, CELL)
     # pooled from cell sums: the second level costs one row per cell
     pool = cell.groupBy("target_type", "lead_bracket").agg(

@@ -104,7 +104,7 @@ def _(spark, sf):
 
 # ------------------------------------------------------------------ exclusive stakes and books
 
-KELLY_SQL = """kg AS (SELECT o_orderkey % 3000 AS g, 'T' || o_orderkey::VARCHAR AS ticker, ((o_orderkey * 37) % 1000) / 5000.0::DOUBLE AS p_win, ((o_orderkey * 53) % 90 + 5) / 600.0::DOUBLE AS price FROM orders),
+KELLY_SQL = """kg AS (SELECT o_orderkey // 5 AS g, 'T' || o_orderkey::VARCHAR AS ticker, ((o_orderkey * 37) % 1000) / 5000.0::DOUBLE AS p_win, ((o_orderkey * 53) % 90 + 5) / 600.0::DOUBLE AS price FROM orders),
  kc AS (SELECT *, p_win / price AS er FROM kg WHERE p_win > 0 AND price > 0 AND p_win / price > 1.0),
  ks AS (SELECT *, 1 - coalesce(sum(price) OVER w, 0) AS room, 1 - coalesce(sum(p_win) OVER w, 0) AS rest FROM kc WINDOW w AS (PARTITION BY g ORDER BY er DESC, ticker ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
  ko AS (SELECT *, min(CASE WHEN room > 0 AND er > rest / room THEN 1 ELSE 0 END) OVER (PARTITION BY g ORDER BY er DESC, ticker ROWS UNBOUNDED PRECEDING) AS ok FROM ks),
@@ -113,9 +113,9 @@ KELLY_SQL = """kg AS (SELECT o_orderkey % 3000 AS g, 'T' || o_orderkey::VARCHAR
 
 @query("w07_kelly_exclusive", "WITH " + KELLY_SQL + f" SELECT g, ticker, {R('er', 'edge_ratio')}, {R('greatest(0.0, p_win - price * ratio)', 'f_star')} FROM kf")
 def _(spark, sf):
-    # groups of a few mutually exclusive outcomes each
+    # five mutually exclusive outcomes per group
     k = B.table(spark, sf, "orders").selectExpr(
-        "o_orderkey % 3000 AS g", "concat('T', cast(o_orderkey as string)) AS ticker", "((o_orderkey * 37) % 1000) / 5000.0D AS p_win", "((o_orderkey * 53) % 90 + 5) / 600.0D AS price")
+        "o_orderkey div 5 AS g", "concat('T', cast(o_orderkey as string)) AS ticker", "((o_orderkey * 37) % 1000) / 5000.0D AS p_win", "((o_orderkey * 53) % 90 + 5) / 600.0D AS price")
     return rounded(X.kelly_exclusive(k, ["g"]).select("g", "ticker", "edge_ratio", "f_star"))
 
 
@@ -128,7 +128,7 @@ def _(spark, sf):
     return rounded(X.vwap(B.book_levels(spark, sf), need, ["ticker"], decimals=None))
 
 
-CONV_SQL = """cv AS (SELECT o_orderkey % 3000 AS g, 'T' || o_orderkey::VARCHAR AS ticker, ((o_orderkey * 37) % 1000) / 1000.0::DOUBLE AS p_win, ((o_orderkey * 53) % 90 + 5) / 100.0::DOUBLE AS price FROM orders),
+CONV_SQL = """cv AS (SELECT o_orderkey // 5 AS g, 'T' || o_orderkey::VARCHAR AS ticker, ((o_orderkey * 37) % 1000) / 1000.0::DOUBLE AS p_win, ((o_orderkey * 53) % 90 + 5) / 100.0::DOUBLE AS price FROM orders),
  ct AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY p_win DESC, ticker) AS rn FROM cv),
  cg AS (SELECT g, coalesce(max(CASE WHEN rn = 1 THEN price END) / max(CASE WHEN rn > 1 AND price > 0 THEN price END), 1.0) AS gamma FROM ct GROUP BY 1)"""
 
@@ -136,13 +136,15 @@ CONV_SQL = """cv AS (SELECT o_orderkey % 3000 AS g, 'T' || o_orderkey::VARCHAR A
 @query("w15_convergence", "WITH " + CONV_SQL + f" SELECT g, {R('gamma', 'gamma')}, {R('CASE WHEN gamma < 0.75 THEN gamma / 0.75::DOUBLE ELSE 1 END', 'gamma_scale')} FROM cg")
 def _(spark, sf):
     k = B.table(spark, sf, "orders").selectExpr(
-        "o_orderkey % 3000 AS g", "concat('T', cast(o_orderkey as string)) AS ticker", "((o_orderkey * 37) % 1000) / 1000.0D AS p_win", "((o_orderkey * 53) % 90 + 5) / 100.0D AS price")
+        "o_orderkey div 5 AS g", "concat('T', cast(o_orderkey as string)) AS ticker", "((o_orderkey * 37) % 1000) / 1000.0D AS p_win", "((o_orderkey * 53) % 90 + 5) / 100.0D AS price")
     return rounded(X.convergence(k, ["g"]))
 
 
-@query("w16_rank_in_group", T("graded") + "SELECT o_orderkey, CAST(rank() OVER (PARTITION BY station_id, target_date ORDER BY p - price DESC) AS INT) AS rank FROM graded")
+@query("w16_rank_in_group", T("graded") + "SELECT o_orderkey, CAST(rank() OVER (PARTITION BY o_orderkey // 20 ORDER BY p - price DESC) AS INT) AS rank FROM graded")
 def _(spark, sf):
-    return O.rank_in_group(B.graded(spark, sf), ["station_id", "target_date"], [(F.col("p") - F.col("price")).desc()]).select("o_orderkey", "rank")
+    # twenty candidates per group
+    g = B.graded(spark, sf).withColumn("g", F.expr("o_orderkey div 20"))
+    return O.rank_in_group(g, ["g"], [(F.col("p") - F.col("price")).desc()]).select("o_orderkey", "rank")
 
 
 # ------------------------------------------------------------------ signals
@@ -327,11 +329,9 @@ def _(spark, sf):
 
 @query("top05_nulls_first", f"SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_id % 4 = 0 THEN NULL ELSE value END ASC NULLS FIRST, event_id) AS INT) AS pos FROM events")
 def _(spark, sf):
-    from pyspark.sql import Window
-
-    edge = F.expr("CASE WHEN event_id % 4 <> 0 THEN value END")
-    w = Window.partitionBy("user_id").orderBy(edge.asc_nulls_first(), "event_id")
-    return B.events(spark, sf).select("event_id", F.row_number().over(w).alias("pos"))
+    # positions by block-wise counts: one user may own much of the table
+    e = B.events(spark, sf).select("event_id", "user_id", F.expr("CASE WHEN event_id % 4 <> 0 THEN value END").alias("edge"))
+    return O.positions(e, ["user_id"], "edge", ["event_id"], nulls="first").select("event_id", F.col("pos").cast("int").alias("pos"))
 
 
 @query("top06_tail_n", "SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 90")

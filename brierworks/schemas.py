@@ -61,7 +61,11 @@ CONTRACT_DDL = {
     "alert_ts timestamp_ntz, is_resolved boolean, resolved_ts timestamp_ntz",
     "day_health": "target_date date, n_forecast bigint, n_scored bigint, is_healthy boolean",
     "signal_log": "ticker string, composite double, veto boolean, veto_reason string",
-    "pipeline_runs": "run_id bigint, run_type string, started_at timestamp_ntz, status string",
+    "bias_state": "station_id bigint, target_type string, b_k double, u_k double, q_base double, state_version int, "
+    "top_source string, last_date date",
+    "regime_flags": "station_id bigint, target_date date, target_type string, centroid_1 double, centroid_2 double, "
+    "size_1 int, size_2 int, iqr_ratio double",
+    "job_runs": "run_id bigint, run_type string, started_at timestamp_ntz, status string",
     "observation_runs": "run_id bigint, started_at timestamp_ntz",
 }
 

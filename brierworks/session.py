@@ -51,5 +51,6 @@ def shared_folder(spark: SparkSession) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder so later stages survive executor loss."""
     spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
