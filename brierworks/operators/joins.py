@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brierworks.functions.scalar import in_bin
-from brierworks.operators.ordering import latest_per_key, running, ts_number
+from brierworks.operators.ordering import join_small, latest_per_key, running, ts_number
 
 
 def attach_issue(fc: DataFrame, runs: DataFrame) -> DataFrame:
@@ -95,9 +95,9 @@ def not_held(bets: DataFrame, positions: DataFrame, key: str = "ticker") -> Data
 
 
 def attach_dims(df: DataFrame, *dims: tuple[DataFrame, list[str]]) -> DataFrame:
-    """J-11: look up small dimensions; their size decides at run time whether they are broadcast."""
+    """J-11: look up small dimensions; their counted size decides whether they are broadcast."""
     for dim, keys in dims:
-        df = df.join(dim, keys, "left")
+        df = join_small(df, dim, keys, "left")
     return df
 
 

@@ -65,6 +65,18 @@ def concat(*frames: DataFrame) -> DataFrame:
     return out
 
 
+def join_small(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", limit: int = 200_000) -> DataFrame:
+    """Join a side that is expected to be small on keys that may be crowded.
+
+    The side is computed once and counted. Up to ``limit`` rows it is broadcast, so the large side is
+    not shuffled on a handful of hot keys; beyond that it is an ordinary join, which adaptive
+    execution splits where keys are skewed.
+    """
+    small = cut_lineage(small)
+    few = small.limit(limit + 1).count() <= limit
+    return df.join(F.broadcast(small) if few else small, keys, how)
+
+
 # ---------------------------------------------------------------- blocks
 
 def block_bounds(df: DataFrame, order: Column, n: int = 64) -> list[float]:
@@ -174,7 +186,7 @@ def grouped_percentiles(
     counts = cut_lineage(df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")))
     ranked = running(counts, by, [value], {"_cum": ("sum", F.col("_n"))}, F.col(value), n_blocks)
     totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
-    joined = ranked.join(totals, by) if by else ranked.withColumn("_total", totals.scalar())
+    joined = join_small(ranked, totals, by) if by else ranked.withColumn("_total", totals.scalar())
     picks, outs = [], []
     for name, q in probs.items():
         rank = (F.col("_total") - 1) * F.lit(q)

@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brierworks.functions.scalar import drawdown_scale, edge_buffer, jitter, market_price, net_ev, skill_scale
-from brierworks.operators.ordering import latest_per_key, tail_n
+from brierworks.operators.ordering import join_small, latest_per_key, tail_n
 from brierworks.operators.verification import GROUP
 from brierworks.params import DEFAULTS, Params
+from brierworks.session import cut_lineage
 
 GATES = ("edge", "spread", "skill", "lead", "reserved")
 
@@ -226,18 +227,15 @@ def remaining_capacity(cands: DataFrame, positions: DataFrame, bankroll: float,
     """
     live = positions.filter(F.col("status").isin(*open_states))
     stake = F.col("entry_price") * F.col("contracts")
-    day = live.groupBy("office", "station_id", "target_date").agg(F.sum(stake).alias("_s"))
+    day = cut_lineage(live.groupBy("office", "station_id", "target_date").agg(F.sum(stake).alias("_s")))
     station_day = day.groupBy("station_id", "target_date").agg(F.sum("_s").alias("_day"))
     station = day.groupBy("station_id").agg(F.sum("_s").alias("_station"))
     office = day.groupBy("office").agg(F.sum("_s").alias("_office"))
     total = day.agg(F.coalesce(F.sum("_s"), F.lit(0.0)))
     left = lambda cap, used: F.greatest(F.lit(0.0), cap * bankroll - F.coalesce(used, F.lit(0.0))) / max(bankroll, 1.0)
-    out = (
-        cands.join(station_day, ["station_id", "target_date"], "left")
-        .join(station, "station_id", "left")
-        .join(office, "office", "left")
-        .withColumn("_total", total.scalar())
-    )
+    out = cands.join(station_day, ["station_id", "target_date"], "left")
+    out = join_small(join_small(out, station, ["station_id"], "left"), office, ["office"], "left")
+    out = out.withColumn("_total", total.scalar())
     least = F.least(
         F.lit(p.max_single), left(p.max_station_day, F.col("_day")), left(p.max_station, F.col("_station")),
         left(p.max_office, F.col("_office")), left(p.max_total, F.col("_total")),

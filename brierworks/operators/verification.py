@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brierworks.functions.scalar import brier, in_bin, lead_bracket, preferred_error, shrink, trailing, unbiased_skew
 from brierworks.operators.joins import attach_issue
-from brierworks.operators.ordering import grouped_percentiles, latest_per_key
+from brierworks.operators.ordering import grouped_percentiles, join_small, latest_per_key
 from brierworks.params import DEFAULTS, Params
 from brierworks.session import cut_lineage
 
@@ -130,12 +130,12 @@ def robust_sigma(sigmas: DataFrame, by: list[str], pool_by: list[str], date: str
 
 def shrink_sigma(errors: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """AGG-07: cell sigma pulled to the pooled sigma of its type and bracket."""
-    cell = rmse_by(errors, CELL)
+    cell = cut_lineage(rmse_by(errors, CELL))
     # pooled from cell sums: the second level costs one row per cell
     pool = cell.groupBy("target_type", "lead_bracket").agg(
         F.sqrt(F.sum(F.col("rmse") * F.col("rmse") * F.col("n")) / F.sum("n")).alias("pooled")
     )
-    return cell.join(pool, ["target_type", "lead_bracket"]).withColumn(
+    return join_small(cell, pool, ["target_type", "lead_bracket"]).withColumn(
         "sigma_adj", shrink(F.col("n"), F.col("rmse"), F.col("pooled"), p)
     )
 
@@ -284,7 +284,7 @@ def bias_diagnostics(df: DataFrame, pred: str, actual: str, date: str, by: list[
     cuts = grouped_percentiles(df, by, actual, {"_c": 0.33, "_h": 0.66})
     a = F.col(actual)
     tercile = F.when(a <= F.col("_c"), "Cold").when(a <= F.col("_h"), "Normal").otherwise("Hot")
-    rows = df.join(cuts, by).select(*by, e, F.concat(F.lit("M"), F.lpad(F.month(date).cast("string"), 2, "0")).alias("_m"), tercile.alias("_t"))
+    rows = join_small(df, cuts, by).select(*by, e, F.concat(F.lit("M"), F.lpad(F.month(date).cast("string"), 2, "0")).alias("_m"), tercile.alias("_t"))
     # both groupings from one pass: each row lands once in a month and once in a tercile
     return (
         rows.withColumn("segment", F.explode(F.array("_m", "_t")))
@@ -298,7 +298,7 @@ def missingness_bias(df: DataFrame, actual: str, lag: str, by: list[str]) -> Dat
     cuts = grouped_percentiles(df.filter(F.col(actual).isNotNull()), by, actual, {"_lo": 0.05, "_hi": 0.95})
     extreme = (F.col(actual) <= F.col("_lo")) | (F.col(actual) >= F.col("_hi"))
     miss = F.when(F.col(lag).isNull(), 1.0).otherwise(0.0)
-    return df.filter(F.col(actual).isNotNull()).join(cuts, by).groupBy(*by).agg(
+    return join_small(df.filter(F.col(actual).isNotNull()), cuts, by).groupBy(*by).agg(
         F.count_if(extreme).alias("n_extreme"),
         F.avg(F.when(extreme, miss)).alias("extreme_rate"),
         F.avg(F.when(~extreme, miss)).alias("normal_rate"),

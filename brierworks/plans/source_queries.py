@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from brierworks.operators import verification as V
+from brierworks.operators.ordering import join_small
 from brierworks.plans import bindings as B
 from brierworks.plans.bindings import with_tables as T
 from brierworks.plans.registry import R, query, r6, rounded
@@ -156,7 +156,7 @@ def _(spark, sf):
 d AS (SELECT DISTINCT rd.station_id, CAST(timezone(tz, timezone('UTC', ts)) AS DATE) AS target_date FROM rd JOIN st USING (station_id))""") + """
 SELECT station_id, target_date FROM d QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY target_date) <= 4""")
 def _(spark, sf):
-    axis = B.readings(spark, sf).join(B.stations(spark, sf).select("station_id", "tz"), "station_id")
+    axis = join_small(B.readings(spark, sf), B.stations(spark, sf).select("station_id", "tz"), ["station_id"])
     return AX.local_targets(axis, ["station_id"], "tz", 4, "ts")
 
 

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brierworks.operators.ordering import latest_per_key
+from brierworks.operators.ordering import join_small, latest_per_key
 
 # ---------------------------------------------------------------- station readings
 
@@ -180,4 +180,4 @@ def score_discussions(docs: DataFrame, col: str = "text") -> DataFrame:
 
 def signals_by_station(signals: DataFrame, stations: DataFrame) -> DataFrame:
     """SRC-16: an office's text applies to each of its stations."""
-    return signals.join(stations.filter("is_active").select("station_id", "office"), "office")
+    return join_small(signals, stations.filter("is_active").select("station_id", "office"), ["office"])
