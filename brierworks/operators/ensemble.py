@@ -102,25 +102,22 @@ def ensemble_spread(df: DataFrame, by: list[str], f: str = "f", weight: str = "w
 
 
 def _two_means(vs: Column, rounds: int = 50) -> Column:
-    """Lloyd iteration with two centres on a short sorted array, from the quartile values."""
+    """Lloyd iteration with two centres on a short sorted array, from the quartile values. Rounds
+    after convergence pass the centres on without looking at the values."""
     n = F.size(vs)
-    start = F.struct(
-        vs[F.floor(n / 4).cast("int")].alias("c1"), vs[F.floor(3 * n / 4).cast("int")].alias("c2")
-    )
+    state = lambda c1, c2, done: F.struct(c1.alias("c1"), c2.alias("c2"), done.alias("done"))
+    start = state(vs[F.floor(n / 4).cast("int")], vs[F.floor(3 * n / 4).cast("int")], F.lit(False))
+    mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs)
 
     def step(s: Column, _: Column) -> Column:
         near = F.filter(vs, lambda v: F.abs(v - s["c1"]) <= F.abs(v - s["c2"]))
         far = F.filter(vs, lambda v: F.abs(v - s["c1"]) > F.abs(v - s["c2"]))
-        total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
         split = F.array(F.struct(near.alias("a"), far.alias("b")))
-        moved = F.transform(
-            split,
-            lambda t: F.when(
-                (F.size(t["a"]) > 0) & (F.size(t["b"]) > 0),
-                F.struct((total(t["a"]) / F.size(t["a"])).alias("c1"), (total(t["b"]) / F.size(t["b"])).alias("c2")),
-            ).otherwise(s),
-        )
-        return moved[0]
+        both = lambda t: (F.size(t["a"]) > 0) & (F.size(t["b"]) > 0)
+        centres = F.transform(split, lambda t: F.when(both(t), F.struct(mean(t["a"]).alias("c1"), mean(t["b"]).alias("c2"))))
+        close = lambda c: (F.abs(c["c1"] - s["c1"]) < 1e-6) & (F.abs(c["c2"] - s["c2"]) < 1e-6)
+        moved = F.transform(centres, lambda c: F.when(c.isNull(), state(s["c1"], s["c2"], F.lit(True))).otherwise(state(c["c1"], c["c2"], close(c))))
+        return F.when(s["done"], s).otherwise(moved[0])
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
 
