@@ -265,7 +265,7 @@ def _(spark, sf):
 
 
 @query("kal04_kalman_replay", KAL_SQL.replace("-avg(e) AS eps", "-avg(e) + CASE WHEN station_id % 4 = 0 AND target_date >= DATE '2024-01-12' AND target_date < DATE '2024-01-14' THEN 7.5 ELSE 0 END AS eps") + f"""
-SELECT station_id, target_type, target_date, CAST(k AS INT) AS state_version, {R('b', 'b_k')}, {R('u', 'u_k')}, station_id % 4 = 0 AND target_date >= (SELECT min(target_date) FROM pr q WHERE q.station_id = kf.station_id AND q.target_type = kf.target_type AND q.target_date >= DATE '2024-01-12' AND q.target_date < DATE '2024-01-14') AS is_amendment FROM kf WHERE k > 0""")
+SELECT station_id, target_type, target_date, CAST(k AS INT) AS state_version, {R('b', 'b_k')}, {R('u', 'u_k')}, coalesce(station_id % 4 = 0 AND target_date >= (SELECT min(target_date) FROM pr q WHERE q.station_id = kf.station_id AND q.target_type = kf.target_type AND q.target_date >= DATE '2024-01-12' AND q.target_date < DATE '2024-01-14'), false) AS is_amendment FROM kf WHERE k > 0""")
 def _(spark, sf):
     by = ["station_id", "target_type"]
     series = bias_series(spark, sf)

@@ -322,7 +322,8 @@ def _(spark, sf):
 
 
 @query("src15_match_station", """WITH s AS (SELECT DISTINCT user_id % 20 AS station_id FROM events), e AS (SELECT o_orderkey, o_orderkey % 4 AS k, o_custkey % 25 AS c FROM orders)
- SELECT o_orderkey, CASE WHEN (k = 1 AND c < 5) OR c < 15 OR c < 20 THEN c END AS station_id, CASE WHEN k = 1 AND c < 5 THEN 'series' WHEN c < 15 THEN 'city_code' WHEN c < 20 THEN 'title' END AS matched_by FROM e""")
+ SELECT o_orderkey, s.station_id, CASE WHEN s.station_id IS NULL THEN NULL WHEN k = 1 AND c < 5 THEN 'series' WHEN c < 15 THEN 'city_code' ELSE 'title' END AS matched_by
+ FROM e LEFT JOIN s ON s.station_id = c""")
 def _(spark, sf):
     ev = L.parse_events(landed_listings(spark, sf)).drop("markets")
     two = F.lpad(F.col("station_id").cast("string"), 2, "0")
