@@ -11,6 +11,7 @@ from brierworks.plans import bindings as B
 from brierworks.plans.bindings import with_tables as T
 from brierworks.plans.registry import R, query, r6, rounded
 from brierworks.plans.verify_queries import SKILL_SQL, errors
+from brierworks.session import cut_lineage
 
 
 def latest_rows(spark, sf):
@@ -268,8 +269,9 @@ def _(spark, sf):
 SELECT station_id, target_type, target_date, CAST(k AS INT) AS state_version, {R('b', 'b_k')}, {R('u', 'u_k')}, coalesce(station_id % 4 = 0 AND target_date >= (SELECT min(target_date) FROM pr q WHERE q.station_id = kf.station_id AND q.target_type = kf.target_type AND q.target_date >= DATE '2024-01-12' AND q.target_date < DATE '2024-01-14'), false) AS is_amendment FROM kf WHERE k > 0""")
 def _(spark, sf):
     by = ["station_id", "target_type"]
-    series = bias_series(spark, sf)
-    history = K.kalman_filter(series, by)
+    # the stored tables of a running system: series and history are written once
+    series = cut_lineage(bias_series(spark, sf))
+    history = cut_lineage(K.kalman_filter(series, by))
     amended = F.expr("station_id % 4 = 0 AND target_date >= DATE '2024-01-12' AND target_date < DATE '2024-01-14'")
     corrected = series.withColumn("epsilon", F.when(amended, F.col("epsilon") + 7.5).otherwise(F.col("epsilon")))
     out = K.kalman_replay(history, corrected, series.filter(amended).select(*by, "target_date"), by)

@@ -6,13 +6,10 @@ Parquet folders merged per micro-batch; the merge keys make a replayed batch har
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StructType
 
 from brierworks.operators.ordering import latest_per_key
@@ -20,6 +17,11 @@ from brierworks.params import DEFAULTS, Params
 from brierworks.session import SETTINGS
 from brierworks.sources.payloads import daily_rows, ingest_payloads
 from brierworks.sources.tables import write_upsert
+from brierworks.streaming import handlers
+from brierworks.streaming.handlers import BIAS_OUT, STALE_OUT, OnlineBias, StaleStation
+
+# the handlers travel inside the query, so Python workers need not have this package installed
+cloudpickle.register_pickle_by_value(handlers)
 
 
 def table_stream(spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -53,6 +55,18 @@ def error_window_stream(errors: DataFrame, lateness: str = "2 days", at: str = "
     )
 
 
+def _start(spark: SparkSession, writer: DataStreamWriter) -> StreamingQuery:
+    """Start with as many state partitions as the cluster has slots. Stream shuffles are not
+    coalesced at run time, and the count is fixed with a query's first batch."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, before)
+
+
 def _upsert_batches(spark: SparkSession, path: str, keys: list[str], partition: str, order: list[str]):
     def write(batch: DataFrame, _id: int) -> None:
         write_upsert(spark, path, batch, keys, partition, order)
@@ -65,7 +79,8 @@ def keep_table(
 ) -> StreamingQuery:
     """Run a stream over what is available and merge every batch into a keyed table."""
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    return writer.foreachBatch(_upsert_batches(stream.sparkSession, path, keys, partition, order)).start()
+    batches = _upsert_batches(stream.sparkSession, path, keys, partition, order)
+    return _start(stream.sparkSession, writer.foreachBatch(batches))
 
 
 def latest_book_stream(snaps: DataFrame, path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
@@ -89,7 +104,7 @@ def latest_book_stream(snaps: DataFrame, path: str, checkpoint: str, buckets: in
         write_upsert(spark, path, newest, ["ticker"], "bucket", order)
 
     writer = keyed.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    return writer.foreachBatch(write).start()
+    return _start(snaps.sparkSession, writer.foreachBatch(write))
 
 
 def forecast_stream(docs: DataFrame, path: str, checkpoint: str, key: str = "event_id") -> StreamingQuery:
@@ -107,39 +122,6 @@ def _keyed_state(spark: SparkSession) -> None:
     spark.conf.set(key, SETTINGS[key])
 
 
-STALE_OUT = "station_id bigint, last_at timestamp, alert_at timestamp"
-
-
-class StaleStation(StatefulProcessor):
-    """ST-04: keeps the newest reading of a station and a timer for when it goes stale."""
-
-    def __init__(self, minutes: int):
-        self.gap_ms = minutes * 60_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "ms bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = max(int(r["ts"].max().value // 1_000_000) for r in rows)
-        known = self.last.get()[0] if self.last.exists() else None
-        if known is None or newest > known:
-            if known is not None:
-                self.handle.deleteTimer(known + self.gap_ms)
-            self.last.update((newest,))
-            self.handle.registerTimer(newest + self.gap_ms)
-        yield pd.DataFrame()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        yield pd.DataFrame(
-            {"station_id": [key[0]], "last_at": [pd.Timestamp(due - self.gap_ms, unit="ms")], "alert_at": [pd.Timestamp(due, unit="ms")]}
-        )
-
-    def close(self) -> None:
-        pass
-
-
 def stale_stream(readings: DataFrame, minutes: int = DEFAULTS.reading_stale_minutes, lateness: str = "10 minutes") -> DataFrame:
     """ST-04: one row per station that had no reading for ``minutes`` of event time."""
     _keyed_state(readings.sparkSession)
@@ -149,84 +131,6 @@ def stale_stream(readings: DataFrame, minutes: int = DEFAULTS.reading_stale_minu
     )
 
 
-BIAS_OUT = (
-    "station_id bigint, target_type string, target_date date, b_k double, u_k double, q_k double, k_k double, "
-    "epsilon double, state_version int, late boolean"
-)
-
-
-class OnlineBias(StatefulProcessor):
-    """ST-05: the bias filter with its state kept between batches.
-
-    State: filter values, last date and the recent innovations the noise terms need. A day at or
-    before the last one is not applied but passed on as late, for a batch replay.
-    """
-
-    WINDOW_DAYS = 30
-
-    def __init__(self, p: Params):
-        self.p = p
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState(
-            "bias", "b double, u double, q double, version int, last int, days array<int>, eps array<double>"
-        )
-
-    def _q_base(self, xs: list[float], before: float) -> float:
-        """Exponentially weighted variance of the steps between recent innovations."""
-        if len(xs) < 2:
-            return before
-        ds = [b - a for a, b in zip(xs, xs[1:])]
-        if len(ds) < 2:
-            return 0.01
-        p = self.p
-        span = p.ewm_span_stable
-        if len(ds) >= p.ewm_span_volatile:
-            var = lambda v: sum((x - sum(v) / len(v)) ** 2 for x in v) / len(v)
-            whole = var(ds)
-            if whole > 0:
-                ratio = var(ds[-p.ewm_span_volatile:]) / whole
-                share = min(ratio / p.ewm_vol_threshold, 1.0)
-                wide = p.ewm_span_stable - share * (p.ewm_span_stable - p.ewm_span_volatile)
-                span = p.ewm_span_volatile if ratio > p.ewm_vol_threshold else int(wide)
-        a = 2.0 / (span + 1)
-        mean, acc = ds[0], 0.0
-        for x in ds[1:]:
-            d = x - mean
-            mean, acc = mean + a * d, (1 - a) * (acc + a * d * d)
-        return max(acc, 1e-6)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        p = self.p
-        if self.state.exists():
-            b, u, q, version, last, days, eps = self.state.get()
-            days, eps = list(days), list(eps)
-        else:
-            b, u, q, version, last, days, eps = p.b_init, p.u_init, 0.0, 0, None, [], []
-        batch = pd.concat(list(rows)).sort_values("target_date")
-        out = []
-        for date, e in zip(batch["target_date"], batch["epsilon"]):
-            day = (pd.Timestamp(date) - pd.Timestamp("1970-01-01")).days
-            if last is not None and day <= last:
-                out.append((key[0], key[1], date, None, None, None, None, e, version, True))
-                continue
-            kept = [(d, x) for d, x in zip(days, eps) if d >= day - self.WINDOW_DAYS] + [(day, e)]
-            days, eps = [d for d, _ in kept], [x for _, x in kept]
-            noise = q + p.gamma * sum((x - b) ** 2 * (p.lambda_asym if x < b else 1.0) for x in eps[-5:])
-            prior = u + noise * (1 + p.gap_inflate * (max(0, day - last - 1) if last is not None else 0))
-            gain = prior / (prior + p.r_default) if prior + p.r_default else 0.5
-            b, u, version, last = b + gain * (e - b), (1 - gain) * prior, version + 1, day
-            q = self._q_base(eps, q)
-            out.append((key[0], key[1], date, b, u, noise, gain, e, version, False))
-        if last is not None:
-            self.state.update((b, u, q, version, last, days, eps))
-        cols = [c.split()[0] for c in BIAS_OUT.split(", ")]
-        yield pd.DataFrame(out, columns=cols)
-
-    def close(self) -> None:
-        pass
-
-
 def bias_stream(errors: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """ST-05: online bias per key. ``errors`` holds one innovation per key and day (see the batch
     filter); a key's work per batch is the number of its new days."""
@@ -239,4 +143,4 @@ def bias_stream(errors: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 def append_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append a stream's rows to a Parquet folder."""
     writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    return writer.format("parquet").option("path", path).start()
+    return _start(stream.sparkSession, writer.format("parquet").option("path", path))
