@@ -36,6 +36,7 @@ from brierworks.llm.common import NO_ID, ROLL, ROLL_2, byte_values, mix, partiti
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FLUSH = 1 << 20
+BUCKETS = 256  # at least; more where the session has more shuffle partitions
 TOP = np.uint64((1 << 64) - 1)
 
 
@@ -317,7 +318,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     count as one document, so a repeated row keeps what its twin keeps; all null ids count as one document after all
     others. Columns of any name may come along.
     """
-    buckets = 4 * partitions(docs)
+    buckets = max(BUCKETS, 4 * partitions(docs))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = docs.select(row.alias("doc")).withColumn("ver", F.xxhash64(F.col("doc.doc_id").cast("long"), F.col("doc.text")))
     keyed = keyed.withColumn("k", F.coalesce(F.col("doc.doc_id").cast("long"), "ver")).select("k", "ver", "doc")
