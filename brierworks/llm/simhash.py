@@ -162,23 +162,29 @@ def _linked(budget: int):
     return run
 
 
-def fingerprint_links(prints: DataFrame, budget: int = 4, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Links ``a``, ``b`` that join the distinct values of ``fp`` just as all pairs within ``budget`` bits would.
+def _dealt(points: DataFrame, budget: int, group_rows: int) -> DataFrame:
+    """The points (with a column ``fp``) under every rotation, dealt to the tasks of the trie join.
 
-    A trie part that holds more than ``group_rows`` fingerprints is cut into chunks, and each pair of chunks is a task of
-    its own: exact, with bounded tasks. Chunk counts come from a table of at most 5 x 4096 rows.
+    A trie part that holds more than ``group_rows`` points is cut into chunks, and each pair of chunks is a task of its
+    own: exact, with bounded tasks. The chunk counts are a table of at most (budget + 1) x 4096 rows, which is broadcast.
     """
-    if not 0 <= budget <= 8:
-        raise ValueError("budget must be between 0 and 8 bits")
-    distinct = prints.where("fp is not null").select("fp").distinct()
     edges = blocks(budget)
-    total = distinct.count()
-    bits = min(edges[1], 12, max(2, int(total // (group_rows // 8)).bit_length()))
-    spread = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(r).alias("rot"), F.shiftrightunsigned(F.expr(f"shiftleft(fp, {edges[r]}) | shiftrightunsigned(fp, {(BITS - edges[r]) % BITS})") if r else F.col("fp"), BITS - bits).alias("top")) for r in range(budget + 1)])).alias("k")).select("fp", "k.rot", "k.top")
+    bits = min(edges[1], 12, max(2, int(points.count() // (group_rows // 8)).bit_length()))
+    turned = lambda r: F.expr(f"shiftleft(fp, {edges[r]}) | shiftrightunsigned(fp, {BITS - edges[r]})") if r else F.col("fp")
+    keys = F.array(*[F.struct(F.lit(r).alias("rot"), F.shiftrightunsigned(turned(r), BITS - bits).alias("top")) for r in range(budget + 1)])
+    spread = points.withColumn("key", F.explode(keys)).select(*points.columns, "key.rot", "key.top")
     sizes = spread.groupBy("rot", "top").count().select("rot", "top", F.ceil(F.col("count") / group_rows).cast("int").alias("chunks"))
-    cut = spread.join(F.broadcast(sizes), ["rot", "top"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j"), F.when(k < F.col("own"), 1).otherwise(0).alias("side"))))
-    tasks = cut.select("fp", "rot", "top", pair.alias("t")).select("fp", "rot", "top", "t.i", "t.j", "t.side")
+    own = F.pmod(F.xxhash64(*points.columns[:2]), F.col("chunks")).cast("int")
+    cut = spread.join(F.broadcast(sizes), ["rot", "top"]).withColumn("own", own)
+    pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j"), F.when(k < F.col("own"), 1).otherwise(0).alias("side")))
+    return cut.withColumn("task", F.explode(pair)).select(*points.columns, "rot", "top", "task.i", "task.j", "task.side")
+
+
+def fingerprint_links(prints: DataFrame, budget: int = 4, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Links ``a``, ``b`` that join the distinct values of ``fp`` just as all pairs within ``budget`` bits would."""
+    if not 0 <= budget <= 15:
+        raise ValueError("budget must be between 0 and 15 bits")
+    tasks = _dealt(prints.where("fp is not null").select("fp").distinct(), budget, group_rows)
     return tasks.groupBy("rot", "top", "i", "j").applyInArrow(_linked(budget), "a bigint, b bigint")
 
 
@@ -196,3 +202,114 @@ def near_duplicates(docs: DataFrame, words: int = 5, budget: int = 4) -> DataFra
     least = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     named = placed.join(least, "root").select("fp", F.nullif("component_id", F.lit((1 << 63) - 1)).alias("component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def _closest(budget: int):
+    """Candidate pairs of a trie task: a forest of closest pairs between different groups, known failures left out."""
+    edges = blocks(budget)
+    allowed = {edges[r]: _allowed(budget, edges[r]) for r in range(budget + 1)}
+
+    def run(group: pa.Table) -> pa.Table:
+        by = edges[group.column("rot")[0].as_py()]
+        fps = _rotated(group.column("fp").to_numpy().view(np.uint64), by)
+        node, side = group.column("node").to_numpy(), group.column("side").to_numpy()
+        order = np.lexsort((node, fps, side))
+        fps, node = fps[order], node[order]
+        _, label = np.unique(group.column("label").to_numpy()[order], return_inverse=True)
+        cut = int((side == 0).sum())
+        left, right = fps[:cut], fps[cut:] if cut < len(fps) else None
+        at = {n: k for k, n in enumerate(node.tolist())}
+        failed = [at[node[k]] * len(node) + at[o] for k, x in enumerate(group.column("failed").take(pa.array(order)).to_pylist()) for o in x or () if o in at]
+        failed = np.unique(np.array(failed + [b % len(node) * len(node) + b // len(node) for b in failed], np.int64))
+        held = [np.zeros(0, np.int64)] * 3
+        for x, y in trie_pairs(left, right, allowed[by], budget):
+            y = y if right is None else y + cut
+            fresh = label[x] != label[y]
+            x, y = x[fresh], y[fresh]
+            fresh = ~np.isin(x * len(node) + y, failed)
+            x, y = x[fresh], y[fresh]
+            if len(x):
+                far = np.bitwise_count(fps[x] ^ fps[y]).astype(np.int64)
+                held = [np.concatenate(c) for c in zip(held, (far, x, y))]
+                pick = spanning(int(label.max()) + 1, label[held[1]], label[held[2]], held[0])
+                held = [c[pick] for c in held]
+        a, b = node[held[1]], node[held[2]]
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return run
+
+
+def spanning(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Indices of the pairs of a lightest spanning forest of ``n`` nodes."""
+    rank = np.lexsort((np.maximum(a, b), np.minimum(a, b), weight))
+    x, y = a[rank], b[rank]
+    parent, chosen, live = np.arange(n), [], np.arange(len(rank))
+    while True:
+        live = live[parent[x[live]] != parent[y[live]]]
+        if not len(live):
+            return rank[np.concatenate(chosen)] if chosen else rank[:0]
+        best = np.full(n, len(rank))
+        np.minimum.at(best, parent[x[live]], live)
+        np.minimum.at(best, parent[y[live]], live)
+        pick = np.unique(best[best < len(rank)])
+        chosen.append(pick)
+        parent = forest(n, x[pick], y[pick], parent)
+
+
+def shingles(text: str | None, words: int) -> set[bytes]:
+    parts = (text or "").encode().lower().split()
+    return {b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))} if parts else set()
+
+
+def _verified(words: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(batch.schema.get_field_index("text_a")), batch.column(batch.schema.get_field_index("text_b"))):
+                x, y = shingles(x.as_py(), words), shingles(y.as_py(), words)
+                good.append(len(x & y) >= similarity * len(x | y))
+            yield table_of(batch, 0, batch.num_rows, ["a", "b"], good=pa.array(good, pa.bool_()))
+
+    return run
+
+
+def similar_groups(docs: DataFrame, words: int = 5, budget: int = 12, similarity: float = 0.8, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """node (hash of a distinct text) and ``label``, equal for texts that are joined by verified links.
+
+    Candidates are fingerprints within ``budget`` bits, from the trie join; a link needs a Jaccard similarity of word
+    shingles of at least ``similarity``, computed on whole texts. Each round proposes, per trie task, a forest of the
+    closest pairs between texts of different groups that have not failed yet, and verifies it; it ends when no candidate
+    pair between different groups is left, so the groups are those of all candidate pairs without listing them.
+    """
+    texts = docs.select(F.xxhash64(F.col("text").cast("string")).alias("doc_id"), "text")
+    nodes = cut_lineage(fingerprints(texts, words).withColumnRenamed("doc_id", "node").distinct())
+    labelled, checked = nodes.withColumn("label", F.col("node")), None
+    while True:
+        known = None if checked is None else checked.where("not good").groupBy("a").agg(F.collect_list("b").alias("failed"))
+        empty = F.array().cast("array<bigint>").alias("failed")
+        points = labelled.select("node", "fp", "label", empty) if known is None else labelled.join(known, F.col("node") == F.col("a"), "left").select("node", "fp", "label", "failed")
+        tasks = _dealt(cut_lineage(points), budget, group_rows)
+        pairs = cut_lineage(tasks.groupBy("rot", "top", "i", "j").applyInArrow(_closest(budget), "a bigint, b bigint").distinct())
+        if pairs.isEmpty():
+            return labelled.select("node", "label")
+        needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        wanted = cut_lineage(texts.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        both = pairs.join(wanted.toDF("a", "text_a"), "a").join(wanted.toDF("b", "text_b"), "b")
+        verdict = cut_lineage(both.mapInArrow(_verified(words, similarity), "a bigint, b bigint, good boolean"))
+        checked = verdict if checked is None else cut_lineage(checked.unionByName(verdict))
+        classes = components(checked.where("good").select("a", "b"))
+        labelled = cut_lineage(nodes.join(classes, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("label")))
+
+
+def deduplicate(docs: DataFrame, words: int = 5, budget: int = 12, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group of similar texts the one with the smallest doc_id.
+
+    See :func:`similar_groups`. Null ids come after all others; of rows with one id the text with the smaller hash stays,
+    and of repeated rows one. Null and blank texts have no shingles and are similar to each other.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    keyed = docs.select(row).select("doc", F.xxhash64(F.col("doc.text").cast("string")).alias("node"), F.coalesce(F.col("doc.doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("low"))
+    first = keyed.groupBy("node").agg(F.min("low").alias("low"))
+    groups = similar_groups(docs, words, budget, similarity)
+    stays = first.join(groups, "node").groupBy("label").agg(F.min(F.struct("low", "node")).alias("stays")).select("stays.low", "stays.node")
+    return keyed.join(stays, ["low", "node"], "left_semi").dropDuplicates(["low", "node"]).select("doc.*")
