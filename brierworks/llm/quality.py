@@ -150,7 +150,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_L
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     lot = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
     share = F.when(F.col("quality") == 1, min(1.0, sample / max(1, counts.get(1, 0)))).otherwise(min(1.0, sample / max(1, counts.get(0, 0))))
-    picked = ids(docs).where("text is not null").join(known.where(lot < share), "doc_id").select("quality", "text")
+    chosen = F.broadcast(known.where(lot < share))  # about 2 x sample rows of two numbers, whatever the tables hold
+    picked = ids(docs).where("text is not null").join(chosen, "doc_id").select("quality", "text")
     rows = sorted(((r["quality"], bytes(r["terms"])) for r in picked.mapInArrow(_labelled, "quality int, terms binary").collect()))
     found = (None, None, None)
     if rows:
