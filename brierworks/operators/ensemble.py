@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brierworks.functions.scalar import shrink, sigma_eff, unbiased_skew
-from brierworks.operators.ordering import join_small, latest_per_key
+from brierworks.operators.ordering import join_keys, latest_per_key
 from brierworks.operators.verification import CELL, GROUP, used_errors
 from brierworks.params import DEFAULTS, Params
 from brierworks.session import cut_lineage
@@ -192,7 +192,7 @@ def ensemble_state(
 
     rows = fc.join(stats.drop("ssq"), [*CELL, "source_id"], "left").withColumn("skill", F.coalesce("skill", F.lit(0.0)))
     if bias is not None:
-        rows = join_small(rows, bias, ["station_id", "target_type"], "left")
+        rows = join_keys(rows, bias, ["station_id", "target_type"], "left")
     stored = F.when(F.col("source_id") == F.col("top_source"), 0).otherwise(1) if "top_source" in rows.columns else F.lit(0)
     b_k = F.coalesce(F.first("b_k"), F.lit(0.0)) if bias is not None else F.lit(0.0)
     weights = cut_lineage(decay_weights(entropy_weights(rows, GROUP, "skill", p), GROUP, "age_hours", "weight", p))
@@ -228,7 +228,7 @@ def ensemble_state(
     )
     shrunk = shrink(F.col("_n"), F.col("_rmse"), F.coalesce("pooled", F.lit(p.sigma_default)), p)
     # a handful of (type, bracket) keys: never shuffle the groups on them
-    state = join_small(state.join(own, GROUP, "left"), pooled, ["target_type", "lead_bracket"], "left")
+    state = join_keys(state.join(own, GROUP, "left"), pooled, ["target_type", "lead_bracket"], "left")
     state = state.withColumn("sigma_adj", F.coalesce(shrunk, F.lit(p.sigma_default)))
     if regime:
         gap = F.col("centroid_2") - F.col("centroid_1")
@@ -238,7 +238,7 @@ def ensemble_state(
         )
     mod = F.lit(1.0)
     if text_mods is not None:
-        state = join_small(state, text_mods.select("station_id", "sigma_mult"), ["station_id"], "left")
+        state = join_keys(state, text_mods.select("station_id", "sigma_mult"), ["station_id"], "left")
         mod = F.coalesce("sigma_mult", F.lit(1.0))
     state = state.withColumn("sigma_eff", sigma_eff(F.col("sigma_adj"), F.col("s_weighted"), mod, p))
     state = state.withColumn("mu", F.col("f_top") + F.col("b_k"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brierworks.functions.scalar import in_bin
-from brierworks.operators.ordering import join_small, latest_per_key, running, ts_number
+from brierworks.operators.ordering import join_keys, latest_per_key, running, ts_number
 
 
 def attach_issue(fc: DataFrame, runs: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def asof_join(
     payload: list[str],
     strict: bool = True,
     bounded: bool = False,
-    n_blocks: int = 64,
+    n_blocks: int | None = None,
 ) -> DataFrame:
     """J-07: attach the most recent right row before (``strict``) or at-or-before each left row.
 
@@ -97,7 +97,7 @@ def not_held(bets: DataFrame, positions: DataFrame, key: str = "ticker") -> Data
 def attach_dims(df: DataFrame, *dims: tuple[DataFrame, list[str]]) -> DataFrame:
     """J-11: look up small dimensions; their counted size decides whether they are broadcast."""
     for dim, keys in dims:
-        df = join_small(df, dim, keys, "left")
+        df = join_keys(df, dim, keys, "left")
     return df
 
 

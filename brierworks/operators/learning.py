@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import FeatureHasher, VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -21,7 +21,9 @@ from brierworks.operators.verification import bias_diagnostics, forecast_metrics
 
 KEY, DATE = "station_id", "target_date"
 WEATHER = ("precip", "wind", "radiation", "evap")
+NEEDED = ["forecast_high", "forecast_low", "actual_high", "actual_low"]
 MIN_DAY_AHEAD = 180
+STATION_BUCKETS = 32
 
 
 def feature_names(target: str) -> list[str]:
@@ -56,16 +58,23 @@ def _with_memory(dense: DataFrame) -> DataFrame:
     )
 
 
-def bias_features(fc: DataFrame, obs: DataFrame) -> DataFrame:
+def lead_choice(fc: DataFrame, obs: DataFrame, min_day_ahead: int = MIN_DAY_AHEAD) -> DataFrame:
+    """Per station: its day-ahead forecasts with an observation, and whether training uses only those."""
+    both = fc.join(obs, [KEY, DATE]).dropna(subset=NEEDED)
+    out = both.groupBy(KEY).agg(F.count_if(F.col("lead_hours") == 24).alias("n_day_ahead"), F.count(F.lit(1)).alias("n_all"))
+    return out.withColumn("only_day_ahead", F.col("n_day_ahead") >= min_day_ahead)
+
+
+def bias_features(fc: DataFrame, obs: DataFrame, min_day_ahead: int = MIN_DAY_AHEAD) -> DataFrame:
     """ML-01: one training row per station and day with complete history.
 
-    Day-ahead forecasts are preferred where a station has enough of them. Forecasts come as one row
-    per station and day, so all windows run over calendar-bounded series.
+    A station with at least ``min_day_ahead`` day-ahead forecasts is trained on those alone, others on
+    all forecasts (:func:`lead_choice` tells which). Forecasts come as one row per station and day, so
+    all windows run over calendar-bounded series.
     """
-    need = ["forecast_high", "forecast_low", "actual_high", "actual_low"]
-    rows = fc.join(obs, [KEY, DATE]).dropna(subset=need)
+    rows = fc.join(obs, [KEY, DATE]).dropna(subset=NEEDED)
     ahead = F.count(F.when(F.col("lead_hours") == 24, 1)).over(Window.partitionBy(KEY))
-    rows = rows.withColumn("_ahead", ahead).filter((F.col("_ahead") < MIN_DAY_AHEAD) | (F.col("lead_hours") == 24)).drop("_ahead", "lead_hours")
+    rows = rows.withColumn("_ahead", ahead).filter((F.col("_ahead") < min_day_ahead) | (F.col("lead_hours") == 24)).drop("_ahead", "lead_hours")
     full = _with_memory(densify_daily(rows, [KEY], DATE))
     memory = [c for t in ("high", "low") for c in (f"target_error_{t}", f"lag_{t}_1d", f"lag_{t}_2d", f"roll_{t}_7d_mean", f"roll_{t}_14d_mean", f"roll_{t}_7d_std")]
     return full.dropna(subset=memory)
@@ -99,22 +108,34 @@ DEEP, WIDE = TreeParams(depth=5, rounds=20, step=0.1), TreeParams(depth=3, round
 
 
 def _learner(target: str, p: TreeParams) -> Pipeline:
-    inputs = [*feature_names(target), "station_index"]
+    names = feature_names(target)
+    inputs = [*[f"_{c}" for c in names], *[f"_no_{c}" for c in names], "station_vector"]
     tree = GBTRegressor(
         labelCol=f"target_error_{target.lower()}", featuresCol="features", maxDepth=p.depth, maxIter=p.rounds,
         stepSize=p.step, subsamplingRate=p.subsample, seed=p.seed,
     )
-    return Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip"), tree])
+    station = FeatureHasher(inputCols=["_station"], outputCol="station_vector", numFeatures=STATION_BUCKETS)
+    return Pipeline(stages=[station, VectorAssembler(inputCols=inputs, outputCol="features"), tree])
+
+
+def _prepared(df: DataFrame, target: str) -> DataFrame:
+    """Learner inputs: the station as a hashed category, whatever its type, and each feature with a mark
+    where it is missing; so no row is dropped."""
+    known = [F.when(F.isnan(F.col(c).cast("double")), None).otherwise(F.col(c)).cast("double") for c in feature_names(target)]
+    filled = {f"_{n}": F.coalesce(c, F.lit(0.0)) for n, c in zip(feature_names(target), known)}
+    marks = {f"_no_{n}": c.isNull().cast("double") for n, c in zip(feature_names(target), known)}
+    return df.withColumns({"_station": F.coalesce(F.col(KEY).cast("string"), F.lit("")), **filled, **marks})
 
 
-def _indexed(df: DataFrame) -> DataFrame:
-    return df.withColumn("station_index", F.col(KEY).cast("double"))
+def _bare(df: DataFrame, target: str) -> DataFrame:
+    names = feature_names(target)
+    return df.drop("_station", "station_vector", "features", *[f"_{n}" for n in names], *[f"_no_{n}" for n in names])
 
 
 def fit_bias_models(features: DataFrame, target: str, a: TreeParams = DEEP, b: TreeParams = WIDE, refit: bool = False) -> dict[str, PipelineModel]:
     """ML-03: two learners on the first 60 % of each station's days; ``refit`` uses all days and
     1.1 times the rounds."""
-    data = _indexed(features)
+    data = _prepared(features, target).filter(F.col(f"target_error_{target.lower()}").isNotNull())
     if refit:
         a, b = (TreeParams(x.depth, int(round(x.rounds * 1.10)), x.step, x.subsample, x.seed) for x in (a, b))
     else:
@@ -127,16 +148,17 @@ def fit_bias_models(features: DataFrame, target: str, a: TreeParams = DEEP, b: T
 
 
 def score_bias(models: dict[str, PipelineModel], features: DataFrame, target: str, weights: DataFrame | float = 0.5) -> DataFrame:
-    """ML-06: both learners' bias, their blend and the corrected forecast."""
-    out = _indexed(features)
+    """ML-06: both learners' bias, their blend and the corrected forecast, for every row."""
+    out = _prepared(features, target)
     for name, m in models.items():
-        out = m.transform(out).withColumnRenamed("prediction", f"bias_{name}").drop("features")
+        out = m.transform(out).withColumnRenamed("prediction", f"bias_{name}").drop("features", "station_vector")
+    out = _bare(out, target)
     if isinstance(weights, DataFrame):
         out = out.join(weights.select(KEY, F.col("w").alias("_w")), KEY, "left").withColumn("_w", F.coalesce("_w", F.lit(0.5)))
     else:
         out = out.withColumn("_w", F.lit(float(weights)))
     out = out.withColumn("bias_blend", F.col("_w") * F.col("bias_a") + (1.0 - F.col("_w")) * F.col("bias_b"))
-    return out.withColumn("corrected", F.col(f"forecast_{target.lower()}") + F.col("bias_blend")).drop("_w", "station_index")
+    return out.withColumn("corrected", F.col(f"forecast_{target.lower()}") + F.col("bias_blend")).drop("_w")
 
 
 def blend_weight(preds: DataFrame, by: list[str], a: str = "bias_a", b: str = "bias_b", actual: str = "target_error", points: int = 1001) -> DataFrame:
@@ -159,7 +181,8 @@ def tune_bias_models(features: DataFrame, target: str, grid: list[TreeParams], f
     job; the grid is the only loop."""
     spark = features.sparkSession
     t = target.lower()
-    data = walk_forward_blocks(_indexed(features), [KEY], DATE, test_days, folds).persist()
+    known = _prepared(features, target).filter(F.col(f"target_error_{t}").isNotNull())
+    data = walk_forward_blocks(known, [KEY], DATE, test_days, folds).persist()
     rows = []
     try:
         for i, p in enumerate(grid):
@@ -170,7 +193,7 @@ def tune_bias_models(features: DataFrame, target: str, grid: list[TreeParams], f
                 scored = model.transform(block)
                 mae = scored.agg(F.avg(F.abs(F.col("prediction") - F.col(f"target_error_{t}")))).first()[0]
                 trees: GBTRegressionModel = model.stages[-1]
-                curve = trees.evaluateEachIteration(model.stages[0].transform(block), "absolute")
+                curve = trees.evaluateEachIteration(scored.drop("prediction"), "absolute")
                 maes.append(float(mae))
                 best.append(int(min(range(len(curve)), key=lambda j: curve[j]) + 1))
             rounds = sum((k + 1) * r for k, r in enumerate(best)) / sum(range(1, folds + 1))

@@ -56,15 +56,14 @@ def collection_status(counts: DataFrame, by: list[str]) -> DataFrame:
     return counts.withColumn("failure_rate", rate).withColumn("status", status)
 
 
-def health_report(*checks: tuple[str, DataFrame, int]) -> DataFrame:
-    """MON-05: (name, rows found, limit) checks as one table with an overall verdict."""
+def health_report(*checks: tuple[str, DataFrame, int, bool]) -> DataFrame:
+    """MON-05: (name, rows found, limit, whether it decides) checks as one table with an overall verdict:
+    all deciding checks stay below their limit. The others only report."""
     rows = None
-    for name, found, limit in checks:
+    for name, found, limit, decides in checks:
         row = found.agg(F.count(F.lit(1)).alias("n_found")).select(
-            F.lit(name).alias("check"), "n_found", (F.col("n_found") < limit).alias("ok")
+            F.lit(name).alias("check"), "n_found", (F.col("n_found") < limit).alias("ok"), F.lit(decides).alias("decides")
         )
         rows = row if rows is None else rows.unionByName(row)
-    verdict = rows.agg(F.bool_and("ok"))
-    return rows.withColumn("healthy", verdict.scalar())
-
-
+    verdict = rows.agg(F.bool_and(F.col("ok") | ~F.col("decides")))
+    return rows.withColumn("healthy", verdict.scalar()).drop("decides")

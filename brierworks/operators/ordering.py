@@ -10,6 +10,8 @@ Two regimes are used on purpose:
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brierworks.session import cut_lineage
@@ -65,33 +67,39 @@ def concat(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def join_small(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", limit: int = 200_000) -> DataFrame:
-    """Join a side that is expected to be small on keys that may be crowded.
-
-    The side is computed once and counted. Up to ``limit`` rows it is broadcast, so the large side is
-    not shuffled on a handful of hot keys; beyond that it is an ordinary join, which adaptive
-    execution splits where keys are skewed.
-    """
-    small = cut_lineage(small)
-    few = small.limit(limit + 1).count() <= limit
-    return df.join(F.broadcast(small) if few else small, keys, how)
+def join_keys(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join in which null keys match, as grouping sees them. The plan is left to Spark: the broadcast
+    threshold, and adaptive execution, which splits crowded keys."""
+    named = other.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in other.columns if c not in keys])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return df.join(named, on, how).drop(*[f"_k_{k}" for k in keys])
 
 
 # ---------------------------------------------------------------- blocks
 
-def block_bounds(df: DataFrame, order: Column, n: int = 64) -> list[float]:
-    """At most ``n - 1`` split points of ``order`` (a fixed-size summary, safe on the driver)."""
+def block_bounds(df: DataFrame, order: Column, n: int | None = None) -> list[float]:
+    """At most ``n - 1`` split points of ``order`` (a fixed-size summary, safe on the driver).
+
+    By default there are as many blocks as the session has shuffle partitions, 64 at least: the number
+    that its owner has set for the size of the data."""
+    n = n or min(4096, max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     probs = [i / n for i in range(1, n)]
-    row = df.agg(F.percentile_approx(order.cast("double"), probs, 2000).alias("b")).first()
+    row = df.agg(F.percentile_approx(order.cast("double"), probs, max(2000, 10 * n)).alias("b")).first()
     return sorted(set(row["b"] or []))
 
 
 def block_of(order: Column, bounds: list[float]) -> Column:
-    """Ordinal of the block a value falls in; equal values share a block."""
-    if not bounds:
-        return F.lit(0)
-    v = order.cast("double")
-    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < v))
+    """Ordinal of the block a value falls in; equal values share a block. A balanced tree of
+    comparisons, so a row costs the logarithm of the number of blocks. NULL falls in the first block."""
+    v = F.coalesce(order.cast("double"), F.lit(float("-inf")))
+
+    def place(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(v <= bounds[mid], place(low, mid)).otherwise(place(mid + 1, high))
+
+    return place(0, len(bounds))
 
 
 def ts_number(ts: Column) -> Column:
@@ -108,7 +116,7 @@ def running(
     order: list[str],
     measures: dict[str, tuple[str, Column]],
     position: Column | None = None,
-    n_blocks: int = 64,
+    n_blocks: int | None = None,
     exclusive: bool = False,
 ) -> DataFrame:
     """Prefix aggregates per key: ``measures`` maps an output name to (kind, input), kind being one of
@@ -162,7 +170,7 @@ def _running_blocks(df, by, order, measures, exclusive):
     carry_in = df.groupBy(*keys).agg(*totals).select(*keys, *carries)
     w = _frame(keys, order, exclusive)
     local_df = df.select("*", *[_over(k, c, w).alias(f"_l_{n}") for n, (k, c) in measures.items()])
-    return local_df.join(carry_in, keys).select(*[c for c in df.columns if c != "_blk"], *merged)
+    return join_keys(local_df, carry_in, keys).select(*[c for c in df.columns if c != "_blk"], *merged)
 
 
 def positions(df: DataFrame, by: list[str], key: str, tie: list[str], nulls: str = "first", name: str = "pos") -> DataFrame:
@@ -178,7 +186,7 @@ def positions(df: DataFrame, by: list[str], key: str, tie: list[str], nulls: str
 # ---------------------------------------------------------------- exact quantiles
 
 def grouped_percentiles(
-    df: DataFrame, by: list[str], value: str, probs: dict[str, float], n_blocks: int = 64
+    df: DataFrame, by: list[str], value: str, probs: dict[str, float], n_blocks: int | None = None
 ) -> DataFrame:
     """Exact interpolated percentiles without gathering a group: count equal values, rank them with
     block-wise prefix sums and pick the two order statistics each percentile needs. The counts are
@@ -186,7 +194,7 @@ def grouped_percentiles(
     counts = cut_lineage(df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")))
     ranked = running(counts, by, [value], {"_cum": ("sum", F.col("_n"))}, F.col(value), n_blocks)
     totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
-    joined = join_small(ranked, totals, by) if by else ranked.withColumn("_total", totals.scalar())
+    joined = join_keys(ranked, totals, by) if by else ranked.withColumn("_total", totals.scalar())
     picks, outs = [], []
     for name, q in probs.items():
         rank = (F.col("_total") - 1) * F.lit(q)

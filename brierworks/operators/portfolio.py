@@ -9,8 +9,16 @@ from brierworks.operators.verification import unpivot_targets
 from brierworks.params import DEFAULTS, Params
 
 
-def settle(positions: DataFrame, obs: DataFrame, fee: float = 0.07) -> DataFrame:
-    """J-12: outcome and profit in cents of every position whose day has been observed; one join."""
+def settle(positions: DataFrame, obs: DataFrame, asof: Column, fee: float = 0.07) -> DataFrame:
+    """J-12: settles the live positions that are open, whose day is over and has been observed."""
+    live = (F.col("status") == "OPEN") & (F.col("target_date") < asof)
+    if "is_paper" in positions.columns:
+        live &= ~F.coalesce(F.col("is_paper").cast("boolean"), F.lit(False))
+    return grade_positions(positions.filter(live), obs, fee).withColumn("status", F.lit("SETTLED"))
+
+
+def grade_positions(positions: DataFrame, obs: DataFrame, fee: float = 0.07) -> DataFrame:
+    """Outcome and profit in cents of every position whose day has been observed; one join."""
     o = unpivot_targets(obs, ["station_id", "target_date"], "observed_high_f", "observed_low_f", "observed")
     won = in_bin(F.col("observed"), F.col("bin_lower"), F.col("bin_upper"))
     entry, n = F.col("entry_price"), F.col("contracts")
@@ -107,8 +115,9 @@ def rolling_sharpe(settled: DataFrame, by: list[str], n: int = 30, date: str = "
 
 
 def adverse_selection(settled: DataFrame, asof: Column, days: int, by: list[str] | None = None, date: str = "target_date") -> DataFrame:
-    """AGG-15: are resting fills worse than crossing ones? Dollars per contract by order type."""
-    recent = settled.filter((F.col(date) >= F.date_sub(asof, days)) & (F.col(date) <= asof))
+    """AGG-15: are resting fills worse than crossing ones? Dollars per contract by order type, over
+    positions that were filled or settled."""
+    recent = settled.filter(F.col("status").isin("FILLED", "SETTLED") & (F.col(date) >= F.date_sub(asof, days)) & (F.col(date) <= asof))
     quality = F.col("pnl_net") / (F.col("contracts") * 100.0)
     maker = F.avg(F.when(F.col("order_type") == "MAKER", quality))
     taker = F.avg(F.when(F.col("order_type") == "TAKER", quality))

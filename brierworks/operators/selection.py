@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brierworks.functions.scalar import drawdown_scale, edge_buffer, jitter, market_price, net_ev, skill_scale
-from brierworks.operators.ordering import join_small, latest_per_key, tail_n
+from brierworks.operators.ordering import join_keys, latest_per_key, tail_n
 from brierworks.operators.verification import GROUP
 from brierworks.params import DEFAULTS, Params
 from brierworks.session import cut_lineage
@@ -219,7 +219,7 @@ def signal_composite(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 
 # ---------------------------------------------------------------- exposure and reports
 
-def remaining_capacity(cands: DataFrame, positions: DataFrame, bankroll: float, p: Params = DEFAULTS, open_states: tuple[str, ...] = ("OPEN",)) -> DataFrame:
+def remaining_capacity(cands: DataFrame, positions: DataFrame, bankroll: float, p: Params = DEFAULTS, open_states: tuple[str, ...] = ("OPEN", "PAPER_OPEN")) -> DataFrame:
     """AGG-16: least of the five exposure limits, as a share of the bankroll.
 
     Open stakes are summed once per station-day; the coarser sums start from those. The portfolio
@@ -234,7 +234,7 @@ def remaining_capacity(cands: DataFrame, positions: DataFrame, bankroll: float,
     total = day.agg(F.coalesce(F.sum("_s"), F.lit(0.0)))
     left = lambda cap, used: F.greatest(F.lit(0.0), cap * bankroll - F.coalesce(used, F.lit(0.0))) / max(bankroll, 1.0)
     out = cands.join(station_day, ["station_id", "target_date"], "left")
-    out = join_small(join_small(out, station, ["station_id"], "left"), office, ["office"], "left")
+    out = join_keys(join_keys(out, station, ["station_id"], "left"), office, ["office"], "left")
     out = out.withColumn("_total", total.scalar())
     least = F.least(
         F.lit(p.max_single), left(p.max_station_day, F.col("_day")), left(p.max_station, F.col("_station")),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brierworks.functions.scalar import brier, in_bin, lead_bracket, preferred_error, shrink, trailing, unbiased_skew
 from brierworks.operators.joins import attach_issue
-from brierworks.operators.ordering import grouped_percentiles, join_small, latest_per_key
+from brierworks.operators.ordering import grouped_percentiles, join_keys, latest_per_key
 from brierworks.params import DEFAULTS, Params
 from brierworks.session import cut_lineage
 
@@ -135,7 +135,7 @@ def shrink_sigma(errors: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     pool = cell.groupBy("target_type", "lead_bracket").agg(
         F.sqrt(F.sum(F.col("rmse") * F.col("rmse") * F.col("n")) / F.sum("n")).alias("pooled")
     )
-    return join_small(cell, pool, ["target_type", "lead_bracket"]).withColumn(
+    return join_keys(cell, pool, ["target_type", "lead_bracket"]).withColumn(
         "sigma_adj", shrink(F.col("n"), F.col("rmse"), F.col("pooled"), p)
     )
 
@@ -229,8 +229,11 @@ def monotone_decay(matrix: DataFrame, slope: float = -0.05) -> DataFrame:
     return out.filter((F.col("n_cells") >= 3) & F.col("monotone") & (F.col("slope") < slope))
 
 
-def skill_alerts(matrix: DataFrame, weights: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """AGG-23: four degradation patterns as alert rows."""
+def skill_alerts(matrix: DataFrame, weights: DataFrame, p: Params = DEFAULTS, asof: Column | None = None, days: int = 7) -> DataFrame:
+    """AGG-23: four degradation patterns as alert rows. With ``asof``, weights count only if their
+    ``computed_at`` lies in the ``days`` before it."""
+    if asof is not None:
+        weights = weights.filter((F.col("computed_at") >= F.date_sub(asof, days)) & (F.col("computed_at") <= asof))
     known = matrix.filter(F.col("bss").isNotNull())
     none_s = F.lit(None).cast("string")
     none_i = F.lit(None).cast("bigint")
@@ -284,7 +287,7 @@ def bias_diagnostics(df: DataFrame, pred: str, actual: str, date: str, by: list[
     cuts = grouped_percentiles(df, by, actual, {"_c": 0.33, "_h": 0.66})
     a = F.col(actual)
     tercile = F.when(a <= F.col("_c"), "Cold").when(a <= F.col("_h"), "Normal").otherwise("Hot")
-    rows = join_small(df, cuts, by).select(*by, e, F.concat(F.lit("M"), F.lpad(F.month(date).cast("string"), 2, "0")).alias("_m"), tercile.alias("_t"))
+    rows = join_keys(df, cuts, by).select(*by, e, F.concat(F.lit("M"), F.lpad(F.month(date).cast("string"), 2, "0")).alias("_m"), tercile.alias("_t"))
     # both groupings from one pass: each row lands once in a month and once in a tercile
     return (
         rows.withColumn("segment", F.explode(F.array("_m", "_t")))
@@ -298,7 +301,7 @@ def missingness_bias(df: DataFrame, actual: str, lag: str, by: list[str]) -> Dat
     cuts = grouped_percentiles(df.filter(F.col(actual).isNotNull()), by, actual, {"_lo": 0.05, "_hi": 0.95})
     extreme = (F.col(actual) <= F.col("_lo")) | (F.col(actual) >= F.col("_hi"))
     miss = F.when(F.col(lag).isNull(), 1.0).otherwise(0.0)
-    return join_small(df.filter(F.col(actual).isNotNull()), cuts, by).groupBy(*by).agg(
+    return join_keys(df.filter(F.col(actual).isNotNull()), cuts, by).groupBy(*by).agg(
         F.count_if(extreme).alias("n_extreme"),
         F.avg(F.when(extreme, miss)).alias("extreme_rate"),
         F.avg(F.when(~extreme, miss)).alias("normal_rate"),
@@ -311,15 +314,17 @@ def trial_diagnostics(trials: DataFrame) -> DataFrame:
     done = F.col("state") == "COMPLETE"
 
     def spread(col: str) -> Column:
-        lo, hi = F.array_min(col), F.array_max(col)
-        return (hi - lo) / F.nullif(lo, F.lit(0).cast("double"))
+        """Range of the folds over their mean; NULL for a single fold or a mean that is not positive."""
+        known = F.filter(col, lambda v: v.isNotNull())
+        mean = F.aggregate(known, F.lit(0.0), lambda a, v: a + v) / F.size(known)
+        return F.when((F.size(known) > 1) & (mean > 0), (F.array_max(known) - F.array_min(known)) / mean)
 
     best = F.max_by(F.struct("trial_id", "value", "fold_rounds", "fold_mae"), F.when(done, F.struct(-F.col("value"), -F.col("trial_id"))))
     return (
         trials.groupBy(*by)
         .agg(best.alias("_b"), F.count(F.lit(1)).alias("n_trials"), F.count_if(done).alias("n_complete"))
         .select(*by, "n_trials", "n_complete", F.col("_b.trial_id").alias("best_trial"), F.col("_b.value").alias("best_value"), F.col("_b.fold_rounds").alias("_r"), F.col("_b.fold_mae").alias("_m"))
-        .withColumn("unstable", F.coalesce((spread("_r") > 1.0) | (spread("_m") > 0.4), F.lit(False)))
+        .withColumn("unstable", (F.coalesce(spread("_r"), F.lit(0.0)) > 1.0) | (F.coalesce(spread("_m"), F.lit(0.0)) > 0.4))
         .drop("_r", "_m")
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brierworks.functions.scalar import bic, in_bin
@@ -73,18 +74,24 @@ def acceptance(folds: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("status", F.when(ok, "PASS").otherwise("FAIL"))
 
 
+# The factors that a grid spans, and the candidates where the current value gives no span.
+SPAN = (0.5, 2.0)
+NEAR_ZERO, SMALL_COUNTS = (0.0, 0.01, 0.05, 0.1, 0.5), (1.0, 2.0, 3.0, 4.0, 5.0)
+
+
 def grid_around(current: float, whole: bool = False, n: int = 5) -> list[float]:
-    """KAL-07: ``n`` candidates from half to twice the current value, with fixed grids near zero."""
-    if whole:
-        if current <= 2:
-            return [float(v) for v in range(1, 6)]
-        low, high = max(1, int(current) // 2), int(current) * 2
-        step = max(1, (high - low) // (n - 1))
-        return [float(low + i * step) for i in range(n)]
+    """KAL-07: ``n`` evenly spaced candidates over ``SPAN`` times the current value. Whole-number
+    parameters have whole ends and a whole step, at least one."""
+    if whole and current <= 2:
+        return list(SMALL_COUNTS)
     if current == 0:
-        return [0.0, 0.01, 0.05, 0.1, 0.5]
-    low, high = current * 0.5, current * 2.0
-    return [round(low + i * (high - low) / (n - 1), 6) for i in range(n)]
+        return list(NEAR_ZERO)
+    ends = np.array(SPAN) * current
+    if not whole:
+        return np.linspace(*ends, n).round(6).tolist()
+    first, last = np.maximum(np.floor(ends), 1.0)
+    step = max(1.0, (last - first) // (n - 1))
+    return (first + step * np.arange(n)).tolist()
 
 
 MetricBuilder = Callable[[Column], Column]  # UDF-01: parameter column -> per-row loss column

@@ -111,7 +111,7 @@ def positions(spark, sf) -> DataFrame:
         F.expr("(o_orderkey % 90 + 5) / 100.0D").alias("entry_price"),
         F.expr("o_orderkey % 40 + 1").alias("contracts"),
         F.expr("CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' THEN 'MAKER' ELSE 'TAKER' END").alias("order_type"),
-        F.expr("CASE o_orderstatus WHEN 'O' THEN 'OPEN' WHEN 'F' THEN 'SETTLED' ELSE 'FILLED' END").alias("status"),
+        F.expr("CASE o_orderstatus WHEN 'O' THEN CASE WHEN o_orderkey % 7 = 0 THEN 'PAPER_OPEN' ELSE 'OPEN' END WHEN 'F' THEN 'SETTLED' ELSE 'FILLED' END").alias("status"),
     )
 
 
@@ -171,7 +171,7 @@ SQL = {
         'T' || (o_orderkey % 997)::VARCHAR AS ticker, (o_orderkey % 90 + 5) / 100.0::DOUBLE AS entry_price,
         o_orderkey % 40 + 1 AS contracts,
         CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' THEN 'MAKER' ELSE 'TAKER' END AS order_type,
-        CASE o_orderstatus WHEN 'O' THEN 'OPEN' WHEN 'F' THEN 'SETTLED' ELSE 'FILLED' END AS status
+        CASE o_orderstatus WHEN 'O' THEN CASE WHEN o_orderkey % 7 = 0 THEN 'PAPER_OPEN' ELSE 'OPEN' END WHEN 'F' THEN 'SETTLED' ELSE 'FILLED' END AS status
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)""",
     "lv": """lv AS (SELECT l_partkey AS ticker, CAST(1 + l_linenumber * 5 + round(l_discount * 100) AS INT) AS price,
         l_quantity AS quantity FROM lineitem)""",

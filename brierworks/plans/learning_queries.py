@@ -92,33 +92,29 @@ def _(spark, sf):
     return rounded(ML.inference_features(history, live, day).select(*OUT))
 
 
-_FITTED: dict[tuple[str, str], dict] = {}
+TARGETS = ("HIGH", "LOW")
 
 
-def fitted(spark, sf, target):
-    """Models are fitted once per session and data folder."""
-    key = (spark.sparkContext.applicationId, sf + target)
-    if key not in _FITTED:
-        small = ML.TreeParams(depth=4, rounds=8, step=0.3), ML.TreeParams(depth=3, rounds=10, step=0.3, subsample=0.7)
-        _FITTED[key] = ML.fit_bias_models(features(spark, sf), target, *small)
-    return _FITTED[key]
-
-
-def scored(spark, sf, target="HIGH", weights=0.5):
-    rows = chrono_split(features(spark, sf), ["station_id"], "target_date")
-    return ML.score_bias(fitted(spark, sf, target), rows, target, weights)
+def scored(spark, sf, target="HIGH", weights=0.5, refit=False):
+    """Every feature row scored by models of this very call."""
+    rows = chrono_split(features(spark, sf), ["station_id"], "target_date").persist()
+    models = ML.fit_bias_models(rows.drop("split"), target, refit=refit)
+    return ML.score_bias(models, rows, target, weights)
 
 
 @query("ml03_fit_bias_models")
 def _(spark, sf):
-    s = scored(spark, sf).filter("split = 'val'")
-    return rounded(s.groupBy("station_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("target_error_high") - F.col("bias_a"))).alias("mae_a"), F.avg(F.abs(F.col("target_error_high") - F.col("bias_b"))).alias("mae_b")))
+    out = []
+    for t in TARGETS:
+        s, e = scored(spark, sf, t).filter("split = 'val'"), F.col(f"target_error_{t.lower()}")
+        out.append(s.groupBy("station_id").agg(F.lit(t).alias("target_type"), F.count(F.lit(1)).alias("n"), F.avg(F.abs(e - F.col("bias_a"))).alias("mae_a"), F.avg(F.abs(e - F.col("bias_b"))).alias("mae_b")))
+    return rounded(out[0].unionByName(out[1]))
 
 
 @query("ml04_tune_bias_models")
 def _(spark, sf):
-    grid = [ML.TreeParams(depth=2, rounds=4, step=0.3), ML.TreeParams(depth=3, rounds=4, step=0.3)]
-    return rounded(ML.tune_bias_models(features(spark, sf), "HIGH", grid, folds=2).select("trial_id", "depth", "step", "value", "rounds"))
+    grid = [ML.TreeParams(depth=2, rounds=4, step=0.3)]
+    return rounded(ML.tune_bias_models(features(spark, sf), "HIGH", grid).select("trial_id", "depth", "step", "value", "rounds"))
 
 
 @query("ml05_blend_weight", T("graded", extra="""
@@ -130,20 +126,43 @@ def _(spark, sf):
     return rounded(ML.blend_weight(p, ["station_id", "target_type"]))
 
 
-@query("ml06_score_bias")
+FEATURES_SQL = "WITH " + DAY_SQL + ", ok AS (SELECT * FROM rw WHERE _gap <> 0), ah AS (SELECT *, count(*) FILTER (WHERE lead_hours = 24) OVER (PARTITION BY station_id) AS n24 FROM ok), kp AS (SELECT * FROM ah WHERE n24 < 180 OR lead_hours = 24), " + memory_sql("kp") + f", ft AS (SELECT * FROM d3 WHERE {' AND '.join(c + ' IS NOT NULL' for c in MEMORY)})"
+
+
+@query("ml06_score_bias", FEATURES_SQL + """ SELECT station_id, target_date, target_type, true AS blended, true AS corrects FROM ft CROSS JOIN (VALUES ('HIGH'), ('LOW')) t(target_type)""")
 def _(spark, sf):
-    val = scored(spark, sf).filter("split = 'val'").withColumnRenamed("target_error_high", "target_error")
-    weights = ML.blend_weight(val, ["station_id"], points=101)
-    return rounded(scored(spark, sf, "HIGH", weights).select("station_id", "target_date", "bias_a", "bias_b", "bias_blend", "corrected"))
+    """Every feature row of both types is scored by the refitted models, and the sums hold."""
+    out = []
+    for t in TARGETS:
+        val = scored(spark, sf, t).filter("split = 'val'").withColumnRenamed(f"target_error_{t.lower()}", "target_error")
+        weights = ML.blend_weight(val, ["station_id"])
+        s = scored(spark, sf, t, weights, refit=True).join(weights.select("station_id", F.col("w").alias("_w")), "station_id", "left")
+        w = F.coalesce("_w", F.lit(0.5))
+        out.append(s.select(
+            "station_id", "target_date", F.lit(t).alias("target_type"),
+            (F.abs(F.col("bias_blend") - (w * F.col("bias_a") + (1 - w) * F.col("bias_b"))) < 1e-9).alias("blended"),
+            (F.abs(F.col("corrected") - F.col(f"forecast_{t.lower()}") - F.col("bias_blend")) < 1e-9).alias("corrects")))
+    return out[0].unionByName(out[1])
+
+
+@query("ml06_lead_choice", "WITH " + DAY_SQL + " SELECT station_id, count(*) FILTER (WHERE lead_hours = 24) AS n_day_ahead, count(*) AS n_all, count(*) FILTER (WHERE lead_hours = 24) >= 180 AS only_day_ahead FROM rw WHERE _gap <> 0 GROUP BY 1")
+def _(spark, sf):
+    return ML.lead_choice(forecasts_daily(spark, sf), actuals_daily(spark, sf))
+
+
+def holdout(spark, sf, report):
+    out = []
+    for t in TARGETS:
+        test = scored(spark, sf, t).filter("split = 'test'")
+        out.append(report(test, t.lower()).withColumn("target_type", F.lit(t)))
+    return rounded(out[0].unionByName(out[1]))
 
 
 @query("ml07_holdout_report")
 def _(spark, sf):
-    test = scored(spark, sf).filter("split = 'test'")
-    return rounded(ML.holdout_report(test, "forecast_high", "corrected", "actual_high", ["station_id"]))
+    return holdout(spark, sf, lambda df, t: ML.holdout_report(df, f"forecast_{t}", "corrected", f"actual_{t}", ["station_id"]))
 
 
 @query("ml07_holdout_bias")
 def _(spark, sf):
-    test = scored(spark, sf).filter("split = 'test'")
-    return rounded(ML.holdout_bias(test, "corrected", "actual_high", ["station_id"]))
+    return holdout(spark, sf, lambda df, t: ML.holdout_bias(df, "corrected", f"actual_{t}", ["station_id"]))

@@ -215,27 +215,33 @@ OBS_SQL = """po AS (SELECT o_custkey % 20 AS station_id, CAST(o_orderdate AS DAT
 
 
 def settled(spark, sf):
+    return PF.grade_positions(*positions_and_days(spark, sf))
+
+
+def positions_and_days(spark, sf):
     o = B.table(spark, sf, "orders").filter("o_orderstatus <> 'P'")
     v = F.expr("(o_orderkey * 29) % 450 + 0.5D")
     obs = o.groupBy(F.expr("o_custkey % 20").alias("station_id"), F.to_date("o_orderdate").alias("target_date")).agg(
         F.max(v).alias("observed_high_f"), F.min(v).alias("observed_low_f"))
-    return PF.settle(B.positions(spark, sf), obs)
+    return B.positions(spark, sf), obs
 
 
-@query("j12_settle", T("pos", extra=OBS_SQL) + f"SELECT position_id, outcome, {R('pnl_gross', 'pnl_gross')}, {R('pnl_net', 'pnl_net')} FROM sn")
+@query("j12_settle", T("pos", extra=OBS_SQL) + f"SELECT position_id, outcome, {R('pnl_gross', 'pnl_gross')}, {R('pnl_net', 'pnl_net')}, 'SETTLED' AS status FROM sn WHERE status = 'OPEN' AND target_date < DATE '1998-01-01' AND position_id % 9 <> 0")
 def _(spark, sf):
-    return rounded(settled(spark, sf).select("position_id", "outcome", "pnl_gross", "pnl_net"))
+    positions, days = positions_and_days(spark, sf)
+    positions = positions.withColumn("is_paper", F.expr("CASE WHEN position_id % 9 = 0 THEN 1 ELSE 0 END"))
+    return rounded(PF.settle(positions, days, F.lit("1998-01-01").cast("date")).select("position_id", "outcome", "pnl_gross", "pnl_net", "status"))
 
 
 @query("agg15_adverse_selection", T("pos", extra=OBS_SQL + """, q AS (SELECT office, count(*) FILTER (WHERE order_type = 'MAKER') AS n_maker, count(*) FILTER (WHERE order_type = 'TAKER') AS n_taker,
-  avg(CASE WHEN order_type = 'MAKER' THEN pnl_net / (contracts * 100.0) END) AS m, avg(CASE WHEN order_type = 'TAKER' THEN pnl_net / (contracts * 100.0) END) AS t FROM sn GROUP BY 1)""") + f"""
+  avg(CASE WHEN order_type = 'MAKER' THEN pnl_net / (contracts * 100.0) END) AS m, avg(CASE WHEN order_type = 'TAKER' THEN pnl_net / (contracts * 100.0) END) AS t FROM sn WHERE status IN ('FILLED', 'SETTLED') AND target_date BETWEEN DATE '2002-01-01' - 4000 AND DATE '2002-01-01' GROUP BY 1)""") + f"""
 SELECT office, n_maker, n_taker, {R('m', 'maker_quality')}, {R('t', 'taker_quality')}, {R('m - t', 'delta')}, CASE WHEN m - t < -0.05 THEN 'CRITICAL' WHEN m - t < -0.02 THEN 'WARNING' ELSE 'OK' END AS level FROM q""")
 def _(spark, sf):
     return rounded(PF.adverse_selection(settled(spark, sf), F.lit("2002-01-01").cast("date"), 4000, ["office"]))
 
 
 @query("agg16_remaining_capacity", T("pos", extra="""
-lv AS (SELECT *, entry_price * contracts AS s FROM pos WHERE status = 'OPEN'),
+lv AS (SELECT *, entry_price * contracts AS s FROM pos WHERE status IN ('OPEN', 'PAPER_OPEN')),
 a AS (SELECT station_id, target_date, sum(s) AS v FROM lv GROUP BY 1, 2), b AS (SELECT station_id, sum(s) AS v FROM lv GROUP BY 1), c AS (SELECT office, sum(s) AS v FROM lv GROUP BY 1), d AS (SELECT sum(s) AS v FROM lv)""") + f"""
 SELECT position_id, {R('''least(0.1, greatest(0, 0.1::DOUBLE * 200000.0 - coalesce(a.v, 0)) / 200000, greatest(0, 0.25::DOUBLE * 200000 - coalesce(b.v, 0)) / 200000, greatest(0, 0.4::DOUBLE * 200000 - coalesce(c.v, 0)) / 200000, greatest(0, 0.8::DOUBLE * 200000 - coalesce(d.v, 0)) / 200000)''', 'capacity')}
 FROM pos LEFT JOIN a ON a.station_id = pos.station_id AND a.target_date = pos.target_date LEFT JOIN b ON b.station_id = pos.station_id LEFT JOIN c ON c.office = pos.office CROSS JOIN d""")
@@ -476,12 +482,13 @@ def _(spark, sf):
     return rounded(M.collection_status(c, ["event_type", "station_id"]))
 
 
-@query("mon05_health_report", T("st", "rd", extra=ALERT_SQL + """,
+@query("mon05_health_report", T("st", "rd", "pos", extra=OBS_SQL + "," + METRIC_SQL + "," + ALERT_SQL + """,
 hs AS (SELECT DISTINCT date_trunc('hour', ts) AS h FROM events), sp AS (SELECT min(h) AS a, max(h) AS b FROM hs),
 mr AS (SELECT count(*) AS n FROM (SELECT unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS h FROM sp) e WHERE h NOT IN (SELECT h FROM hs)),
 ss AS (SELECT count(*) AS n FROM (SELECT station_id FROM st LEFT JOIN rd USING (station_id) GROUP BY 1 HAVING max(ts) IS NULL OR max(ts) < TIMESTAMP '2024-01-30 22:00:00')),
 oa AS (SELECT count(*) AS n FROM al WHERE NOT is_resolved AND severity >= 0.7),
-ck AS (SELECT 'missed_runs' AS "check", n AS n_found, n < 1 AS ok FROM mr UNION ALL SELECT 'stale_stations', n, n < 5 FROM ss UNION ALL SELECT 'open_alerts', n, n < 5 FROM oa)""") + 'SELECT "check", n_found, ok, (SELECT bool_and(ok) FROM ck) AS healthy FROM ck')
+hl AS (SELECT count(*) AS n FROM (SELECT mdd_all FROM fm ORDER BY metric_date DESC LIMIT 1) WHERE mdd_all >= 0.2),
+ck AS (SELECT 'missed_runs' AS "check", n AS n_found, n < 1 AS ok, true AS decides FROM mr UNION ALL SELECT 'stale_stations', n, n < 5, false FROM ss UNION ALL SELECT 'drawdown_halt', n, n < 1, true FROM hl UNION ALL SELECT 'open_alerts', n, n < 5, true FROM oa)""") + 'SELECT "check", n_found, ok, (SELECT bool_and(ok OR NOT decides) FROM ck) AS healthy FROM ck')
 def _(spark, sf):
     from brierworks.operators import joins as J
 
@@ -490,4 +497,5 @@ def _(spark, sf):
     missed = J.missed_runs(span.select(F.explode("hs").alias("h")), hours, ["h"])
     stale = J.stale_keys(B.stations(spark, sf), B.readings(spark, sf), F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"), 120)
     severe = alerts(spark, sf).filter(~F.col("is_resolved") & (F.col("severity") >= 0.7))
-    return M.health_report(("missed_runs", missed, 1), ("stale_stations", stale, 5), ("open_alerts", severe, 5))
+    halted = M.drawdown_status(metrics(spark, sf)).filter("status = 'HALT'")
+    return M.health_report(("missed_runs", missed, 1, True), ("stale_stations", stale, 5, False), ("drawdown_halt", halted, 1, True), ("open_alerts", severe, 5, True))

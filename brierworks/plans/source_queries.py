@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from brierworks.operators.ordering import join_small
+from brierworks.operators.ordering import join_keys
 from brierworks.plans import bindings as B
 from brierworks.plans.bindings import with_tables as T
 from brierworks.plans.registry import R, query, r6, rounded
@@ -22,14 +22,14 @@ def scratch(spark, name: str) -> str:
 
 @query("src01_read_table", "SELECT event_id, value FROM events WHERE event_type = 'view' AND value > 50")
 def _(spark, sf):
-    return B.events(spark, sf).filter((F.col("event_type") == "view") & (F.col("value") > 50)).select("event_id", "value")
+    return TB.read_table(spark, sf, "events.parquet", (F.col("event_type") == "view") & (F.col("value") > 50), ["event_id", "value"], "event_id bigint, event_type string, value double")
 
 
-@query("src02_obs_csv", f"""SELECT event_id, user_id % 20 AS station_id, date_trunc('minute', ts) AS valid, CAST(ts AS DATE) AS local_date,
+@query("src02_obs_csv", f"""SELECT event_id, 'K' || lpad((user_id % 20)::VARCHAR, 3, 'A') AS station_id, date_trunc('minute', ts) AS valid, CAST(ts AS DATE) AS local_date,
  {R('CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN NULL ELSE value END', 'temp_f')} FROM events""")
 def _(spark, sf):
     line = F.concat_ws(
-        ",", F.expr("cast(user_id % 20 as string)"), F.date_format("ts", "yyyy-MM-dd HH:mm"),
+        ",", F.expr("concat('K', lpad(cast(user_id % 20 as string), 3, 'A'))"), F.date_format("ts", "yyyy-MM-dd HH:mm"),
         F.expr("CASE WHEN event_id % 7 = 0 THEN 'M' WHEN event_id % 11 = 0 THEN 'trace' ELSE cast(value as string) END"))
     return rounded(TB.parse_obs_lines(B.events(spark, sf).select("event_id", line.alias("line"))))
 
@@ -156,7 +156,7 @@ def _(spark, sf):
 d AS (SELECT DISTINCT rd.station_id, CAST(timezone(tz, timezone('UTC', ts)) AS DATE) AS target_date FROM rd JOIN st USING (station_id))""") + """
 SELECT station_id, target_date FROM d QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY target_date) <= 4""")
 def _(spark, sf):
-    axis = join_small(B.readings(spark, sf), B.stations(spark, sf).select("station_id", "tz"), ["station_id"])
+    axis = join_keys(B.readings(spark, sf), B.stations(spark, sf).select("station_id", "tz"), ["station_id"])
     return AX.local_targets(axis, ["station_id"], "tz", 4, "ts")
 
 
@@ -288,7 +288,7 @@ def listing_docs(spark, sf):
     mk = lambda t, st: F.concat(F.lit('{"ticker":"'), t, F.lit('","status":"open","yes_ask":42,"last_price":null'), st, F.lit("}"))
     inner = [mk(tick("B", base + 2 * i + shift), strike("between", base + 2 * i, base + 2 * i + 1)) for i in range(5)]
     low, high = mk(tick("T", base - 2), strike("less", None, base - 1)), mk(tick("T", base + 12), strike("greater", base + 10, None))
-    title = F.concat(F.lit("What will the temperature be in Town "), (F.col("o_custkey") % 25).cast("string"), F.lit(" tomorrow?"))
+    title = F.concat(F.lit("What will the temperature be in Old Town on "), (F.col("o_custkey") % 25).cast("string"), F.lit(" tomorrow?"))
     doc = F.concat(F.lit('{"event_ticker":"'), event, F.lit('","series_ticker":"'), F.when(k == 1, head).otherwise(F.lit("NONE")), F.lit('","title":"'), title, F.lit('","markets":['),
                    F.array_join(F.array(low, *inner, high), ","), F.lit("]}"))
     return B.table(spark, sf, "orders").select("o_orderkey", doc.alias("raw_json"))
@@ -328,17 +328,21 @@ def _(spark, sf):
     ev = L.parse_events(landed_listings(spark, sf)).drop("markets")
     two = F.lpad(F.col("station_id").cast("string"), 2, "0")
     st = B.stations(spark, sf).select(
-        "station_id", F.concat(F.lit("Town "), F.col("station_id").cast("string")).alias("city"),
+        "station_id", F.concat(F.lit("Old Town on "), F.col("station_id").cast("string")).alias("city"),
         F.when(F.col("station_id") < 15, F.concat(F.lit("C"), two)).alias("city_code"),
         F.when(F.col("station_id") < 5, F.concat(F.lit("KXHIGHC"), two)).alias("series_high"), F.when(F.col("station_id") < 5, F.concat(F.lit("KXLOWC"), two)).alias("series_low"))
     return L.match_station(ev, st).select("o_orderkey", "station_id", "matched_by")
 
 
-@query("src17_load_dims", T("st") + "SELECT station_id, tz, office, city_code FROM st WHERE is_active")
+@query("src17_load_dims", T("st") + """SELECT station_id, tz, office, city_code, (SELECT string_agg(DISTINCT event_type, ',' ORDER BY event_type) FROM events WHERE event_type <> 'view') AS sources,
+ (SELECT min(user_id) % 3 + 4.5::DOUBLE FROM events) AS spread_max FROM st WHERE is_active""")
 def _(spark, sf):
     src = B.events(spark, sf).select(F.col("event_type").alias("source_id"), (F.col("event_type") != "view").alias("is_enabled")).distinct()
-    st, _src = TB.load_dims(B.stations(spark, sf), src)
-    return st.select("station_id", "tz", "office", "city_code")
+    stored = B.events(spark, sf).groupBy(F.lit("spread_max").alias("param_key")).agg((F.min("user_id") % 3 + 4.5).cast("string").alias("param_value"))
+    p = TB.load_params(stored)
+    st, on = TB.load_dims(B.stations(spark, sf), src)
+    names = on.agg(F.array_join(F.array_sort(F.collect_set("source_id")), ",").alias("s"))
+    return st.select("station_id", "tz", "office", "city_code", names.scalar().alias("sources"), F.lit(p.spread_max).alias("spread_max"))
 
 
 # ------------------------------------------------------------------ sinks
@@ -359,11 +363,12 @@ def _(spark, sf):
     return rounded(TB.upsert(*merge_sides(spark, sf), ["station_id", "target_date"]))
 
 
-@query("snk01_upsert_partitions", "WITH " + MERGE_SQL + f" SELECT station_id, target_date, {R('CASE WHEN sr.n IS NOT NULL THEN sr.v ELSE tg.v END', 'v')}, coalesce(sr.n, tg.n) AS n FROM tg FULL OUTER JOIN sr USING (station_id, target_date)")
+@query("snk01_upsert_partitions", "WITH " + MERGE_SQL + f" SELECT station_id, target_date, {R('CASE WHEN tg.n IS NULL OR sr.n >= tg.n THEN sr.v ELSE tg.v END', 'v')}, greatest(coalesce(sr.n, 0), coalesce(tg.n, 0)) AS n FROM tg FULL OUTER JOIN sr USING (station_id, target_date)")
 def _(spark, sf):
     tg, sr = merge_sides(spark, sf)
     path = scratch(spark, "upsert")
-    for side in (tg, sr):
+    # the second batch holds newer rows, older ones (fewer readings) and, the third time, only repeats
+    for side in (tg, sr, sr):
         TB.write_upsert(spark, path, side, ["station_id", "target_date"], "target_date", ["n"])
     return rounded(spark.read.schema(tg.schema).parquet(path))
 
@@ -381,13 +386,15 @@ def _(spark, sf):
     return TB.register_runs(first, runs, ["event_type", "run_date"]).select("run_id", "event_type", "run_date")
 
 
-@query("snk04_accumulate_extremes", T("rd") + f"""SELECT station_id, CAST(ts AS DATE) AS local_date, {R('max(temp_f)', 't_max_f')}, {R('min(temp_f)', 't_min_f')}, count(*) AS obs_count, max(ts) AS last_obs_at FROM rd GROUP BY 1, 2""")
+@query("snk04_accumulate_extremes", T("rd") + f"""SELECT station_id, CAST(ts AS DATE) AS local_date, {R('max(temp_f)', 't_max_f')}, {R('min(temp_f)', 't_min_f')}, count(*) AS obs_count, max(ts) AS last_obs_at
+ FROM (SELECT * FROM rd QUALIFY row_number() OVER (PARTITION BY station_id, ts ORDER BY temp_f DESC) = 1) GROUP BY 1, 2""")
 def _(spark, sf):
     rd = B.readings(spark, sf).withColumn("local_date", F.to_date("ts"))
-    empty = spark.createDataFrame([], "station_id bigint, local_date date, t_max_f double, t_min_f double, obs_count bigint, last_obs_at timestamp_ntz")
-    args = (["station_id", "local_date"], "ts", "temp_f")
-    first = TB.accumulate_extremes(empty, rd.filter("hour(ts) < 12").unionByName(rd.filter("hour(ts) < 3")), *args)
-    return rounded(TB.accumulate_extremes(first, rd.filter("hour(ts) >= 12"), *args))
+    keys = ["station_id", "local_date"]
+    wrong = rd.filter("hour(ts) < 3").withColumn("temp_f", F.col("temp_f") + 500)
+    held = TB.merge_readings(rd.filter("hour(ts) >= 3 AND hour(ts) < 12").unionByName(wrong), rd.filter("hour(ts) < 12"), keys, "ts")
+    held = TB.merge_readings(held, rd.filter("hour(ts) >= 9"), keys, "ts")
+    return rounded(TB.accumulate_extremes(held, keys, "ts", "temp_f"))
 
 
 @query("snk05_append_history", f"SELECT event_id, {R('value', 'value')}, CAST(ts AS DATE) AS run_date, 'r' || (event_id % 2)::VARCHAR AS run_stamp FROM events")

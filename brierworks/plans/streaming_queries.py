@@ -30,7 +30,7 @@ def finish(q) -> None:
 
 
 @query("st01_extremes_stream", T("rd") + f"""SELECT station_id, CAST(ts AS DATE) AS local_date, {R('max(temp_f)', 't_max_f')}, {R('min(temp_f)', 't_min_f')}, count(*) AS obs_count, max(ts) AS last_obs_at
- FROM (SELECT DISTINCT station_id, ts, temp_f FROM rd) GROUP BY 1, 2""")
+ FROM (SELECT * FROM rd QUALIFY row_number() OVER (PARTITION BY station_id, ts ORDER BY temp_f) = 1) GROUP BY 1, 2""")
 def _(spark, sf):
     path = scratch(spark, "st01")
     rd = event_stream(spark, sf).filter("event_type = 'view'").select(B.station().alias("station_id"), "ts", F.col("value").alias("temp_f"))

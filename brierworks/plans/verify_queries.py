@@ -430,9 +430,9 @@ def _(spark, sf):
 
 
 @query("agg23_skill_alerts", MATRIX_SQL.rstrip() + """,
-wt AS (SELECT station_id, target_type, lead_bracket, CASE WHEN outcome = 1 THEN 'A' ELSE 'B' END AS source_id, count(*) * 1.0::DOUBLE / sum(count(*)) OVER (PARTITION BY station_id, target_type, lead_bracket) AS weight
+wt AS (SELECT station_id, target_type, lead_bracket, CASE WHEN outcome = 1 THEN 'A' ELSE 'B' END AS source_id, count(*) * 1.0::DOUBLE / sum(count(*)) OVER (PARTITION BY station_id, target_type, lead_bracket) AS weight, max(target_date) AS computed_at
   FROM graded GROUP BY 1, 2, 3, 4),
-top AS (SELECT * FROM wt QUALIFY row_number() OVER (PARTITION BY station_id, target_type, lead_bracket ORDER BY weight DESC, source_id) = 1),
+top AS (SELECT * FROM wt WHERE computed_at BETWEEN DATE '2001-12-25' - 7 AND DATE '2001-12-25' QUALIFY row_number() OVER (PARTITION BY station_id, target_type, lead_bracket ORDER BY weight DESC, source_id) = 1),
 st AS (SELECT *, lag(bss) OVER (PARTITION BY station_id, target_type ORDER BY lead_bracket) AS pb FROM m WHERE bss IS NOT NULL),
 dg AS (SELECT station_id, count(*) AS n, bool_and(pb IS NULL OR bss <= pb) AS mono, (arg_max(bss, lead_bracket) - arg_min(bss, lead_bracket)) / nullif(count(*) - 1, 0) AS slope FROM st GROUP BY station_id, target_type)
 """ + f"""SELECT 'SKILL_ROW' AS alert_type, {R('0.6', 'severity')}, station_id, NULL::VARCHAR AS lead_bracket, NULL::VARCHAR AS source_id, {R('avg(bss)', 'metric')} FROM m GROUP BY station_id HAVING count(*) >= 3 AND avg(bss) < 0.03
@@ -442,10 +442,10 @@ UNION ALL SELECT 'WEIGHT_CONVERGENCE', {R('0.3')}, station_id, lead_bracket, sou
 def _(spark, sf):
     g = B.graded(spark, sf)
     # weights per cell: share of each outcome class
-    share = g.groupBy(*V.CELL, F.expr("CASE WHEN outcome = 1 THEN 'A' ELSE 'B' END").alias("source_id")).agg(F.count(F.lit(1)).alias("c"))
+    share = g.groupBy(*V.CELL, F.expr("CASE WHEN outcome = 1 THEN 'A' ELSE 'B' END").alias("source_id")).agg(F.count(F.lit(1)).alias("c"), F.max("target_date").alias("computed_at"))
     total = share.groupBy(*V.CELL).agg(F.sum("c").alias("t"))
     weights = share.join(total, V.CELL).withColumn("weight", F.col("c") / F.col("t"))
-    return rounded(V.skill_alerts(V.skill_matrix(g, asof_orders(), WHOLE), weights))
+    return rounded(V.skill_alerts(V.skill_matrix(g, asof_orders(), WHOLE), weights, asof=F.lit("2001-12-25").cast("date")))
 
 
 @query("agg25_forecast_metrics", T("errb") + f"""SELECT source_id, target_type, count(*) AS n, {R('avg(abs(e))', 'mae_raw')}, {R('sqrt(avg(e * e))', 'rmse_raw')}, {R('avg(e)', 'bias_raw')},
@@ -486,7 +486,7 @@ def _(spark, sf):
  b AS (SELECT * FROM t WHERE state = 'COMPLETE' QUALIFY row_number() OVER (PARTITION BY station_id, target_type, model ORDER BY value, trial_id) = 1),
  c AS (SELECT station_id, target_type, model, count(*) AS n_trials, count(*) FILTER (WHERE state = 'COMPLETE') AS n_complete FROM t GROUP BY 1, 2, 3)
  SELECT station_id, target_type, model, n_trials, n_complete, trial_id AS best_trial, {R('value', 'best_value')},
-  coalesce((rhi - rlo) / nullif(rlo, 0) > 1.0 OR (mhi - mlo) / nullif(mlo, 0) > 0.4, false) AS unstable FROM c LEFT JOIN b USING (station_id, target_type, model)""")
+  coalesce(rhi - rlo > (rhi + rlo) / 2, false) OR coalesce(mhi - mlo > 0.4::DOUBLE * (mhi + mlo) / 2, false) AS unstable FROM c LEFT JOIN b USING (station_id, target_type, model)""")
 def _(spark, sf):
     t = B.table(spark, sf, "lineitem").selectExpr(
         "l_suppkey % 20 AS station_id", "CASE WHEN l_linenumber % 2 = 0 THEN 'HIGH' ELSE 'LOW' END AS target_type", "l_linestatus AS model",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brierworks.operators.ordering import join_small, tail_n, ts_number
+from brierworks.operators.ordering import join_keys, tail_n, ts_number
 from brierworks.params import DEFAULTS, Params
 
 
@@ -38,7 +38,7 @@ def local_targets(axis: DataFrame, keys: list[str], tz: str, limit: int, at: str
 def backfill_daily(daily: DataFrame, hourly: DataFrame, stations: DataFrame, at: str = "ts", temp: str = "temp_f") -> DataFrame:
     """SRC-09: missing highs and lows from the hourly extremes of the local day."""
     per_day = (
-        join_small(hourly, stations.select("station_id", "tz"), ["station_id"])
+        join_keys(hourly, stations.select("station_id", "tz"), ["station_id"])
         .groupBy("station_id", local_date(F.col(at), F.col("tz")).alias("target_date"))
         .agg(F.max(temp).alias("_hi"), F.min(temp).alias("_lo"))
     )
@@ -64,12 +64,12 @@ def lead_hours(daily: DataFrame, hourly: DataFrame, stations: DataFrame, p: Para
     at_low = F.struct(F.col("temp_f"), ts_number(F.col("ts")))
     zones = stations.select("station_id", "tz")
     peaks = (
-        join_small(hourly, zones, ["station_id"])
+        join_keys(hourly, zones, ["station_id"])
         .groupBy("station_id", local_date(F.col("ts"), F.col("tz")).alias("target_date"))
         .agg(F.max_by("ts", at).alias("HIGH"), F.min_by("ts", at_low).alias("LOW"))
         .unpivot(["station_id", "target_date"], ["HIGH", "LOW"], "target_type", "peak_at")
     )
-    both = join_small(daily, zones, ["station_id"]).withColumn(
+    both = join_keys(daily, zones, ["station_id"]).withColumn(
         "target_type", F.explode(F.array(F.lit("HIGH"), F.lit("LOW")))
     )
     hour = F.when(F.col("target_type") == "HIGH", p.anchor_hour_high).otherwise(p.anchor_hour_low)

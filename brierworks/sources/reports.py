@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brierworks.operators.ordering import join_small, latest_per_key
+from brierworks.operators.ordering import join_keys, latest_per_key
 
 # ---------------------------------------------------------------- station readings
 
@@ -27,13 +27,15 @@ def _signed(c: Column) -> Column:
 
 def decode_metar(df: DataFrame, col: str = "raw", received: str = "received_at") -> DataFrame:
     """SRC-11: temperature and dew point in F, wind, and the observation instant. The report carries
-    only day and time; a day after the day of receipt belongs to the month before."""
+    only day and time: it belongs to the newest month, up to that of receipt, in which that day has come.
+    Months without the day are passed over; no such month in the last three gives NULL."""
     raw = F.col(col)
     to_f = lambda c: F.bround(c * 9.0 / 5.0 + 32.0, 1)
     day, hh, mi = (_group(raw, TIME_GROUP, i).cast("int") for i in (1, 2, 3))
-    month = F.date_trunc("month", F.col(received).cast("timestamp"))
-    month = F.when(day > F.dayofmonth(received), F.add_months(month, -1).cast("timestamp")).otherwise(month)
-    at = month + F.make_interval(days=day - 1, hours=hh, mins=mi)
+    got = F.to_date(F.col(received).cast("timestamp"))
+    months = [F.add_months(F.trunc(got, "month"), -k) for k in range(3)]
+    fits = [F.when((day >= 1) & (day <= F.dayofmonth(F.last_day(m))) & (F.date_add(m, day - 1) <= got), m) for m in months]
+    at = F.coalesce(*fits).cast("timestamp") + F.make_interval(days=day - 1, hours=hh, mins=mi)
     direction = _group(raw, WIND_GROUP, 1)
     out = (
         df.withColumn("temp_f", to_f(_signed(_group(raw, TEMPERATURE_GROUP, 1))))
@@ -180,4 +182,4 @@ def score_discussions(docs: DataFrame, col: str = "text") -> DataFrame:
 
 def signals_by_station(signals: DataFrame, stations: DataFrame) -> DataFrame:
     """SRC-16: an office's text applies to each of its stations."""
-    return join_small(signals, stations.filter("is_active").select("station_id", "office"), ["office"])
+    return join_keys(signals, stations.filter("is_active").select("station_id", "office"), ["office"])

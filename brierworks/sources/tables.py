@@ -23,9 +23,9 @@ OBS_CSV = "station_id string, valid string, tmpf string"
 
 
 def typed_observations(df: DataFrame) -> DataFrame:
-    """SRC-02: text readings to typed rows; ``M`` and other non-numbers become NULL."""
+    """SRC-02: text readings to typed rows; ``M`` and other non-numbers become NULL. Ids stay text."""
     return df.select(
-        F.col("station_id").cast("bigint").alias("station_id"),
+        "station_id",
         F.to_timestamp_ntz("valid", F.lit("yyyy-MM-dd HH:mm")).alias("valid"),
         F.to_date(F.substring("valid", 1, 10)).alias("local_date"),
         F.col("tmpf").try_cast("double").alias("temp_f"),
@@ -43,7 +43,7 @@ def parse_obs_lines(lines: DataFrame, col: str = "line") -> DataFrame:
     keep = [c for c in lines.columns if c != col]
     flat = lines.select(*keep, rec.alias("_r")).select(*keep, "_r.*")
     return flat.select(
-        *keep, F.col("station_id").cast("bigint").alias("station_id"),
+        *keep, "station_id",
         F.to_timestamp_ntz("valid", F.lit("yyyy-MM-dd HH:mm")).alias("valid"),
         F.to_date(F.substring("valid", 1, 10)).alias("local_date"),
         F.col("tmpf").try_cast("double").alias("temp_f"),
@@ -85,12 +85,15 @@ def upsert(target: DataFrame, src: DataFrame, keys: list[str], mode: str = "over
 def write_upsert(spark: SparkSession, path: str, src: DataFrame, keys: list[str], partition: str, order: list[str], mode: str = "overwrite") -> None:
     """SNK-01 on files: only the partitions that receive rows are read and rewritten.
 
-    The newest source row per key wins. The merged rows are checkpointed before they replace the
-    files they were read from.
+    The newest source row per key wins, unless the stored row is newer by ``order``; so batches may
+    arrive late or twice. The merged rows are checkpointed before they replace the files they were
+    read from: a failed write can be repeated from there, but plain files have no atomic swap, so
+    readers should not rely on a partition while it is written. Crowded partitions are split among
+    writers.
     """
     from brierworks.session import cut_lineage
 
-    newest = cut_lineage(latest_per_key(src, keys, [F.col(c).desc() for c in order]))
+    newest = cut_lineage(latest_per_key(src, keys, [F.col(c).desc_nulls_last() for c in order]))
     merged = newest
     try:
         old = spark.read.schema(src.schema).parquet(path)
@@ -99,8 +102,10 @@ def write_upsert(spark: SparkSession, path: str, src: DataFrame, keys: list[str]
             raise
     else:
         touched = old.join(newest.select(partition).distinct(), partition, "left_semi")
-        merged = cut_lineage(upsert(touched, newest, keys, mode))
-    writer = merged.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        stamp = touched.select(*keys, F.struct(*order).alias("_stored"))
+        fresh = newest.join(stamp, keys, "left").filter(F.col("_stored").isNull() | (F.struct(*order) >= F.col("_stored"))).drop("_stored")
+        merged = cut_lineage(upsert(touched, fresh.select(*newest.columns), keys, mode))
+    writer = merged.hint("rebalance", F.col(partition)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(partition).parquet(path)
 
 
@@ -111,15 +116,19 @@ def register_runs(existing: DataFrame, incoming: DataFrame, natural_key: list[st
     return existing.unionByName(fresh.join(existing.select("run_id"), "run_id", "left_anti"))
 
 
-def accumulate_extremes(state: DataFrame, obs: DataFrame, keys: list[str], at: str, temp: str) -> DataFrame:
-    """SNK-04: merge new readings into running extremes; max and min skip NULLs, repeats count once."""
-    fresh = obs.dropDuplicates([*keys, at]).groupBy(*keys).agg(
+def merge_readings(held: DataFrame, polled: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """SNK-04, reading level: polls repeat readings and correct them. One row stays per key and
+    instant, that of the newest poll."""
+    both = held.withColumn("_poll", F.lit(0)).unionByName(polled.withColumn("_poll", F.lit(1)))
+    rest = [F.col(c).desc_nulls_last() for c in held.columns if c not in (*keys, at)]
+    return latest_per_key(both, [*keys, at], [F.col("_poll").desc(), *rest]).drop("_poll")
+
+
+def accumulate_extremes(readings: DataFrame, keys: list[str], at: str, temp: str) -> DataFrame:
+    """SNK-04: extremes of merged readings; max and min skip NULLs."""
+    return readings.groupBy(*keys).agg(
         F.max(temp).alias("t_max_f"), F.min(temp).alias("t_min_f"), F.count(temp).alias("obs_count"), F.max(at).alias("last_obs_at")
     )
-    return state.unionByName(fresh).groupBy(*keys).agg(
-        F.max("t_max_f").alias("t_max_f"), F.min("t_min_f").alias("t_min_f"),
-        F.sum("obs_count").alias("obs_count"), F.max("last_obs_at").alias("last_obs_at"),
-    )
 
 
 def append_history(df: DataFrame, path: str, run_id: str, date: str = "run_date") -> None:

@@ -33,11 +33,11 @@ def table_stream(spark: SparkSession, folder: str, schema: StructType, pattern:
 
 
 def extremes_stream(readings: DataFrame, lateness: str = "3 hours", at: str = "ts") -> DataFrame:
-    """ST-01: running daily extremes per station. A reading is taken once although polls repeat it;
-    readings up to ``lateness`` behind are accepted."""
+    """ST-01: running daily extremes per station. A reading is taken once although polls repeat it or
+    correct it later (corrections are merged by the batch form, SNK-04); readings up to ``lateness`` behind are accepted."""
     return (
         readings.withWatermark(at, lateness)
-        .dropDuplicatesWithinWatermark(["station_id", at, "temp_f"])
+        .dropDuplicatesWithinWatermark(["station_id", at])
         .groupBy("station_id", F.window(at, "1 day"))
         .agg(F.max("temp_f").alias("t_max_f"), F.min("temp_f").alias("t_min_f"), F.count("temp_f").alias("obs_count"), F.max(at).alias("last_obs_at"))
         .select("station_id", F.to_date("window.start").alias("local_date"), "t_max_f", "t_min_f", "obs_count", "last_obs_at")

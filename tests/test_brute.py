@@ -234,3 +234,45 @@ def test_empty_and_null_inputs(spark):
 def test_latest_per_key_prunes_before_shuffle(hot):
     plan = O.latest_per_key(hot, ["k"], [F.col("t").desc(), F.col("i")])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_null_keys_agree_in_both_forms(spark):
+    from brierworks.operators import joins as J, ordering as O
+
+    rows = [(i % 3 or None, float(i // 2), i) for i in range(60)]
+    left = spark.createDataFrame(rows, "k int, t double, i int")
+    right = spark.createDataFrame([(i % 3 or None, float(i), i * 10) for i in range(0, 30, 2)], "k int, t double, v int")
+    stamp = lambda df: df.withColumn("t", F.timestamp_seconds("t"))
+    out = [sorted(map(str, J.asof_join(stamp(left), stamp(right), ["k"], "t", "t", ["v"], bounded=b).collect())) for b in (True, False)]
+    assert out[0] == out[1] and len(out[0]) == 60
+    got = O.positions(left, ["k"], "t", ["i"]).collect()
+    want = {}
+    for k in (None, 1, 2):
+        for n, r in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2])), 1):
+            want[r[2]] = n
+    assert {r.i: r.pos for r in got} == want
+
+
+def test_folds_are_unstable_by_their_mean(spark):
+    from brierworks.operators import verification as V
+
+    rows = [(1, "HIGH", "a", 1, 1.0, "COMPLETE", [100.0, 190.0], [1.0, 1.45]), (2, "HIGH", "a", 1, 1.0, "COMPLETE", [100.0, 500.0], [1.0, 1.0]), (3, "HIGH", "a", 1, 1.0, "COMPLETE", [100.0], [9.0]), (4, "HIGH", "a", 1, 1.0, "COMPLETE", [5.0, 5.0], [1.0, 1.6])]
+    df = spark.createDataFrame(rows, "station_id int, target_type string, model string, trial_id int, value double, state string, fold_rounds array<double>, fold_mae array<double>")
+    assert {r.station_id: r.unstable for r in V.trial_diagnostics(df).collect()} == {1: False, 2: True, 3: False, 4: True}
+
+
+def test_report_day_falls_back_to_a_month_that_has_it(spark):
+    from brierworks.sources import reports as RP
+
+    rows = [("KJFK 311456Z 18012KT 22/14", "2024-03-05 00:00:00"), ("KJFK 041456Z 18012KT 22/14", "2024-03-05 00:00:00"), ("KJFK 301456Z 18012KT 22/14", "2024-03-05 00:00:00")]
+    df = spark.createDataFrame(rows, "raw string, received_at string").withColumn("received_at", F.to_timestamp("received_at"))
+    got = {r.raw[5:7]: str(r.observed_at)[:10] for r in RP.decode_metar(df).collect()}
+    assert got == {"31": "2024-01-31", "04": "2024-03-04", "30": "2024-01-30"}
+
+
+def test_city_of_four_words(spark):
+    from brierworks.sources import listings as L
+
+    events = spark.createDataFrame([("E-1", None, "High in Salt Lake City Airport tomorrow?"), ("E-2", None, "High in Salt Lake tomorrow?")], "event_ticker string, series_ticker string, title string")
+    stations = spark.createDataFrame([("KSLC", "Salt Lake City Airport", None, None, None), ("KX", "", None, None, None)], "station_id string, city string, city_code string, series_high string, series_low string")
+    assert {r.event_ticker: r.station_id for r in L.match_station(events, stations).collect()} == {"E-1": "KSLC", "E-2": None}

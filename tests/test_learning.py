@@ -35,3 +35,13 @@ def test_tuning_table(spark):
 def test_blend_prefers_the_better_learner(spark):
     df = spark.createDataFrame([(1, float(i % 5), 9.0, float(i % 5)) for i in range(200)], "k int, bias_a double, bias_b double, target_error double")
     assert ML.blend_weight(df, ["k"]).first().w > 0.95
+
+
+def test_every_row_is_scored(spark):
+    rows = Q.features(spark, SF).withColumn("station_id", F.concat(F.lit("K"), F.col("station_id").cast("string")))
+    small = ML.TreeParams(depth=2, rounds=2, step=0.3)
+    models = ML.fit_bias_models(rows, "HIGH", small, small)
+    holes = rows.withColumn("forecast_wind", F.when(F.dayofmonth("target_date") % 2 == 0, F.col("forecast_wind"))).withColumn("forecast_precip", F.lit(None).cast("double"))
+    out = ML.score_bias(models, holes, "HIGH")
+    assert out.count() == rows.count() and out.filter("bias_blend IS NULL").count() == 0
+    assert set(out.columns) == set(holes.columns) | {"bias_a", "bias_b", "bias_blend", "corrected"}

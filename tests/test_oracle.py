@@ -8,7 +8,7 @@ from conftest import SF
 from brierworks.plans.catalog import ORACLES, QUERIES
 
 # fitted models have no SQL form; their parts are tested in test_learning.py
-ROWS_ONLY = {"ml03_fit_bias_models", "ml04_tune_bias_models", "ml06_score_bias", "ml07_holdout_report", "ml07_holdout_bias"}
+ROWS_ONLY = {"ml03_fit_bias_models", "ml04_tune_bias_models", "ml07_holdout_report", "ml07_holdout_bias"}
 
 
 @pytest.fixture(scope="module")

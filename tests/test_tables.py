@@ -10,8 +10,9 @@ from brierworks.sources import axis as AX, tables as TB
 
 
 def test_read_obs_csv(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("station_id,valid,tmpf\n1,2024-01-01 00:53,30.5\n1,2024-01-01 01:53,M\n2,2024-01-02 01:00,oops\n")
+    (tmp_path / "a.csv").write_text("station_id,valid,tmpf\nKATL,2024-01-01 00:53,30.5\nKATL,2024-01-01 01:53,M\nKJFK,2024-01-02 01:00,oops\n")
     rows = TB.read_obs_csv(spark, str(tmp_path / "a.csv")).orderBy("station_id", "valid").collect()
+    assert [r.station_id for r in rows] == ["KATL", "KATL", "KJFK"]
     assert [r.temp_f for r in rows] == [30.5, None, None] and str(rows[0].local_date) == "2024-01-01"
 
 
@@ -34,6 +35,24 @@ def test_upsert_is_idempotent_and_local(spark, tmp_path):
     assert {p.name for p in (tmp_path / "t" / "d=2").iterdir()} == untouched
 
 
+def test_late_batch_does_not_overwrite(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    make = lambda rows: spark.createDataFrame(rows, "k int, v string, at int, d int")
+    for rows in ([(1, "new", 5, 1), (2, "a", 1, 1)], [(1, "old", 3, 1), (2, "b", 2, 1), (3, "c", 0, 1)], [(1, "fixed", 5, 1)]):
+        TB.write_upsert(spark, path, make(rows), ["k", "d"], "d", ["at"])
+    got = spark.read.schema("k int, v string, at int, d int").parquet(path)
+    assert sorted((r.k, r.v) for r in got.collect()) == [(1, "fixed"), (2, "b"), (3, "c")]
+
+
+def test_repeated_polls_count_once(spark):
+    make = lambda rows: spark.createDataFrame(rows, "s string, at int, t double")
+    held = make([("KATL", 1, 50.0), ("KATL", 2, 60.0)])
+    for polled in ([("KATL", 1, 50.0), ("KATL", 2, 60.0)], [("KATL", 2, 58.0), ("KATL", 0, 40.0)]):
+        held = TB.merge_readings(held, make(polled), ["s"], "at")
+    r = TB.accumulate_extremes(held, ["s"], "at", "t").first()
+    assert (r.t_max_f, r.t_min_f, r.obs_count, r.last_obs_at) == (58.0, 40.0, 3, 2)
+
+
 def test_params(spark):
     rows = spark.createDataFrame([("beta", "3.5", "float"), ("tranche_size", "10", "int"), ("unknown", "1", "int")], "param_key string, param_value string, dtype string")
     p = TB.load_params(rows)
