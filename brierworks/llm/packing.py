@@ -18,13 +18,14 @@ import sys
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 
-from brierworks.llm.common import byte_values, ids, span_hashes, spans, text_slices, worker_memory
+from brierworks.llm.common import byte_table, byte_values, ids, span_hashes, spans, text_slices, worker_memory
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -34,17 +35,25 @@ HARD_CUT = 256
 SHORT_WINDOW = 48
 HARD_GAP = 256
 HORIZON = 1 << 18
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 800_000
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-LETTERS_MARKS = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]*)")
+#: ASCII punctuation without the apostrophe, which tokenizers join with letters.
+MARK = byte_table((33, 38), (40, 47), (58, 64), (91, 96), (123, 126))
+LETTER = byte_table((65, 90), (97, 122))
+#: Lower-case letters without composition, or punctuation: one unit before the tokenizer's merges.
+PLAIN = re.compile(r"[a-zß-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+")
+#: Byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 
 
 class WordTokens:
-    """Token ids of the words of a text, each distinct word tokenized once while it is remembered.
+    """Token ids of the words of a text, each distinct part of a word tokenized once while it is remembered.
 
-    Valid for tokenizers that drop white space and never join across it. Words are told apart by a 64-bit hash within a
-    slice and by their bytes between slices; an all-ASCII word is looked up in lower case if the tokenizer lower-cases.
+    Valid for tokenizers that drop white space and never join across it. Where the tokenizer also keeps letters and the
+    punctuation behind them apart (it is asked), these are looked up separately, and parts of plain letters go straight
+    to its model. Parts are told apart by a 64-bit hash within a slice and by their bytes between slices.
     """
 
     def __init__(self, spec: str):
@@ -52,33 +61,49 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True  # their spellings in a text are ordinary text
-        self.lower = self._ids("Ab") == self._ids("aB") == self._ids("ab")
+        ids = self._ids
+        self.lower = ids("Ab") == ids("aB") == ids("ab")
+        self.apart = self.lower and all(ids(a + b) == ids(a) + ids(b) for a in ("ab", "x1y", "é", "o'c", "Ü") for b in ("***", ".", ",-", "|", "{}", "_"))
+        self.direct = self.apart and all(ids(w) == self._model(w) for w in ("the", "of", "éàß", "reünion", "***", ".,", "zzzqx"))
         self.values = byte_values(False)
         self.forget()
 
     def forget(self) -> None:
         self.rows: dict[bytes, int] = {}
-        self.parts: dict[bytes, list[int]] = {}
         self.begin, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def _ids(self, word: str) -> list[int]:
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
-    def _part(self, part: bytes) -> list[int]:
-        found = self.parts.get(part)
-        if found is None:
-            found = self.parts[part] = [t.id for t in self.tokenizer.model.tokenize(part.decode())] if part else []
-        return found
+    def _model(self, part: str) -> list[int]:
+        letters = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return [t.id for t in self.tokenizer.model.tokenize(letters)]
 
     def _learn(self, words: list[bytes]) -> None:
-        plain = [LETTERS_MARKS.fullmatch(w) if self.lower else None for w in words]
-        hard = iter(self.tokenizer.encode_batch_fast([w.decode() for w, m in zip(words, plain) if not m], add_special_tokens=False))
-        found = [self._part(m[1]) + self._part(m[2]) if m else next(hard).ids for m in plain]
+        low = [w.decode().lower() if self.direct else "" for w in words]
+        plain = [bool(PLAIN.fullmatch(w)) for w in low]
+        hard = iter(self.tokenizer.encode_batch_fast([w.decode() for w, p in zip(words, plain) if not p], add_special_tokens=False))
+        found = [self._model(w) if p else next(hard).ids for w, p in zip(low, plain)]
         for k, word in enumerate(words, len(self.rows)):
             self.rows[word] = k
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         self.begin = np.append(self.begin, self.begin[-1] + np.cumsum(sizes))
-        self.flat = np.append(self.flat, np.fromiter((t for x in found for t in x), np.uint32, int(sizes.sum())))
+        self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())))
+
+    def _parts(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words, those that end with punctuation behind a letter cut in two; and the first part of each word."""
+        if not self.apart:
+            return begin, end, np.arange(len(begin) + 1)
+        place = np.where(MARK[data], 0, np.arange(1, len(data) + 1))
+        cut = np.maximum(np.maximum.accumulate(place)[end - 1], begin)  # behind the last byte that is no punctuation
+        last, before = data[cut - 1], data[np.maximum(cut - 2, 0)]
+        wide = (before == 195) & (last >= 128) & (last < 192) & (last != 151) & (last != 183)  # letters of Latin-1
+        split = (cut > begin) & (cut < end) & (LETTER[last] | (wide & (cut - 2 >= begin)))
+        first = np.append(0, np.cumsum(1 + split))
+        b, e = np.empty(first[-1], np.int64), np.empty(first[-1], np.int64)
+        b[first[:-1]], e[first[1:] - 1] = begin, end
+        e[first[:-1][split]] = b[first[1:][split] - 1] = cut[split]
+        return b, e, first
 
     def encode(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words, and how many each word has."""
@@ -86,6 +111,7 @@ class WordTokens:
             self.forget()
         if not len(begin):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        begin, end, parts = self._parts(data, begin, end)
         _, first, which = np.unique(span_hashes(data, begin, end, self.values), return_index=True, return_inverse=True)
         raw = data.tobytes()
         words = [raw[s:e] for s, e in zip(begin[first].tolist(), end[first].tolist())]
@@ -95,8 +121,9 @@ class WordTokens:
             self._learn(fresh)
         row = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))[which]
         size = self.begin[row + 1] - self.begin[row]
-        at = np.arange(int(size.sum())) + np.repeat(self.begin[row] - np.cumsum(size) + size, size)
-        return self.flat[at], size
+        upto = np.append(0, np.cumsum(size))
+        at = np.arange(upto[-1]) + np.repeat(self.begin[row] - upto[:-1], size)
+        return self.flat[at], np.diff(upto[parts])
 
 
 def cuts(at: list[int], penalty: list[int], window: int = WINDOW) -> list[int]:

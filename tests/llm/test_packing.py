@@ -8,6 +8,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from brierworks.llm import packing
+from brierworks.llm.common import spans
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -48,6 +49,20 @@ def test_all_kinds_of_text(spark):
     assert check(packing.pack(df, PATH, window=512).collect(), docs, 512) < 0.15
 
 
+def test_words_are_tokenized_as_in_their_text():
+    spec = open(PATH, encoding="utf-8").read()
+    words = packing.WordTokens(spec)
+    assert words.lower and words.apart and words.direct
+    rng = random.Random(1)
+    odd = "— … é… é—*** ×*** ÷. a× ’s it’s*** o'clock! 's. a's- x1*** 1*** ***a ***1 日本*** ñ* Ñ* Ł. ǰ. J̌. é. İ* ı. ſ. ß* ẞ* ﬁ* ª. º* µ* ¿a? ¡ «a» a» a\xa0. a\u200b* 😀* ÀÉ|_ Straße, étÉ**".split(" ")
+    for _ in range(40):
+        text = " ".join(rng.choice(odd) for _ in range(80))
+        data = np.frombuffer(text.encode(), np.uint8)
+        begin, end, _ = spans(data, np.array([0]))
+        got, sizes = words.encode(data, begin, end)
+        assert got.tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids and sizes.sum() == len(got)
+
+
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id bigint, text string"), PATH).count() == 0
 
