@@ -32,11 +32,10 @@ INFLATE = 1 << 20
 RECORD = "run string, place bigint, record_id string, record_type string, target_uri string, captured string, payload_digest string, payload_bytes bigint, refers_to string, intact boolean"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1 of a string's UTF-8 bytes."""
-    bits = F.concat(*[F.lpad(F.conv(F.substring(F.sha1(payload.cast("binary")), 1 + 10 * k, 10), 16, 2), 40, "0") for k in range(4)])
-    letters = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.substring(F.lit(BASE32), F.conv(F.substring(bits, k * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1)))
-    return F.array_join(letters, "")
+def base32(hexadecimal: Column) -> Column:
+    """Base32 of 20 bytes given as hexadecimal digits: 10 of those are 8 digits to the base of 32."""
+    parts = [F.lpad(F.conv(F.substring(hexadecimal, 1 + 10 * k, 10), 16, 32), 8, "0") for k in range(4)]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
 def url_key(url: Column) -> Column:
@@ -54,7 +53,8 @@ def _records(pages: DataFrame, min_bytes: int) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"),
         F.regexp_replace(F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), "\r", "%0D"), "\n", "%0A").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"),
-    ).withColumns({"digest": base32_sha1(F.col("payload")), "bytes": F.octet_length("payload")})
+    ).withColumns({"sha1": F.sha1(F.col("payload").cast("binary")), "bytes": F.octet_length("payload")})
+    base = base.withColumn("digest", base32(F.col("sha1"))).drop("sha1")
     first = base.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.min(F.coalesce("page_id", F.lit(NO_ID))).alias("first"))
     typed = base.join(first, "digest", "left")
     again = F.col("first").isNotNull() & (F.col("first") != F.coalesce("page_id", F.lit(NO_ID)))
