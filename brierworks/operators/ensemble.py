@@ -10,16 +10,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brierworks.functions.scalar import shrink, sigma_eff, unbiased_skew
 from brierworks.operators.ordering import join_keys, latest_per_key
-from brierworks.operators.verification import CELL, GROUP, used_errors
+from brierworks.operators.verification import CELL, GROUP, recent_errors, used_errors
 from brierworks.params import DEFAULTS, Params
 from brierworks.session import cut_lineage
 
 
-def source_skill(errors: DataFrame, by: list[str] = CELL, min_n: int = 5) -> DataFrame:
-    """AGG-08: 1 - MSE / worst MSE among sources with enough rows; a lone eligible source gets 1."""
+def source_skill(errors: DataFrame, by: list[str] = CELL, min_n: int = 5, asof: Column | None = None, p: Params = DEFAULTS) -> DataFrame:
+    """AGG-08: 1 - MSE / worst MSE among sources with enough rows in the window before ``asof``; a lone
+    eligible source gets 1."""
     e = F.col("e")
     mse = (
-        used_errors(errors)
+        used_errors(recent_errors(errors, asof, p))
         .groupBy(*by, "source_id")
         .agg(F.avg(e * e).alias("mse"), F.count("e").alias("n"))
         .filter(F.col("n") >= min_n)
@@ -156,10 +157,10 @@ def with_regime(df: DataFrame, values: str, spread: str, p: Params = DEFAULTS) -
     )
 
 
-def source_stats(errors: DataFrame, by: list[str] = CELL, min_n: int = 5) -> DataFrame:
+def source_stats(errors: DataFrame, by: list[str] = CELL, min_n: int = 5, asof: Column | None = None, p: Params = DEFAULTS) -> DataFrame:
     """Everything the ensemble needs from the error history, one row per cell and source."""
     e = F.col("e")
-    sums = used_errors(errors).groupBy(*by, "source_id").agg(
+    sums = used_errors(recent_errors(errors, asof, p)).groupBy(*by, "source_id").agg(
         F.count("e").alias("n"), F.sum(e * e).alias("ssq"), F.skewness("e").alias("g")
     )
     cell = Window.partitionBy(*by)
@@ -176,18 +177,22 @@ def ensemble_state(
     text_mods: DataFrame | None = None,
     regime: bool = True,
     p: Params = DEFAULTS,
+    asof: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """KAL-05: the ensemble of every (station, date, type) group and its weight rows.
 
     ``fc`` holds the latest forecast per source: station_id, target_date, target_type, source_id, f,
     lead_bracket, age_hours. ``bias`` holds b_k (and optionally a stored top_source) per station and
-    type, ``text_mods`` a sigma multiplier per station.
+    type, ``text_mods`` a sigma multiplier per station. With ``asof``, only groups of that day and
+    later are combined, from errors of the trailing window before it: nothing looks ahead.
 
     The error statistics and the weighted rows are each needed more than once; both are written to
     the shared checkpoint folder, so the raw tables are read once and a lost executor costs nothing
     upstream.
     """
-    stats = cut_lineage(source_stats(errors))
+    if asof is not None:
+        fc = fc.filter(F.col("target_date") >= asof)
+    stats = cut_lineage(source_stats(errors, asof=asof, p=p))
     pooled = stats.groupBy("target_type", "lead_bracket").agg(F.sqrt(F.sum("ssq") / F.sum("n")).alias("pooled"))
 
     rows = fc.join(stats.drop("ssq"), [*CELL, "source_id"], "left").withColumn("skill", F.coalesce("skill", F.lit(0.0)))

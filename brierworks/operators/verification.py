@@ -34,8 +34,21 @@ def latest_forecasts(fc: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-def forecast_errors(fc: DataFrame, runs: DataFrame, obs: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """J-02: forecast minus observation per source and target type, from the newest issue."""
+def forecast_errors(
+    fc: DataFrame, runs: DataFrame, obs: DataFrame, p: Params = DEFAULTS,
+    since: Column | None = None, until: Column | None = None, max_lead_days: int | None = None,
+) -> DataFrame:
+    """J-02: forecast minus observation per source and target type, from the newest issue.
+
+    ``since`` and ``until`` limit the target dates before anything is joined, so they reach the scans
+    of forecasts and observations. Given ``max_lead_days``, no forecast is issued longer before its
+    date, and the runs are limited too."""
+    day = F.col("target_date")
+    for bound, inside in ((since, lambda c: c >= since), (until, lambda c: c <= until)):
+        if bound is not None:
+            fc, obs = fc.filter(inside(day)), obs.filter(inside(day))
+    if since is not None and max_lead_days is not None:
+        runs = runs.filter(F.col("issued_at") >= F.date_sub(since, max_lead_days).cast("timestamp_ntz"))
     ids = ["station_id", "source_id", "target_date", "lead_hours"]
     f = unpivot_targets(latest_forecasts(fc, runs), ids, "high_f", "low_f", "f_raw")
     o = unpivot_targets(obs, ["station_id", "target_date"], "observed_high_f", "observed_low_f", "observed")
@@ -104,6 +117,13 @@ def robust_skew(df: DataFrame, col: str, by: list[str], p: Params = DEFAULTS) ->
     return skew(df, col, by).withColumn("g1", unbiased_skew(F.col("n"), F.col("g"), p))
 
 
+def recent_errors(errors: DataFrame, asof: Column | None, p: Params = DEFAULTS) -> DataFrame:
+    """Errors of the trailing window that are known before the day ``asof``; all of them without one."""
+    if asof is None:
+        return errors
+    return errors.filter((F.col("target_date") >= F.date_sub(asof, p.rmse_window_days)) & (F.col("target_date") < asof))
+
+
 def rmse_by(errors: DataFrame, by: list[str]) -> DataFrame:
     """AGG-04 / AGG-05: root mean square error and count at any level."""
     return used_errors(errors).groupBy(*by).agg(
@@ -128,9 +148,9 @@ def robust_sigma(sigmas: DataFrame, by: list[str], pool_by: list[str], date: str
     return grouped_percentiles(kept, pool_by, sigma, {"sigma_median": 0.5}).join(mean, pool_by)
 
 
-def shrink_sigma(errors: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """AGG-07: cell sigma pulled to the pooled sigma of its type and bracket."""
-    cell = cut_lineage(rmse_by(errors, CELL))
+def shrink_sigma(errors: DataFrame, p: Params = DEFAULTS, asof: Column | None = None) -> DataFrame:
+    """AGG-07: cell sigma pulled to the pooled sigma of its type and bracket, over the window before ``asof``."""
+    cell = cut_lineage(rmse_by(recent_errors(errors, asof, p), CELL))
     # pooled from cell sums: the second level costs one row per cell
     pool = cell.groupBy("target_type", "lead_bracket").agg(
         F.sqrt(F.sum(F.col("rmse") * F.col("rmse") * F.col("n")) / F.sum("n")).alias("pooled")

@@ -327,6 +327,34 @@ def _(spark, sf):
     return rounded(state(spark, sf, False)[0].drop("b_k", "mu"))
 
 
+ASOF = "DATE '2024-01-20'"
+ASOF_SQL = STATE_SQL.replace("FROM errb b JOIN", f"FROM (SELECT * FROM errb WHERE target_date >= {ASOF} - 90 AND target_date < {ASOF}) b JOIN").replace("FROM errb GROUP BY 1, 2, 3, 4),", f"FROM errb WHERE target_date >= {ASOF} - 90 AND target_date < {ASOF} GROUP BY 1, 2, 3, 4),").replace("skill FROM lr LEFT JOIN", f"skill FROM (SELECT * FROM lr WHERE target_date >= {ASOF}) lr LEFT JOIN").replace(
+    "ORDER BY skill DESC, source_id) = 1)", "ORDER BY skill DESC, source_id <> CASE WHEN station_id % 2 = 0 THEN 'purchase' ELSE 'error' END, source_id) = 1)")
+
+
+@query("agg08_source_skill_asof", T("errb", extra=f"""
+ms AS (SELECT station_id, target_type, source_id, avg(e * e) AS mse FROM errb WHERE target_date >= {ASOF} - 90 AND target_date < {ASOF} GROUP BY 1, 2, 3 HAVING count(*) >= 5),
+mw AS (SELECT *, count(*) OVER g AS k, max(mse) OVER g AS worst FROM ms WINDOW g AS (PARTITION BY station_id, target_type))""") + f"""
+SELECT station_id, target_type, source_id, {R('CASE WHEN k = 1 THEN 1.0 WHEN worst <= 0 THEN 0.0 ELSE greatest(0.0, 1.0 - mse / worst) END', 'skill')} FROM mw""")
+def _(spark, sf):
+    out = E.source_skill(errors(spark, sf), ["station_id", "target_type"], asof=F.lit("2024-01-20").cast("date"))
+    return rounded(out.select("station_id", "target_type", "source_id", "skill"))
+
+
+@query("kal05_ensemble_asof", ASOF_SQL.rstrip() + f""",
+md AS (SELECT *, station_id % 3 - 1.0::DOUBLE AS b_k, 1.0 + (station_id % 4) * 0.25::DOUBLE AS mult FROM sst)
+SELECT station_id, target_date, target_type, top_source, {R('f_top', 'f_top')}, {R('b_k', 'b_k')}, {R('f_top + b_k', 'mu')}, {R('sigma_adj', 'sigma_adj')},
+ {R('greatest(sqrt(sigma_adj * sigma_adj + 0.5::DOUBLE * s_weighted * s_weighted) * mult, 0.1)', 'sigma_eff')} FROM md""")
+def _(spark, sf):
+    """Nothing looks ahead; stored sources break ties, the bias moves the centre, texts widen it."""
+    keys = latest_rows(spark, sf).select("station_id", "target_type").distinct()
+    stored = F.when(F.col("station_id") % 2 == 0, "purchase").otherwise("error")
+    bias = keys.select("station_id", "target_type", (F.col("station_id") % 3 - 1.0).alias("b_k"), stored.alias("top_source"))
+    mods = keys.select("station_id", (1.0 + (F.col("station_id") % 4) * 0.25).alias("sigma_mult")).distinct()
+    out = E.ensemble_state(latest_rows(spark, sf), errors(spark, sf), bias, mods, False, asof=F.lit("2024-01-20").cast("date"))[0]
+    return rounded(out.select(*V.GROUP, "top_source", "f_top", "b_k", "mu", "sigma_adj", "sigma_eff"))
+
+
 @query("kal05_weight_rows", STATE_SQL + f"SELECT station_id, target_date, target_type, source_id, lead_bracket, {R('weight', 'weight')}, {R('skill', 'skill')}, is_stale FROM dw")
 def _(spark, sf):
     return rounded(state(spark, sf, False)[1])

@@ -86,8 +86,9 @@ bt AS (SELECT * FROM hs WHERE target_date >= DATE '2000-06-15' - 21 AND target_d
 SELECT {OUT_SQL} FROM d3 WHERE target_date = DATE '2000-06-15' AND forecast_high IS NOT NULL""")
 def _(spark, sf):
     fc = forecasts_daily(spark, sf)
-    history = fc.join(actuals_daily(spark, sf), ["station_id", "target_date"], "left")
     day = F.lit("2000-06-15").cast("date")
+    near = (F.col("target_date") >= F.date_sub(day, 21)) & (F.col("target_date") < day)
+    history = fc.filter(near).join(actuals_daily(spark, sf).filter(near), ["station_id", "target_date"], "left")
     live = fc.filter((F.col("target_date") >= day) & (F.col("target_date") <= F.date_add(day, 1)))
     return rounded(ML.inference_features(history, live, day).select(*OUT))
 

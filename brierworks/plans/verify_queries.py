@@ -323,7 +323,9 @@ SELECT station_id, source_id, target_type, lead_bracket, window_days, count(e) A
    ELSE sqrt(any_value(mm.n) * (any_value(mm.n) - 1.0::DOUBLE)) / (any_value(mm.n) - 2) * any_value(mm.g) END''', 'skew_unbiased')}
 FROM w JOIN mm USING (station_id, source_id, target_type, lead_bracket, window_days) GROUP BY 1, 2, 3, 4, 5""")
 def error_dashboard(spark, sf):
-    return rounded(V.dashboard(errors(spark, sf), asof(), WINDOWS))
+    first = F.date_sub(asof(), max(WINDOWS))
+    used = V.forecast_errors(B.forecasts(spark, sf), B.runs(spark, sf), B.observations(spark, sf), since=first, until=asof(), max_lead_days=16)
+    return rounded(V.dashboard(used, asof(), WINDOWS))
 
 
 MOMENTS = """
@@ -371,6 +373,16 @@ def _(spark, sf):
     return rounded(V.shrink_sigma(errors(spark, sf)))
 
 
+@query("agg07_shrink_sigma_asof", T("errb", extra="""
+er AS (SELECT * FROM errb WHERE target_date >= DATE '2024-01-20' - 90 AND target_date < DATE '2024-01-20'),
+c AS (SELECT station_id, target_type, lead_bracket, sqrt(avg(e * e)) AS rmse, count(*) AS n FROM er GROUP BY 1, 2, 3),
+pl AS (SELECT target_type, lead_bracket, sqrt(avg(e * e)) AS pooled FROM er GROUP BY 1, 2)""") + f"""
+SELECT station_id, target_type, lead_bracket, n, {R('greatest((n * rmse + 20.0::DOUBLE * pooled) / (n + 20.0::DOUBLE), 0.1)', 'sigma_adj')} FROM c JOIN pl USING (target_type, lead_bracket)""")
+def _(spark, sf):
+    out = V.shrink_sigma(errors(spark, sf), asof=F.lit("2024-01-20").cast("date"))
+    return rounded(out.select("station_id", "target_type", "lead_bracket", "n", "sigma_adj"))
+
+
 @query("agg11_brier_by_day", T("graded") + f"SELECT target_date, target_type, count(*) AS n, {R('avg((p - outcome) * (p - outcome))', 'brier')} FROM graded GROUP BY 1, 2")
 def _(spark, sf):
     score = F.avg(S.brier(F.col("p"), F.col("outcome"))).alias("brier")
