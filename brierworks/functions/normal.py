@@ -174,7 +174,7 @@ def register_sql_functions(spark: SparkSession) -> list[str]:
         "bw_norm_cdf(z) - 2.0e0 * sign(alpha) * (CASE WHEN abs(alpha) > 1.0e0 THEN "
         "(bw_norm_cdf(abs(z)) + bw_norm_cdf(abs(alpha * z))) / 2.0e0 "
         "- bw_norm_cdf(abs(z)) * bw_norm_cdf(abs(alpha * z)) "
-        "- bw_owen_small(abs(alpha * z), 1.0e0 / abs(alpha)) "
+        "- bw_owen_small(abs(alpha * z), 1.0e0 / nullif(abs(alpha), 0.0e0)) "
         "ELSE bw_owen_small(abs(z), abs(alpha)) END)"
     )
     return ["bw_norm_cdf", "bw_owen_small", "bw_skew_cdf"]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from brierworks.functions.scalar import measurement_noise
 from brierworks.operators.joins import asof_join
 from brierworks.operators.series import ewm_variance_of
 from brierworks.params import DEFAULTS, Params
@@ -25,6 +26,14 @@ def daily_errors(errors: DataFrame, by: list[str], date: str = "target_date", in
     return errors.groupBy(*by, date).agg((sign * F.avg("error_raw")).alias("epsilon"))
 
 
+def with_measurement_noise(series: DataFrame, states: DataFrame, by: list[str], date: str = "target_date", p: Params = DEFAULTS) -> DataFrame:
+    """KAL-01 for the filter: r_k of each day from that day's ensemble state (f_top, f_bar, s_unweighted);
+    the default where there is none."""
+    r = measurement_noise(F.col("f_top"), F.col("f_bar"), F.col("s_unweighted"), p)
+    day = states.select(*by, date, r.alias("_r"))
+    return series.join(day, [*by, date], "left").withColumn("r_k", F.coalesce("_r", F.lit(p.r_default))).drop("_r")
+
+
 def with_noise(series: DataFrame, by: list[str], date: str = "target_date", window_days: int = 30, p: Params = DEFAULTS) -> DataFrame:
     """KAL-02, state-free part: last five innovations, base process noise known before the day,
     measurement noise and the gap to the previous observed day."""

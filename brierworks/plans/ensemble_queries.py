@@ -360,6 +360,17 @@ def _(spark, sf):
     return rounded(state(spark, sf, False)[1])
 
 
+NOISE = "prr AS (SELECT pr.*, coalesce(CASE WHEN s_unweighted > 0 THEN 0.25::DOUBLE * (1 + 2.0 * greatest(0.0, abs(f_top - f_bar) / s_unweighted - 1)) END, 0.25)::DOUBLE AS r FROM pr LEFT JOIN sst USING (station_id, target_date, target_type)),\nkf AS ("
+NOISE_SQL = STATE_SQL.rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + ",\n" + KAL_SQL[KAL_SQL.index("se AS"):].replace("kf AS (", NOISE, 1).replace("up / (up + 0.25)", "up / (up + r)").replace("pr.eps, pr.gap, kf.b", "pr.eps, pr.gap, pr.r, kf.b").replace("FROM kf JOIN pr ON", "FROM kf JOIN prr pr ON")
+
+
+@query("kal03_ensemble_noise", NOISE_SQL + f"""SELECT station_id, target_type, target_date, CAST(k AS INT) AS state_version, {R('b', 'b_k')}, {R('u', 'u_k')}, {R('g', 'k_k')} FROM kf WHERE k > 0""")
+def _(spark, sf):
+    by = ["station_id", "target_type"]
+    series = K.with_measurement_noise(bias_series(spark, sf), state(spark, sf, False)[0], by)
+    return rounded(K.kalman_filter(series, by).select(*by, "target_date", "state_version", "b_k", "u_k", "k_k"))
+
+
 REGIME_SQL = STATE_SQL.rstrip() + """,
 gs AS (SELECT dw.*, s_unweighted AS s FROM dw JOIN spr USING (station_id, target_date, target_type)),""" + BIMODAL_SQL.format(keys="station_id, target_date, target_type", f="f", t="gs").rstrip() + """,
 rg AS (SELECT * REPLACE (CASE WHEN centroid_1 IS NOT NULL THEN least(greatest(sigma_adj, (centroid_2 - centroid_1) / 2), 6.0) ELSE sigma_adj END AS sigma_adj) FROM sst LEFT JOIN bm USING (station_id, target_date, target_type)),
@@ -517,6 +528,19 @@ def price_book(spark, sf):
     return rounded(out.select("ticker", *V.GROUP, "truncated", "norm_warning", "p_win"))
 
 
+@query("udf03_skew_cdf", T("graded", extra=f"""
+v AS (SELECT DISTINCT p, (p - 0.5::DOUBLE) * 6.0 AS z, ((p * 7.0) % 1.0 - 0.5::DOUBLE) * 8.0 AS al FROM graded),
+o AS (SELECT p, z, al, i, -9.0::DOUBLE + (z + 9.0) * i / 400.0 AS t FROM v CROSS JOIN range(401) r(i)),
+x AS (SELECT *, greatest(-9.0::DOUBLE, least(9.0::DOUBLE, al * t)) AS e FROM o),
+c AS (SELECT p, i, z, t, 0.5::DOUBLE + list_sum(list_transform(range(401), lambda j: (CASE WHEN j = 0 OR j = 400 THEN 1.0 WHEN j % 2 = 1 THEN 4.0 ELSE 2.0 END) * exp(-0.5::DOUBLE * (e * j / 400.0) * (e * j / 400.0)))) * e / 1200.0 / sqrt(2 * pi()) AS ph FROM x),
+s AS (SELECT p, sum((CASE WHEN i = 0 OR i = 400 THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END) * 2.0 * exp(-0.5::DOUBLE * t * t) / sqrt(2 * pi()) * ph) * (any_value(z) + 9.0) / 1200.0 AS cdf FROM c GROUP BY 1)""") + " SELECT p, round(cdf + 1e-9, 5) + 0.0 AS cdf FROM s")
+def _(spark, sf):
+    """The SQL integrates the density numerically."""
+    normal.register_sql_functions(spark)
+    v = B.graded(spark, sf).select("p").distinct()
+    return v.select("p", (F.round(F.expr("bw_skew_cdf((p - 0.5D) * 6.0D, ((p * 7.0D) % 1.0D - 0.5D) * 8.0D)") + 1e-9, 5) + 0.0).alias("cdf"))
+
+
 @query("udf03_sql_functions", T("graded") + f"""SELECT o_orderkey, {R(PHI('((p - 0.5e0) * 8.0e0)'), 'phi')} FROM graded""")
 def _(spark, sf):
     normal.register_sql_functions(spark)

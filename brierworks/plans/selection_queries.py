@@ -122,10 +122,10 @@ def _(spark, sf):
 @query("w08_vwap", T("lv", extra="""
 o AS (SELECT *, sum(quantity) OVER (PARTITION BY ticker ORDER BY price, quantity, rowid_ ROWS UNBOUNDED PRECEDING) - quantity AS ahead FROM (SELECT *, row_number() OVER () AS rowid_ FROM lv)),
 f AS (SELECT *, greatest(least(quantity, (ticker % 300 + 50) - ahead), 0) AS take FROM o)""") + f"""
-SELECT ticker, {R('sum(take)', 'filled')}, {R('CASE WHEN sum(take) = 0 THEN 0 ELSE sum(price * take) / (sum(take) * 100.0::DOUBLE) END', 'vwap')}, {R('min(price) / 100.0', 'best')} FROM f GROUP BY 1""")
+SELECT ticker, {R('sum(take)', 'filled')}, {R('CASE WHEN sum(take) = 0 THEN 0 ELSE round_even(sum(price * take) / (sum(take) * 100.0::DOUBLE), 4) END', 'vwap')}, {R('min(price) / 100.0', 'best')} FROM f GROUP BY 1""")
 def _(spark, sf):
     need = (F.col("ticker") % 300 + 50).cast("double")
-    return rounded(X.vwap(B.book_levels(spark, sf), need, ["ticker"], decimals=None))
+    return rounded(X.vwap(B.book_levels(spark, sf), need, ["ticker"]))
 
 
 CONV_SQL = """cv AS (SELECT o_orderkey // 5 AS g, 'T' || o_orderkey::VARCHAR AS ticker, ((o_orderkey * 37) % 1000) / 1000.0::DOUBLE AS p_win, ((o_orderkey * 53) % 90 + 5) / 100.0::DOUBLE AS price FROM orders),
@@ -475,11 +475,16 @@ def _(spark, sf):
     return M.build_alerts(a.filter("is_resolved"), ["station_id", "alert_type"], live, ["station_id", "alert_type"]).select("alert_id", "alert_type", "details")
 
 
-@query("mon04_collection_status", f"""WITH c AS (SELECT event_type, user_id % 20 AS station_id, count(*) FILTER (WHERE value > 60) AS n_good, count(*) FILTER (WHERE value <= 60) AS n_bad FROM events GROUP BY 1, 2)
- SELECT event_type, station_id, n_good, n_bad, {R('n_bad / nullif(n_good + n_bad, 0)', 'failure_rate')}, CASE WHEN n_good = 0 THEN 'ERROR' WHEN n_bad / nullif(n_good + n_bad, 0) >= 0.5 THEN 'PARTIAL' ELSE 'OK' END AS status FROM c""")
+@query("mon04_collection_status", f"""WITH c AS (SELECT event_id % 12 AS feed, count(*) FILTER (WHERE event_id % 8 IN (3, 4, 5, 7)) AS n_good, count(*) FILTER (WHERE event_id % 8 NOT IN (3, 4, 5, 7)) AS n_bad FROM events GROUP BY 1)
+ SELECT feed, n_good, n_bad, {R('n_bad / nullif(n_good + n_bad, 0)', 'failure_rate')}, CASE WHEN n_good = 0 THEN 'ERROR' WHEN n_bad / nullif(n_good + n_bad, 0) >= 0.5 THEN 'PARTIAL' ELSE 'OK' END AS status FROM c""")
 def _(spark, sf):
-    c = B.events(spark, sf).groupBy("event_type", F.expr("user_id % 20").alias("station_id")).agg(F.count_if(F.col("value") > 60).alias("n_good"), F.count_if(F.col("value") <= 60).alias("n_bad"))
-    return rounded(M.collection_status(c, ["event_type", "station_id"]))
+    from brierworks.plans.source_queries import payload_docs
+    from brierworks.sources import payloads as PL
+
+    good, bad = PL.ingest_payloads(payload_docs(spark, sf))
+    seen = good.select("event_id", F.lit(1).alias("ok")).unionByName(bad.select("event_id", F.lit(0).alias("ok"))).distinct()
+    c = seen.groupBy(F.expr("event_id % 12").alias("feed")).agg(F.sum("ok").alias("n_good"), F.sum(1 - F.col("ok")).alias("n_bad"))
+    return rounded(M.collection_status(c, ["feed"]))
 
 
 @query("mon05_health_report", T("st", "rd", "pos", extra=OBS_SQL + "," + METRIC_SQL + "," + ALERT_SQL + """,
