@@ -22,7 +22,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     logarithm of the longest path. A hub is a crowded join key, which adaptive execution splits, and is pre-aggregated
     in the grouping. Raises if ``rounds`` do not suffice.
     """
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = cut_lineage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
