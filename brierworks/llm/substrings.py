@@ -1,6 +1,6 @@
 """Exact substring deduplication over fixed-length token windows.
 
-A window is ``window`` consecutive words. Every window gets a Rabin-Karp hash (128 bits) and every window that may repeat
+A window is ``window`` consecutive words. Every window gets a Rabin-Karp hash (96 bits) and every window that may repeat
 is counted in Spark; windows whose sequence also starts earlier are merged into maximal removal intervals.
 
 Most windows are unique, and shuffling a hash for each of them would move several times the input. So there are two
@@ -41,11 +41,11 @@ TOP = np.uint64((1 << 64) - 1)
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays as bytes; 8-byte integers that rise slowly are stored as compressed differences."""
+    """Arrays as bytes; signed integers, which rise slowly, are stored as compressed differences."""
     out = []
     for a in arrays:
-        if a.dtype == np.uint64:
-            body, kind = a.tobytes(), 0
+        if a.dtype in (np.uint64, np.uint32):
+            body, kind = a.tobytes(), 0 if a.dtype == np.uint64 else 3
         else:
             body, kind = zlib.compress(np.diff(a, prepend=a.dtype.type(0)).tobytes(), 1), 1 if a.dtype == np.int64 else 2
         out.append(struct.pack("<BI", kind, len(body)) + body)
@@ -58,7 +58,7 @@ def unpacked(body: bytes) -> list[np.ndarray]:
         kind, size = struct.unpack_from("<BI", body, at)
         part = body[at + 5 : at + 5 + size]
         at += 5 + size
-        out.append(np.frombuffer(part, np.uint64) if kind == 0 else np.cumsum(np.frombuffer(zlib.decompress(part), np.int64 if kind == 1 else np.int32)).astype(np.int64))
+        out.append(np.frombuffer(part, np.uint64 if kind == 0 else np.uint32) if kind in (0, 3) else np.cumsum(np.frombuffer(zlib.decompress(part), np.int64 if kind == 1 else np.int32)).astype(np.int64))
     return out
 
 
@@ -105,7 +105,7 @@ class Windows:
     def hashes(self, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
         one = rolling(prefix_sums(self.words), at, at + window)
         two = rolling(prefix_sums(mix(self.words + np.uint64(ROLL)), ROLL_2), at, at + window, ROLL_2)
-        return mix(one), mix(two)
+        return mix(one), (mix(two) >> np.uint64(32)).astype(np.uint32)
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
