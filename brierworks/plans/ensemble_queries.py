@@ -9,6 +9,7 @@ from brierworks.operators import bias as K, ensemble as E, joins as J, pricing a
 from brierworks.params import DEFAULTS
 from brierworks.plans import bindings as B
 from brierworks.plans.bindings import with_tables as T
+from brierworks.sources import tables as TB
 from brierworks.plans.registry import R, query, r6, rounded
 from brierworks.plans.verify_queries import SKILL_SQL, errors
 from brierworks.session import cut_lineage
@@ -528,6 +529,30 @@ def price_book(spark, sf):
     return rounded(out.select("ticker", *V.GROUP, "truncated", "norm_warning", "p_win"))
 
 
+LISTED_SQL = BOOK_SQL + TRUNC_ZERO
+for _old, _new in (("range(-7, 8)", "range(-3, 4)"), ("i > -7", "i > -3"), ("i < 7", "i < 3"), ("i = -7", "i = -3"), ("i = 7", "i = 3"), ("f_top AS mu FROM sst)", "f_top AS mu FROM sst WHERE station_id % 2 = 0)")):
+    assert _old in LISTED_SQL
+    LISTED_SQL = LISTED_SQL.replace(_old, _new)
+
+
+@query("dst05_publish_listed", LISTED_SQL + f"SELECT ticker, station_id, target_date, target_type, {R('pf', 'p_win')}, 2::BIGINT AS n_runs FROM tw")
+def _(spark, sf):
+    """Listed ladders only; an outdated run that arrives last changes no current price."""
+    states = cut_lineage(state(spark, sf, False)[0])
+    mu = states.filter("station_id % 2 = 0").select(*V.GROUP, "mu")
+    listed = P.bin_ladder(mu, n=7).select(*V.GROUP, "bin_index", "bin_lower", "bin_upper", "ticker")
+    book = P.price_book(states, seen_extremes(spark, sf), listed).select("ticker", *V.GROUP, "p_win")
+    from brierworks.plans.source_queries import scratch
+
+    path, history = scratch(spark, "book"), scratch(spark, "book-history")
+    book = cut_lineage(book)
+    TB.publish_book(spark, book, path, history, 2)
+    TB.publish_book(spark, book.withColumn("p_win", F.col("p_win") / 2), path, history, 1)
+    now = spark.read.schema(book.withColumn("run_no", F.lit(1)).schema).parquet(path)
+    runs = spark.read.schema("ticker string, run_stamp string").parquet(history).groupBy("ticker").agg(F.count(F.lit(1)).alias("n_runs"))
+    return rounded(now.join(runs, "ticker").select("ticker", *V.GROUP, "p_win", "n_runs"))
+
+
 @query("udf03_skew_cdf", T("graded", extra=f"""
 v AS (SELECT DISTINCT p, (p - 0.5::DOUBLE) * 6.0 AS z, ((p * 7.0) % 1.0 - 0.5::DOUBLE) * 8.0 AS al FROM graded),
 o AS (SELECT p, z, al, i, -9.0::DOUBLE + (z + 9.0) * i / 400.0 AS t FROM v CROSS JOIN range(401) r(i)),

@@ -136,6 +136,16 @@ def append_history(df: DataFrame, path: str, run_id: str, date: str = "run_date"
     df.withColumn("run_stamp", F.lit(run_id)).write.mode("append").partitionBy(date).parquet(path)
 
 
+def publish_book(spark: SparkSession, book: DataFrame, path: str, history: str, run_no: int) -> None:
+    """DST-05, sinks: the newest price of every ticker, and each run's prices as history.
+
+    ``book`` has ticker, target_date and whatever goes with them. A run that is published again, or
+    after a later one, changes no current price; history keeps one copy per run and publication."""
+    rows = book.withColumn("run_no", F.lit(run_no))
+    write_upsert(spark, path, rows, ["ticker"], "target_date", ["run_no"])
+    append_history(rows, history, str(run_no), "target_date")
+
+
 def purge(df: DataFrame, asof: Column, days: int = DEFAULTS.retention_days) -> DataFrame:
     """SNK-06: what stays after dropping resolved rows older than ``days``."""
     old = F.col("is_resolved") & (F.col("resolved_ts") < asof - F.make_interval(days=F.lit(days)))
