@@ -24,6 +24,7 @@ from brierworks.session import cut_lineage
 SEED = 42
 BITS = 64
 LEAF_PAIRS = 1 << 20
+PARTNERS = 64
 GROUP_ROWS = 1 << 15
 
 
@@ -204,8 +205,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, budget: int = 4) -> DataFra
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _closest(budget: int):
-    """Candidate pairs of a trie task: a forest of closest pairs between different groups, known failures left out."""
+def _nearest(ends: np.ndarray, far: np.ndarray, k: int) -> np.ndarray:
+    """Whether a pair is among the ``k`` closest of its end."""
+    order = np.lexsort((far, ends))
+    first = np.append(True, np.diff(ends[order]) > 0)
+    rank = np.arange(len(ends)) - np.maximum.accumulate(np.where(first, np.arange(len(ends)), 0))
+    out = np.zeros(len(ends), bool)
+    out[order[rank < k]] = True
+    return out
+
+
+def _closest(budget: int, partners: int):
+    """Candidate pairs of a trie task between different groups, known failures left out: a forest of closest pairs,
+    and each text's ``partners`` closest ones."""
     edges = blocks(budget)
     allowed = {edges[r]: _allowed(budget, edges[r]) for r in range(budget + 1)}
 
@@ -231,8 +243,11 @@ def _closest(budget: int):
             if len(x):
                 far = np.bitwise_count(fps[x] ^ fps[y]).astype(np.int64)
                 held = [np.concatenate(c) for c in zip(held, (far, x, y))]
-                pick = spanning(int(label.max()) + 1, label[held[1]], label[held[2]], held[0])
-                held = [c[pick] for c in held]
+                keep = np.zeros(len(held[0]), bool)
+                keep[spanning(int(label.max()) + 1, label[held[1]], label[held[2]], held[0])] = True
+                if partners:
+                    keep |= _nearest(held[1], held[0], partners) | _nearest(held[2], held[0], partners)
+                held = [c[keep] for c in held]
         a, b = node[held[1]], node[held[2]]
         return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
@@ -278,8 +293,9 @@ def similar_groups(docs: DataFrame, words: int = 5, budget: int = 12, similarity
 
     Candidates are fingerprints within ``budget`` bits, from the trie join; a link needs a Jaccard similarity of word
     shingles of at least ``similarity``, computed on whole texts. Each round proposes, per trie task, a forest of the
-    closest pairs between texts of different groups that have not failed yet, and verifies it; it ends when no candidate
-    pair between different groups is left, so the groups are those of all candidate pairs without listing them.
+    closest pairs between texts of different groups that have not failed yet (after the first round, with each text's
+    PARTNERS closest ones), and verifies it; it ends when no candidate pair between different groups is left, so the
+    groups are those of all candidate pairs without listing them.
     """
     texts = docs.select(F.xxhash64(F.col("text").cast("string")).alias("doc_id"), "text")
     nodes = cut_lineage(fingerprints(texts, words).withColumnRenamed("doc_id", "node").distinct())
@@ -289,11 +305,11 @@ def similar_groups(docs: DataFrame, words: int = 5, budget: int = 12, similarity
         empty = F.array().cast("array<bigint>").alias("failed")
         points = labelled.select("node", "fp", "label", empty) if known is None else labelled.join(known, F.col("node") == F.col("a"), "left").select("node", "fp", "label", "failed")
         tasks = _dealt(cut_lineage(points), budget, group_rows)
-        pairs = cut_lineage(tasks.groupBy("rot", "top", "i", "j").applyInArrow(_closest(budget), "a bigint, b bigint").distinct())
+        pairs = cut_lineage(tasks.groupBy("rot", "top", "i", "j").applyInArrow(_closest(budget, 0 if checked is None else PARTNERS), "a bigint, b bigint").distinct())
         if pairs.isEmpty():
             return labelled.select("node", "label")
         needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        wanted = cut_lineage(texts.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        wanted = texts.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
         both = pairs.join(wanted.toDF("a", "text_a"), "a").join(wanted.toDF("b", "text_b"), "b")
         verdict = cut_lineage(both.mapInArrow(_verified(words, similarity), "a bigint, b bigint, good boolean"))
         checked = verdict if checked is None else cut_lineage(checked.unionByName(verdict))
