@@ -24,7 +24,7 @@ SETTINGS = {
 }
 
 
-def local_session(cpus: int | str = 8, memory: str = "12g", app: str = "brierworks") -> SparkSession:
+def local_session(cpus: int | str = 8, memory: str = "12g", app: str = "brierworks", extra: dict[str, str] | None = None) -> SparkSession:
     """A single-machine session for tests and the benchmark; clusters bring their own."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -34,7 +34,7 @@ def local_session(cpus: int | str = 8, memory: str = "12g", app: str = "brierwor
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cpus))
     )
-    for key, value in SETTINGS.items():
+    for key, value in (SETTINGS | (extra or {})).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
