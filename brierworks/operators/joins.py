@@ -119,11 +119,18 @@ def seasonal_mean(hist: DataFrame, by: list[str], date: str, value: str, window:
     )
 
 
-def sweep(df: DataFrame, by: list[str], grid: list[float], loss: "callable", name: str = "value") -> DataFrame:
-    """J-14: objective per key and grid value. The grid rides inside each row and partial sums are
-    taken before the shuffle, so traffic is keys x grid whatever the number of rows."""
-    values = F.explode(F.array(*[F.lit(float(g)) for g in grid])).alias(name)
-    return df.select("*", values).groupBy(*by, name).agg(F.sum(loss(F.col(name))).alias("objective"))
+def sweep(df: DataFrame, by: list[str], grid: list[float], loss: "callable", name: str = "value", width: int = 32) -> DataFrame:
+    """J-14: objective per key and grid value. A row feeds ``width`` sums at once; only wider grids
+    copy rows, once for each ``width`` values. Partial sums are taken before the shuffle, so traffic
+    is keys x grid whatever the number of rows."""
+    grid = [float(g) for g in grid]
+    parts = [grid[i : i + width] for i in range(0, len(grid), width)]
+    at = lambda j: F.get(F.array(*[F.lit(x[j] if j < len(x) else None).cast("double") for x in parts]), F.col("_part"))
+    values = [at(j) if len(parts) > 1 else F.lit(grid[j]) for j in range(len(parts[0]))]
+    rows = df.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(len(parts) - 1))) if len(parts) > 1 else F.lit(0))
+    sums = rows.groupBy(*by, "_part").agg(*[F.sum(loss(w)).alias(f"_s{j}") for j, w in enumerate(values)])
+    pairs = F.array(*[F.struct(w.alias(name), F.col(f"_s{j}").alias("objective")) for j, w in enumerate(values)])
+    return sums.select(*by, F.inline(pairs)).filter(F.col(name).isNotNull())
 
 
 def sweep_best(swept: DataFrame, by: list[str], name: str = "value") -> DataFrame:
