@@ -397,6 +397,12 @@ def _(spark, sf):
     return rounded(WF.walk_forward(ladder_grades(spark, sf), ["station_id"]))
 
 
+@query("kal06_walk_forward_all", "WITH " + WF_SQL.replace("least(3,", "least(100,") + f" SELECT station_id, fold, n_days, {R('mean_brier', 'mean_brier')}, {R('fb', 'final_bankroll')} FROM fr")
+def _(spark, sf):
+    """As many folds as the history has, not only its first three."""
+    return rounded(WF.walk_forward(ladder_grades(spark, sf), ["station_id"], folds=100).select("station_id", "fold", "n_days", "mean_brier", "final_bankroll"))
+
+
 @query("kal06_walk_forward_cents", "WITH " + WF_SQL + f" SELECT station_id, fold, {R('fc', 'final_bankroll')} FROM fr")
 def _(spark, sf):
     return rounded(WF.walk_forward(ladder_grades(spark, sf), ["station_id"], cents=True).select("station_id", "fold", "final_bankroll"))
