@@ -428,7 +428,7 @@ def _(spark, sf):
     return rounded(spark.read.schema(e.schema).csv(a, header=True).unionByName(spark.read.schema(e.schema).json(b)))
 
 
-@query("snk09_conform", T("obs") + f"SELECT station_id, target_date, {R('observed_high_f', 'observed_high_f')}, {R('observed_low_f', 'observed_low_f')}, 'unknown' AS source, false AS amended FROM obs")
+@query("snk09_conform", T("obs") + f"SELECT station_id::VARCHAR AS station_id, target_date, {R('observed_high_f', 'observed_high_f')}, {R('observed_low_f', 'observed_low_f')}, 'unknown' AS source, false AS amended FROM obs")
 def _(spark, sf):
     return rounded(TB.conform(B.observations(spark, sf), contract("observations"), {"source": "unknown", "amended": False}))
 

@@ -122,12 +122,17 @@ def _keyed_state(spark: SparkSession) -> None:
     spark.conf.set(key, SETTINGS[key])
 
 
+def _typed(schema: str, df: DataFrame) -> str:
+    """The output schema with the station ids of ``df``, numbers or text."""
+    return schema.replace("station_id bigint", f"station_id {dict(df.dtypes)['station_id']}", 1)
+
+
 def stale_stream(readings: DataFrame, minutes: int = DEFAULTS.reading_stale_minutes, lateness: str = "10 minutes") -> DataFrame:
     """ST-04: one row per station that had no reading for ``minutes`` of event time."""
     _keyed_state(readings.sparkSession)
     timed = readings.select("station_id", "ts").withWatermark("ts", lateness)
     return timed.groupBy("station_id").transformWithStateInPandas(
-        statefulProcessor=StaleStation(minutes), outputStructType=STALE_OUT, outputMode="append", timeMode="eventTime"
+        statefulProcessor=StaleStation(minutes), outputStructType=_typed(STALE_OUT, timed), outputMode="append", timeMode="eventTime"
     )
 
 
@@ -136,7 +141,7 @@ def bias_stream(errors: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     filter); a key's work per batch is the number of its new days."""
     _keyed_state(errors.sparkSession)
     return errors.groupBy("station_id", "target_type").transformWithStateInPandas(
-        statefulProcessor=OnlineBias(p), outputStructType=BIAS_OUT, outputMode="append", timeMode="none"
+        statefulProcessor=OnlineBias(p), outputStructType=_typed(BIAS_OUT, errors), outputMode="append", timeMode="none"
     )
 
 

@@ -64,3 +64,18 @@ def test_book_ignores_older_snapshot(spark, tmp_path):
         wait(S.latest_book_stream(S.table_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema), f"{tmp_path}/t", f"{tmp_path}/c", 4))
     got = spark.read.schema(schema + ", bucket int").parquet(f"{tmp_path}/t")
     assert sorted((r.ticker, r.price) for r in got.collect()) == [(1, 0.5), (2, 0.2)]
+
+
+def test_text_station_ids(spark, tmp_path):
+    rows = [("KATL", "2024-01-01 00:00:00"), ("KJFK", "2024-01-01 05:00:00"), ("KJFK", "2024-01-01 09:00:00")]
+    rd = spark.createDataFrame(rows, "station_id string, at string").select("station_id", F.to_timestamp("at").alias("ts"))
+    rd.coalesce(1).write.parquet(f"{tmp_path}/in")
+    out = S.stale_stream(S.table_stream(spark, f"{tmp_path}/in", rd.schema))
+    wait(S.append_table(out, f"{tmp_path}/t", f"{tmp_path}/c"))
+    assert [r.station_id for r in spark.read.schema(out.schema).parquet(f"{tmp_path}/t").collect()] == ["KATL"]
+    errors_ = spark.createDataFrame([("KATL", "HIGH", "2024-01-01", 1.5)], "station_id string, target_type string, d string, epsilon double")
+    errors_ = errors_.select("station_id", "target_type", F.to_date("d").alias("target_date"), "epsilon")
+    errors_.coalesce(1).write.parquet(f"{tmp_path}/e")
+    out = S.bias_stream(S.table_stream(spark, f"{tmp_path}/e", errors_.schema))
+    wait(S.append_table(out, f"{tmp_path}/b", f"{tmp_path}/d"))
+    assert [(r.station_id, r.state_version) for r in spark.read.schema(out.schema).parquet(f"{tmp_path}/b").collect()] == [("KATL", 1)]
