@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SLICE_BYTES = 1 << 20
 ROLL = 0x9E3779B97F4A7C15
@@ -146,3 +146,9 @@ def crc_mod4(key: str = "doc_id") -> Column:
 
 def held_out(key: str = "doc_id") -> Column:
     return crc_mod4(key) == 2
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared store; nothing happens where there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,6 +8,7 @@ means that node pairs there are a node with itself, which is where Spark cuts th
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,14 +18,15 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from brierworks.llm import common as _common, components as _components
-from brierworks.llm.common import ids, order_id, table_of, text_slices
+from brierworks.llm.common import ids, order_id, remove_folder, table_of, text_slices
 from brierworks.llm.components import components, forest
-from brierworks.session import cut_lineage
+from brierworks.session import cut_lineage, shared_folder
 
 SEED = 42
 BITS = 64
 LEAF_PAIRS = 1 << 20
 PARTNERS = 64
+KEPT_SHINGLES = 1 << 22
 GROUP_ROWS = 1 << 15
 
 
@@ -276,13 +278,34 @@ def shingles(text: str | None, words: int) -> set[bytes]:
     return {b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))} if parts else set()
 
 
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingles of a text as sorted 64-bit hashes."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(x) for x in shingles(text, words)], np.uint64))
+
+
 def _verified(words: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, np.ndarray] = {}
+        held = 0
+
+        def hashes(node: int, text: pa.Scalar) -> np.ndarray:
+            nonlocal held
+            found = seen.get(node)
+            if found is None:
+                if held > KEPT_SHINGLES:
+                    seen.clear()
+                    held = 0
+                found = seen[node] = shingle_hashes(text.as_py(), words)
+                held += len(found)
+            return found
+
         for batch in batches:
+            a, b, text_a, text_b = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "text_a", "text_b"))
             good = []
-            for x, y in zip(batch.column(batch.schema.get_field_index("text_a")), batch.column(batch.schema.get_field_index("text_b"))):
-                x, y = shingles(x.as_py(), words), shingles(y.as_py(), words)
-                good.append(len(x & y) >= similarity * len(x | y))
+            for x, y, p, q in zip(a.to_pylist(), b.to_pylist(), text_a, text_b):
+                x, y = hashes(x, p), hashes(y, q)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both))
             yield table_of(batch, 0, batch.num_rows, ["a", "b"], good=pa.array(good, pa.bool_()))
 
     return run
@@ -300,6 +323,7 @@ def similar_groups(docs: DataFrame, words: int = 5, budget: int = 12, similarity
     texts = docs.select(F.xxhash64(F.col("text").cast("string")).alias("doc_id"), "text")
     nodes = cut_lineage(fingerprints(texts, words).withColumnRenamed("doc_id", "node").distinct())
     labelled, checked = nodes.withColumn("label", F.col("node")), None
+    folder = f"{shared_folder(docs.sparkSession)}/candidate-texts-{uuid.uuid4().hex}"
     while True:
         known = None if checked is None else checked.where("not good").groupBy("a").agg(F.collect_list("b").alias("failed"))
         empty = F.array().cast("array<bigint>").alias("failed")
@@ -307,9 +331,12 @@ def similar_groups(docs: DataFrame, words: int = 5, budget: int = 12, similarity
         tasks = _dealt(cut_lineage(points), budget, group_rows)
         pairs = cut_lineage(tasks.groupBy("rot", "top", "i", "j").applyInArrow(_closest(budget, 0 if checked is None else PARTNERS), "a bigint, b bigint").distinct())
         if pairs.isEmpty():
+            remove_folder(docs.sparkSession, folder)
             return labelled.select("node", "label")
-        needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        wanted = texts.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        if checked is None:  # a forest reaches every text that has a candidate, so later rounds need no others
+            needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+            texts.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]).write.parquet(folder)
+            wanted = docs.sparkSession.read.parquet(folder)
         both = pairs.join(wanted.toDF("a", "text_a"), "a").join(wanted.toDF("b", "text_b"), "b")
         verdict = cut_lineage(both.mapInArrow(_verified(words, similarity), "a bigint, b bigint, good boolean"))
         checked = verdict if checked is None else cut_lineage(checked.unionByName(verdict))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from brierworks.llm.common import NO_ID
+from brierworks.llm.common import NO_ID, remove_folder
 from brierworks.session import cut_lineage, shared_folder
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -230,11 +230,6 @@ def capture_history(records: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_merged, f"{RECORD}, url_key string")
 
 
-def remove_folder(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """The capture history of archives that are written from ``pages``, read back and then removed."""
     spark = pages.sparkSession
