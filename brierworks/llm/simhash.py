@@ -18,15 +18,15 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from brierworks.llm import common as _common, components as _components
-from brierworks.llm.common import ids, order_id, remove_folder, table_of, text_slices
+from brierworks.llm.common import ids, order_id, partitions, remove_folder, table_of, text_slices
 from brierworks.llm.components import components, forest
 from brierworks.session import cut_lineage, shared_folder
 
 SEED = 42
 BITS = 64
 LEAF_PAIRS = 1 << 20
-PARTNERS = 64
-KEPT_SHINGLES = 1 << 22
+BLOCK = 256
+KIN = 0.5
 GROUP_ROWS = 1 << 15
 
 
@@ -179,8 +179,7 @@ def _dealt(points: DataFrame, budget: int, group_rows: int) -> DataFrame:
     sizes = spread.groupBy("rot", "top").count().select("rot", "top", F.ceil(F.col("count") / group_rows).cast("int").alias("chunks"))
     own = F.pmod(F.xxhash64(*points.columns[:2]), F.col("chunks")).cast("int")
     cut = spread.join(F.broadcast(sizes), ["rot", "top"]).withColumn("own", own)
-    pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j"), F.when(k < F.col("own"), 1).otherwise(0).alias("side")))
-    return cut.withColumn("task", F.explode(pair)).select(*points.columns, "rot", "top", "task.i", "task.j", "task.side")
+    return _pairs_of_blocks(cut, "own", "chunks").select(*points.columns, "rot", "top", "i", "j", "side")
 
 
 def fingerprint_links(prints: DataFrame, budget: int = 4, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -207,19 +206,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, budget: int = 4) -> DataFra
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _nearest(ends: np.ndarray, far: np.ndarray, k: int) -> np.ndarray:
-    """Whether a pair is among the ``k`` closest of its end."""
-    order = np.lexsort((far, ends))
-    first = np.append(True, np.diff(ends[order]) > 0)
-    rank = np.arange(len(ends)) - np.maximum.accumulate(np.where(first, np.arange(len(ends)), 0))
-    out = np.zeros(len(ends), bool)
-    out[order[rank < k]] = True
-    return out
-
-
-def _closest(budget: int, partners: int):
-    """Candidate pairs of a trie task between different groups, known failures left out: a forest of closest pairs,
-    and each text's ``partners`` closest ones."""
+def _closest(budget: int):
+    """A forest of closest candidate pairs of a trie task between different families, known strangers left out."""
     edges = blocks(budget)
     allowed = {edges[r]: _allowed(budget, edges[r]) for r in range(budget + 1)}
 
@@ -245,11 +233,8 @@ def _closest(budget: int, partners: int):
             if len(x):
                 far = np.bitwise_count(fps[x] ^ fps[y]).astype(np.int64)
                 held = [np.concatenate(c) for c in zip(held, (far, x, y))]
-                keep = np.zeros(len(held[0]), bool)
-                keep[spanning(int(label.max()) + 1, label[held[1]], label[held[2]], held[0])] = True
-                if partners:
-                    keep |= _nearest(held[1], held[0], partners) | _nearest(held[2], held[0], partners)
-                held = [c[keep] for c in held]
+                pick = spanning(int(label.max()) + 1, label[held[1]], label[held[2]], held[0])
+                held = [c[pick] for c in held]
         a, b = node[held[1]], node[held[2]]
         return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
@@ -283,65 +268,124 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(x) for x in shingles(text, words)], np.uint64))
 
 
-def _verified(words: int, similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, np.ndarray] = {}
-        held = 0
-
-        def hashes(node: int, text: pa.Scalar) -> np.ndarray:
-            nonlocal held
-            found = seen.get(node)
-            if found is None:
-                if held > KEPT_SHINGLES:
-                    seen.clear()
-                    held = 0
-                found = seen[node] = shingle_hashes(text.as_py(), words)
-                held += len(found)
-            return found
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Similarity of two sets of hashes; two empty sets are equal."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
 
+def _compared(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, text_a, text_b = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "text_a", "text_b"))
-            good = []
-            for x, y, p, q in zip(a.to_pylist(), b.to_pylist(), text_a, text_b):
-                x, y = hashes(x, p), hashes(y, q)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= similarity * (len(x) + len(y) - both))
-            yield table_of(batch, 0, batch.num_rows, ["a", "b"], good=pa.array(good, pa.bool_()))
+            texts = [batch.column(batch.schema.get_field_index(c)) for c in ("text_a", "text_b")]
+            alike = [jaccard(*(shingle_hashes(t.as_py(), words) for t in pair)) for pair in zip(*texts)]
+            yield table_of(batch, 0, batch.num_rows, ["a", "b"], alike=pa.array(alike, pa.float64()))
 
     return run
 
 
-def similar_groups(docs: DataFrame, words: int = 5, budget: int = 12, similarity: float = 0.8, group_rows: int = GROUP_ROWS) -> DataFrame:
+def _linked_members(words: int, budget: int, similarity: float):
+    """Links within families (or between two blocks of one): a spanning forest of all verified candidate pairs."""
+
+    def part(node: np.ndarray, fp: np.ndarray, side: np.ndarray, texts: list) -> list[tuple[int, int]]:
+        order = np.lexsort((node, side))
+        left, right = order[side[order] == 0], order[side[order] == 1]
+        alone = not len(right)
+        if alone:
+            right = left
+        far = np.bitwise_count(fp[left][:, None] ^ fp[right][None]).astype(np.int64)
+        near = far <= budget
+        if alone:
+            near &= np.arange(len(left))[:, None] < np.arange(len(right))
+        x, y = np.nonzero(near)
+        rank = np.argsort(far[x, y], kind="stable")
+        parent, hashes, links = list(range(len(node))), {}, []
+
+        def root(k: int) -> int:
+            while parent[k] != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
+
+        def known(k: int) -> np.ndarray:
+            if k not in hashes:
+                hashes[k] = shingle_hashes(texts[k].as_py(), words)
+            return hashes[k]
+
+        for k, m in zip(left[x[rank]].tolist(), right[y[rank]].tolist()):
+            p, q = root(k), root(m)
+            if p != q and jaccard(known(k), known(m)) >= similarity:
+                parent[p] = q
+                links.append((int(node[k]), int(node[m])))
+        return links
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("family", "ascending"), ("i", "ascending"), ("j", "ascending")]).combine_chunks()
+        family, i, j, node, fp, side = (group.column(c).to_numpy() for c in ("family", "i", "j", "node", "fp", "side"))
+        text, links = group.column("text"), []
+        new = np.append(True, (np.diff(family) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0))
+        edges = np.append(np.flatnonzero(new), len(node)).tolist()
+        for a, b in zip(edges, edges[1:]):
+            links += part(node[a:b], fp[a:b].view(np.uint64), side[a:b], text.slice(a, b - a))
+        columns = list(zip(*links)) or [(), ()]
+        return pa.table({"a": pa.array(list(columns[0]), pa.int64()), "b": pa.array(list(columns[1]), pa.int64())})
+
+    return run
+
+
+def _pairs_of_blocks(df: DataFrame, own: str, blocks: str) -> DataFrame:
+    """Every row once for each pair of blocks (i <= j) that its own block belongs to; ``side`` tells which of the two."""
+    pair = F.transform(F.sequence(F.lit(0), F.col(blocks) - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j"), F.when(k < F.col(own), 1).otherwise(0).alias("side")))
+    return df.withColumn("_pair", F.explode(pair)).select(*df.columns, "_pair.*")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, budget: int = 12, similarity: float = 0.8, group_rows: int = GROUP_ROWS, block: int = BLOCK) -> DataFrame:
     """node (hash of a distinct text) and ``label``, equal for texts that are joined by verified links.
 
     Candidates are fingerprints within ``budget`` bits, from the trie join; a link needs a Jaccard similarity of word
-    shingles of at least ``similarity``, computed on whole texts. Each round proposes, per trie task, a forest of the
-    closest pairs between texts of different groups that have not failed yet (after the first round, with each text's
-    PARTNERS closest ones), and verifies it; it ends when no candidate pair between different groups is left, so the
-    groups are those of all candidate pairs without listing them.
+    shingles of at least ``similarity``, computed on whole texts. Chance neighbours and true relatives are told apart
+    first: each round proposes, per trie task, a forest of the closest candidate pairs between different families that
+    are not known as strangers; a similarity of ``KIN`` makes one family. It ends when no candidate pair between
+    families is left. Then all candidate pairs within a family are verified, in pairs of blocks of about ``block``
+    texts, each giving a forest of its links. So the groups are those of all candidate pairs with the similarity (a link
+    lies within a family, as it is stronger than ``KIN``), and no list of all pairs is made.
     """
+    if similarity < KIN:
+        raise ValueError(f"similarity must be {KIN} at least")
+    spark = docs.sparkSession
     texts = docs.select(F.xxhash64(F.col("text").cast("string")).alias("doc_id"), "text")
     nodes = cut_lineage(fingerprints(texts, words).withColumnRenamed("doc_id", "node").distinct())
-    labelled, checked = nodes.withColumn("label", F.col("node")), None
-    folder = f"{shared_folder(docs.sparkSession)}/candidate-texts-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/candidate-texts-{uuid.uuid4().hex}"
+    families, checked = nodes.withColumn("label", F.col("node")), None
     while True:
-        known = None if checked is None else checked.where("not good").groupBy("a").agg(F.collect_list("b").alias("failed"))
-        empty = F.array().cast("array<bigint>").alias("failed")
-        points = labelled.select("node", "fp", "label", empty) if known is None else labelled.join(known, F.col("node") == F.col("a"), "left").select("node", "fp", "label", "failed")
+        if checked is None:
+            points = families.select("node", "fp", "label", F.array().cast("array<bigint>").alias("failed"))
+        else:
+            strangers = checked.where(F.col("alike") < KIN).groupBy("a").agg(F.collect_list("b").alias("failed"))
+            points = families.join(strangers, F.col("node") == F.col("a"), "left").select("node", "fp", "label", "failed")
         tasks = _dealt(cut_lineage(points), budget, group_rows)
-        pairs = cut_lineage(tasks.groupBy("rot", "top", "i", "j").applyInArrow(_closest(budget, 0 if checked is None else PARTNERS), "a bigint, b bigint").distinct())
+        pairs = cut_lineage(tasks.groupBy("rot", "top", "i", "j").applyInArrow(_closest(budget), "a bigint, b bigint").distinct())
         if pairs.isEmpty():
-            remove_folder(docs.sparkSession, folder)
-            return labelled.select("node", "label")
-        if checked is None:  # a forest reaches every text that has a candidate, so later rounds need no others
+            break
+        if checked is None:  # a forest reaches every text that has a candidate, so no others are needed later
             needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
             texts.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]).write.parquet(folder)
-            wanted = docs.sparkSession.read.parquet(folder)
+        wanted = spark.read.parquet(folder)
         both = pairs.join(wanted.toDF("a", "text_a"), "a").join(wanted.toDF("b", "text_b"), "b")
-        verdict = cut_lineage(both.mapInArrow(_verified(words, similarity), "a bigint, b bigint, good boolean"))
+        verdict = cut_lineage(both.mapInArrow(_compared(words), "a bigint, b bigint, alike double"))
         checked = verdict if checked is None else cut_lineage(checked.unionByName(verdict))
-        classes = components(checked.where("good").select("a", "b"))
-        labelled = cut_lineage(nodes.join(classes, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("label")))
+        kin = components(checked.where(F.col("alike") >= KIN).select("a", "b"))
+        families = cut_lineage(nodes.join(kin, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("label")))
+    if checked is None:
+        return families.select("node", "label")
+    sizes = families.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
+    members = families.join(sizes, "label").select("node", "fp", F.col("label").alias("family"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
+    dealt = _pairs_of_blocks(members, "own", "blocks").join(spark.read.parquet(folder).toDF("node", "text"), "node")
+    task = F.when(F.col("blocks") > 1, F.xxhash64("family", "i", "j")).otherwise(F.pmod(F.xxhash64("family"), F.lit(8 * partitions(docs))))
+    links = dealt.select(task.alias("task"), "family", "i", "j", "side", "node", "fp", "text").groupBy("task").applyInArrow(_linked_members(words, budget, similarity), "a bigint, b bigint")
+    classes = components(links)
+    remove_folder(spark, folder)
+    return nodes.join(classes, "node", "left").select("node", F.coalesce("root", "node").alias("label"))
 
 
 def deduplicate(docs: DataFrame, words: int = 5, budget: int = 12, similarity: float = 0.8) -> DataFrame:

@@ -42,11 +42,11 @@ def near_copies(seed):
     return [(i, t, "en", "s", len(t)) for i, t in enumerate(rng.sample(rows, len(rows)))]
 
 
-@pytest.mark.parametrize("seed,group_rows", [(1, 1 << 15), (2, 16)])
-def test_near_duplicate_groups(spark, seed, group_rows):
+@pytest.mark.parametrize("seed,group_rows,block", [(1, 1 << 15, 256), (2, 16, 4)])
+def test_near_duplicate_groups(spark, seed, group_rows, block):
     rows = near_copies(seed) + [(500, None, "en", "s", 0), (501, "", "en", "s", 0), (502, " ", "en", "s", 1)]
     df = spark.createDataFrame(rows, SCHEMA)
-    got = {r.node: r.label for r in simhash.similar_groups(df, 5, 12, 0.8, group_rows).collect()}
+    got = {r.node: r.label for r in simhash.similar_groups(df, 5, 12, 0.8, group_rows, block).collect()}
     node = {r.text: r.h for r in df.selectExpr("text", "xxhash64(text) AS h").collect()}
     want = slow_groups([r[1] for r in rows], 5, 12, 0.8)
     texts = sorted(want, key=str)
