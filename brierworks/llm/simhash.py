@@ -25,6 +25,7 @@ from brierworks.session import cut_lineage, shared_folder
 SEED = 42
 BITS = 64
 LEAF_PAIRS = 1 << 20
+PARTNERS = 16
 BLOCK = 256
 KIN = 0.5
 GROUP_ROWS = 1 << 15
@@ -206,13 +207,41 @@ def near_duplicates(docs: DataFrame, words: int = 5, budget: int = 4) -> DataFra
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _closest(budget: int):
-    """A forest of closest candidate pairs of a trie task between different families, known strangers left out."""
+def _first_rotation(far: np.ndarray, budget: int) -> np.ndarray:
+    """The first rotation in which a pair that differs in the bits ``far`` keeps to the growing budget: it is sure to be
+    found there, so that no other task needs to report it."""
+    edges = blocks(budget)
+    m = budget + 1
+    counts = [np.bitwise_count(far & np.uint64((1 << (BITS - a)) - (1 << (BITS - b)))).astype(np.int16) for a, b in zip(edges, edges[1:])]
+    first = np.full(len(far), -1)
+    for r in range(m):
+        run, ok = np.zeros(len(far), np.int16), first < 0
+        for k in range(m):
+            run = run + counts[(r + k) % m]
+            ok &= run <= k
+        first[ok] = r
+    return first
+
+
+def _nearest(ends: np.ndarray, far: np.ndarray, k: int) -> np.ndarray:
+    """Whether a pair is among the ``k`` closest of its end."""
+    order = np.lexsort((far, ends))
+    fresh = np.append(True, np.diff(ends[order]) > 0)
+    rank = np.arange(len(ends)) - np.maximum.accumulate(np.where(fresh, np.arange(len(ends)), 0))
+    out = np.zeros(len(ends), bool)
+    out[order[rank < k]] = True
+    return out
+
+
+def _closest(budget: int, partners: int):
+    """Candidate pairs of a trie task between different families, known strangers left out: a forest of the closest, and
+    each text's ``partners`` closest."""
     edges = blocks(budget)
     allowed = {edges[r]: _allowed(budget, edges[r]) for r in range(budget + 1)}
 
     def run(group: pa.Table) -> pa.Table:
-        by = edges[group.column("rot")[0].as_py()]
+        rot = group.column("rot")[0].as_py()
+        by = edges[rot]
         fps = _rotated(group.column("fp").to_numpy().view(np.uint64), by)
         node, side = group.column("node").to_numpy(), group.column("side").to_numpy()
         order = np.lexsort((node, fps, side))
@@ -230,11 +259,16 @@ def _closest(budget: int):
             x, y = x[fresh], y[fresh]
             fresh = ~np.isin(x * len(node) + y, failed)
             x, y = x[fresh], y[fresh]
+            own = _first_rotation(_rotated(fps[x] ^ fps[y], BITS - by if by else 0), budget) == rot
+            x, y = x[own], y[own]
             if len(x):
                 far = np.bitwise_count(fps[x] ^ fps[y]).astype(np.int64)
                 held = [np.concatenate(c) for c in zip(held, (far, x, y))]
-                pick = spanning(int(label.max()) + 1, label[held[1]], label[held[2]], held[0])
-                held = [c[pick] for c in held]
+                keep = np.zeros(len(held[0]), bool)
+                keep[spanning(int(label.max()) + 1, label[held[1]], label[held[2]], held[0])] = True
+                if partners:
+                    keep |= _nearest(held[1], held[0], partners) | _nearest(held[2], held[0], partners)
+                held = [c[keep] for c in held]
         a, b = node[held[1]], node[held[2]]
         return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
@@ -345,7 +379,8 @@ def similar_groups(docs: DataFrame, words: int = 5, budget: int = 12, similarity
     Candidates are fingerprints within ``budget`` bits, from the trie join; a link needs a Jaccard similarity of word
     shingles of at least ``similarity``, computed on whole texts. Chance neighbours and true relatives are told apart
     first: each round proposes, per trie task, a forest of the closest candidate pairs between different families that
-    are not known as strangers; a similarity of ``KIN`` makes one family. It ends when no candidate pair between
+    are not known as strangers (from the second round on with each text's closest ones, PARTNERS times more in each
+    round); a similarity of ``KIN`` makes one family. It ends when no candidate pair between
     families is left. Then all candidate pairs within a family are verified, in pairs of blocks of about ``block``
     texts, each giving a forest of its links. So the groups are those of all candidate pairs with the similarity (a link
     lies within a family, as it is stronger than ``KIN``), and no list of all pairs is made.
@@ -356,7 +391,7 @@ def similar_groups(docs: DataFrame, words: int = 5, budget: int = 12, similarity
     texts = docs.select(F.xxhash64(F.col("text").cast("string")).alias("doc_id"), "text")
     nodes = cut_lineage(fingerprints(texts, words).withColumnRenamed("doc_id", "node").distinct())
     folder = f"{shared_folder(spark)}/candidate-texts-{uuid.uuid4().hex}"
-    families, checked = nodes.withColumn("label", F.col("node")), None
+    families, checked, partners = nodes.withColumn("label", F.col("node")), None, 0
     while True:
         if checked is None:
             points = families.select("node", "fp", "label", F.array().cast("array<bigint>").alias("failed"))
@@ -364,7 +399,7 @@ def similar_groups(docs: DataFrame, words: int = 5, budget: int = 12, similarity
             strangers = checked.where(F.col("alike") < KIN).groupBy("a").agg(F.collect_list("b").alias("failed"))
             points = families.join(strangers, F.col("node") == F.col("a"), "left").select("node", "fp", "label", "failed")
         tasks = _dealt(cut_lineage(points), budget, group_rows)
-        pairs = cut_lineage(tasks.groupBy("rot", "top", "i", "j").applyInArrow(_closest(budget), "a bigint, b bigint").distinct())
+        pairs = cut_lineage(tasks.groupBy("rot", "top", "i", "j").applyInArrow(_closest(budget, partners), "a bigint, b bigint").distinct())
         if pairs.isEmpty():
             break
         if checked is None:  # a forest reaches every text that has a candidate, so no others are needed later
@@ -375,6 +410,7 @@ def similar_groups(docs: DataFrame, words: int = 5, budget: int = 12, similarity
         verdict = cut_lineage(both.mapInArrow(_compared(words), "a bigint, b bigint, alike double"))
         checked = verdict if checked is None else cut_lineage(checked.unionByName(verdict))
         kin = components(checked.where(F.col("alike") >= KIN).select("a", "b"))
+        partners = PARTNERS * max(1, partners)
         families = cut_lineage(nodes.join(kin, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("label")))
     if checked is None:
         return families.select("node", "label")
