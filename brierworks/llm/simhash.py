@@ -24,7 +24,7 @@ from brierworks.session import cut_lineage, shared_folder
 
 SEED = 42
 BITS = 64
-LEAF_PAIRS = 1 << 20
+LEAF_PAIRS = 1 << 17
 PARTNERS = 16
 BLOCK = 256
 KIN = 0.5
