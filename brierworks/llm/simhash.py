@@ -41,8 +41,8 @@ def _by_value() -> None:
 _by_value()
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """SimHash of a text's word shingles, repeats included; zero for a text without words."""
+def fingerprint(text: bytes, words: int, distinct: bool = False) -> int:
+    """SimHash of a text's word shingles, repeats included or each ``distinct`` one once; zero for a text without words."""
     parts = text.lower().split()
     if not parts:
         return 0
@@ -52,27 +52,41 @@ def fingerprint(text: bytes, words: int) -> int:
     n = max(1, len(parts) - words + 1)
     last = (ends[words - 1 :] if len(parts) >= words else ends[-1:]) - 1
     digest, ones = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
+    every = np.empty(n if distinct else 0, "<u8")
     for k in range(0, n, 1 << 15):
         pairs = zip(starts[k : min(n, k + (1 << 15))].tolist(), last[k : k + (1 << 15)].tolist())
         hashes = np.array([digest(plain[s:e], SEED) for s, e in pairs], "<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        if distinct:
+            every[k : k + len(hashes)] = hashes
+        else:
+            ones += _bit_counts(hashes)
+    if distinct:
+        every = np.unique(every)
+        n = len(every)
+        for k in range(0, n, 1 << 15):
+            ones += _bit_counts(every[k : k + (1 << 15)])
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
-def _fingerprints(words: int):
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _fingerprints(words: int, distinct: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, starts, ends in text_slices(batch):
                 whole = data.tobytes()
-                prints = [fingerprint(whole[s:e], words) for s, e in zip(starts.tolist(), ends.tolist())]
+                prints = [fingerprint(whole[s:e], words, distinct) for s, e in zip(starts.tolist(), ends.tolist())]
                 yield table_of(batch, i, j, ["doc_id"], fp=pa.array(prints, pa.int64()))
 
     return run
 
 
-def fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id and ``fp`` (the 64 bits as a long), one row per input row."""
-    return ids(docs).mapInArrow(_fingerprints(words), "doc_id bigint, fp bigint")
+def fingerprints(docs: DataFrame, words: int = 5, distinct: bool = False) -> DataFrame:
+    """doc_id and ``fp`` (the 64 bits as a long), one row per input row; see :func:`fingerprint`."""
+    return ids(docs).mapInArrow(_fingerprints(words, distinct), "doc_id bigint, fp bigint")
 
 
 def blocks(budget: int) -> list[int]:
@@ -376,7 +390,7 @@ def _pairs_of_blocks(df: DataFrame, own: str, blocks: str) -> DataFrame:
 def similar_groups(docs: DataFrame, words: int = 5, budget: int = 12, similarity: float = 0.8, group_rows: int = GROUP_ROWS, block: int = BLOCK) -> DataFrame:
     """node (hash of a distinct text) and ``label``, equal for texts that are joined by verified links.
 
-    Candidates are fingerprints within ``budget`` bits, from the trie join; a link needs a Jaccard similarity of word
+    Candidates are fingerprints of the distinct shingles within ``budget`` bits, from the trie join; a link needs a Jaccard similarity of word
     shingles of at least ``similarity``, computed on whole texts. Chance neighbours and true relatives are told apart
     first: each round proposes, per trie task, a forest of the closest candidate pairs between different families that
     are not known as strangers (from the second round on with each text's closest ones, PARTNERS times more in each
@@ -389,7 +403,7 @@ def similar_groups(docs: DataFrame, words: int = 5, budget: int = 12, similarity
         raise ValueError(f"similarity must be {KIN} at least")
     spark = docs.sparkSession
     texts = docs.select(F.xxhash64(F.col("text").cast("string")).alias("doc_id"), "text")
-    nodes = cut_lineage(fingerprints(texts, words).withColumnRenamed("doc_id", "node").distinct())
+    nodes = cut_lineage(fingerprints(texts, words, distinct=True).withColumnRenamed("doc_id", "node").distinct())
     folder = f"{shared_folder(spark)}/candidate-texts-{uuid.uuid4().hex}"
     families, checked, partners = nodes.withColumn("label", F.col("node")), None, 0
     while True:

@@ -99,3 +99,33 @@ def test_run(spark):
     for r in pieces:
         used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
     assert max(used.values()) <= 4096
+
+
+def repeated_lines(seed):
+    """Pairs of texts that share a passage and a line, the line standing once to eight times, some words edited."""
+    rng = random.Random(seed)
+    rows = []
+    for g in range(200):
+        base = [f"g{g}w{k}" for k in range(rng.choice([40, 100, 250]))]
+        line = [f"g{g}l{k}" for k in range(8)]
+        share, times = [(0, 8), (0, 3), (0.005, 4), (0.01, 4), (0.02, 2)][g % 5]
+        rows += [" ".join(base + line * (1 if times == 3 else 2)), " ".join(edited(rng, base, share) + line * times)]
+    return sorted(set(rows))
+
+
+def test_recall_without_the_bit_gate(spark):
+    texts = repeated_lines(5)
+    got = {r.node: r.label for r in simhash.similar_groups(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    node = {r.text: r.h for r in spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("text", "xxhash64(text) AS h").collect()}
+    sets = [simhash.shingles(t, 5) for t in texts]
+    bands = {}
+    for i in range(len(texts)):
+        for j in range(i):
+            alike = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            if alike >= 0.8:
+                band = "equal" if alike == 1 else 0.9 if alike >= 0.9 else 0.8
+                bands.setdefault(band, []).append(got[node[texts[i]]] == got[node[texts[j]]])
+            else:
+                assert got[node[texts[i]]] != got[node[texts[j]]]
+    assert all(bands["equal"]) and len(bands["equal"]) >= 40
+    assert sum(bands[0.9]) >= 0.98 * len(bands[0.9]) and sum(bands[0.8]) >= 0.85 * len(bands[0.8])
