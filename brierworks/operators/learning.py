@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import FeatureHasher, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -23,7 +23,6 @@ KEY, DATE = "station_id", "target_date"
 WEATHER = ("precip", "wind", "radiation", "evap")
 NEEDED = ["forecast_high", "forecast_low", "actual_high", "actual_low"]
 MIN_DAY_AHEAD = 180
-STATION_BUCKETS = 32
 
 
 def feature_names(target: str) -> list[str]:
@@ -114,13 +113,14 @@ def _learner(target: str, p: TreeParams) -> Pipeline:
         labelCol=f"target_error_{target.lower()}", featuresCol="features", maxDepth=p.depth, maxIter=p.rounds,
         stepSize=p.step, subsamplingRate=p.subsample, seed=p.seed,
     )
-    station = FeatureHasher(inputCols=["_station"], outputCol="station_vector", numFeatures=STATION_BUCKETS)
-    return Pipeline(stages=[station, VectorAssembler(inputCols=inputs, outputCol="features"), tree])
+    number = StringIndexer(inputCol="_station", outputCol="_station_number", handleInvalid="keep", stringOrderType="alphabetAsc")
+    station = OneHotEncoder(inputCols=["_station_number"], outputCols=["station_vector"])  # the last number, unseen stations, is no column
+    return Pipeline(stages=[number, station, VectorAssembler(inputCols=inputs, outputCol="features"), tree])
 
 
 def _prepared(df: DataFrame, target: str) -> DataFrame:
-    """Learner inputs: the station as a hashed category, whatever its type, and each feature with a mark
-    where it is missing; so no row is dropped."""
+    """Learner inputs: the station as a category, whatever its type, and each feature with a mark where it
+    is missing; so no row is dropped. The learner gives each station of its rows a column of its own."""
     known = [F.when(F.isnan(F.col(c).cast("double")), None).otherwise(F.col(c)).cast("double") for c in feature_names(target)]
     filled = {f"_{n}": F.coalesce(c, F.lit(0.0)) for n, c in zip(feature_names(target), known)}
     marks = {f"_no_{n}": c.isNull().cast("double") for n, c in zip(feature_names(target), known)}
@@ -129,7 +129,7 @@ def _prepared(df: DataFrame, target: str) -> DataFrame:
 
 def _bare(df: DataFrame, target: str) -> DataFrame:
     names = feature_names(target)
-    return df.drop("_station", "station_vector", "features", *[f"_{n}" for n in names], *[f"_no_{n}" for n in names])
+    return df.drop("_station", "_station_number", "station_vector", "features", *[f"_{n}" for n in names], *[f"_no_{n}" for n in names])
 
 
 def fit_bias_models(features: DataFrame, target: str, a: TreeParams = DEEP, b: TreeParams = WIDE, refit: bool = False) -> dict[str, PipelineModel]:
@@ -151,7 +151,7 @@ def score_bias(models: dict[str, PipelineModel], features: DataFrame, target: st
     """ML-06: both learners' bias, their blend and the corrected forecast, for every row."""
     out = _prepared(features, target)
     for name, m in models.items():
-        out = m.transform(out).withColumnRenamed("prediction", f"bias_{name}").drop("features", "station_vector")
+        out = m.transform(out).withColumnRenamed("prediction", f"bias_{name}").drop("features", "_station_number", "station_vector")
     out = _bare(out, target)
     if isinstance(weights, DataFrame):
         out = out.join(weights.select(KEY, F.col("w").alias("_w")), KEY, "left").withColumn("_w", F.coalesce("_w", F.lit(0.5)))

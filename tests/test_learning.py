@@ -45,3 +45,14 @@ def test_every_row_is_scored(spark):
     out = ML.score_bias(models, holes, "HIGH")
     assert out.count() == rows.count() and out.filter("bias_blend IS NULL").count() == 0
     assert set(out.columns) == set(holes.columns) | {"bias_a", "bias_b", "bias_blend", "corrected"}
+
+
+def test_each_station_has_its_own_column(spark):
+    rows = Q.features(spark, SF).withColumn("station_id", F.concat_ws("-", F.col("station_id").cast("string"), F.dayofmonth("target_date").cast("string"))).persist()
+    stations = rows.select("station_id").distinct().count()
+    small = ML.TreeParams(depth=2, rounds=2, step=0.3)
+    model = ML._learner("HIGH", small).fit(ML._prepared(rows, "HIGH"))
+    shown = model.transform(ML._prepared(rows, "HIGH")).select("station_id", F.col("station_vector").cast("string").alias("v")).distinct()
+    assert stations > 32 and shown.count() == shown.select("v").distinct().count() == stations
+    new = ML.score_bias({"a": model, "b": model}, rows.limit(5).withColumn("station_id", F.lit("new")), "HIGH")
+    assert new.count() == 5 and new.filter("bias_blend IS NULL").count() == 0
