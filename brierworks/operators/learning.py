@@ -7,7 +7,9 @@ training is a distributed job and new stations need no new model.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
@@ -175,32 +177,40 @@ def blend_weight(preds: DataFrame, by: list[str], a: str = "bias_a", b: str = "b
     return sweep_best(total.withColumn("objective", F.col("objective") + pull), by, "w")
 
 
-def tune_bias_models(features: DataFrame, target: str, grid: list[TreeParams], folds: int = 6, test_days: int = 45) -> DataFrame:
+def tune_bias_models(features: DataFrame, target: str, grid: list[TreeParams], folds: int = 6, test_days: int = 45, parallelism: int = 6) -> DataFrame:
     """ML-04: walk-forward search. Fold k trains on all earlier days and is scored on its own block;
-    the round count is the best rounds' mean, weighted by fold position. Every fit is a distributed
-    job; the grid is the only loop."""
+    the round count is the best rounds' mean, weighted by fold position. Folds without an earlier day or
+    without rows (short histories) are left out, and without any other fold there are no rows. Every fit is a distributed
+    job, ``parallelism`` of them at a time; the fits of the grid and its folds are the only loop. ``rank``
+    1 is the configuration with the least mean error (of equal ones the first)."""
     spark = features.sparkSession
     t = target.lower()
     known = _prepared(features, target).filter(F.col(f"target_error_{t}").isNotNull())
     data = walk_forward_blocks(known, [KEY], DATE, test_days, folds).persist()
-    rows = []
+    held = sorted(r["fold"] for r in data.select("fold").distinct().collect())
+    usable = [k for k in held if k > held[0]]  # with rows before
+
+    def trial(job: tuple[TreeParams, int]) -> tuple[float, int]:
+        p, k = job
+        model = _learner(target, p).fit(data.filter(F.col("fold") < k))
+        scored = model.transform(data.filter(F.col("fold") == k))
+        mae = scored.agg(F.avg(F.abs(F.col("prediction") - F.col(f"target_error_{t}")))).first()[0]
+        trees: GBTRegressionModel = model.stages[-1]
+        curve = trees.evaluateEachIteration(scored.drop("prediction"), "absolute")
+        return float(mae), int(min(range(len(curve)), key=lambda j: curve[j]) + 1)
+
     try:
-        for i, p in enumerate(grid):
-            maes, best = [], []
-            for k in range(1, folds + 1):
-                model = _learner(target, p).fit(data.filter(F.col("fold") < k))
-                block = data.filter(F.col("fold") == k)
-                scored = model.transform(block)
-                mae = scored.agg(F.avg(F.abs(F.col("prediction") - F.col(f"target_error_{t}")))).first()[0]
-                trees: GBTRegressionModel = model.stages[-1]
-                curve = trees.evaluateEachIteration(scored.drop("prediction"), "absolute")
-                maes.append(float(mae))
-                best.append(int(min(range(len(curve)), key=lambda j: curve[j]) + 1))
-            rounds = sum((k + 1) * r for k, r in enumerate(best)) / sum(range(1, folds + 1))
-            rows.append((i, p.depth, p.step, sum(maes) / folds, int(round(rounds)), maes, [float(r) for r in best]))
+        with ThreadPool(parallelism) as pool:
+            done = pool.map(inheritable_thread_target(spark)(trial), [(p, k) for p in grid for k in usable], chunksize=1)
     finally:
         data.unpersist()
-    return spark.createDataFrame(rows, "trial_id int, depth int, step double, value double, rounds int, fold_mae array<double>, fold_rounds array<double>")
+    rows = []
+    for i, p in enumerate(grid if usable else []):
+        maes, best = (list(x) for x in zip(*done[i * len(usable) : (i + 1) * len(usable)]))
+        rounds = sum(k * r for k, r in zip(usable, best)) / sum(usable)
+        rows.append((i, p.depth, p.rounds, p.step, sum(maes) / len(usable), int(round(rounds)), maes, [float(r) for r in best]))
+    rank = {row[0]: k + 1 for k, row in enumerate(sorted(rows, key=lambda row: (row[4], row[0])))}
+    return spark.createDataFrame([(*row, rank[row[0]]) for row in rows], "trial_id int, depth int, max_rounds int, step double, value double, rounds int, fold_mae array<double>, fold_rounds array<double>, rank int")
 
 
 def holdout_report(preds: DataFrame, raw: str, corrected: str, actual: str, by: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from brierworks.operators import learning as ML
@@ -112,10 +114,18 @@ def _(spark, sf):
     return rounded(out[0].unionByName(out[1]))
 
 
+TUNING_GRID = [ML.DEEP, replace(ML.DEEP, step=0.05), ML.WIDE, replace(ML.WIDE, step=0.05)]
+
+
 @query("ml04_tune_bias_models")
 def _(spark, sf):
-    grid = [ML.TreeParams(depth=2, rounds=4, step=0.3)]
-    return rounded(ML.tune_bias_models(features(spark, sf), "HIGH", grid).select("trial_id", "depth", "step", "value", "rounds"))
+    """Both types over all 6 folds, both learners at their default rounds and with steps around the default."""
+    rows = features(spark, sf).persist()
+    try:
+        out = [ML.tune_bias_models(rows, t, TUNING_GRID).withColumn("target_type", F.lit(t)) for t in TARGETS]
+    finally:
+        rows.unpersist()
+    return rounded(out[0].unionByName(out[1]).select("target_type", "trial_id", "depth", "max_rounds", "step", "value", "rounds", "rank"))
 
 
 @query("ml05_blend_weight", T("graded", extra="""

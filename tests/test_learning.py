@@ -47,6 +47,13 @@ def test_every_row_is_scored(spark):
     assert set(out.columns) == set(holes.columns) | {"bias_a", "bias_b", "bias_blend", "corrected"}
 
 
+def test_tuning_ranks_a_grid(spark):
+    assert len(Q.TUNING_GRID) > 1 and {p.rounds for p in Q.TUNING_GRID} == {ML.DEEP.rounds, ML.WIDE.rounds} and Q.TARGETS == ("HIGH", "LOW")
+    grid = [ML.TreeParams(depth=1, rounds=1, step=0.01), ML.TreeParams(depth=3, rounds=3, step=0.3)]
+    rows = ML.tune_bias_models(Q.features(spark, SF), "HIGH", grid, folds=2, test_days=20).orderBy("rank").collect()
+    assert [r["rank"] for r in rows] == [1, 2] and rows[0].trial_id == 1 and rows[0].value < rows[1].value
+
+
 def test_each_station_has_its_own_column(spark):
     rows = Q.features(spark, SF).withColumn("station_id", F.concat_ws("-", F.col("station_id").cast("string"), F.dayofmonth("target_date").cast("string"))).persist()
     stations = rows.select("station_id").distinct().count()
