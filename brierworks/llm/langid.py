@@ -19,13 +19,17 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from brierworks.llm.common import crc_mod4, text_slices
+from brierworks.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FEATURES = 1 << 14
 SAMPLE_PER_LANGUAGE = 400
-LANGUAGES = 64
+SAMPLE_ROWS = 25_600  # over all languages
 LANDMARKS = 256
+LANDMARKS_PER_LANGUAGE = 4  # and sample rows at least
+SMALL_TABLE = 100_000
+CHUNK = 1024  # sample rows unpacked at a time
 RIDGE = 1e-2
 SHARPNESS = 3.0
 UNKNOWN = "und"
@@ -70,49 +74,69 @@ def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"lang": langs.slice(i, j - i), "bits": pa.array([b.tobytes() if p else None for b, p in zip(bits, plain)], pa.binary())})
 
 
-def fit(rows: np.ndarray, classes: np.ndarray, n_classes: int, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (features x classes) and biases from presence rows and class numbers."""
-    x = rows / np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
-    turn = np.empty(len(x), np.int64)  # landmarks take turns between classes
+def _unit_rows(bits: np.ndarray) -> np.ndarray:
+    """Presence rows of length one from packed bits."""
+    rows = np.unpackbits(bits, axis=1).astype(np.float32)
+    return rows / np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
+
+
+def fit(bits: np.ndarray, classes: np.ndarray, n_classes: int, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (features x classes) and biases from presence rows (packed bits) and class numbers.
+
+    There are ``landmarks`` of them, and LANDMARKS_PER_LANGUAGE for each class at least.
+    """
+    turn = np.empty(len(bits), np.int64)  # landmarks take turns between classes
     for c in range(n_classes):
         mine = np.flatnonzero(classes == c)
         turn[mine] = np.arange(len(mine))
-    chosen = np.lexsort((classes, turn))[:landmarks]
-    kmm = (x[chosen] @ x[chosen].T).astype(np.float64)
+    chosen = np.lexsort((classes, turn))
+    chosen = chosen[: max(landmarks, int((turn < LANDMARKS_PER_LANGUAGE).sum()))]
+    marks = _unit_rows(bits[chosen])
+    kmm = (marks @ marks.T).astype(np.float64)
     values, vectors = np.linalg.eigh(kmm)
     keep = values > 1e-6 * values[-1]
     root = vectors[:, keep] / np.sqrt(values[keep])
-    phi = (x @ x[chosen].T).astype(np.float64) @ root
+    phi = np.concatenate([(_unit_rows(bits[k : k + CHUNK]) @ marks.T).astype(np.float64) @ root for k in range(0, len(bits), CHUNK)])
     weight = 1.0 / np.maximum(np.bincount(classes, minlength=n_classes), 1)[classes]  # each language counts alike
-    weight *= len(x) / weight.sum()
+    weight *= len(bits) / weight.sum()
     target = np.where(classes[:, None] == np.arange(n_classes), 1.0, -1.0)
-    centre, mean = (weight @ phi) / len(x), (weight @ target) / len(x)
+    centre, mean = (weight @ phi) / len(bits), (weight @ target) / len(bits)
     gram = (phi - centre).T @ ((phi - centre) * weight[:, None])
-    w = np.linalg.solve(gram + ridge * len(x) * np.eye(gram.shape[0]), (phi - centre).T @ ((target - mean) * weight[:, None]))
-    return (x[chosen].T.astype(np.float64) @ (root @ w)).astype(np.float32), (mean - centre @ w).astype(np.float32)
+    w = np.linalg.solve(gram + ridge * len(bits) * np.eye(gram.shape[0]), (phi - centre).T @ ((target - mean) * weight[:, None]))
+    return (marks.T @ (root @ w).astype(np.float32)).astype(np.float32), (mean - centre @ w).astype(np.float32)
+
+
+def per_language(languages: int, sample: int = SAMPLE_PER_LANGUAGE, total: int = SAMPLE_ROWS) -> int:
+    """Sample rows of each language: fewer as languages grow, LANDMARKS_PER_LANGUAGE at least."""
+    return max(min(sample, LANDMARKS_PER_LANGUAGE), min(sample, total // max(1, languages)))
 
 
-def learn(docs: DataFrame, seed: int = 0, sample: int = SAMPLE_PER_LANGUAGE, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray, np.ndarray] | None:
+def learn(docs: DataFrame, seed: int = 0, sample: int = SAMPLE_PER_LANGUAGE, total: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray, np.ndarray] | None:
     """Languages, weights and biases from rows with a ``lang``; None if there are none.
 
-    About ``sample`` rows of each of the ``languages`` most frequent values are used, chosen by a hash of the id; this
-    bounds what reaches the driver (2 KB a row). Feature rows are made on the executors, from whole texts.
+    Every value of ``lang`` with a row that has letters is learned. About ``sample`` rows of each are used, or a smaller
+    equal number where all would come to more than ``total`` (LANDMARKS_PER_LANGUAGE still), the first by a hash of the id;
+    this bounds what reaches the driver (2 KB a row). Feature rows are made on the executors, from whole texts.
     """
-    known = docs.where("lang is not null and text is not null")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    if not counts:
+    known = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), "text", "doc_id")
+    lettered = F.col("text").rlike("\\p{L}")
+    lot = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30))
+    known = known.where(lettered).withColumn("lot", lot)
+    counts = cut_lineage(known.groupBy("lang").agg(F.count("*").alias("count"), F.min("lot").alias("first")))
+    languages = counts.count()
+    if not languages:
         return None
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["count"])))])
-    lot = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
-    picked = known.where(lot < share[F.col("lang")]).select(F.col("lang").cast("string").alias("lang"), "text")
+    share = F.lit(float(per_language(languages, sample, total))) / F.col("count") * (1 << 30)
+    # where chance would leave a language none, its first row by lot stays
+    picked = known.join(F.broadcast(counts) if languages <= SMALL_TABLE else counts, "lang").where((F.col("lot") < share) | (F.col("lot") == F.col("first"))).select("lang", "text")
     rows = [r for r in picked.mapInArrow(_sample_rows, "lang string, bits binary").where("bits is not null").collect()]
     names = sorted({r["lang"] for r in rows})
     if not names:
         return None
+    number = {name: k for k, name in enumerate(names)}
     rows.sort(key=lambda r: (r["lang"], bytes(r["bits"])))
-    bits = np.unpackbits(np.stack([np.frombuffer(r["bits"], np.uint8) for r in rows]), axis=1).astype(np.float32)
-    classes = np.array([names.index(r["lang"]) for r in rows])
-    return names, *fit(bits, classes, len(names))
+    bits = np.stack([np.frombuffer(r["bits"], np.uint8) for r in rows])
+    return names, *fit(bits, np.array([number[r["lang"]] for r in rows]), len(names))
 
 
 def _predicted(names: list[str], model):

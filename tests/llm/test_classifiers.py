@@ -62,3 +62,18 @@ def test_votes_are_exact():
         near = sorted(range(50), key=lambda i: -(row @ y[i]))[:7]
         w = [max(0, row @ y[i]) ** 8 for i in near]
         assert got == pytest.approx(sum(a * labels[i] for a, i in zip(w, near)) / sum(w))
+
+
+def test_every_language_is_learned(spark):
+    rng = __import__("random").Random(3)
+    made = lambda: "".join(rng.choice("bcdfghjklmnpqrstvwxz") + rng.choice("aeiou") for _ in range(4))
+    words = {f"l{k:02}": [made() for _ in range(12)] for k in range(80)}
+    docs = [(100 * k + i, " ".join(rng.choice(own) for _ in range(30)), name) for k, (name, own) in enumerate(words.items()) for i in range(12 if k < 64 else 6)]
+    rows = langid.identify(spark.createDataFrame(docs, "doc_id bigint, text string, lang string")).collect()
+    right = [r.lang_pred == r.doc.lang for r in rows]
+    assert {r.lang_pred for r in rows} == set(words) and sum(right) > 0.98 * len(rows)
+
+
+def test_the_sample_is_bounded_in_all(spark):
+    assert langid.per_language(4) == 400 and langid.per_language(640) == 40 and langid.per_language(10**6) == langid.LANDMARKS_PER_LANGUAGE
+    assert all(langid.per_language(n) * n <= langid.SAMPLE_ROWS for n in range(1, 6400))
