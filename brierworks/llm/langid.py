@@ -32,6 +32,8 @@ SMALL_TABLE = 100_000
 CHUNK = 1024  # sample rows unpacked at a time
 RIDGE = 1e-2
 SHARPNESS = 3.0
+FLOOR = 0.3  # of a plausible score; FLOOR_CHANCE / languages where that is less
+FLOOR_CHANCE = 1.2
 UNKNOWN = "und"
 
 #: Every ASCII byte that is no letter becomes a blank.
@@ -149,26 +151,29 @@ def _predicted(names: list[str], model):
                 raw = data.tobytes()
                 plain = [letters(raw[s:e]) for s, e in zip(starts.tolist(), ends.tolist())]
                 lang, score = [UNKNOWN] * len(plain), np.zeros(len(plain))
+                has = np.array([bool(p) for p in plain], bool)
+                plausible = has
                 if weights is not None:
                     rows = presence(plain)
                     size = np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
                     margins = (rows @ weights / size + bias).astype(np.float64) * SHARPNESS
                     best = margins.argmax(axis=1)
                     odds = np.exp(margins - margins.max(axis=1, keepdims=True))
-                    has = np.array([bool(p) for p in plain])
                     score = np.where(has, 1.0 / odds.sum(axis=1), 0.0)
+                    plausible = has & (score >= min(FLOOR, FLOOR_CHANCE / len(names)))
                     lang = [names[b] if h else UNKNOWN for b, h in zip(best.tolist(), has.tolist())]
-                yield pa.RecordBatch.from_pydict({"doc": doc.slice(i, j - i), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())})
+                yield pa.RecordBatch.from_pydict({"doc": doc.slice(i, j - i), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64()), "plausible": pa.array(plausible, pa.bool_())})
 
     return run
 
 
 def identify(docs: DataFrame, learn_from: DataFrame | None = None, seed: int = 0) -> DataFrame:
-    """For each row its columns as the struct ``doc``, lang_pred and score (0 to 1).
+    """For each row its columns as the struct ``doc``, lang_pred, score (0 to 1) and plausible.
 
     Learns from the rows of ``learn_from`` (columns doc_id, text, lang; by default those of ``docs`` whose crc32 of the
     id modulo 4 is not 2). A text that is null or has no letter is ``und`` with score 0, and so is every text where
-    nothing could be learned. Neither id, lang nor source is an input of a prediction, so equal texts get equal results.
+    nothing could be learned. A text with letters is plausible if its score is FLOOR at least (or FLOOR_CHANCE times what
+    guessing would give, if that is less), and wherever nothing could be learned. Neither id, lang nor source is an input of a prediction, so equal texts get equal results.
     """
     source = docs.where(crc_mod4() != 2) if learn_from is None else learn_from
     found = learn(source, seed)
@@ -176,4 +181,4 @@ def identify(docs: DataFrame, learn_from: DataFrame | None = None, seed: int = 0
     model = docs.sparkSession.sparkContext.broadcast((found[1], found[2])) if found else None
     fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema.fields)
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    return row.mapInArrow(_predicted(names, model), f"doc struct<{fields}>, lang_pred string, score double")
+    return row.mapInArrow(_predicted(names, model), f"doc struct<{fields}>, lang_pred string, score double, plausible boolean")

@@ -15,8 +15,9 @@ from brierworks.session import shared_folder
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is predicted; those without a letter go."""
-    return langid.identify(docs).where(F.col("lang_pred") != langid.UNKNOWN).select("doc.*")
+    """Documents of the languages that are learned: those without a letter go, and those whose prediction is hardly better
+    than a guess. Where no language could be learned all with a letter stay."""
+    return langid.identify(docs).where("plausible").select("doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -129,3 +129,16 @@ def test_recall_without_the_bit_gate(spark):
                 assert got[node[texts[i]]] != got[node[texts[j]]]
     assert all(bands["equal"]) and len(bands["equal"]) >= 40
     assert sum(bands[0.9]) >= 0.98 * len(bands[0.9]) and sum(bands[0.8]) >= 0.85 * len(bands[0.8])
+
+
+def test_the_prediction_decides_the_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    strange = [(9_000_001, "ἐν ἀρχῇ ἦν ὁ λόγος καὶ ὁ λόγος", None, "s", 1)]
+    both = docs.select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame(strange, SCHEMA))
+    kept = {r.doc_id for r in pipeline.keep_known_languages(spark, both, SF).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.where("text rlike '\\\\p{L}'").select("doc_id").collect()}
+
+
+def test_letters_stay_where_no_language_is_known(spark):
+    docs = spark.createDataFrame([(1, "some words", None, "s", 1), (2, "12 34", None, "s", 1), (3, None, None, "s", 1)], SCHEMA)
+    assert [r.doc_id for r in pipeline.keep_known_languages(spark, docs, SF).collect()] == [1]
