@@ -19,6 +19,7 @@ COLUMNS = {
     "op8_langid": "doc_id bigint, held_out boolean, lang_pred string, score double",
     "op9_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
     "op10_substrings": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
+    "op11_hard_negatives": "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint",
 }
 
 
