@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brierworks.llm import embedding_dedup, hard_negatives, langid, licenses, mixing, packing, quality, simhash, substrings, topk, warc
+from brierworks.llm import conversation_trie, embedding_dedup, hard_negatives, langid, licenses, mixing, packing, quality, simhash, substrings, topk, warc
 from brierworks.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,18 @@ NEGATIVES_SQL = f"""WITH v AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id
   FROM p JOIN s ON p.a = s.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
  SELECT anchor_id, positive_id, CAST(place AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE place <= 3"""
 
+TRIE_SQL = """WITH RECURSIVE g(n, x, s) AS (SELECT CAST(i AS BIGINT), CAST(i AS BIGINT), 0 FROM range(256) r(i) UNION ALL SELECT n, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, s + 1 FROM g WHERE s < 8),
+ z AS (SELECT list(x ORDER BY n) AS t FROM g WHERE s = 8),
+ o AS (SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, role, text) AS w FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+ h AS (SELECT conv_id AS c, w, conv_id - conv_id % 5 AS b, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda y: CAST(ord(y) AS BIGINT))), lambda x, y: xor(x >> 8, t[1 + (xor(x, y) & 255)])), 4294967295) % 9 AS h FROM o, z),
+ s AS (SELECT h.c, list_concat(coalesce(o.w[1:h.h], []), h.w[h.h + 1:]) AS w FROM h LEFT JOIN o ON o.conv_id = h.b),
+ k AS (SELECT w[1:d] AS p, d, min(c) AS conv_id, count(*) AS n_convs, string_agg(CASE WHEN len(w) = d THEN CAST(c AS VARCHAR) END, ',' ORDER BY c) AS e FROM (SELECT c, w, unnest(range(0, len(w) + 1)) AS d FROM s) GROUP BY 1, 2),
+ n AS (SELECT k.p, k.d, count(*) AS n_children FROM k JOIN k q ON q.d = k.d + 1 AND q.p[1:k.d] = k.p GROUP BY 1, 2),
+ v AS (SELECT k.*, coalesce(n.n_children, 0) AS n_children, CASE WHEN k.d = 0 THEN 0 ELSE (n_convs - 1) * octet_length(encode(k.p[k.d].t)) END AS saved FROM k LEFT JOIN n USING (p, d)),
+ u AS (SELECT p[1:i] AS p, i AS d, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT v.*, unnest(range(0, d + 1)) AS i FROM v) GROUP BY 1, 2)
+ SELECT v.conv_id, v.d AS depth, q.conv_id AS parent_conv_id, v.n_convs, v.n_children, u.n_leaves, CAST(u.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(v.e, '')) AS ends_sha256
+ FROM v JOIN u USING (p, d) LEFT JOIN k q ON q.d = v.d - 1 AND q.p = v.p[1:v.d - 1]"""
+
 WARC_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS x FROM pages),
  b AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS f, list_aggregate(list_transform(range(32), lambda i:
   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(x, CAST(1 + 10 * (i // 8) AS BIGINT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS BIGINT)) & 31 AS INT), 1)), 'string_agg', '') AS d FROM p)
@@ -122,3 +134,8 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(vectors.select("vec_id", "embedding", label.alias("label")))
+
+
+@query("op12_conversation_trie", TRIE_SQL)
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
