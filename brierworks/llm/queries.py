@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brierworks.llm import conversation_trie, embedding_dedup, hard_negatives, langid, licenses, mixing, packing, quality, simhash, substrings, topk, warc
+from brierworks.llm import conversation_trie, embedding_dedup, hard_negatives, langid, licenses, mixing, packing, quality, simhash, substrings, topk, toxicity, warc
 from brierworks.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,8 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_conversation_trie", TRIE_SQL)
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_toxicity")
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

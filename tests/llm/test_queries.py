@@ -21,6 +21,7 @@ COLUMNS = {
     "op10_substrings": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
     "op11_hard_negatives": "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint",
     "op12_conversation_trie": "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string",
+    "op13_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
 }
 
 
