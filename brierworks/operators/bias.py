@@ -14,6 +14,7 @@ from brierworks.operators.joins import asof_join
 from brierworks.operators.series import ewm_variance_of
 from brierworks.params import DEFAULTS, Params
 
+BLOCK_DAYS = 64
 HISTORY = ["b_k", "u_k", "q_k", "r_k", "k_k", "epsilon", "state_version"]
 
 
@@ -75,40 +76,51 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _fold(steps: Column, b0: Column, u0: Column, v0: Column, p: Params) -> Column:
-    zero = F.lit(0.0)
-    row = lambda b, u, q, r, k, e, v, d: F.struct(
-        d.alias("target_date"), b.alias("b_k"), u.alias("u_k"), q.alias("q_k"), r.alias("r_k"),
+def _state(day: Column, b: Column, u: Column, q: Column, r: Column, k: Column, e: Column, v: Column) -> Column:
+    return F.struct(
+        day.alias("target_date"), b.alias("b_k"), u.alias("u_k"), q.alias("q_k"), r.alias("r_k"),
         k.alias("k_k"), e.alias("epsilon"), v.alias("state_version"),
     )
-    none = F.lit(None).cast("date")
-    seed = row(b0, u0, zero, zero, zero, zero, v0.cast("int"), none)
-
-    def step(acc: Column, x: Column) -> Column:
-        def given_state(s: Column) -> Column:
-            q = process_noise(x["q_base"], x["last5"], s["b_k"], p)
-            prior = lambda q_: s["u_k"] + q_ * (1.0 + p.gap_inflate * x["gap_days"])
-            gain = lambda u_: F.when(u_ + x["r_k"] == 0, 0.5).otherwise(u_ / (u_ + x["r_k"]))
-            noise = F.struct(q.alias("q"))
-            with_prior = lambda n: _let(
-                F.struct(n["q"].alias("q"), prior(n["q"]).alias("u")), with_gain
-            )
-            with_gain = lambda n: _let(
-                F.struct(n["q"].alias("q"), n["u"].alias("u"), gain(n["u"]).alias("k")), finish
-            )
-            finish = lambda n: row(
-                s["b_k"] + n["k"] * (x["epsilon"] - s["b_k"]), (1.0 - n["k"]) * n["u"], n["q"], x["r_k"],
-                n["k"], x["epsilon"], s["state_version"] + 1, x["target_date"],
-            )
-            return _let(noise, with_prior)
-
-        return F.concat(acc, F.array(_let(F.element_at(acc, -1), given_state)))
-
-    return F.slice(F.aggregate(steps, F.array(seed), step), 2, F.size(steps))
-
-
-def run_filter(prepared: DataFrame, by: list[str], date: str = "target_date", init: DataFrame | None = None, p: Params = DEFAULTS) -> DataFrame:
-    """KAL-03: fold prepared days into a history, optionally from given states per key."""
+
+
+def _next(state: Column, x: Column, p: Params) -> Column:
+    """The state after one day."""
+
+    def given_state(s: Column) -> Column:
+        q = process_noise(x["q_base"], x["last5"], s["b_k"], p)
+        prior = lambda q_: s["u_k"] + q_ * (1.0 + p.gap_inflate * x["gap_days"])
+        gain = lambda u_: F.when(u_ + x["r_k"] == 0, 0.5).otherwise(u_ / (u_ + x["r_k"]))
+        noise = F.struct(q.alias("q"))
+        with_prior = lambda n: _let(F.struct(n["q"].alias("q"), prior(n["q"]).alias("u")), with_gain)
+        with_gain = lambda n: _let(F.struct(n["q"].alias("q"), n["u"].alias("u"), gain(n["u"]).alias("k")), finish)
+        finish = lambda n: _state(
+            x["target_date"], s["b_k"] + n["k"] * (x["epsilon"] - s["b_k"]), (1.0 - n["k"]) * n["u"], n["q"], x["r_k"],
+            n["k"], x["epsilon"], s["state_version"] + 1,
+        )
+        return _let(noise, with_prior)
+
+    return _let(state, given_state)
+
+
+def _handed_on(blocks: Column, first: Column, p: Params) -> Column:
+    """The state at the start of each block. Only states are carried, one per block is kept."""
+    last = lambda s, block: F.aggregate(block, s, lambda t, x: _next(t, x, p))
+    return F.aggregate(F.slice(blocks, 1, F.size(blocks) - 1), F.array(first), lambda acc, block: F.concat(acc, F.array(last(F.element_at(acc, -1), block))))
+
+
+def _block_history(block: Column, start: Column, p: Params) -> Column:
+    """The states after each day of a block."""
+    grow = lambda acc, x: F.concat(acc, F.array(_next(F.element_at(acc, -1), x, p)))
+    return F.slice(F.aggregate(block, F.array(start), grow), 2, F.size(block))
+
+
+def run_filter(prepared: DataFrame, by: list[str], date: str = "target_date", init: DataFrame | None = None, p: Params = DEFAULTS, block_days: int = BLOCK_DAYS) -> DataFrame:
+    """KAL-03: fold prepared days into a history, optionally from given states per key.
+
+    A key's days are cut into blocks of ``block_days``. A first fold hands the state from block to block and keeps nothing
+    else; then every block, a row of its own, is folded again from its start and yields its days. So the work is linear in
+    the days (a series of one block is folded once), and no array of a whole history is built.
+    """
     step = F.struct(F.col(date).alias("target_date"), "epsilon", "r_k", "q_base", "last5", "gap_days")
     keyed = prepared.groupBy(*by).agg(F.array_sort(F.collect_list(step)).alias("_steps"))
     if init is None:
@@ -116,7 +128,12 @@ def run_filter(prepared: DataFrame, by: list[str], date: str = "target_date", in
     else:
         keyed = keyed.join(init.select(*by, F.col("b_k").alias("_b"), F.col("u_k").alias("_u"), F.col("state_version").alias("_v")), by, "left")
         b0, u0, v0 = F.coalesce("_b", F.lit(p.b_init)), F.coalesce("_u", F.lit(p.u_init)), F.coalesce("_v", F.lit(0))
-    rows = keyed.select(*by, F.explode(_fold(F.col("_steps"), b0, u0, v0, p)).alias("h"))
+    zero = F.lit(0.0)
+    first = _state(F.lit(None).cast("date"), b0, u0, zero, zero, zero, zero, v0.cast("int"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("_steps") - 1) / block_days).cast("int")), lambda i: F.slice("_steps", i * block_days + 1, block_days))
+    blocks = keyed.select(*by, cut.alias("_blocks"), first.alias("_first"))
+    starts = blocks.select(*by, F.explode(F.arrays_zip(F.col("_blocks").alias("days"), _handed_on(F.col("_blocks"), F.col("_first"), p).alias("start"))).alias("_b"))
+    rows = starts.select(*by, F.explode(_block_history(F.col("_b.days"), F.col("_b.start"), p)).alias("h"))
     return rows.select(*by, F.col("h.target_date").alias(date), *[F.col(f"h.{c}").alias(c) for c in HISTORY])
 
 

@@ -105,6 +105,26 @@ def bias_input(spark, seed=5, n=120):
     return rows, spark.createDataFrame(rows, "station_id int, target_type string, d int, epsilon double").withColumn("target_date", F.date_add(F.lit("2024-01-01").cast("date"), F.col("d"))).drop("d")
 
 
+@pytest.mark.parametrize("block_days", [1, 4, 64])
+def test_kalman_at_block_edges(spark, block_days):
+    """Series that end just before, at and after the end of a block, some with gaps, one with a given start."""
+    rnd, rows = random.Random(block_days), []
+    for s, n in enumerate((1, block_days, block_days + 1, 2 * block_days, 2 * block_days + 1, 5 * block_days + 3)):
+        day = 0
+        for _ in range(n):
+            day += rnd.choice([1, 1, 1, 3])
+            rows.append((s, "HIGH", day, rnd.gauss(0, 3)))
+    df = spark.createDataFrame(rows, "station_id int, target_type string, d int, epsilon double").withColumn("target_date", F.date_add(F.lit("2024-01-01").cast("date"), F.col("d"))).drop("d")
+    by = ["station_id", "target_type"]
+    got = K.run_filter(K.with_noise(df, by), by, block_days=block_days).orderBy("station_id", "target_date").collect()
+    want = [x for s in range(6) for x in kalman_loop([r[2] for r in rows if r[0] == s], [r[3] for r in rows if r[0] == s])]
+    assert len(got) == len(want) == len(rows)
+    for r, w in zip(got, want):
+        assert (r.b_k, r.u_k) == pytest.approx(w[:2])
+    for s in range(6):
+        assert [r.state_version for r in got if r.station_id == s] == list(range(1, 1 + sum(x[0] == s for x in rows)))
+
+
 def test_kalman_equals_loop(spark):
     rows, df = bias_input(spark)
     got = K.kalman_filter(df.repartition(5), ["station_id", "target_type"]).orderBy("station_id", "target_date").collect()
