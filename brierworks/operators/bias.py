@@ -36,7 +36,7 @@ def with_measurement_noise(series: DataFrame, states: DataFrame, by: list[str],
 
 
 def with_noise(series: DataFrame, by: list[str], date: str = "target_date", window_days: int = 30, p: Params = DEFAULTS) -> DataFrame:
-    """KAL-02, state-free part: last five innovations, base process noise known before the day,
+    """KAL-02, state-free part: last five innovations, base process noise known before the day (``q_next``: after it),
     measurement noise and the gap to the previous observed day."""
     day = F.unix_date(F.col(date))
     w = Window.partitionBy(*by).orderBy("_day")
@@ -53,6 +53,7 @@ def with_noise(series: DataFrame, by: list[str], date: str = "target_date", wind
         .withColumn("_xs", recent)
         .withColumn("_q", q_after)
         .withColumn("q_base", F.coalesce(carried, F.lit(0.0)))
+        .withColumn("q_next", F.coalesce("_q", "q_base"))
         .withColumn("last5", F.slice("_xs", F.greatest(F.size("_xs") - 4, F.lit(1)), 5))
         .withColumn("gap_days", F.coalesce(F.greatest(F.col("_day") - F.lag("_day").over(w) - 1, F.lit(0)), F.lit(0)))
     )

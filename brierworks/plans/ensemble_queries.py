@@ -543,12 +543,13 @@ def _(spark, sf):
     listed = P.bin_ladder(mu, n=7).select(*V.GROUP, "bin_index", "bin_lower", "bin_upper", "ticker")
     book = P.price_book(states, seen_extremes(spark, sf), listed).select("ticker", *V.GROUP, "p_win")
     from brierworks.plans.source_queries import scratch
+    from brierworks.sources import snapshots
 
     path, history = scratch(spark, "book"), scratch(spark, "book-history")
     book = cut_lineage(book)
     TB.publish_book(spark, book, path, history, 2)
     TB.publish_book(spark, book.withColumn("p_win", F.col("p_win") / 2), path, history, 1)
-    now = spark.read.schema(book.withColumn("run_no", F.lit(1)).schema).parquet(path)
+    now = snapshots.read(spark, path, book.withColumn("run_no", F.lit(1)).schema)
     runs = spark.read.schema("ticker string, run_stamp string").parquet(history).groupBy("ticker").agg(F.count(F.lit(1)).alias("n_runs"))
     return rounded(now.join(runs, "ticker").select("ticker", *V.GROUP, "p_win", "n_runs"))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from brierworks.operators.ordering import join_keys
@@ -12,7 +14,7 @@ from brierworks.plans.bindings import with_tables as T
 from brierworks.plans.registry import R, query, r6, rounded
 from brierworks.schemas import contract
 from brierworks.session import shared_folder
-from brierworks.sources import axis as AX, listings as L, payloads as PL, reports as RP, tables as TB
+from brierworks.sources import axis as AX, listings as L, payloads as PL, reports as RP, snapshots, tables as TB
 
 
 def scratch(spark, name: str) -> str:
@@ -373,6 +375,23 @@ def _(spark, sf):
     return rounded(spark.read.schema(tg.schema).parquet(path))
 
 
+@query("snk01_snapshot_commit", "WITH " + MERGE_SQL + f" SELECT station_id, target_date, {R('CASE WHEN tg.n IS NULL OR sr.n >= tg.n THEN sr.v ELSE tg.v END', 'v')}, greatest(coalesce(sr.n, 0), coalesce(tg.n, 0)) AS n, 2::BIGINT AS version FROM tg FULL OUTER JOIN sr USING (station_id, target_date)")
+def _(spark, sf):
+    """Versions of a keyed table: a write whose tasks fail half-way and a repeated batch publish nothing."""
+    tg, sr = merge_sides(spark, sf)
+    path, keys = scratch(spark, "snapshot"), ["station_id", "target_date"]
+    snapshots.merge(spark, path, tg, keys, "target_date", ["n"])
+    broken = tg.withColumn("n", F.when(F.col("station_id") == 7, F.raise_error(F.lit("lost")).cast("long")).otherwise(F.col("n") + 1000))
+    try:
+        snapshots.replace_partitions(spark, path, broken, "target_date", 1)
+    except (PySparkException, Py4JJavaError) as failed:
+        if "lost" not in str(failed):
+            raise
+    for _again in range(2):
+        version = snapshots.merge(spark, path, sr, keys, "target_date", ["n"])
+    return rounded(snapshots.read(spark, path, tg.schema).withColumn("version", F.lit(version).cast("long")))
+
+
 @query("snk02_upsert_coalesce", "WITH " + MERGE_SQL + f" SELECT station_id, target_date, {R('coalesce(sr.v, tg.v)', 'v')}, coalesce(sr.n, tg.n) AS n FROM tg FULL OUTER JOIN sr USING (station_id, target_date)")
 def _(spark, sf):
     return rounded(TB.upsert(*merge_sides(spark, sf), ["station_id", "target_date"], "coalesce"))

@@ -11,6 +11,8 @@ from brierworks.plans.bindings import with_tables as T
 from brierworks.plans.registry import R, query, rounded
 from brierworks.plans.source_queries import payload_docs, scratch
 from brierworks.plans.verify_queries import errors
+from brierworks.sources import snapshots
+from brierworks.session import cut_lineage
 from brierworks.streaming import feeds as S
 
 
@@ -35,8 +37,25 @@ def _(spark, sf):
     path = scratch(spark, "st01")
     rd = event_stream(spark, sf).filter("event_type = 'view'").select(B.station().alias("station_id"), "ts", F.col("value").alias("temp_f"))
     out = S.extremes_stream(rd)
-    finish(S.keep_table(out, f"{path}/table", f"{path}/state", ["station_id", "local_date"], "local_date", ["last_obs_at", "obs_count"]))
-    table = spark.read.schema(schema_of(out)).parquet(f"{path}/table")
+    finish(S.keep_table(out, f"{path}/table", f"{path}/state", ["station_id", "local_date"], "local_date", ["revision"]))
+    table = snapshots.read(spark, f"{path}/table", schema_of(out)).drop("revision")
+    return rounded(table.withColumn("last_obs_at", F.col("last_obs_at").cast("timestamp_ntz")))
+
+
+@query("st01_corrected_readings", T("rd") + f"""SELECT station_id, CAST(ts AS DATE) AS local_date, {R('max(temp_f)', 't_max_f')}, {R('min(temp_f)', 't_min_f')}, count(temp_f) AS obs_count, max(ts) AS last_obs_at
+ FROM (SELECT * REPLACE (CASE WHEN reading_id % 11 <> 0 THEN temp_f END AS temp_f) FROM rd QUALIFY row_number() OVER (PARTITION BY station_id, ts ORDER BY reading_id DESC) = 1) GROUP BY 1, 2""")
+def _(spark, sf):
+    """Three polls: wrong values that hold the extremes, the corrections (some take a value back), and repeats."""
+    path = scratch(spark, "st01-corrected")
+    rd = B.readings(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).withColumnRenamed("reading_id", "poll")
+    right = rd.withColumn("temp_f", F.when(F.col("poll") % 11 != 0, F.col("temp_f")))
+    wrong = rd.withColumn("temp_f", F.col("temp_f") + F.when(F.col("poll") % 2 == 0, 500).otherwise(-500)).where("poll % 3 = 0")
+    schema, out = rd.schema, None
+    for k, polled in enumerate((wrong.unionByName(right.where("poll % 3 = 1")), right, right.where("poll % 2 = 0"))):
+        polled.write.parquet(f"{path}/landing/p{k}")  # one poll lands, the stream picks it up
+        out = S.extremes_stream(S.table_stream(spark, f"{path}/landing/*", schema), lateness="1000 days", poll="poll")
+        finish(S.keep_table(out, f"{path}/table", f"{path}/state", ["station_id", "local_date"], "local_date", ["revision"]))
+    table = snapshots.read(spark, f"{path}/table", schema_of(out)).drop("revision")
     return rounded(table.withColumn("last_obs_at", F.col("last_obs_at").cast("timestamp_ntz")))
 
 
@@ -46,7 +65,7 @@ def _(spark, sf):
     li = S.table_stream(spark, sf, B.table(spark, sf, "lineitem").schema, "lineitem.parquet")
     snaps = li.selectExpr("l_partkey AS ticker", "l_orderkey * 10 + l_linenumber AS snapshot_id", "l_shipdate AS snapshot_at", "round(l_discount * 100) / 100 AS price")
     finish(S.latest_book_stream(snaps, f"{path}/table", f"{path}/state", 8))
-    table = spark.read.schema("ticker bigint, snapshot_id bigint, snapshot_at timestamp_ntz, price double, bucket int").parquet(f"{path}/table")
+    table = snapshots.read(spark, f"{path}/table", "ticker bigint, snapshot_id bigint, snapshot_at timestamp_ntz, price double, bucket int")
     return rounded(table.drop("bucket"))
 
 
@@ -58,7 +77,7 @@ def _(spark, sf):
     payload_docs(spark, sf).write.parquet(f"{path}/landing")
     docs = S.table_stream(spark, f"{path}/landing", payload_docs(spark, sf).schema)
     finish(S.forecast_stream(docs, f"{path}/table", f"{path}/state"))
-    table = spark.read.schema("event_id bigint, target_date date, high_f double, low_f double, issued_at string").parquet(f"{path}/table")
+    table = snapshots.read(spark, f"{path}/table", "event_id bigint, target_date date, high_f double, low_f double, issued_at string")
     return rounded(table.drop("issued_at"))
 
 
@@ -85,7 +104,28 @@ def _(spark, sf):
     series = K.daily_errors(errors(spark, sf), ["station_id", "target_type"])
     series.write.parquet(f"{path}/landing")
     finish(S.append_table(S.bias_stream(S.table_stream(spark, f"{path}/landing", series.schema)), f"{path}/table", f"{path}/state"))
-    return rounded(spark.read.schema(S.BIAS_OUT).parquet(f"{path}/table"))
+    return rounded(spark.read.schema(S.BIAS_OUT).parquet(f"{path}/table").drop("r_k", "arrived"))
+
+
+@query("st05_late_days", bias_oracle().replace(", false AS late", ""))
+def _(spark, sf):
+    """Days arrive out of order; the late ones are replayed, and a new query goes on from the replayed states."""
+    path, by = scratch(spark, "st05-late"), ["station_id", "target_type"]
+    day = F.unix_date("target_date")
+    series = cut_lineage(K.daily_errors(errors(spark, sf), by).withColumn("part", F.when(day % 5 == 0, 1).when(day % 4 == 3, 2).otherwise(0)))
+    newest = series.agg(F.max(day)).first()[0] or 0
+    for k, rows in enumerate((series.where((F.col("part") == 0) & (day < newest - 6)), series.where((F.col("part") == 1) & (day < newest - 6)), series.where((F.col("part") == 2) & (day < newest - 6)))):
+        rows.drop("part").write.parquet(f"{path}/first/p{k}")
+        stream = S.table_stream(spark, f"{path}/first/*", series.drop("part").schema)
+        finish(S.append_table(S.bias_stream(stream), f"{path}/table", f"{path}/state"))
+    rows = spark.read.schema(S.BIAS_OUT).parquet(f"{path}/table")
+    history, states = S.replay_bias(rows, S.bias_states(spark, f"{path}/state"))
+    history, states = cut_lineage(history), cut_lineage(states)
+    series.where(day >= newest - 6).drop("part").write.parquet(f"{path}/second")
+    stream = S.table_stream(spark, f"{path}/second", series.drop("part").schema)
+    finish(S.append_table(S.bias_stream(stream, states=states), f"{path}/later", f"{path}/state-later"))
+    later = spark.read.schema(S.BIAS_OUT).parquet(f"{path}/later")
+    return rounded(history.unionByName(later).where("NOT late").drop("r_k", "arrived", "late"))
 
 
 @query("st06_error_window_stream", f"""WITH e AS (SELECT user_id % 20 AS station_id, event_type AS source_id, ts, value - 60 AS e FROM events),
@@ -96,4 +136,4 @@ def _(spark, sf):
     e = event_stream(spark, sf).select(B.station().alias("station_id"), F.col("event_type").alias("source_id"), "ts", (F.col("value") - 60).alias("error_raw"))
     out = S.error_window_stream(e).withColumn("window_day", F.to_date("window_start"))
     finish(S.keep_table(out, f"{path}/table", f"{path}/state", ["station_id", "source_id", "window_start"], "window_day", ["n"]))
-    return rounded(spark.read.schema(schema_of(out)).parquet(f"{path}/table").drop("window_day"))
+    return rounded(snapshots.read(spark, f"{path}/table", schema_of(out)).drop("window_day"))

@@ -83,7 +83,8 @@ def upsert(target: DataFrame, src: DataFrame, keys: list[str], mode: str = "over
 
 
 def write_upsert(spark: SparkSession, path: str, src: DataFrame, keys: list[str], partition: str, order: list[str], mode: str = "overwrite") -> None:
-    """SNK-01 on files: only the partitions that receive rows are read and rewritten.
+    """SNK-01 on plain files: only the partitions that receive rows are read and rewritten. Tables that are read while
+    they are written belong in ``sources.snapshots``, which publishes whole versions.
 
     The newest source row per key wins, unless the stored row is newer by ``order``; so batches may
     arrive late or twice. The merged rows are checkpointed before they replace the files they were
@@ -140,9 +141,12 @@ def publish_book(spark: SparkSession, book: DataFrame, path: str, history: str,
     """DST-05, sinks: the newest price of every ticker, and each run's prices as history.
 
     ``book`` has ticker, target_date and whatever goes with them. A run that is published again, or
-    after a later one, changes no current price; history keeps one copy per run and publication."""
+    after a later one, changes no current price; history keeps one copy per run and publication. Current prices
+    are a table of ``sources.snapshots``: readers see all prices of a run or none."""
+    from brierworks.sources import snapshots
+
     rows = book.withColumn("run_no", F.lit(run_no))
-    write_upsert(spark, path, rows, ["ticker"], "target_date", ["run_no"])
+    snapshots.merge(spark, path, rows, ["ticker"], "target_date", ["run_no"])
     append_history(rows, history, str(run_no), "target_date")
 
 

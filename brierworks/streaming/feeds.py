@@ -1,24 +1,24 @@
 """Incremental forms of the batch operators on Structured Streaming.
 
-Streaming inputs carry event time in a TIMESTAMP column. Tables kept up to date by a stream are
-Parquet folders merged per micro-batch; the merge keys make a replayed batch harmless.
+Streaming inputs carry event time in a TIMESTAMP column. Tables kept up to date by a stream are published
+in whole versions (see ``sources.snapshots``), one merge per micro-batch; the merge keys make a replayed
+batch harmless.
 """
 
 from __future__ import annotations
 
 from pyspark import cloudpickle
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StructType
 
-from brierworks.operators.ordering import latest_per_key
+from brierworks.operators import bias
 from brierworks.params import DEFAULTS, Params
 from brierworks.session import SETTINGS
 from brierworks.sources.payloads import daily_rows, ingest_payloads
-from brierworks.sources.tables import write_upsert
+from brierworks.sources import snapshots
 from brierworks.streaming import handlers
-from brierworks.streaming.handlers import BIAS_OUT, STALE_OUT, OnlineBias, StaleStation
+from brierworks.streaming.handlers import BIAS_OUT, BIAS_STATE, EXTREMES_OUT, STALE_OUT, OnlineBias, RunningExtremes, StaleStation
 
 # the handlers travel inside the query, so Python workers need not have this package installed
 cloudpickle.register_pickle_by_value(handlers)
@@ -32,15 +32,20 @@ def table_stream(spark: SparkSession, folder: str, schema: StructType, pattern:
     return reader.parquet(folder)
 
 
-def extremes_stream(readings: DataFrame, lateness: str = "3 hours", at: str = "ts") -> DataFrame:
-    """ST-01: running daily extremes per station. A reading is taken once although polls repeat it or
-    correct it later (corrections are merged by the batch form, SNK-04); readings up to ``lateness`` behind are accepted."""
-    return (
-        readings.withWatermark(at, lateness)
-        .dropDuplicatesWithinWatermark(["station_id", at])
-        .groupBy("station_id", F.window(at, "1 day"))
-        .agg(F.max("temp_f").alias("t_max_f"), F.min("temp_f").alias("t_min_f"), F.count("temp_f").alias("obs_count"), F.max(at).alias("last_obs_at"))
-        .select("station_id", F.to_date("window.start").alias("local_date"), "t_max_f", "t_min_f", "obs_count", "last_obs_at")
+def extremes_stream(readings: DataFrame, lateness: str = "3 hours", at: str = "ts", poll: str | None = None) -> DataFrame:
+    """ST-01: running daily extremes per station; a corrected reading replaces the one it corrects.
+
+    A reading is known by its station and instant, so polls may repeat it. The one of the newest batch counts (of one
+    batch, that of the highest ``poll``, if there is such a column, and of these the lowest temperature); a former
+    maximum that is corrected is taken back. Readings up to ``lateness`` behind are accepted, and the readings of a day
+    are forgotten that long after its end. ``revision`` counts a day's changes: order a keyed table by it.
+    """
+    _keyed_state(readings.sparkSession)
+    ms = readings.sparkSession.sql(f"SELECT CAST(INTERVAL {lateness} AS INTERVAL DAY TO SECOND) AS i").first()["i"].total_seconds() * 1000
+    newest = F.col(poll).cast("double") if poll else F.lit(0.0)
+    timed = readings.withWatermark(at, lateness).select("station_id", F.to_date(at).alias("local_date"), at, F.unix_micros(at).alias("at_us"), F.col("temp_f").cast("double").alias("temp_f"), newest.alias("poll"))
+    return timed.groupBy("station_id", "local_date").transformWithStateInPandas(
+        statefulProcessor=RunningExtremes(int(ms)), outputStructType=_typed(EXTREMES_OUT, timed), outputMode="update", timeMode="eventTime"
     )
 
 
@@ -69,7 +74,7 @@ def _start(spark: SparkSession, writer: DataStreamWriter) -> StreamingQuery:
 
 def _upsert_batches(spark: SparkSession, path: str, keys: list[str], partition: str, order: list[str]):
     def write(batch: DataFrame, _id: int) -> None:
-        write_upsert(spark, path, batch, keys, partition, order)
+        snapshots.merge(spark, path, batch, keys, partition, order)
 
     return write
 
@@ -77,34 +82,17 @@ def _upsert_batches(spark: SparkSession, path: str, keys: list[str], partition:
 def keep_table(
     stream: DataFrame, path: str, checkpoint: str, keys: list[str], partition: str, order: list[str], mode: str = "update"
 ) -> StreamingQuery:
-    """Run a stream over what is available and merge every batch into a keyed table."""
+    """Run a stream over what is available and publish a version of the keyed table for every batch that changes it."""
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     batches = _upsert_batches(stream.sparkSession, path, keys, partition, order)
     return _start(stream.sparkSession, writer.foreachBatch(batches))
 
 
 def latest_book_stream(snaps: DataFrame, path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
-    """ST-02: newest order-book snapshot per ticker. Tickers are spread over hash buckets so that a
-    batch rewrites only the buckets it touches."""
+    """ST-02: newest order-book snapshot per ticker. Tickers are spread over hash buckets, so that a batch rewrites only
+    the buckets it changes; an older snapshot that arrives late does not replace a newer one."""
     keyed = snaps.withColumn("bucket", F.pmod(F.xxhash64("ticker"), F.lit(buckets)).cast("int"))
-
-    def write(batch: DataFrame, _id: int) -> None:
-        spark = batch.sparkSession
-        order = ["snapshot_at", "snapshot_id"]
-        newest = latest_per_key(batch, ["ticker"], [F.col(c).desc() for c in order])
-        try:
-            held = spark.read.schema(batch.schema).parquet(path)
-        except AnalysisException as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-        else:
-            # an older snapshot arriving late must not replace a newer one
-            held = held.join(newest.select("bucket").distinct(), "bucket", "left_semi")
-            newest = latest_per_key(newest.unionByName(held), ["ticker"], [F.col(c).desc() for c in order])
-        write_upsert(spark, path, newest, ["ticker"], "bucket", order)
-
-    writer = keyed.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    return _start(snaps.sparkSession, writer.foreachBatch(write))
+    return keep_table(keyed, path, checkpoint, ["ticker"], "bucket", ["snapshot_at", "snapshot_id"], "append")
 
 
 def forecast_stream(docs: DataFrame, path: str, checkpoint: str, key: str = "event_id") -> StreamingQuery:
@@ -136,13 +124,55 @@ def stale_stream(readings: DataFrame, minutes: int = DEFAULTS.reading_stale_minu
     )
 
 
-def bias_stream(errors: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """ST-05: online bias per key. ``errors`` holds one innovation per key and day (see the batch
-    filter); a key's work per batch is the number of its new days."""
+def bias_stream(errors: DataFrame, p: Params = DEFAULTS, states: DataFrame | None = None) -> DataFrame:
+    """ST-05: online bias per key. ``errors`` holds one innovation per key and day (see the batch filter) and may hold its
+    measurement noise ``r_k``; a key's work per batch is the number of its new days. Days at or before a key's last one
+    are passed on as late, for :func:`replay_bias`, whose ``states`` a new query starts from."""
     _keyed_state(errors.sparkSession)
-    return errors.groupBy("station_id", "target_type").transformWithStateInPandas(
-        statefulProcessor=OnlineBias(p), outputStructType=_typed(BIAS_OUT, errors), outputMode="append", timeMode="none"
+    by = ["station_id", "target_type"]
+    if "r_k" not in errors.columns:
+        errors = errors.withColumn("r_k", F.lit(p.r_default))
+    return errors.select(*by, "target_date", "epsilon", "r_k").groupBy(*by).transformWithStateInPandas(
+        statefulProcessor=OnlineBias(p), outputStructType=_typed(BIAS_OUT, errors), outputMode="append", timeMode="none",
+        initialState=None if states is None else states.groupBy(*by),
+    )
+
+
+def bias_states(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """ST-05: the filter states of a stopped query, read from its state store."""
+    _keyed_state(spark)
+    held = spark.read.format("statestore").option("stateVarName", OnlineBias.STATE).load(checkpoint)
+    return held.select("key.station_id", "key.target_type", *[F.col(f"value.{c.split()[0]}").alias(c.split()[0]) for c in BIAS_STATE.split(", ")])
+
+
+def replay_bias(rows: DataFrame, states: DataFrame, p: Params = DEFAULTS) -> tuple[DataFrame, DataFrame]:
+    """ST-05: work the late days into the history, and the states that a new query goes on from.
+
+    ``rows`` are all rows that the stream has put out, ``states`` those of its state store. Keys with late days are
+    recomputed from the first of them (KAL-04): a late day that was not known is inserted, one that was known takes its
+    new innovation. Returns the whole history (the columns of ``rows``, none late) and one state per key; keys without
+    late days keep theirs.
+    """
+    by = ["station_id", "target_type"]
+    kept, late = rows.where("NOT late"), rows.where("late")
+    newest = late.groupBy(*by, "target_date").agg(F.max_by(F.struct("epsilon", "r_k"), F.struct("arrived", "epsilon")).alias("_n"))
+    series = kept.select(*by, "target_date", F.struct("epsilon", "r_k").alias("_o")).join(newest, [*by, "target_date"], "full_outer")
+    series = series.select(*by, "target_date", *[F.coalesce(f"_n.{c}", f"_o.{c}").alias(c) for c in ("epsilon", "r_k")])
+    history = bias.kalman_replay(kept.select(*by, "target_date", *bias.HISTORY), series, late.select(*by, "target_date"), by, p=p)
+    touched = late.select(*by).distinct()
+    last = bias.final_state(history.join(touched, by, "left_semi").select(*by, "target_date", *bias.HISTORY), by)
+    ends = last.select(*by, F.col("target_date").alias("_end"), "b_k", "u_k", "state_version")
+    noise = bias.with_noise(series.join(touched, by, "left_semi"), by, p=p).join(ends, by)
+    day = F.unix_date("target_date")
+    near = noise.where(day >= F.unix_date("_end") - OnlineBias.WINDOW_DAYS)
+    recent = F.array_sort(F.collect_list(F.struct(day.alias("day"), F.col("epsilon").alias("eps"))))
+    redone = near.groupBy(*by, "_end", "b_k", "u_k", "state_version").agg(F.max_by("q_next", "target_date").alias("q"), recent.alias("_r"))
+    redone = redone.select(
+        *by, F.col("b_k").alias("b"), F.col("u_k").alias("u"), "q", F.col("state_version").alias("version"), F.unix_date("_end").alias("last"),
+        F.col("_r.day").alias("days"), F.col("_r.eps").alias("eps"),
     )
+    out = history.select(*by, "target_date", *bias.HISTORY, F.lit(False).alias("late"), F.lit(None).cast("bigint").alias("arrived"))
+    return out.select(*rows.columns), states.join(touched, by, "left_anti").unionByName(redone)
 
 
 def append_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

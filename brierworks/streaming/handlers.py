@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from types import SimpleNamespace
 
@@ -41,20 +42,76 @@ class StaleStation(StatefulProcessor):
         pass
 
 
+EXTREMES_OUT = "station_id bigint, local_date date, t_max_f double, t_min_f double, obs_count bigint, last_obs_at timestamp, revision bigint"
+
+
+class RunningExtremes(StatefulProcessor):
+    """ST-01: the readings of one station and day, by instant, and what they amount to.
+
+    A new reading only widens the extremes. A corrected one replaces its predecessor; where that held an extreme, both are
+    taken anew from the day's readings. The state of a day goes when its time is over.
+    """
+
+    def __init__(self, lateness_ms: int):
+        self.lateness_ms = lateness_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.readings = handle.getValueState("readings", "at array<bigint>, temp array<double>")
+        self.sums = handle.getValueState("sums", "high double, low double, n bigint, last bigint, revision bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(["poll", "temp_f"], ascending=[True, False], na_position="first")
+        new = dict(zip(batch["at_us"].tolist(), [None if x != x else x for x in batch["temp_f"].tolist()]))
+        if self.sums.exists():
+            high, low, n, last, revision = self.sums.get()
+            at, temp = self.readings.get()
+            held = dict(zip(at, temp))
+        else:
+            high, low, n, last, revision, held = None, None, 0, None, 0, {}
+            end = pd.Timestamp(key[1]) + pd.Timedelta(days=1)
+            self.handle.registerTimer(end.value // 1_000_000 + self.lateness_ms)
+        changed = {a: x for a, x in new.items() if a not in held or held[a] != x}
+        if not changed:
+            yield pd.DataFrame()
+            return
+        before = [held[a] for a in changed if held.get(a) is not None]
+        taken_back = any(x == high or x == low for x in before)
+        held.update(changed)
+        known = [x for x in (held if taken_back else changed).values() if x is not None]
+        known += [x for x in (high, low) if x is not None and not taken_back]
+        high, low = (max(known), min(known)) if known else (None, None)
+        n += sum(x is not None for x in changed.values()) - len(before)
+        last = max([*changed, *([last] if last is not None else [])])
+        self.readings.update((list(held), list(held.values())))
+        self.sums.update((high, low, n, last, revision + 1))
+        yield pd.DataFrame({"station_id": [key[0]], "local_date": [key[1]], "t_max_f": [high], "t_min_f": [low], "obs_count": [n], "last_obs_at": [pd.Timestamp(last, unit="us")], "revision": [revision + 1]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.readings.clear()
+        self.sums.clear()
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
 BIAS_OUT = (
-    "station_id bigint, target_type string, target_date date, b_k double, u_k double, q_k double, k_k double, "
-    "epsilon double, state_version int, late boolean"
+    "station_id bigint, target_type string, target_date date, b_k double, u_k double, q_k double, r_k double, k_k double, "
+    "epsilon double, state_version int, late boolean, arrived bigint"
 )
+BIAS_STATE = "b double, u double, q double, version int, last int, days array<int>, eps array<double>"
 
 
 class OnlineBias(StatefulProcessor):
     """ST-05: the bias filter with its state kept between batches.
 
     State: filter values, last date and the recent innovations the noise terms need. A day at or
-    before the last one is not applied but passed on as late, for a batch replay.
+    before the last one is not applied but passed on as late, for a batch replay; ``arrived`` is the time of its batch.
     """
 
     WINDOW_DAYS = 30
+    STATE = "bias"
     NEEDS = (
         "b_init", "u_init", "r_default", "gamma", "lambda_asym", "gap_inflate",
         "ewm_span_stable", "ewm_span_volatile", "ewm_vol_threshold",
@@ -64,9 +121,11 @@ class OnlineBias(StatefulProcessor):
         self.p = SimpleNamespace(**{f: getattr(p, f) for f in self.NEEDS})
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState(
-            "bias", "b double, u double, q double, version int, last int, days array<int>, eps array<double>"
-        )
+        self.state = handle.getValueState(self.STATE, BIAS_STATE)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        s = initialState.iloc[0]
+        self.state.update((float(s["b"]), float(s["u"]), float(s["q"]), int(s["version"]), int(s["last"]), [int(d) for d in s["days"]], [float(x) for x in s["eps"]]))
 
     def _q_base(self, xs: list[float], before: float) -> float:
         """Exponentially weighted variance of the steps between recent innovations."""
@@ -100,24 +159,24 @@ class OnlineBias(StatefulProcessor):
         else:
             b, u, q, version, last, days, eps = p.b_init, p.u_init, 0.0, 0, None, [], []
         batch = pd.concat(list(rows)).sort_values("target_date")
-        out = []
-        for date, e in zip(batch["target_date"], batch["epsilon"]):
+        out, now = [], time.time_ns() // 1000
+        for date, e, r in zip(batch["target_date"], batch["epsilon"], batch["r_k"].fillna(p.r_default)):
             day = (pd.Timestamp(date) - pd.Timestamp("1970-01-01")).days
             if last is not None and day <= last:
-                out.append((key[0], key[1], date, None, None, None, None, e, version, True))
+                out.append((key[0], key[1], date, None, None, None, r, None, e, version, True, now))
                 continue
             kept = [(d, x) for d, x in zip(days, eps) if d >= day - self.WINDOW_DAYS] + [(day, e)]
             days, eps = [d for d, _ in kept], [x for _, x in kept]
             noise = q + p.gamma * sum((x - b) ** 2 * (p.lambda_asym if x < b else 1.0) for x in eps[-5:])
             prior = u + noise * (1 + p.gap_inflate * (max(0, day - last - 1) if last is not None else 0))
-            gain = prior / (prior + p.r_default) if prior + p.r_default else 0.5
+            gain = prior / (prior + r) if prior + r else 0.5
             b, u, version, last = b + gain * (e - b), (1 - gain) * prior, version + 1, day
             q = self._q_base(eps, q)
-            out.append((key[0], key[1], date, b, u, noise, gain, e, version, False))
+            out.append((key[0], key[1], date, b, u, noise, r, gain, e, version, False, None))
         if last is not None:
             self.state.update((b, u, q, version, last, days, eps))
         cols = [c.split()[0] for c in BIAS_OUT.split(", ")]
-        yield pd.DataFrame(out, columns=cols)
+        yield pd.DataFrame(out, columns=cols).astype({"arrived": "Int64"})
 
     def close(self) -> None:
         pass
