@@ -27,17 +27,18 @@ def asof_join(
     """J-07: attach the most recent right row before (``strict``) or at-or-before each left row.
 
     Both sides go through one union; the last right payload is carried forward in time order with
-    block-wise prefixes, so a key holding a third of the rows is still spread over many tasks.
+    block-wise prefixes, so a key holding a third of the rows is still spread over many tasks, and so is an
+    instant. Of right rows with one key and time, that with the greatest hash counts.
     """
     state = F.struct(*[F.col(c) for c in payload])
     lefts = left.columns
     kept = F.struct(*[F.col(c) for c in lefts])
     a = left.select(*by, F.col(left_on).alias("_at"), F.lit(0 if strict else 1).alias("_side"), kept.alias("_row"))
     b = right.select(*by, F.col(right_on).alias("_at"), F.lit(1 if strict else 0).alias("_side"), state.alias("_state"))
-    both = a.unionByName(b, allowMissingColumns=True)
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("_tie", F.xxhash64("_row", "_state"))
     number = ts_number(F.col("_at")) if dict(both.dtypes)["_at"] != "date" else F.unix_date("_at")
     filled = running(
-        both, by, ["_at", "_side"], {"_hit": ("last", F.col("_state"))}, None if bounded else number, n_blocks
+        both, by, ["_at", "_side", "_tie"], {"_hit": ("last", F.col("_state"))}, None if bounded else number, n_blocks
     )
     return filled.filter(F.col("_row").isNotNull()).select("_row.*", *[F.col(f"_hit.{c}").alias(c) for c in payload])
 

@@ -136,7 +136,7 @@ def _bare(df: DataFrame, target: str) -> DataFrame:
 
 def fit_bias_models(features: DataFrame, target: str, a: TreeParams = DEEP, b: TreeParams = WIDE, refit: bool = False) -> dict[str, PipelineModel]:
     """ML-03: two learners on the first 60 % of each station's days; ``refit`` uses all days and
-    1.1 times the rounds."""
+    1.1 times the rounds. Without a row to train on there is no model."""
     data = _prepared(features, target).filter(F.col(f"target_error_{target.lower()}").isNotNull())
     if refit:
         a, b = (TreeParams(x.depth, int(round(x.rounds * 1.10)), x.step, x.subsample, x.seed) for x in (a, b))
@@ -144,14 +144,18 @@ def fit_bias_models(features: DataFrame, target: str, a: TreeParams = DEEP, b: T
         data = chrono_split(data, [KEY], DATE).filter("split = 'train'")
     data = data.persist()
     try:
+        if data.isEmpty():
+            return {}
         return {"a": _learner(target, a).fit(data), "b": _learner(target, b).fit(data)}
     finally:
         data.unpersist()
 
 
 def score_bias(models: dict[str, PipelineModel], features: DataFrame, target: str, weights: DataFrame | float = 0.5) -> DataFrame:
-    """ML-06: both learners' bias, their blend and the corrected forecast, for every row."""
+    """ML-06: both learners' bias, their blend and the corrected forecast, for every row; NULL without models."""
     out = _prepared(features, target)
+    if not models:
+        out = out.withColumns({f"bias_{name}": F.lit(None).cast("double") for name in "ab"})
     for name, m in models.items():
         out = m.transform(out).withColumnRenamed("prediction", f"bias_{name}").drop("features", "_station_number", "station_vector")
     out = _bare(out, target)

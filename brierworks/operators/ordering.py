@@ -5,11 +5,14 @@ Two regimes are used on purpose:
 * a *bounded* series (one row per key and calendar day, one ladder of bins, ...) runs as a plain window;
 * an *unbounded* one is cut into value-range blocks first. A block holds about ``1/n`` of all rows
   whatever the key distribution is, so no task sees more than that; the state at each block's start
-  comes from a per-block summary with one row per key and block.
+  comes from a per-block summary with one row per key and block. A value that alone fills blocks is cut
+  further, by key and by the columns that order its rows, at places taken from a sample of these rows.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -77,15 +80,64 @@ def join_keys(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inne
 
 # ---------------------------------------------------------------- blocks
 
+def _default_blocks(df: DataFrame) -> int:
+    return min(2048, max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _quantiles(df: DataFrame, order: Column, n: int | None) -> tuple[list[float], int]:
+    n = n or _default_blocks(df)
+    probs = [i / n for i in range(1, n)]
+    value = F.coalesce(order.cast("double"), F.lit(float("-inf")))  # as block_of places NULLs
+    row = df.agg(F.percentile_approx(value, probs, max(2000, 10 * n)).alias("b")).first()
+    return list(row["b"] or []), n
+
+
 def block_bounds(df: DataFrame, order: Column, n: int | None = None) -> list[float]:
     """At most ``n - 1`` split points of ``order`` (a fixed-size summary, safe on the driver).
 
     By default there are as many blocks as the session has shuffle partitions, 64 at least: the number
     that its owner has set for the size of the data."""
-    n = n or min(4096, max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    probs = [i / n for i in range(1, n)]
-    row = df.agg(F.percentile_approx(order.cast("double"), probs, max(2000, 10 * n)).alias("b")).first()
-    return sorted(set(row["b"] or []))
+    return sorted(set(_quantiles(df, order, n)[0]))
+
+
+TIE_SAMPLE = 64  # sampled rows for each piece that a crowded value is cut into
+MAX_PIECES = 4096
+
+
+def blocks(df: DataFrame, by: list[str], order: list[str], position: Column, n: int | None = None) -> DataFrame | None:
+    """``df`` with ``_blk``, the ordinal of each row's block: blocks follow ``position``, the numeric form of the first
+    ``order`` column, and within one value the key and the other order columns. None where one block would do.
+
+    Quantiles are taken at twice ``n``. Where none repeats, every second one bounds a block. Otherwise all do, since a
+    value may lie on one and reach almost to both neighbours; a value that spans several gets blocks of its own, as many
+    as it spans, with bounds that are order statistics of a sample of its rows, of about TIE_SAMPLE rows a piece. So a
+    block has about ``1/n`` of the rows at most. Rows that agree in key and all order columns share one.
+    """
+    found, n = _quantiles(df, position, 2 * (n or _default_blocks(df)))
+    if not found:
+        return None
+    repeats = Counter(found)
+    crowded = {v: c + 1 for v, c in repeats.items() if c > 1}
+    if not crowded:
+        return df.withColumn("_blk", block_of(position, found[1::2] or found))
+    # a crowded value begins a block
+    bounds = sorted(set(found) | {math.nextafter(v, -math.inf) for v in crowded})
+    place = block_of(position, bounds).cast("long") * MAX_PIECES
+    value = F.coalesce(position.cast("double"), F.lit(float("-inf")))
+    at = F.when(value.isin(list(crowded)), value)
+    tie = F.struct(F.xxhash64(*by) if by else F.lit(0), *order)
+    marked = df.withColumn("_crowd", at).withColumn("_place", tie)
+    pieces = F.create_map(*[F.lit(x) for v, c in crowded.items() for x in (v, min(c, MAX_PIECES))])
+    # a value that spans c quantiles has at least (c - 1) / n of all rows
+    total = marked.where("_crowd IS NOT NULL").groupBy("_crowd").agg(F.count(F.lit(1)).alias("_n"))
+    lot = F.pmod(F.xxhash64(F.lit(7), *by, *order), F.lit(1 << 30)) / float(1 << 30)
+    drawn = marked.where("_crowd IS NOT NULL").join(F.broadcast(total), "_crowd").where(lot < pieces[F.col("_crowd")] * TIE_SAMPLE / F.col("_n"))
+    cuts = drawn.groupBy("_crowd").agg(F.array_sort(F.collect_list("_place")).alias("_s"))
+    k = pieces[F.col("_crowd")]
+    cuts = cuts.select("_crowd", F.transform(F.sequence(F.lit(1), k - 1), lambda i: F.col("_s")[F.floor(i * F.size("_s") / k).cast("int")]).alias("_cuts"))
+    inner = F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col("_place"))))
+    placed = marked.join(F.broadcast(cuts), "_crowd", "left")  # at most n rows, n bounds in all
+    return placed.withColumn("_blk", place + inner).drop("_crowd", "_place", "_cuts")
 
 
 def block_of(order: Column, bounds: list[float]) -> Column:
@@ -126,10 +178,10 @@ def running(
     """
     if position is None:
         return _running_window(df, by, order, measures, exclusive)
-    bounds = block_bounds(df, position, n_blocks)
-    if not bounds:
+    cut = blocks(df, by, order, position, n_blocks)
+    if cut is None:
         return _running_window(df, by, order, measures, exclusive)
-    return _running_blocks(df.withColumn("_blk", block_of(position, bounds)), by, order, measures, exclusive)
+    return _running_blocks(cut, by, order, measures, exclusive)
 
 
 def _frame(by: list[str], order: list[str], exclusive: bool):

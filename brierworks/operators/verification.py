@@ -349,13 +349,17 @@ def trial_diagnostics(trials: DataFrame) -> DataFrame:
     )
 
 
+REGRESSION = 1e-9
+
+
 def summary_comparison(results: DataFrame, by: list[str]) -> DataFrame:
-    """AGG-29: roll-up of per-cell holdout results."""
+    """AGG-29: roll-up of per-cell holdout results. An improvement below ``-REGRESSION`` percent is a regression;
+    less is what rounding leaves of two equal averages."""
     worse = F.abs(F.col("bias_blend")) > F.abs(F.col("bias_raw"))
     return results.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_cells"),
         F.avg("improvement").alias("mean_improvement"),
-        F.count_if(F.col("improvement") < 0).alias("n_regressions"),
+        F.count_if(F.col("improvement") < -REGRESSION).alias("n_regressions"),
         F.count_if((F.col("weight") < 0.05) | (F.col("weight") > 0.95)).alias("n_extreme_blend"),
         F.count_if(worse).alias("n_bias_growth"),
     )

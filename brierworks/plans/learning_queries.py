@@ -11,6 +11,7 @@ from brierworks.operators.series import chrono_split
 from brierworks.plans import bindings as B
 from brierworks.plans.bindings import with_tables as T
 from brierworks.plans.registry import R, query, rounded
+from brierworks.session import cut_lineage
 
 DAY_COLS = {
     "forecast_high": "avg((o_orderkey * 29) % 450) / 5.0",
@@ -100,7 +101,7 @@ TARGETS = ("HIGH", "LOW")
 
 def scored(spark, sf, target="HIGH", weights=0.5, refit=False):
     """Every feature row scored by models of this very call."""
-    rows = chrono_split(features(spark, sf), ["station_id"], "target_date").persist()
+    rows = cut_lineage(chrono_split(features(spark, sf), ["station_id"], "target_date"))
     models = ML.fit_bias_models(rows.drop("split"), target, refit=refit)
     return ML.score_bias(models, rows, target, weights)
 
@@ -114,6 +115,30 @@ def _(spark, sf):
     return rounded(out[0].unionByName(out[1]))
 
 
+KEPT_SQL = "WITH " + DAY_SQL + """, ok AS (SELECT * FROM rw WHERE _gap <> 0),
+ah AS (SELECT *, count(*) FILTER (WHERE lead_hours = 24) OVER (PARTITION BY station_id) AS n24 FROM ok), kp AS (SELECT * FROM ah WHERE n24 < 180 OR lead_hours = 24), """ + memory_sql("kp") + f""",
+ft AS (SELECT * FROM d3 WHERE {' AND '.join(c + ' IS NOT NULL' for c in MEMORY)}),
+fs AS (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY target_date) - 1 AS i, count(*) OVER (PARTITION BY station_id) AS n FROM ft),
+pz AS (SELECT *, CASE WHEN i < floor(n * 0.6::DOUBLE) THEN 'train' WHEN i < floor(n * 0.8::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM fs),
+er AS (SELECT station_id, target_date, split, 'HIGH' AS target_type, target_error_high AS e FROM pz UNION ALL SELECT station_id, target_date, split, 'LOW', target_error_low FROM pz)
+"""
+
+
+@query("ml03_predictions", KEPT_SQL + f"SELECT station_id, target_date, target_type, split, {R('e', 'error_raw')}, true AS has_a, true AS has_b, true AS gains FROM er WHERE split <> 'train'")
+def _(spark, sf):
+    """Every row after the training days has a prediction of each learner; on the last fifth of the days, which no fit has
+    seen, the learners and their blend have a lower mean absolute error than the raw forecast."""
+    out = []
+    for t in TARGETS:
+        e, later = F.col(f"target_error_{t.lower()}"), cut_lineage(scored(spark, sf, t).filter("split <> 'train'"))
+        gain = [F.avg(F.abs(e - F.col(c))) < F.avg(F.abs(e)) for c in ("bias_a", "bias_b", "bias_blend")]
+        gains = later.filter("split = 'test'").agg((gain[0] & gain[1] & gain[2]).alias("g")).scalar()
+        out.append(later.select(
+            "station_id", "target_date", F.lit(t).alias("target_type"), "split", e.alias("error_raw"),
+            F.col("bias_a").isNotNull().alias("has_a"), F.col("bias_b").isNotNull().alias("has_b"), gains.alias("gains")))
+    return rounded(out[0].unionByName(out[1]))
+
+
 TUNING_GRID = [ML.DEEP, replace(ML.DEEP, step=0.05), ML.WIDE, replace(ML.WIDE, step=0.05)]
 
 

@@ -36,6 +36,17 @@ def _(spark, sf):
     return rounded(TB.parse_obs_lines(B.events(spark, sf).select("event_id", line.alias("line"))))
 
 
+@query("src02_obs_files", f"""SELECT 'K' || lpad((user_id % 20)::VARCHAR, 3, 'A') AS station_id, date_trunc('minute', ts) AS valid, CAST(ts AS DATE) AS local_date,
+ {R('CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN NULL ELSE value END', 'temp_f')} FROM events""")
+def _(spark, sf):
+    """Observation files with a header land in a folder and are scanned."""
+    path = scratch(spark, "obs-csv")
+    B.events(spark, sf).select(
+        F.expr("concat('K', lpad(cast(user_id % 20 as string), 3, 'A'))").alias("station_id"), F.date_format("ts", "yyyy-MM-dd HH:mm").alias("valid"),
+        F.expr("CASE WHEN event_id % 7 = 0 THEN 'M' WHEN event_id % 11 = 0 THEN 'trace' ELSE cast(value as string) END").alias("tmpf")).write.csv(path, header=True)
+    return rounded(TB.read_obs_csv(spark, path))
+
+
 # ------------------------------------------------------------------ forecast documents
 
 def payload_docs(spark, sf):

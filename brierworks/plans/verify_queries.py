@@ -510,7 +510,7 @@ def _(spark, sf):
 
 @query("agg29_summary_comparison", T("errb", extra="""
 c AS (SELECT station_id, source_id, target_type, avg(e) AS bias_raw, avg(e + 5) AS bias_blend, (avg(abs(e)) - avg(abs(e + 5))) / avg(abs(e)) * 100 AS improvement, avg(lead_hours) / 120.0 AS weight FROM errb GROUP BY 1, 2, 3)""") + f"""
-SELECT target_type, count(*) AS n_cells, {R('avg(improvement)', 'mean_improvement')}, count(*) FILTER (WHERE improvement < 0) AS n_regressions,
+SELECT target_type, count(*) AS n_cells, {R('avg(improvement)', 'mean_improvement')}, count(*) FILTER (WHERE improvement < -1e-9) AS n_regressions,
  count(*) FILTER (WHERE weight < 0.05 OR weight > 0.95) AS n_extreme_blend, count(*) FILTER (WHERE abs(bias_blend) > abs(bias_raw)) AS n_bias_growth FROM c GROUP BY 1""")
 def _(spark, sf):
     fc = V.unpivot_targets(V.latest_forecasts(B.forecasts(spark, sf), B.runs(spark, sf)), ["station_id", "source_id", "target_date", "lead_hours"], "high_f", "low_f", "f_raw")

@@ -1,5 +1,6 @@
 """Operators against plain loops, and block-wise forms against plain windows."""
 
+import datetime as dt
 import math
 import random
 
@@ -296,3 +297,49 @@ def test_city_of_four_words(spark):
     events = spark.createDataFrame([("E-1", None, "High in Salt Lake City Airport tomorrow?"), ("E-2", None, "High in Salt Lake tomorrow?")], "event_ticker string, series_ticker string, title string")
     stations = spark.createDataFrame([("KSLC", "Salt Lake City Airport", None, None, None), ("KX", "", None, None, None)], "station_id string, city string, city_code string, series_high string, series_low string")
     assert {r.event_ticker: r.station_id for r in L.match_station(events, stations).collect()} == {"E-1": "KSLC", "E-2": None}
+
+
+def crowded_rows(n=12_000, seed=4):
+    """40 % of all rows on one instant of one key, another 20 % on one instant of many keys, open edges included."""
+    r = random.Random(seed)
+    out = []
+    for i in range(n):
+        x = r.random()
+        k, t = (1, 50) if x < 0.4 else (r.randrange(40), 70) if x < 0.6 else (r.randrange(40), None if x < 0.7 else r.randrange(200))
+        out.append((k, t, i, float(r.randrange(100))))
+    return out
+
+
+def test_crowded_instants_are_split(spark):
+    rows = crowded_rows()
+    df = spark.createDataFrame(rows, "k int, t int, i int, v double").repartition(6)
+    cut = O.blocks(df, ["k"], ["t", "i"], F.col("t"), 16).cache()
+    sizes = [r["count"] for r in cut.groupBy("_blk").count().collect()]
+    assert max(sizes) <= 1.5 * len(rows) / 16
+    ordered = sorted((r._blk, r.t is not None, r.t or 0, r.k, r.i) for r in cut.collect())
+    per_key = {}
+    for blk, known, t, k, i in ordered:  # blocks follow the order within every key
+        per_key.setdefault(k, []).append((known, t, i, blk))
+    for mine in per_key.values():
+        assert [m[3] for m in sorted(mine)] == sorted(m[3] for m in mine)
+    measures = {"s": ("sum", F.col("v")), "n": ("count", F.col("v")), "la": ("last", F.col("v"))}
+    a = O.running(df, ["k"], ["t", "i"], measures, None).orderBy("i").collect()
+    b = O.running(df, ["k"], ["t", "i"], measures, F.col("t"), n_blocks=16).orderBy("i").collect()
+    assert a == b
+    pos = O.positions(df, ["k"], "t", ["i"], nulls="last")
+    for k in (0, 1):
+        want = [r[2] for r in sorted((x for x in rows if x[0] == k), key=lambda x: (x[1] is None, x[1] or 0, x[2]))]
+        assert [r.i for r in pos.where(F.col("k") == k).orderBy("pos").collect()] == want
+
+
+def test_asof_on_a_crowded_instant(spark):
+    rows = crowded_rows(3000)
+    left = spark.createDataFrame([(k, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=t), i) for k, t, i, _ in rows if t is not None], "k int, at timestamp_ntz, i int")
+    right = spark.createDataFrame([(k, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=t), v) for k, t, i, v in rows if t is not None and i % 3 == 0], "k int, seen timestamp_ntz, v double")
+    got = {r.i: r.v for r in J.asof_join(left, right, ["k"], "at", "seen", ["v"], n_blocks=16).collect()}
+    held = sorted((k, t, v) for k, t, i, v in rows if t is not None and i % 3 == 0)
+    assert len(got) == sum(t is not None for _, t, _, _ in rows)
+    for k, t, i, _ in rows:
+        if t is not None:
+            before = [h for h in held if h[0] == k and h[1] < t]
+            assert got[i] in ({h[2] for h in before if h[1] == before[-1][1]} if before else {None})

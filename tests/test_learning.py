@@ -63,3 +63,13 @@ def test_each_station_has_its_own_column(spark):
     assert stations > 32 and shown.count() == shown.select("v").distinct().count() == stations
     new = ML.score_bias({"a": model, "b": model}, rows.limit(5).withColumn("station_id", F.lit("new")), "HIGH")
     assert new.count() == 5 and new.filter("bias_blend IS NULL").count() == 0
+
+
+def test_nothing_to_learn_from(spark):
+    rows = Q.features(spark, SF)
+    none = ML.fit_bias_models(rows.limit(0), "HIGH")
+    assert none == {}
+    out = ML.score_bias(none, rows.limit(3), "HIGH")
+    assert out.count() == 3 and out.filter("bias_blend IS NOT NULL OR corrected IS NOT NULL").count() == 0
+    assert ML.score_bias(none, rows.limit(0), "HIGH").count() == 0
+    assert ML.tune_bias_models(rows.limit(0), "LOW", [ML.TreeParams(depth=1, rounds=1)], folds=2).count() == 0
