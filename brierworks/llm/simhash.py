@@ -8,26 +8,27 @@ means that node pairs there are a node with itself, which is where Spark cuts th
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from brierworks.llm import common as _common, components as _components
-from brierworks.llm.common import ids, order_id, partitions, remove_folder, table_of, text_slices
+from brierworks.llm.common import ids, mix, order_id, partitions, seeded, table_of, text_slices
 from brierworks.llm.components import components, forest
-from brierworks.session import cut_lineage, shared_folder
+from brierworks.session import cut_lineage
 
 SEED = 42
 BITS = 64
 LEAF_PAIRS = 1 << 17
-PARTNERS = 16
 BLOCK = 256
-KIN = 0.5
+BLOCK_HASHES = 1 << 21  # of a block of a family
+TASK_HASHES = 1 << 20  # of a task, on average
+SKETCH = 64
+SLACK = 0.15
 GROUP_ROWS = 1 << 15
 
 
@@ -237,19 +238,8 @@ def _first_rotation(far: np.ndarray, budget: int) -> np.ndarray:
     return first
 
 
-def _nearest(ends: np.ndarray, far: np.ndarray, k: int) -> np.ndarray:
-    """Whether a pair is among the ``k`` closest of its end."""
-    order = np.lexsort((far, ends))
-    fresh = np.append(True, np.diff(ends[order]) > 0)
-    rank = np.arange(len(ends)) - np.maximum.accumulate(np.where(fresh, np.arange(len(ends)), 0))
-    out = np.zeros(len(ends), bool)
-    out[order[rank < k]] = True
-    return out
-
-
-def _closest(budget: int, partners: int):
-    """Candidate pairs of a trie task between different families, known strangers left out: a forest of the closest, and
-    each text's ``partners`` closest."""
+def _akin(budget: int, least: int):
+    """Pairs within ``budget`` bits whose sketches agree in ``least`` places: a forest of the most alike of a trie task."""
     edges = blocks(budget)
     allowed = {edges[r]: _allowed(budget, edges[r]) for r in range(budget + 1)}
 
@@ -260,31 +250,20 @@ def _closest(budget: int, partners: int):
         node, side = group.column("node").to_numpy(), group.column("side").to_numpy()
         order = np.lexsort((node, fps, side))
         fps, node = fps[order], node[order]
-        _, label = np.unique(group.column("label").to_numpy()[order], return_inverse=True)
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)[order]
         cut = int((side == 0).sum())
-        left, right = fps[:cut], fps[cut:] if cut < len(fps) else None
-        at = {n: k for k, n in enumerate(node.tolist())}
-        failed = [at[node[k]] * len(node) + at[o] for k, x in enumerate(group.column("failed").take(pa.array(order)).to_pylist()) for o in x or () if o in at]
-        failed = np.unique(np.array(failed + [b % len(node) * len(node) + b // len(node) for b in failed], np.int64))
         held = [np.zeros(0, np.int64)] * 3
-        for x, y in trie_pairs(left, right, allowed[by], budget):
-            y = y if right is None else y + cut
-            fresh = label[x] != label[y]
-            x, y = x[fresh], y[fresh]
-            fresh = ~np.isin(x * len(node) + y, failed)
-            x, y = x[fresh], y[fresh]
+        for x, y in trie_pairs(fps[:cut], fps[cut:] if cut < len(fps) else None, allowed[by], budget):
+            y = y if cut == len(fps) else y + cut
             own = _first_rotation(_rotated(fps[x] ^ fps[y], BITS - by if by else 0), budget) == rot
             x, y = x[own], y[own]
-            if len(x):
-                far = np.bitwise_count(fps[x] ^ fps[y]).astype(np.int64)
-                held = [np.concatenate(c) for c in zip(held, (far, x, y))]
-                keep = np.zeros(len(held[0]), bool)
-                keep[spanning(int(label.max()) + 1, label[held[1]], label[held[2]], held[0])] = True
-                if partners:
-                    keep |= _nearest(held[1], held[0], partners) | _nearest(held[2], held[0], partners)
+            same = (sketch[x] == sketch[y]).sum(axis=1)
+            near = same >= least
+            if near.any():
+                held = [np.concatenate(c) for c in zip(held, (SKETCH - same[near], x[near], y[near]))]
+                keep = spanning(len(node), held[1], held[2], held[0])
                 held = [c[keep] for c in held]
-        a, b = node[held[1]], node[held[2]]
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+        return pa.table({"a": pa.array(node[held[1]], pa.int64()), "b": pa.array(node[held[2]], pa.int64())})
 
     return run
 
@@ -322,32 +301,70 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
-def _compared(words: int):
+def digests(text: bytes, words: int) -> np.ndarray:
+    """The distinct word shingles of a text as sorted 64-bit hashes, none for a text without words."""
+    parts = text.lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    plain = b" ".join(parts)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+    starts = np.append(0, ends[:-1])
+    n = max(1, len(parts) - words + 1)
+    last = (ends[words - 1 :] if len(parts) >= words else ends[-1:]) - 1
+    out, digest = np.empty(n, np.uint64), xxhash.xxh64_intdigest
+    for k in range(0, n, 1 << 15):
+        pairs = zip(starts[k : min(n, k + (1 << 15))].tolist(), last[k : k + (1 << 15)].tolist())
+        out[k : k + (1 << 15)] = [digest(plain[s:e], SEED) for s, e in pairs]
+    return np.unique(out)
+
+
+def sketch_of(hashes: np.ndarray) -> bytes:
+    """One byte of the smallest of the hashes under each of SKETCH orders: two sketches agree in a place with a chance of
+    about the similarity of the sets."""
+    least = np.full(SKETCH, np.uint64((1 << 64) - 1))
+    a = seeded(SKETCH, 11) | np.uint64(1)
+    for k in range(0, len(hashes), 1 << 11):
+        least = np.minimum(least, (hashes[None, k : k + (1 << 11)] * a[:, None]).min(axis=1))
+    return (mix(least) & np.uint64(255)).astype(np.uint8).tobytes()
+
+
+def _profiles(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [batch.column(batch.schema.get_field_index(c)) for c in ("text_a", "text_b")]
-            alike = [jaccard(*(shingle_hashes(t.as_py(), words) for t in pair)) for pair in zip(*texts)]
-            yield table_of(batch, 0, batch.num_rows, ["a", "b"], alike=pa.array(alike, pa.float64()))
+            for i, j, data, starts, ends in text_slices(batch):
+                whole = data.tobytes()
+                fps, sketches, sizes = [], [], []
+                for s, e in zip(starts.tolist(), ends.tolist()):
+                    every = digests(whole[s:e], words)
+                    ones = sum((_bit_counts(every[k : k + (1 << 15)]) for k in range(0, len(every), 1 << 15)), np.zeros(BITS, np.int64))
+                    fps.append(int(np.packbits(2 * ones > len(every), bitorder="little").view("<i8")[0]))
+                    sketches.append(sketch_of(every))
+                    sizes.append(len(every))
+                yield table_of(batch, i, j, ["doc_id"], fp=pa.array(fps, pa.int64()), sketch=pa.array(sketches, pa.binary()), size=pa.array(sizes, pa.int64()))
 
     return run
 
 
-def _linked_members(words: int, budget: int, similarity: float):
-    """Links within families (or between two blocks of one): a spanning forest of all verified candidate pairs."""
+def _digested(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, starts, ends in text_slices(batch):
+                whole = data.tobytes()
+                rows = [digests(whole[s:e], words).view(np.int64) for s, e in zip(starts.tolist(), ends.tolist())]
+                yield table_of(batch, i, j, ["doc_id"], hashes=pa.array(rows, pa.list_(pa.int64())))
+
+    return run
 
-    def part(node: np.ndarray, fp: np.ndarray, side: np.ndarray, texts: list) -> list[tuple[int, int]]:
-        order = np.lexsort((node, side))
-        left, right = order[side[order] == 0], order[side[order] == 1]
-        alone = not len(right)
-        if alone:
-            right = left
-        far = np.bitwise_count(fp[left][:, None] ^ fp[right][None]).astype(np.int64)
-        near = far <= budget
-        if alone:
-            near &= np.arange(len(left))[:, None] < np.arange(len(right))
-        x, y = np.nonzero(near)
-        rank = np.argsort(far[x, y], kind="stable")
-        parent, hashes, links = list(range(len(node))), {}, []
+
+def _verified(budget: int, similarity: float):
+    """Links between texts of different ``label`` in one block of a family, or between two blocks of it: a spanning forest
+    of all candidate pairs with the similarity."""
+
+    def part(rows: dict[str, np.ndarray], hashes: list[np.ndarray]) -> list[tuple[int, int]]:
+        node, fp, side = rows["node"], rows["fp"].view(np.uint64), rows["side"]
+        _, label = np.unique(rows["label"], return_inverse=True)
+        size = np.array([len(h) for h in hashes])
+        parent, links = list(range(int(label.max()) + 1)), []
 
         def root(k: int) -> int:
             while parent[k] != k:
@@ -355,28 +372,30 @@ def _linked_members(words: int, budget: int, similarity: float):
                 k = parent[k]
             return k
 
-        def known(k: int) -> np.ndarray:
-            if k not in hashes:
-                hashes[k] = shingle_hashes(texts[k].as_py(), words)
-            return hashes[k]
-
-        for k, m in zip(left[x[rank]].tolist(), right[y[rank]].tolist()):
-            p, q = root(k), root(m)
-            if p != q and jaccard(known(k), known(m)) >= similarity:
-                parent[p] = q
-                links.append((int(node[k]), int(node[m])))
+        right = np.flatnonzero(side == 1) if side.any() else np.arange(len(node))
+        for m in right.tolist():
+            others = np.flatnonzero(side == 0) if side.any() else np.arange(m)
+            small, large = np.minimum(size[others], size[m]), np.maximum(size[others], size[m])
+            near = (np.bitwise_count(fp[others] ^ fp[m]) <= budget) & (small >= similarity * large)
+            for k in others[near].tolist():
+                p, q = root(int(label[k])), root(int(label[m]))
+                if p != q and jaccard(hashes[k], hashes[m]) >= similarity:
+                    parent[p] = q
+                    links.append((int(node[k]), int(node[m])))
         return links
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("family", "ascending"), ("i", "ascending"), ("j", "ascending")]).combine_chunks()
-        family, i, j, node, fp, side = (group.column(c).to_numpy() for c in ("family", "i", "j", "node", "fp", "side"))
-        text, links = group.column("text"), []
-        new = np.append(True, (np.diff(family) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0))
-        edges = np.append(np.flatnonzero(new), len(node)).tolist()
+        group = group.sort_by([("family", "ascending"), ("i", "ascending"), ("j", "ascending"), ("node", "ascending")]).combine_chunks()
+        columns = {c: group.column(c).to_numpy() for c in ("family", "i", "j", "node", "fp", "side", "label")}
+        lists = group.column("hashes").combine_chunks() if isinstance(group.column("hashes"), pa.ChunkedArray) else group.column("hashes")
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        flat, at = lists.flatten().to_numpy().view(np.uint64), np.append(0, np.cumsum(np.asarray(lists.value_lengths())))
+        new = np.append(True, (np.diff(columns["family"]) != 0) | (np.diff(columns["i"]) != 0) | (np.diff(columns["j"]) != 0))
+        edges, links = np.append(np.flatnonzero(new), len(new)).tolist(), []
         for a, b in zip(edges, edges[1:]):
-            links += part(node[a:b], fp[a:b].view(np.uint64), side[a:b], text.slice(a, b - a))
-        columns = list(zip(*links)) or [(), ()]
-        return pa.table({"a": pa.array(list(columns[0]), pa.int64()), "b": pa.array(list(columns[1]), pa.int64())})
+            links += part({c: v[a:b] for c, v in columns.items()}, [flat[at[k] : at[k + 1]] for k in range(a, b)])
+        first = list(zip(*links)) or [(), ()]
+        return pa.table({"a": pa.array(list(first[0]), pa.int64()), "b": pa.array(list(first[1]), pa.int64())})
 
     return run
 
@@ -390,52 +409,61 @@ def _pairs_of_blocks(df: DataFrame, own: str, blocks: str) -> DataFrame:
 def similar_groups(docs: DataFrame, words: int = 5, budget: int = 12, similarity: float = 0.8, group_rows: int = GROUP_ROWS, block: int = BLOCK) -> DataFrame:
     """node (hash of a distinct text) and ``label``, equal for texts that are joined by verified links.
 
-    Candidates are fingerprints of the distinct shingles within ``budget`` bits, from the trie join; a link needs a Jaccard similarity of word
-    shingles of at least ``similarity``, computed on whole texts. Chance neighbours and true relatives are told apart
-    first: each round proposes, per trie task, a forest of the closest candidate pairs between different families that
-    are not known as strangers (from the second round on with each text's closest ones, PARTNERS times more in each
-    round); a similarity of ``KIN`` makes one family. It ends when no candidate pair between
-    families is left. Then all candidate pairs within a family are verified, in pairs of blocks of about ``block``
-    texts, each giving a forest of its links. So the groups are those of all candidate pairs with the similarity (a link
-    lies within a family, as it is stronger than ``KIN``), and no list of all pairs is made.
+    Candidates are fingerprints of the distinct shingles within ``budget`` bits, from the trie join; a link needs a
+    Jaccard similarity of word shingles of at least ``similarity``, computed on whole texts. Each point carries a sketch of
+    SKETCH bytes, which tells chance neighbours from relatives inside the trie task (a pair of the similarity falls below
+    its mark, SLACK less, with a chance under 0.1 %); the tasks' forests of related pairs give families. Then texts are
+    compared as sets of hashes, each text hashed once: first within blocks of a family, of about ``block`` texts and
+    a bounded number of hashes; then one text of each group found so far, where a family has several blocks; and only
+    where several groups are left in such a family, every pair of its blocks. Pairs that are already joined are not
+    compared. So the groups are those of all related candidate pairs, and no list of all pairs is made.
     """
-    if similarity < KIN:
-        raise ValueError(f"similarity must be {KIN} at least")
+    if not 0 <= budget <= 15:
+        raise ValueError("budget must be between 0 and 15 bits")
     spark = docs.sparkSession
-    texts = docs.select(F.xxhash64(F.col("text").cast("string")).alias("doc_id"), "text")
-    nodes = cut_lineage(fingerprints(texts, words, distinct=True).withColumnRenamed("doc_id", "node").distinct())
-    folder = f"{shared_folder(spark)}/candidate-texts-{uuid.uuid4().hex}"
-    families, checked, partners = nodes.withColumn("label", F.col("node")), None, 0
-    while True:
-        if checked is None:
-            points = families.select("node", "fp", "label", F.array().cast("array<bigint>").alias("failed"))
-        else:
-            strangers = checked.where(F.col("alike") < KIN).groupBy("a").agg(F.collect_list("b").alias("failed"))
-            points = families.join(strangers, F.col("node") == F.col("a"), "left").select("node", "fp", "label", "failed")
-        tasks = _dealt(cut_lineage(points), budget, group_rows)
-        pairs = cut_lineage(tasks.groupBy("rot", "top", "i", "j").applyInArrow(_closest(budget, partners), "a bigint, b bigint").distinct())
-        if pairs.isEmpty():
-            break
-        if checked is None:  # a forest reaches every text that has a candidate, so no others are needed later
-            needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-            texts.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]).write.parquet(folder)
-        wanted = spark.read.parquet(folder)
-        both = pairs.join(wanted.toDF("a", "text_a"), "a").join(wanted.toDF("b", "text_b"), "b")
-        verdict = cut_lineage(both.mapInArrow(_compared(words), "a bigint, b bigint, alike double"))
-        checked = verdict if checked is None else cut_lineage(checked.unionByName(verdict))
-        kin = components(checked.where(F.col("alike") >= KIN).select("a", "b"))
-        partners = PARTNERS * max(1, partners)
-        families = cut_lineage(nodes.join(kin, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("label")))
-    if checked is None:
-        return families.select("node", "label")
-    sizes = families.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
-    members = families.join(sizes, "label").select("node", "fp", F.col("label").alias("family"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
-    dealt = _pairs_of_blocks(members, "own", "blocks").join(spark.read.parquet(folder).toDF("node", "text"), "node")
-    task = F.when(F.col("blocks") > 1, F.xxhash64("family", "i", "j")).otherwise(F.pmod(F.xxhash64("family"), F.lit(8 * partitions(docs))))
-    links = dealt.select(task.alias("task"), "family", "i", "j", "side", "node", "fp", "text").groupBy("task").applyInArrow(_linked_members(words, budget, similarity), "a bigint, b bigint")
-    classes = components(links)
-    remove_folder(spark, folder)
-    return nodes.join(classes, "node", "left").select("node", F.coalesce("root", "node").alias("label"))
+    texts = docs.select(F.xxhash64(F.col("text").cast("string")).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    profiles = texts.mapInArrow(_profiles(words), "doc_id bigint, fp bigint, sketch binary, size bigint")
+    nodes = cut_lineage(profiles.withColumnRenamed("doc_id", "node").dropDuplicates(["node"]))
+    points = cut_lineage(nodes.groupBy("fp", "sketch").agg(F.min("node").alias("node")).select("node", "fp", "sketch"))
+    tasks = _dealt(points, budget, group_rows)
+    least = int(SKETCH * max(0.0, similarity - SLACK))
+    pairs = tasks.groupBy("rot", "top", "i", "j").applyInArrow(_akin(budget, least), "a bigint, b bigint")
+    twins = nodes.select("node", "fp", "sketch").join(points.withColumnRenamed("node", "b"), ["fp", "sketch"]).where("node <> b").select(F.col("node").alias("a"), "b")
+    kin = cut_lineage(components(pairs.unionByName(twins)))
+    bytes_ = F.ceil(F.sum("size") / BLOCK_HASHES)
+    members = nodes.join(kin.withColumnRenamed("root", "family"), "node")
+    sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / block), bytes_, F.lit(1)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    members = cut_lineage(members.join(sizes, "family").select("family", "node", "fp", "size", "blocks", own.alias("own"), F.col("node").alias("label")))
+    hashed = texts.join(members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_digested(words), "doc_id bigint, hashes array<bigint>")
+    hashed = cut_lineage(hashed.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node"))
+
+    def links(dealt: DataFrame) -> DataFrame:
+        total = dealt.agg(F.sum("size")).first()[0] or 0
+        task = F.pmod(F.xxhash64("family", "i", "j"), F.lit(max(partitions(docs), -(-total // TASK_HASHES))))
+        rows = dealt.join(hashed, "node").select(task.alias("task"), "family", "i", "j", "side", "node", "fp", "label", "hashes")
+        return rows.groupBy("task").applyInArrow(_verified(budget, similarity), "a bigint, b bigint")
+
+    def labelled(found: DataFrame) -> DataFrame:
+        return cut_lineage(members.drop("label").join(components(found), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"))
+
+    alone = [F.col("own").alias("i"), F.col("own").alias("j"), F.lit(0).alias("side")]
+    found = cut_lineage(links(members.select("*", *alone)))
+    groups = labelled(found)
+    several = groups.where("blocks > 1")
+    if not several.isEmpty():
+        # one text of each group of a block stands for it, in blocks of their own
+        heads = several.groupBy("family", "own", "label").agg(F.min(F.struct("node", "fp", "size")).alias("h")).select("family", "label", "h.*")
+        shares = heads.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / block), bytes_).cast("int").alias("blocks"))
+        dealt = heads.join(shares, "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        found = cut_lineage(found.unionByName(links(dealt.select("*", *alone))))
+        groups = labelled(found)
+        open_ = groups.where("blocks > 1").groupBy("family").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("family")
+        rest = cut_lineage(groups.join(open_, "family", "left_semi"))
+        if not rest.isEmpty():
+            found = found.unionByName(links(_pairs_of_blocks(rest, "own", "blocks").where("i < j")))
+            groups = labelled(cut_lineage(found))
+    return nodes.select("node").join(groups.select("node", "label"), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
 def deduplicate(docs: DataFrame, words: int = 5, budget: int = 12, similarity: float = 0.8) -> DataFrame:
@@ -445,8 +473,11 @@ def deduplicate(docs: DataFrame, words: int = 5, budget: int = 12, similarity: f
     and of repeated rows one. Null and blank texts have no shingles and are similar to each other.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
-    keyed = docs.select(row).select("doc", F.xxhash64(F.col("doc.text").cast("string")).alias("node"), F.coalesce(F.col("doc.doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("low"))
-    first = keyed.groupBy("node").agg(F.min("low").alias("low"))
+    keyed = docs.select(row).select("doc", F.xxhash64(F.col("doc.text").cast("string")).alias("node"), F.coalesce(F.col("doc.doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("low"), F.xxhash64(F.lit(1), F.col("doc.text").cast("string")).alias("check"))
+    first = keyed.groupBy("node", "check").agg(F.min("low").alias("low"))
     groups = similar_groups(docs, words, budget, similarity)
-    stays = first.join(groups, "node").groupBy("label").agg(F.min(F.struct("low", "node")).alias("stays")).select("stays.low", "stays.node")
-    return keyed.join(stays, ["low", "node"], "left_semi").dropDuplicates(["low", "node"]).select("doc.*")
+    # another text with the hash of a node is a group of its own
+    nth = F.row_number().over(Window.partitionBy("node").orderBy("check"))
+    first = first.withColumn("nth", nth).join(groups, "node").withColumn("label", F.struct("label", F.when(F.col("nth") > 1, F.col("check")).alias("check")))
+    stays = first.groupBy("label").agg(F.min(F.struct("low", "node", "check")).alias("stays")).select("stays.*")
+    return keyed.join(stays, ["low", "node", "check"], "left_semi").dropDuplicates(["low", "node", "check"]).select("doc.*")
