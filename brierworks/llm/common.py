@@ -12,8 +12,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # worker code travels with the job
+
 SLICE_BYTES = 1 << 20
 ROLL = 0x9E3779B97F4A7C15
 ROLL_2 = 0xC2B2AE3D27D4EB4F
@@ -38,11 +42,12 @@ def seeded(n: int, seed: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 32)) * np.uint64(ROLL))
 
 
-def byte_values(lower: bool) -> np.ndarray:
-    """The value of each byte in a span hash; with ``lower``, A-Z count as a-z."""
-    values = seeded(256, 7)
-    if lower:
-        values[65:91] = values[97:123]
+def byte_values(lower: bool) -> np.ndarray | None:
+    """What each byte counts as in a span hash: itself, or with ``lower`` A-Z as a-z."""
+    if not lower:
+        return None
+    values = np.arange(256, dtype=np.uint8)
+    values[65:91] = values[97:123]
     return values
 
 
@@ -69,9 +74,40 @@ def rolling(sums: np.ndarray, begin: np.ndarray, end: np.ndarray, base: int = RO
     return (sums[end] - sums[begin]) * down[begin]
 
 
-def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span."""
-    return mix(rolling(prefix_sums(values[data]), begin, end) + (end - begin).astype(np.uint64) * np.uint64(ROLL_2))
+SHORT = 64
+TAILS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, values: np.ndarray | None) -> np.ndarray:
+    """A 64-bit hash of each byte span: short ones eight bytes at a time, each step a full mix, others by XXH64."""
+    if not len(begin):
+        return np.zeros(0, np.uint64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data if values is None else values[data]
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    size = end - begin
+    h = mix(size.astype(np.uint64) * np.uint64(ROLL_2) + np.uint64(ROLL))
+    live = np.flatnonzero(size <= SHORT)
+    for k in range(0, SHORT, 8):
+        live = live[size[live] > k]
+        if not len(live):
+            break
+        h[live] = mix(h[live] * np.uint64(ROLL) ^ eight[begin[live] + k] & TAILS[np.minimum(size[live] - k, 8)])
+    for k in np.flatnonzero(size > SHORT).tolist():
+        h[k] = xxhash.xxh64_intdigest(padded[begin[k] : end[k]], seed=7)
+    return h
+
+
+def same_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> bool:
+    """Whether the spans of ``size`` bytes that begin at ``a`` and ``b`` are equal, all of them."""
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    live = np.flatnonzero((size <= SHORT) & (a != b))
+    for k in range(0, SHORT, 8):
+        live = live[size[live] > k]
+        if ((eight[a[live] + k] ^ eight[b[live] + k]) & TAILS[np.minimum(size[live] - k, 8)]).any():
+            return False
+    return all(np.array_equal(data[a[k] : a[k] + size[k]], data[b[k] : b[k] + size[k]]) for k in np.flatnonzero((size > SHORT) & (a != b)).tolist())
 
 
 def byte_table(*ranges: tuple[int, int]) -> np.ndarray:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from brierworks.session import cut_lineage
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _smallest(links: DataFrame) -> DataFrame:
     """Links with the smallest partner of their ``u`` (or ``u`` itself where that is smaller)."""

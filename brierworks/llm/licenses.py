@@ -1,10 +1,10 @@
 """Licence scan with a positional index of licence templates.
 
-The index holds, for each licence word, its places in the templates. A file is matched through its rarest licence words
-(by document frequency over the whole corpus): each of their occurrences proposes an alignment, file position minus
-template position, and alignments on which enough rare words agree are verified: the mandatory key phrases must stand in
-place, byte for byte, and a share of the template's words must be aligned. Short templates are mandatory as a whole, so
-every place of such a phrase is found through its rarest word alone.
+The index holds, for each licence word, its places in the templates. A template is looked for through the two rarest words
+(of highest IDF over the whole corpus) of its mandatory key phrases, which stand in place in every match: each of their
+occurrences in a file proposes an alignment, file position minus template position, and the alignments that both propose
+are verified: the key phrases must stand in place, byte for byte, and a share of the template's words must be
+aligned. Short templates are mandatory as a whole. So no match is lost, whatever else a file holds.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from brierworks.llm.common import byte_table, byte_values, ids, span_hashes, spa
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-RARE_WORDS = 6
 COVER = 0.7
 
 #: Phrases whose places are counted, with their labels.
@@ -93,34 +92,20 @@ class Index:
         number = [self.number[w] for w in key]
         return next(i for i in range(len(wanted)) if wanted[i : i + len(key)].tolist() == number)
 
-    def _rank(self, wanted: np.ndarray) -> list[int]:
-        return sorted(range(len(wanted)), key=lambda k: (-self.idf[wanted[k]], wanted[k], k))
+    def _rarest(self, wanted: np.ndarray, keys: list[list[str]] | None) -> list[int]:
+        """The places in a template of the two rarest words that every match has."""
+        needed = range(len(wanted)) if keys is None else sorted({self._begin(wanted, key) + d for key in keys for d in range(len(key))})
+        return sorted(needed, key=lambda k: (-self.idf[wanted[k]], wanted[k], k))[:2]
 
-    def places(self, words: np.ndarray, doc: np.ndarray, first_word: np.ndarray) -> Iterator[tuple[int, int, float]]:
+    def places(self, words: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, float]]:
         """Template, first word and share of words in place, for every match in a slice of texts."""
         known = np.flatnonzero(words >= 0)
         by_word = known[np.argsort(words[known], kind="stable")]
         edges = np.searchsorted(words[by_word], np.arange(len(self.words) + 1))
-        long = []
         for t, (_, wanted, keys, _) in enumerate(self.templates):
-            if keys is not None:
-                need = {self.number[w] for key in keys for w in key}
-                long.append((t, wanted, need, self._rank(wanted)))
-                continue
-            k = self._rank(wanted)[0]  # a mandatory phrase: the rarest of its words is in every file that has it
-            for first, share in zip(*self._aligned(t, by_word[edges[wanted[k]] : edges[wanted[k] + 1]] - k, words, doc)):
-                yield t, int(first), float(share)
-        bounds = np.searchsorted(known, first_word)
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            numbers = words[known[a:b]]
-            present = set(numbers.tolist())
-            for t, wanted, need, rank in long:
-                if not need <= present:
-                    continue
-                rare = [k for k in rank if wanted[k] in present][:RARE_WORDS]
-                proposed, votes = np.unique(np.concatenate([known[a:b][numbers == wanted[k]] - k for k in rare]), return_counts=True)
-                for first, share in zip(*self._aligned(t, proposed[votes >= (len(rare) + 1) // 2], words, doc)):
-                    yield t, int(first), float(share)
+            first, second = (by_word[edges[wanted[k]] : edges[wanted[k] + 1]] - k for k in (self._rarest(wanted, keys) * 2)[:2])
+            for at, share in zip(*self._aligned(t, np.intersect1d(first, second, assume_unique=True), words, doc)):
+                yield t, int(at), float(share)
 
     def verified(self, template: int, first: int, raw: bytes, begin: np.ndarray, end: np.ndarray) -> bool:
         """The mandatory phrases, byte for byte."""
@@ -169,7 +154,7 @@ def _scanned(idf: dict[str, float]):
                 bases = [set() for _ in range(n)]
                 matches = [[] for _ in range(n)]
                 score = np.zeros(n)
-                for t, at, share in index.places(words, doc, first):
+                for t, at, share in index.places(words, doc):
                     if not index.verified(t, at, raw, begin, end):
                         continue
                     label, wanted, _, counted = index.templates[t]

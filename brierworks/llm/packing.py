@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 
-from brierworks.llm.common import byte_table, byte_values, ids, span_hashes, spans, text_slices, worker_memory
+from brierworks.llm.common import byte_table, byte_values, ids, same_spans, span_hashes, spans, text_slices, worker_memory
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -53,7 +53,7 @@ class WordTokens:
 
     Valid for tokenizers that drop white space and never join across it. Where the tokenizer also keeps letters and the
     punctuation behind them apart (it is asked), these are looked up separately, and parts of plain letters go straight
-    to its model. Parts are told apart by a 64-bit hash within a slice and by their bytes between slices.
+    to its model. Equal parts are found by a 64-bit hash within a slice, and their bytes are compared.
     """
 
     def __init__(self, spec: str):
@@ -112,8 +112,12 @@ class WordTokens:
         if not len(begin):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         begin, end, parts = self._parts(data, begin, end)
-        _, first, which = np.unique(span_hashes(data, begin, end, self.values), return_index=True, return_inverse=True)
         raw = data.tobytes()
+        _, first, which = np.unique(span_hashes(data, begin, end, self.values), return_index=True, return_inverse=True)
+        if not np.array_equal((end - begin)[first][which], end - begin) or not same_spans(data, begin, begin[first][which], end - begin):
+            number: dict[bytes, int] = {}  # two parts share a hash: told apart by their bytes
+            which = np.array([number.setdefault(raw[s:e], len(number)) for s, e in zip(begin.tolist(), end.tolist())])
+            _, first = np.unique(which, return_index=True)
         words = [raw[s:e] for s, e in zip(begin[first].tolist(), end[first].tolist())]
         if self.lower:
             words = [w.lower() if w.isascii() else w for w in words]

@@ -8,6 +8,7 @@ means that node pairs there are a node with itself, which is where Spark cuts th
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,6 @@ import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
-from brierworks.llm import common as _common, components as _components
 from brierworks.llm.common import ids, mix, order_id, partitions, seeded, table_of, text_slices
 from brierworks.llm.components import components, forest
 from brierworks.session import cut_lineage
@@ -32,14 +32,7 @@ SLACK = 0.15
 GROUP_ROWS = 1 << 15
 
 
-def _by_value() -> None:
-    import sys
-
-    for module in (_common, _components, sys.modules[__name__]):
-        cloudpickle.register_pickle_by_value(module)
-
-
-_by_value()
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def fingerprint(text: bytes, words: int, distinct: bool = False) -> int:

@@ -21,11 +21,9 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brierworks.llm import common as _common
 from brierworks.llm.common import ids
 
-for _module in (_common, sys.modules[__name__]):
-    cloudpickle.register_pickle_by_value(_module)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SAMPLE_PER_LABEL = 2500
 MAX_TERMS = 1024
@@ -251,9 +249,10 @@ def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _columns(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms(*sent.value)  # broadcasts hold plain tuples, which any worker can read
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
-            found = [sent.value.found(t.as_py()) for t in texts]
+            found = [terms.found(t.as_py()) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("toxic")), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "found"])
 
     return run
@@ -261,7 +260,7 @@ def _columns(sent):
 
 def _pair_counts(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, voters = sent.value
+        terms, voters = Terms(*sent.value[0]), Voters(*sent.value[1])
         counts, n = np.zeros((len(voters.columns),) * 2), 0
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
@@ -278,7 +277,7 @@ def _pair_counts(sent):
 
 def _scored(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, weights = sent.value
+        terms, weights = Terms(*sent.value[0]), sent.value[1]
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
             margin = [weights[-1] + weights[terms.found(t.as_py())].sum() for t in texts]
@@ -315,12 +314,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_LABEL, se
     picked = texts.where("text is not null").join(chosen, "doc_id").select("text", "toxic")
     drawn = {r["toxic"]: r["count"] for r in picked.groupBy("toxic").count().collect()}
     terms = Terms.of(standing_out(picked.mapInArrow(_spelled, "term string, toxic int"), drawn[1], drawn[0]) if len(drawn) == 2 else [])
-    rows = picked.mapInArrow(_columns(spark.sparkContext.broadcast(terms)), "toxic int, found array<int>").collect()
+    rows = picked.mapInArrow(_columns(spark.sparkContext.broadcast(tuple(terms))), "toxic int, found array<int>").collect()
     rows = sorted((r["toxic"], list(r["found"])) for r in rows)  # at most about 2 x sample rows of MAX_TERMS numbers
     toxic, x = np.array([t for t, _ in rows], np.int64), matrix([f for _, f in rows], len(terms.names))
     both = len(drawn) == 2
     voters = choose_voters(x, toxic) if both else choose_voters(x[:0], toxic[:0])
-    sums = texts.select("text").mapInArrow(_pair_counts(spark.sparkContext.broadcast((terms, voters))), "i int, j int, n bigint").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
+    sums = texts.select("text").mapInArrow(_pair_counts(spark.sparkContext.broadcast((tuple(terms), tuple(voters)))), "i int, j int, n bigint").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
     pairs, n = np.zeros((len(voters.columns),) * 2), 0
     for r in sums:
         if r["i"] < 0:
@@ -356,6 +355,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_
     term and score the constant of the classifier, which follows the share of toxic labels.
     """
     terms, weights = learn(docs, labels.where(crc_mod(5) != 0), sample, seed)
-    sent = docs.sparkSession.sparkContext.broadcast((terms, weights))
+    sent = docs.sparkSession.sparkContext.broadcast((tuple(terms), weights))
     scored = ids(docs).mapInArrow(_scored(sent), "doc_id bigint, score double")
     return scored.select("doc_id", (crc_mod(5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -41,3 +41,35 @@ def test_own_labels(spark):
 
 def test_empty_table(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_the_rest_of_the_file_does_not_matter(spark):
+    mit = next(t for label, t, _ in licenses.TEMPLATES if label == "mit")
+    worn = mit.replace("person", "body").replace("obtaining", "getting").replace("associated", "related").replace("documentation", "manuals")
+    rows = [(1, worn), (2, "person obtaining associated documentation\n" + worn), (3, worn + "\n" + " documentation associated obtaining person" * 500)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert {r.labels for r in got.values()} == {"mit"} and len({r.score for r in got.values()}) == 1
+
+
+def test_every_match_of_long_templates(spark):
+    """Against trying every place of every template."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 5)):
+            _, text, keys = rng.choice(licenses.TEMPLATES)
+            parts += [w if rng.random() > 0.12 else rng.choice(["the", "software", "foo"]) for w in text.split()]
+            parts += [rng.choice(["license", "of", "bar", "conditions"]) for _ in range(rng.randint(0, 6))]
+        rows.append((i, " ".join(parts)))
+    got = {r.doc_id: sorted((m.label, m.first, m.last) for m in r.matches) for r in licenses.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    for i, text in rows:
+        words, want = text.split(), []
+        for label, t, keys in [(label, t, ()) for label, t in licenses.BASE] + licenses.TEMPLATES:
+            t = t.split()
+            for at in range(len(words) - len(t) + 1):
+                here = [a == b for a, b in zip(words[at:], t)]
+                spots = [(next(k for k in range(len(t)) if t[k : k + len(key.split())] == key.split()), len(key.split())) for key in keys]
+                if all(here) if not keys else (sum(here) >= licenses.COVER * len(t) and all(all(here[k : k + n]) for k, n in spots)):
+                    want.append((label, at, at + len(t) - 1))
+        assert got[i] == sorted(want)
