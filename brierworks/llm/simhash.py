@@ -350,14 +350,14 @@ def _digested(words: int):
 
 
 def _verified(budget: int, similarity: float):
-    """Links between texts of different ``label`` in one block of a family, or between two blocks of it: a spanning forest
-    of all candidate pairs with the similarity."""
+    """Labels that are joined by candidate pairs with the similarity, in one block of a family or between two blocks of it:
+    each but the smallest of a class with the smallest."""
 
     def part(rows: dict[str, np.ndarray], hashes: list[np.ndarray]) -> list[tuple[int, int]]:
         node, fp, side = rows["node"], rows["fp"].view(np.uint64), rows["side"]
-        _, label = np.unique(rows["label"], return_inverse=True)
+        names, label = np.unique(rows["label"], return_inverse=True)
         size = np.array([len(h) for h in hashes])
-        parent, links = list(range(int(label.max()) + 1)), []
+        parent = list(range(len(names)))
 
         def root(k: int) -> int:
             while parent[k] != k:
@@ -373,9 +373,9 @@ def _verified(budget: int, similarity: float):
             for k in others[near].tolist():
                 p, q = root(int(label[k])), root(int(label[m]))
                 if p != q and jaccard(hashes[k], hashes[m]) >= similarity:
-                    parent[p] = q
-                    links.append((int(node[k]), int(node[m])))
-        return links
+                    parent[max(p, q)] = min(p, q)
+        least = [root(k) for k in range(len(names))]
+        return [(int(names[k]), int(names[r])) for k, r in enumerate(least) if k != r]
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("family", "ascending"), ("i", "ascending"), ("j", "ascending"), ("node", "ascending")]).combine_chunks()
@@ -437,25 +437,26 @@ def similar_groups(docs: DataFrame, words: int = 5, budget: int = 12, similarity
         rows = dealt.join(hashed, "node").select(task.alias("task"), "family", "i", "j", "side", "node", "fp", "label", "hashes")
         return rows.groupBy("task").applyInArrow(_verified(budget, similarity), "a bigint, b bigint")
 
-    def labelled(found: DataFrame) -> DataFrame:
-        return cut_lineage(members.drop("label").join(components(found), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"))
+    def joined(groups: DataFrame, found: DataFrame) -> DataFrame:
+        classes = components(found).select(F.col("node").alias("label"), "root")
+        return cut_lineage(groups.join(classes, "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root").select(groups.columns))
 
     alone = [F.col("own").alias("i"), F.col("own").alias("j"), F.lit(0).alias("side")]
-    found = cut_lineage(links(members.select("*", *alone)))
-    groups = labelled(found)
+    # a block is judged in one task, which names the smallest text of each of its groups
+    found = links(members.select("*", *alone)).select(F.col("a").alias("node"), F.col("b").alias("low"))
+    groups = cut_lineage(members.join(found, "node", "left").withColumn("label", F.coalesce("low", "node")).drop("low").select(members.columns))
     several = groups.where("blocks > 1")
     if not several.isEmpty():
         # one text of each group of a block stands for it, in blocks of their own
         heads = several.groupBy("family", "own", "label").agg(F.min(F.struct("node", "fp", "size")).alias("h")).select("family", "label", "h.*")
         shares = heads.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / block), bytes_).cast("int").alias("blocks"))
         dealt = heads.join(shares, "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        found = cut_lineage(found.unionByName(links(dealt.select("*", *alone))))
-        groups = labelled(found)
-        open_ = groups.where("blocks > 1").groupBy("family").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("family")
-        rest = cut_lineage(groups.join(open_, "family", "left_semi"))
+        several = joined(several, links(dealt.select("*", *alone)))
+        open_ = several.groupBy("family").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("family")
+        rest = cut_lineage(several.join(open_, "family", "left_semi"))
         if not rest.isEmpty():
-            found = found.unionByName(links(_pairs_of_blocks(rest, "own", "blocks").where("i < j")))
-            groups = labelled(cut_lineage(found))
+            several = joined(several, links(_pairs_of_blocks(rest, "own", "blocks").where("i < j")))
+        groups = groups.where("blocks = 1").unionByName(several)
     return nodes.select("node").join(groups.select("node", "label"), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
