@@ -140,18 +140,19 @@ def _(spark, sf):
     return rounded(out[0].unionByName(out[1]))
 
 
-TUNING_GRID = [ML.DEEP, replace(ML.DEEP, step=0.05), ML.WIDE, replace(ML.WIDE, step=0.05)]
+TUNING_GRID = [
+    ML.DEEP, replace(ML.DEEP, step=0.05), replace(ML.DEEP, depth=4), ML.WIDE, replace(ML.WIDE, step=0.1), replace(ML.WIDE, bins=16)]
 
 
 @query("ml04_tune_bias_models")
 def _(spark, sf):
-    """Both types over all 6 folds, both learners at their default rounds and with steps around the default."""
+    """Both types over all 6 folds, both learners at their default rounds and with settings around the default."""
     rows = features(spark, sf).persist()
     try:
         out = [ML.tune_bias_models(rows, t, TUNING_GRID).withColumn("target_type", F.lit(t)) for t in TARGETS]
     finally:
         rows.unpersist()
-    return rounded(out[0].unionByName(out[1]).select("target_type", "trial_id", "depth", "max_rounds", "step", "value", "rounds", "rank"))
+    return rounded(out[0].unionByName(out[1]).select("target_type", "trial_id", "learner", "depth", "max_rounds", "step", "state", "value", "rounds", "fits_saved", "rank"))
 
 
 @query("ml05_blend_weight", T("graded", extra="""
