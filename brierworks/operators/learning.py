@@ -121,6 +121,7 @@ class StumpParams:
 
 DEEP, WIDE = TreeParams(depth=5, rounds=20, step=0.1), StumpParams()
 EFFECT_DAYS = 20  # days without error that a station's mean error is mixed with
+TASK_ROWS = 20_000  # rows a task of a tree fit has at least; each level of each tree is a job, so smaller tasks cost more than they do
 STOP = 1e-3  # a tree that lowers the held-out error by a smaller share than this is the last one
 
 
@@ -165,6 +166,11 @@ def _trees(target: str, p: TreeParams, held: str | None = None) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=[*_inputs(target), *marks], outputCol="features"), tree])
 
 
+def _in_few_tasks(data: DataFrame, rows: int) -> DataFrame:
+    """Training data in as many partitions as its ``rows`` are worth, and never in more than it has."""
+    return data.coalesce(max(1, rows // TASK_ROWS))
+
+
 @dataclass(frozen=True)
 class Bins:
     """Value ranges of the inputs. An input's cells are numbered on from the one before: first the missing values, then the
@@ -288,13 +294,14 @@ def fit_bias_models(features: DataFrame, target: str, a: TreeParams | StumpParam
 
     def fit(p: TreeParams | StumpParams) -> PipelineModel | AdditiveModel:
         if isinstance(p, TreeParams):
-            return _trees(target, p).fit(data)
+            return _trees(target, p).fit(_in_few_tasks(data, rows))
         bins = Bins.of(data, target, p.bins)
         scores, _ = boost(bins, *joint_sums(data, bins, label)[0], p)
         return AdditiveModel(bins, tuple(scores.tolist()))
 
     try:
-        if data.isEmpty():
+        rows = data.count()
+        if not rows:
             return {}
         effects = cut_lineage(station_effects(data, label))
         return {"a": BiasModel(fit(a), effects), "b": BiasModel(fit(b), effects)}
@@ -362,7 +369,7 @@ def tune_bias_models(features: DataFrame, target: str, grid: list[TreeParams | S
         block = scored.filter(F.col("fold") == k)
         if isinstance(p, TreeParams):
             both = data.filter(F.col("fold") < k).withColumn("_held", F.lit(False)).unionByName(block.withColumn("_held", F.lit(True)))
-            model = _trees(target, p, "_held").fit(both)
+            model = _trees(target, p, "_held").fit(_in_few_tasks(both, sum(n for f, n in sizes.items() if f <= k)))
             rounds = model.stages[-1].getNumTrees
         else:
             cells, train, test = joint[p.bins]
@@ -378,7 +385,8 @@ def tune_bias_models(features: DataFrame, target: str, grid: list[TreeParams | S
     kinds = [type(p) for p in grid]
     lead = [i for i in range(len(grid)) if not prune or kinds[:i].count(kinds[i]) < startup]
     try:
-        held = sorted(r["fold"] for r in data.select("fold").distinct().collect())
+        sizes = {r["fold"]: r["count"] for r in data.groupBy("fold").count().collect()}
+        held = sorted(sizes)
         usable = held[1:]  # with rows before
         joint = {n: sums(n) for n in {p.bins for p in grid if isinstance(p, StumpParams)}} if usable else {}
         with ThreadPool(parallelism) as pool:
