@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brierworks.functions.scalar import brier, in_bin, lead_bracket, preferred_error, shrink, trailing, unbiased_skew
@@ -75,32 +77,57 @@ def used_errors(errors: DataFrame) -> DataFrame:
 def dashboard(errors: DataFrame, asof: Column, windows: tuple[int, ...] = (2, 3, 7, 14, 30, 90)) -> DataFrame:
     """AGG-01: error statistics per source cell over several trailing windows.
 
-    A cell holds one row per day of the widest window, so exact percentiles are a bounded
-    aggregate. Rows are copied once per window they belong to.
+    A cell holds one row per day of the widest window, so its errors are a bounded array. Each row is shuffled once, with
+    its age, however many windows it is in; the array is sorted once, and every window reads its statistics from the part
+    that is young enough, which is still sorted.
     """
     age = F.datediff(asof, F.col("target_date"))
-    fits = F.filter(F.array(*[F.lit(w) for w in windows]), lambda w: age <= w)
-    e = F.col("e")
+    cell = ["station_id", "source_id", "target_type", "lead_bracket"]
     base = trailing(used_errors(errors), "target_date", asof, max(windows))
-    return (
-        base.withColumn("window_days", F.explode(fits))
-        .groupBy("station_id", "source_id", "target_type", "lead_bracket", "window_days")
-        .agg(
-            F.count("e").alias("n"),
-            F.avg("e").alias("bias"),
-            F.avg(F.abs(e)).alias("mae"),
-            F.sqrt(F.avg(e * e)).alias("rmse"),
-            *[F.percentile("e", q / 100.0).alias(f"p{q}") for q in (10, 25, 50, 75, 90)],
-            F.avg(F.when(F.abs(e) <= 0.5, 1.0).otherwise(0.0)).alias("pct_within_05"),
-            F.avg(F.when(F.abs(e) <= 1.0, 1.0).otherwise(0.0)).alias("pct_within_1"),
-            F.avg(F.when(e > 0, 1.0).otherwise(0.0)).alias("pct_over"),
-            F.avg(F.when(e < 0, 1.0).otherwise(0.0)).alias("pct_under"),
-            _skew_or_zero("e").alias("skew_biased"),
-            unbiased_skew(F.count("e"), _skew_or_zero("e")).alias("skew_unbiased"),
-        )
+    cells = base.groupBy(*cell).agg(F.array_sort(F.collect_list(F.struct(F.col("e").cast("double").alias("e"), age.alias("age")))).alias("held"))
+
+    def inside(w: Column) -> Column:
+        young = F.filter("held", lambda x: x["age"] <= w)
+        return F.struct(w.alias("window_days"), F.transform(young, lambda x: x["e"]).alias("v"))
+
+    wide = cells.select(*cell, F.explode(F.transform(F.array(*[F.lit(w) for w in windows]), inside)).alias("w"))
+    rows = wide.select(*cell, "w.window_days", "w.v").filter(F.size("v") > 0)
+    n = F.size("v").cast("long")
+    rows = rows.withColumns({"n": n, "bias": _total("v", lambda x: x) / n})
+    away = lambda power: _total("v", lambda x: F.pow(x - F.col("bias"), F.lit(power))) / n
+    level = F.element_at("v", 1) == F.element_at("v", -1)
+    rows = rows.withColumn("skew_biased", F.when((n < 3) | level, 0.0).otherwise(away(3) / F.pow(away(2), F.lit(1.5))))
+    share = lambda test: _total("v", lambda x: F.when(test(x), 1.0).otherwise(0.0)) / n
+    return rows.select(
+        *cell,
+        "window_days",
+        "n",
+        "bias",
+        (_total("v", F.abs) / n).alias("mae"),
+        F.sqrt(_total("v", lambda x: x * x) / n).alias("rmse"),
+        *[_sorted_percentile("v", q / 100.0).alias(f"p{q}") for q in (10, 25, 50, 75, 90)],
+        share(lambda x: F.abs(x) <= 0.5).alias("pct_within_05"),
+        share(lambda x: F.abs(x) <= 1.0).alias("pct_within_1"),
+        share(lambda x: x > 0).alias("pct_over"),
+        share(lambda x: x < 0).alias("pct_under"),
+        "skew_biased",
+        unbiased_skew(F.col("n"), F.col("skew_biased")).alias("skew_unbiased"),
     )
 
 
+def _total(values: str, of: Callable[[Column], Column]) -> Column:
+    """Sum over an array of doubles."""
+    return F.aggregate(values, F.lit(0.0), lambda total, x: total + of(x))
+
+
+def _sorted_percentile(values: str, q: float) -> Column:
+    """Percentile of a sorted array that is not empty, linear between neighbours."""
+    place = (F.size(values) - 1) * F.lit(q)
+    low = F.floor(place).cast("int")
+    below, above = F.get(F.col(values), low), F.get(F.col(values), F.ceil(place).cast("int"))
+    return below + (above - below) * (place - low)
+
+
 def _skew_or_zero(col: str) -> Column:
     s = F.skewness(col)
     degenerate = (F.count(col) < 3) | s.isNull() | F.isnan(s)

@@ -343,3 +343,28 @@ def test_asof_on_a_crowded_instant(spark):
         if t is not None:
             before = [h for h in held if h[0] == k and h[1] < t]
             assert got[i] in ({h[2] for h in before if h[1] == before[-1][1]} if before else {None})
+
+
+def test_dashboard_against_numpy(spark):
+    """Windows nest; a cell may hold several rows of one day, days without rows, equal values and NULL errors."""
+    rng = np.random.default_rng(11)
+    last = dt.date(2024, 3, 31)
+    rows = [("S", str(c), "HIGH", "h1", last - dt.timedelta(int(a)), None if rng.random() < 0.1 else float(v), None)
+            for c in range(4) for a, v in zip(rng.integers(-2, 40, 30), rng.integers(-6, 7, 30) / 4.0)]
+    rows += [("S", "flat", "HIGH", "h1", last - dt.timedelta(k), 0.1, None) for k in range(6)]
+    df = spark.createDataFrame(rows, "station_id string, source_id string, target_type string, lead_bracket string, target_date date, error_raw double, error_adjusted double")
+    windows = (2, 7, 30)
+    got = {(r.source_id, r.window_days): r for r in V.dashboard(df, F.lit(last), windows).collect()}
+    want = {}
+    for c in {r[1] for r in rows}:
+        for w in windows:
+            e = np.array([r[5] for r in rows if r[1] == c and r[5] is not None and 0 <= (last - r[4]).days <= w])
+            if len(e):
+                want[c, w] = e
+    assert set(got) == set(want)
+    for key, e in want.items():
+        r, d = got[key], e - e.mean()
+        skew = 0.0 if len(e) < 3 or np.ptp(e) == 0 else (d**3).mean() / (d**2).mean() ** 1.5
+        hand = [len(e), e.mean(), abs(e).mean(), np.sqrt((e * e).mean()), *np.percentile(e, [10, 25, 50, 75, 90]), (abs(e) <= 0.5).mean(), (abs(e) <= 1).mean(), (e > 0).mean(), (e < 0).mean(), skew]
+        mine = [r.n, r.bias, r.mae, r.rmse, r.p10, r.p25, r.p50, r.p75, r.p90, r.pct_within_05, r.pct_within_1, r.pct_over, r.pct_under, r.skew_biased]
+        assert np.allclose(hand, mine, atol=1e-9), key

@@ -30,3 +30,9 @@ def test_pushdown_and_pruning(spark):
 def test_dashboard_reads_three_scans_of_needed_columns(spark):
     text = plan(QUERIES["agg01_dashboard"](spark, SF))
     assert "props" not in text
+
+
+def test_dashboard_copies_no_row_before_its_shuffles(spark):
+    text = plan(QUERIES["agg01_dashboard"](spark, SF))
+    assert text.count("Generate explode") == 1
+    assert text.index("Generate explode") < text.index("ObjectHashAggregate") < text.index("Exchange")
