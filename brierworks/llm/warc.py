@@ -12,14 +12,15 @@ import base64
 import hashlib
 import sys
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from brierworks.llm.common import NO_ID, remove_folder
+from brierworks.llm.common import NO_ID, partitions, remove_folder
 from brierworks.session import cut_lineage, shared_folder
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -27,7 +28,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = "2000-01-01T00:00:00Z"
-INFLATE = 1 << 20
+SEPARATOR = b"\r\n\r\n"
+RANGE_ROWS = 250_000  # index rows that a task merges, some 300 MB as Python values
 
 RECORD = "run string, place bigint, record_id string, record_type string, target_uri string, captured string, payload_digest string, payload_bytes bigint, refers_to string, intact boolean"
 
@@ -84,23 +86,17 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> None:
     null url an empty one. Repeated rows have a record each. A capture's date is derived from its page_id.
     """
     records = _records(pages, min_bytes).sortWithinPartitions("url_key", "captured", F.col("page_id").asc_nulls_last())
-    records.select("value").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(folder)
+    records.select("value").write.option("lineSep", SEPARATOR.decode()).option("compression", "gzip").text(folder)
 
 
-def _inflated(content: bytes) -> Callable[[int], bytes]:
-    """Reads a gzip file of one or more members piece by piece."""
-    left, stream, held = content, zlib.decompressobj(31), bytearray()
+def _reader(pieces: Iterator[bytes]) -> Callable[[int], bytes]:
+    """Reads ``n`` bytes of a file that comes in the pieces between its separators."""
+    held = bytearray()
 
     def read(n: int) -> bytes:
-        nonlocal left, stream
-        while len(held) < n:
-            piece = stream.decompress(stream.unconsumed_tail or left, INFLATE)
-            left = b""
-            if stream.eof:
-                left, stream = stream.unused_data, zlib.decompressobj(31)
+        while len(held) < n and (piece := next(pieces, None)) is not None:
             held.extend(piece)
-            if not piece and not left and not stream.unconsumed_tail:
-                break
+            held.extend(SEPARATOR)
         out = bytes(held[:n])
         del held[:n]
         return out
@@ -108,12 +104,11 @@ def _inflated(content: bytes) -> Callable[[int], bytes]:
     return read
 
 
-def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (lower-case names) and block of each record of a compressed archive."""
-    read = _inflated(content)
+def parse(read: Callable[[int], bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields (lower-case names) and block of each record of an archive."""
     rest = b""
     while True:
-        while (end := rest.find(b"\r\n\r\n")) < 0:
+        while (end := rest.find(SEPARATOR)) < 0:
             more = read(1 << 14)
             if not more:
                 if rest.strip():
@@ -127,7 +122,7 @@ def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         size = int(fields["content-length"]) + 4
         if len(rest) < size:
             rest += read(size - len(rest))
-        if rest[size - 4 : size] != b"\r\n\r\n":
+        if rest[size - 4 : size] != SEPARATOR:
             raise ValueError("record is cut short")
         yield fields, rest[: size - 4]
         rest = rest[size:]
@@ -141,30 +136,35 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = list(zip(*found)) or [()] * len(names)
         return pa.RecordBatch.from_pydict({n: pa.array(list(c), t) for n, c, t in zip(names, columns, types)})
 
-    for batch in batches:
-        for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-            found = []
-            for place, (f, block) in enumerate(parse(content.as_buffer().to_pybytes())):
-                http, _, payload = block.partition(b"\r\n\r\n")
-                digest = f["warc-payload-digest"].removeprefix("sha1:")
-                size = int(http.rsplit(b": ", 1)[1])
-                intact = True
-                if f["warc-type"] == "response":
-                    own = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                    intact = own == digest and size == len(payload)
-                    digest, size = own, len(payload)
-                found.append((path, place, f["warc-record-id"], f["warc-type"], f.get("warc-target-uri", ""), f["warc-date"], digest, size, f.get("warc-refers-to"), intact))
-                if len(found) >= 4096:
-                    yield rows(found)
-                    found = []
-            yield rows(found)
+    pieces = ((p, v.as_py()) for batch in batches for p, v in zip(batch.column("path").to_pylist(), batch.column("value")))
+    for path, own_pieces in groupby(pieces, itemgetter(0)):
+        found = []
+        for place, (f, block) in enumerate(parse(_reader(map(itemgetter(1), own_pieces)))):
+            http, _, payload = block.partition(SEPARATOR)
+            digest = f["warc-payload-digest"].removeprefix("sha1:")
+            size = int(http.rsplit(b": ", 1)[1])
+            intact = True
+            if f["warc-type"] == "response":
+                own = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                intact = own == digest and size == len(payload)
+                digest, size = own, len(payload)
+            found.append((path, place, f["warc-record-id"], f["warc-type"], f.get("warc-target-uri", ""), f["warc-date"], digest, size, f.get("warc-refers-to"), intact))
+            if len(found) >= 4096:
+                yield rows(found)
+                found = []
+        yield rows(found)
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """One row per record of the archives in ``folder``: where it is, its header fields, and the payload's digest and
-    length, recomputed for responses; ``intact`` tells whether they agree with the header."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder)
-    return files.select("path", "content").mapInArrow(_parsed, RECORD)
+    length, recomputed for responses; ``intact`` tells whether they agree with the header.
+
+    Spark's text reader inflates an archive from its start and hands it over in the pieces between blank lines, in order
+    and within one task, as compressed files are not split; so an archive may have any length, and a task holds one
+    record and one batch of pieces.
+    """
+    files = spark.read.option("pathGlobFilter", "*.gz").option("lineSep", SEPARATOR.decode()).text(folder)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("value")).mapInArrow(_parsed, RECORD)
 
 
 class LoserTree:
@@ -219,14 +219,17 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from table.take(pa.array(order, pa.int64())).combine_chunks().to_batches(max_chunksize=4096)
 
 
-def capture_history(records: DataFrame) -> DataFrame:
+def capture_history(records: DataFrame, rows: int | None = None) -> DataFrame:
     """All captures ordered by URL key, time and id: runs of the archives merged within ranges of the key.
 
     A run's records arrive in the order in which its archive holds them, which is the order of the merge, so no task
-    sorts by key. A task holds the index rows (not the payloads) of its range.
+    sorts by key. A task holds the index rows (not the payloads) of its range: about ``RANGE_ROWS`` of the ``rows`` there
+    are, which are counted unless given, so ranges get more with the data, not larger.
     """
+    rows = records.count() if rows is None else rows
+    ranges = max(partitions(records), -(-rows // RANGE_ROWS))
     keyed = records.withColumn("url_key", url_key(F.col("target_uri")))
-    dealt = keyed.repartitionByRange("url_key", "captured", "record_id").sortWithinPartitions("run", "place")
+    dealt = keyed.repartitionByRange(ranges, "url_key", "captured", "record_id").sortWithinPartitions("run", "place")
     return dealt.mapInArrow(_merged, f"{RECORD}, url_key string")
 
 

@@ -4,6 +4,8 @@ import base64
 import hashlib
 import random
 
+import pytest
+
 from brierworks.llm import queries, warc
 
 
@@ -39,6 +41,38 @@ def test_round_trip(spark):
         assert keys == sorted(keys)
 
 
+def test_separators_at_every_place(spark):
+    """Payloads that hold the separator or parts of it, at their ends and across the reader's buffers."""
+    ends = ["\r\n", "\r\n\r\n", "\r", "\n\r\n", "\r\n\r", "\r\n\r\n\r\n", "\r\r\n\r\n"]
+    bodies = [a + m + b for a in ["", *ends] for m in ("", "x", "\r\n\r\n" * 3, "y" * 65_530) for b in ["", *ends]]
+    rows = [(i, "http://a/", b) for i, b in enumerate(bodies)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(2)).collect()
+    assert sorted(((r.record_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == want(rows)
+    assert all(r.intact for r in got)
+
+
+def test_ranges_follow_the_rows(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame(pages(), "page_id bigint, url string, html string").repartition(3)
+    warc.write_archives(df, f"{tmp_path}/w")
+    monkeypatch.setattr(warc, "RANGE_ROWS", 7)
+    history = warc.capture_history(warc.read_archives(spark, f"{tmp_path}/w"))
+    assert history.rdd.getNumPartitions() == -(-df.count() // 7)
+    keys = [(r.url_key.encode(), r.captured) for r in history.collect()]
+    assert len(keys) == df.count() and keys == sorted(keys)
+
+
+def test_damaged_archive(spark, tmp_path):
+    import gzip
+
+    warc.write_archives(spark.createDataFrame(pages()[:5], "page_id bigint, url string, html string").coalesce(1), f"{tmp_path}/w")
+    (file,) = (tmp_path / "w").glob("*.gz")
+    whole = gzip.decompress(file.read_bytes())
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "a.gz").write_bytes(gzip.compress(whole[:-40]))
+    with pytest.raises(Exception, match="cut short"):
+        warc.read_archives(spark, f"{tmp_path}/cut").collect()
+
+
 def test_empty_table(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
