@@ -14,7 +14,7 @@ from brierworks.plans.bindings import with_tables as T
 from brierworks.plans.registry import R, query, r6, rounded
 from brierworks.schemas import contract
 from brierworks.session import shared_folder
-from brierworks.sources import axis as AX, listings as L, payloads as PL, reports as RP, snapshots, tables as TB
+from brierworks.sources import axis as AX, listings as L, payloads as PL, reports as RP, snapshots, store as ST, tables as TB
 
 
 def scratch(spark, name: str) -> str:
@@ -27,6 +27,24 @@ def _(spark, sf):
     return TB.read_table(spark, sf, "events.parquet", (F.col("event_type") == "view") & (F.col("value") > 50), ["event_id", "value"], "event_id bigint, event_type string, value double")
 
 
+@query("src01_store", f"""WITH f AS (SELECT user_id % 20 AS station_id, CAST(ts AS DATE) AS target_date, count(*) AS n, avg(value) AS mean_f FROM events WHERE event_type <> 'view' GROUP BY 1, 2),
+ o AS (SELECT user_id % 20 AS station_id, CAST(ts AS DATE) AS target_date, max(value) AS top FROM events WHERE event_type = 'view' GROUP BY 1, 2)
+SELECT station_id, target_date, n, {R('mean_f - top', 'mean_error')} FROM f JOIN o USING (station_id, target_date)
+ WHERE target_date IN (SELECT CAST(ts AS DATE) FROM events WHERE event_type = 'view' AND value > 200)""")
+def _(spark, sf):
+    """Forecasts and observations are stored by month and bucket; those of the days with a high reading are compared. The
+    stored tables are grouped and joined without a shuffle, and only the months of those days are read."""
+    tables = {}
+    for name, rows in (("forecasts", B.forecasts(spark, sf)), ("observations", B.observations(spark, sf))):
+        tables[name] = f"{name}_{uuid.uuid4().hex}"
+        ST.write_store(rows, tables[name], scratch(spark, f"store-{name}"))
+    days = B.readings(spark, sf).filter("temp_f > 200").select(F.to_date("ts").alias("target_date"))
+    fc, obs = (ST.on_days(ST.read_store(spark, t), days) for t in tables.values())
+    keys = ["station_id", "target_date"]
+    mean = fc.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("high_f").alias("mean_f"))
+    return rounded(mean.join(obs, keys).select(*keys, "n", (F.col("mean_f") - F.col("observed_high_f")).alias("mean_error")))
+
+
 @query("src02_obs_csv", f"""SELECT event_id, 'K' || lpad((user_id % 20)::VARCHAR, 3, 'A') AS station_id, date_trunc('minute', ts) AS valid, CAST(ts AS DATE) AS local_date,
  {R('CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN NULL ELSE value END', 'temp_f')} FROM events""")
 def _(spark, sf):
