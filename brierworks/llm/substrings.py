@@ -37,6 +37,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FLUSH = 1 << 20
 BUCKETS = 256  # at least; more where the session has more shuffle partitions
+BUCKET_TEXT = 32 << 20  # bytes of text whose windows a bucket takes on average; a task holds one bucket at a time
 TOP = np.uint64((1 << 64) - 1)
 
 
@@ -318,7 +319,8 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     count as one document, so a repeated row keeps what its twin keeps; all null ids count as one document after all
     others. Columns of any name may come along.
     """
-    buckets = max(BUCKETS, 4 * partitions(docs))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(BUCKETS, 4 * partitions(docs), -(-size // BUCKET_TEXT))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = docs.select(row.alias("doc")).withColumn("ver", F.xxhash64(F.col("doc.doc_id").cast("long"), F.col("doc.text")))
     keyed = keyed.withColumn("k", F.coalesce(F.col("doc.doc_id").cast("long"), "ver")).select("k", "ver", "doc")

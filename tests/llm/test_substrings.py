@@ -55,3 +55,17 @@ def test_small_flushes(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_buckets_follow_the_text(spark, monkeypatch):
+    """With few bytes a bucket there are more buckets than rows in a flush; the answer stays."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randint(0, 3)}" for _ in range(rng.randint(0, 80)))) for i in range(30)] + [(40, None), (41, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    seen = []
+    real = substrings._send_windows
+    monkeypatch.setattr(substrings, "BUCKET_TEXT", 2)
+    monkeypatch.setattr(substrings, "_send_windows", lambda window, buckets: seen.append(buckets) or real(window, buckets))
+    got = [(r.doc["doc_id"], r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeats(df, 4).collect()]
+    assert sorted(got, key=str) == [(d, n, g, k) for d, n, g, k in slow(rows, 4)]
+    assert seen == [-(-sum(len(t or "") for _, t in rows) // 2)] and seen[0] > substrings.BUCKETS
