@@ -129,9 +129,9 @@ def blocks(df: DataFrame, by: list[str], order: list[str], position: Column, n:
     marked = df.withColumn("_crowd", at).withColumn("_place", tie)
     pieces = F.create_map(*[F.lit(x) for v, c in crowded.items() for x in (v, min(c, MAX_PIECES))])
     # a value that spans c quantiles has at least (c - 1) / n of all rows
-    total = marked.where("_crowd IS NOT NULL").groupBy("_crowd").agg(F.count(F.lit(1)).alias("_n"))
+    total = marked.where("_crowd IS NOT NULL").groupBy("_crowd").agg(F.count(F.lit(1)).alias("_crowd_n"))  # no name of ``df``
     lot = F.pmod(F.xxhash64(F.lit(7), *by, *order), F.lit(1 << 30)) / float(1 << 30)
-    drawn = marked.where("_crowd IS NOT NULL").join(F.broadcast(total), "_crowd").where(lot < pieces[F.col("_crowd")] * TIE_SAMPLE / F.col("_n"))
+    drawn = marked.where("_crowd IS NOT NULL").join(F.broadcast(total), "_crowd").where(lot < pieces[F.col("_crowd")] * TIE_SAMPLE / F.col("_crowd_n"))
     cuts = drawn.groupBy("_crowd").agg(F.array_sort(F.collect_list("_place")).alias("_s"))
     k = pieces[F.col("_crowd")]
     cuts = cuts.select("_crowd", F.transform(F.sequence(F.lit(1), k - 1), lambda i: F.col("_s")[F.floor(i * F.size("_s") / k).cast("int")]).alias("_cuts"))

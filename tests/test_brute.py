@@ -45,6 +45,17 @@ def test_block_sizes_are_balanced(hot):
     assert sizes < 0.2 * hot.count()
 
 
+def test_percentiles_of_values_that_many_groups_share(spark):
+    """Far fewer values than blocks, each in every group: quantiles repeat, so blocks are cut inside a value."""
+    rows = [(k, float(v)) for k in range(40) for v in range(3 + k % 4) for _ in range(1 + (k + v) % 3)] + [(None, 1.0), (0, None)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    got = {r["k"]: (r["lo"], r["mid"]) for r in O.grouped_percentiles(df, ["k"], "v", {"lo": 0.05, "mid": 0.5}).collect()}
+    want = {k: [v for j, v in rows if j == k and v is not None] for k in {k for k, _ in rows}}
+    assert got.keys() == want.keys()
+    for k, vs in want.items():
+        assert got[k] == pytest.approx(tuple(np.quantile(vs, [0.05, 0.5])))
+
+
 @pytest.mark.parametrize("strict", [True, False])
 def test_asof_equals_merge_asof(spark, strict):
     r = random.Random(3)
