@@ -302,7 +302,7 @@ def _(spark, sf):
 
 # ------------------------------------------------------------------ listings
 
-def listing_docs(spark, sf):
+def listing_docs(orders):
     """One listing per order: five interior bins and two tails, with or without strike metadata."""
     k = F.col("o_orderkey") % 4
     base = (F.col("o_orderkey") % 60 + 20).cast("double")
@@ -322,14 +322,18 @@ def listing_docs(spark, sf):
     title = F.concat(F.lit("What will the temperature be in Old Town on "), (F.col("o_custkey") % 25).cast("string"), F.lit(" tomorrow?"))
     doc = F.concat(F.lit('{"event_ticker":"'), event, F.lit('","series_ticker":"'), F.when(k == 1, head).otherwise(F.lit("NONE")), F.lit('","title":"'), title, F.lit('","markets":['),
                    F.array_join(F.array(low, *inner, high), ","), F.lit("]}"))
-    return B.table(spark, sf, "orders").select("o_orderkey", doc.alias("raw_json"))
+    return orders.select("o_orderkey", doc.alias("raw_json"))
 
 
 def landed_listings(spark, sf):
-    """The listings as landed files, several per table, which is how a feed delivers them."""
+    """The listings as landed files, several per table, which is how a feed delivers them.
+
+    Orders are dealt out before their texts are written: they are short, and few tasks read them. The count keeps
+    adaptive execution from joining tasks by the size of orders, which says nothing of the texts.
+    """
     path = scratch(spark, "listings")
-    docs = listing_docs(spark, sf)
-    docs.repartition(F.col("o_orderkey")).write.parquet(path)
+    orders = B.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    listing_docs(orders.repartition(4 * spark.sparkContext.defaultParallelism, "o_orderkey")).write.parquet(path)
     return spark.read.schema("o_orderkey bigint, raw_json string").parquet(path)
 
 

@@ -310,6 +310,34 @@ def test_city_of_four_words(spark):
     assert {r.event_ticker: r.station_id for r in L.match_station(events, stations).collect()} == {"E-1": "KSLC", "E-2": None}
 
 
+def test_markets_of_odd_tickers_and_strikes(spark):
+    import json
+
+    from brierworks.sources import listings as L
+
+    def market(ticker, **more):
+        return {"ticker": ticker, "status": "open", "yes_ask": 42} | more
+
+    docs = {
+        "whole": [market("S-24JAN05-T59"), market("S-24JAN05-B61"), market("S-24JAN05-B63"), market("S-24JAN05-T65"), None, market(None)],
+        "half": [market("S-69dec31-B61.5"), market("S-68DEC31-B64.5"), market("S-24FEB29-T70"), market("S-24FEB29-T60")],
+        "strike": [market("S-24JAN05-X", strike_type="less", cap_strike=50), market("S-24JAN05-X", floor_strike=55), market("S-24JAN05-X", strike_type="less")],
+        "days": [market("S-23FEB29-B61"), market("S-24ANJ05-B61"), market("S-24JAN5-B61"), market("S-24JAN05"), market("S")],
+        "gone": [market("S-24JAN05-B61")],
+    }
+    raw = spark.createDataFrame([(k, json.dumps({"event_ticker": k, "markets": ms})) for k, ms in docs.items()], "k string, raw_json string")
+    ignored = spark.createDataFrame([("gone",), (None,)], "event_ticker string")
+    rows = L.decode_markets(L.parse_events(raw), ignored).collect()
+    got = sorted((r.k, str(r.target_date), r.is_tail, r.bin_lower or 0.0, r.bin_upper or 0.0, r.yes_ask) for r in rows)
+    jan, zero = "2024-01-05", 0.0
+    assert got == sorted([
+        ("whole", jan, True, zero, 59.5, 0.42), ("whole", jan, False, 60.5, 62.5, 0.42), ("whole", jan, False, 62.5, 64.5, 0.42), ("whole", jan, True, 64.5, zero, 0.42),
+        ("half", "1969-12-31", False, 61.5, 64.5, 0.42), ("half", "2068-12-31", False, 64.5, 67.5, 0.42),
+        ("half", "2024-02-29", True, 67.5, zero, 0.42), ("half", "2024-02-29", True, zero, 61.5, 0.42),
+        ("strike", jan, False, zero, 50.5, 0.42), ("strike", jan, False, 54.5, zero, 0.42),
+    ])
+
+
 def crowded_rows(n=12_000, seed=4):
     """40 % of all rows on one instant of one key, another 20 % on one instant of many keys, open edges included."""
     r = random.Random(seed)

@@ -36,3 +36,17 @@ def test_dashboard_copies_no_row_before_its_shuffles(spark):
     text = plan(QUERIES["agg01_dashboard"](spark, SF))
     assert text.count("Generate explode") == 1
     assert text.index("Generate explode") < text.index("ObjectHashAggregate") < text.index("Exchange")
+
+
+def test_market_tickers_are_split_once_a_market(spark):
+    text = plan(QUERIES["src14_decode_markets"](spark, SF))
+    tree = text[text.index("Initial Plan"):] if "Initial Plan" in text else text
+    assert tree.count("split(m#") == 1
+
+
+def test_orders_are_dealt_out_before_their_listings_are_written(spark):
+    from brierworks.plans.source_queries import landed_listings
+
+    landed = landed_listings(spark, SF)
+    assert len(landed.inputFiles()) > spark.sparkContext.defaultParallelism
+    assert landed.count() == spark.read.parquet(f"{SF}/orders.parquet").count()
