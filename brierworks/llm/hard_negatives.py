@@ -8,7 +8,10 @@ two rests, which the Cauchy-Schwarz inequality bounds for certain: each pair has
 Intervals narrow from code to code, and pairs whose interval cannot matter any more are left out at once; those that stay
 are scored in integers.
 
-Anchors meet all rows in blocks: a task holds a shard of vectors and a block of anchors, both of bounded size.
+Anchors meet all rows in blocks: a task holds a shard of vectors and a block of anchors, both of bounded size. A few
+anchors ask the codes of a chain one by one. For many, each vector's chain is summed up once, in the frame of its last
+code, and the estimates of a slice of vectors for a group of anchors are one matrix product; the interval is that of the
+whole chain, with a bound of what the product rounds.
 """
 
 from __future__ import annotations
@@ -18,21 +21,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
-from brierworks.llm.common import NO_ID, seeded
-from brierworks.llm.vectors import matrix, numbered, usable
+from brierworks.llm.common import NO_ID, seeded, worker_memory
 from brierworks.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CODES = 6
 PLANES = 8
-SHARD_VALUES = 1 << 20
-ANCHORS_A_TASK = 2048
-
-STORED = "vec_id bigint, label bigint, dim int, x array<double>, row bigint, code array<bigint>, align array<double>, rest array<double>"
+SHARD_VALUES = 1 << 21
+ANCHORS_A_TASK = 16_384
+ENCODED_VALUES = 1 << 20
+FEW = 8  # anchors for which summing up a shard's chains costs more than it saves
+GROUP, SLICE, FIRST = 512, 4096, 512  # anchors and vectors of a matrix product, vectors of the first one
+DENSE = 512  # the widest rotation that is kept as a matrix
+
+STORED = "vec_id bigint, label bigint, dim int, x binary, row bigint, code binary, align binary, rest binary"
 WANTED = "array<struct<row: bigint, vec_id: bigint, score: bigint>>"
 HIT = "anchor bigint, anchor_id bigint, positive bigint, positive_id bigint, positive_score bigint, row bigint, vec_id bigint, score bigint"
 
@@ -40,6 +47,16 @@ HIT = "anchor bigint, anchor_id bigint, positive bigint, positive_id bigint, pos
 def rotated(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """Rows under a fixed rotation, filled with zeros to a power of two of at least 64 components."""
     width = max(64, 1 << (x.shape[1] - 1).bit_length())
+    if width > DENSE:
+        return turned(x, width, seed)
+    kept, key = worker_memory(), ("rotation", width, seed)
+    if key not in kept:
+        kept[key] = turned(np.eye(width), width, seed)
+    return x @ kept[key][: x.shape[1]]
+
+
+def turned(x: np.ndarray, width: int, seed: int) -> np.ndarray:
+    """Rows under the random signs and Hadamard transforms of a rotation."""
     out = np.zeros((len(x), width))
     out[:, : x.shape[1]] = x
     for turn in (1, 2):
@@ -72,6 +89,15 @@ def encode(x: np.ndarray, codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.stack(words, axis=1), np.stack(align, axis=1), np.stack(left, axis=1)
 
 
+def summed(words: np.ndarray, align: np.ndarray) -> np.ndarray:
+    """What the codes of each chain add up to, in the frame of the last code."""
+    out = np.zeros((len(words), 64 * words.shape[2]))
+    for j in range(words.shape[1]):
+        plus = np.unpackbits(np.ascontiguousarray(words[:, j]).view(np.uint8), axis=1).astype(bool)
+        out = (rotated(out, j) if j else out) + np.where(plus, align[:, j, None], -align[:, j, None])
+    return out
+
+
 class Planes:
     """A rotated anchor as bit planes: its components in steps of equal size, and the length of what that leaves out."""
 
@@ -161,19 +187,152 @@ def band(score: int, low: int, high: int) -> tuple[int, int]:
     return -(-low * score // 100), high * score // 100
 
 
-def _encoded(codes: int):
+def places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the few true places of a matrix, eight at a time."""
+    flat = mask.reshape(-1)
+    if flat.size % 8:
+        return np.divmod(np.flatnonzero(flat), mask.shape[1])
+    near = (8 * np.flatnonzero(flat.view(np.uint64))[:, None] + np.arange(8)).reshape(-1)
+    return np.divmod(near[flat[near]], mask.shape[1])
+
+
+class Chains:
+    """A shard whose chains are summed up, those with the longest rests first: they are the longest vectors too."""
+
+    def __init__(self, x: np.ndarray, words: np.ndarray, align: np.ndarray, rest: np.ndarray, row: np.ndarray, vec_id: np.ndarray, label: np.ndarray):
+        order = np.argsort(-rest[:, -1], kind="stable")
+        self.x, self.row, self.vec_id, self.label, self.rest = x[order], row[order], vec_id[order], label[order], rest[order, -1]
+        whole = summed(words[order], align[order])
+        self.codes, self.length = words.shape[1], np.sqrt((x * x).sum(axis=1)).max(initial=0.0)
+        self.size, self.kind = self.length + self.rest.max(initial=0.0), np.float32 if self.length < 2.0**60 else np.float64
+        self.whole = whole.astype(self.kind)
+
+    def scores(self, q: np.ndarray, a: np.ndarray, m: np.ndarray, far: float) -> np.ndarray:
+        """Inner products of anchors and members, pair by pair, in whole numbers."""
+        most = self.length * max(far, 1.0)
+        kind = np.float32 if most < 2.0**23 else np.float64 if most < 2.0**52 else np.int64  # exact in it, members and sums
+        if self.x.dtype != kind:
+            self.x = self.x.astype(kind)
+        q, out, step = q.astype(kind, copy=False), np.empty(len(a), np.int64), max(1, ENCODED_VALUES // q.shape[1] // 8)
+        for k in range(0, len(a), step):
+            out[k : k + step] = np.einsum("ij,ij->i", q.take(a[k : k + step], axis=0), self.x.take(m[k : k + step], axis=0))
+        return out
+
+    def search(self, q: np.ndarray, fits, low: np.ndarray, high: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Anchor, band, member and score of the ``k`` highest scores of each anchor in each of its bands.
+
+        ``low`` and ``high`` have a row an anchor and a column a band; a band whose low is above its high is none.
+        ``fits(a, m)`` says which anchors and members may meet.
+        """
+        far = np.sqrt((q * q).sum(axis=1))
+        ask = q
+        for j in range(self.codes):
+            ask = rotated(ask, j)
+        ask = ask.astype(self.kind)
+        none = low > high
+        floor, top = np.where(none, np.iinfo(np.int64).max, low), np.where(none, np.iinfo(np.int64).min, high).max(axis=1)
+        rounds = (ask.shape[1] + 16) * float(np.finfo(self.kind).eps) * self.size + 1e-9 * self.length
+        a, m, score = (np.zeros(0, np.int64) for _ in range(3))
+        rank = np.zeros((0, low.shape[1]), np.int64)
+        room, high_enough = np.empty(len(q) * SLICE, self.kind), np.empty(len(q) * SLICE, bool)
+        s = end = 0
+        while end < len(self.x):
+            s, end = end, end + min(max(end, FIRST), SLICE)  # small slices first: what they hold narrows the later ones
+            part = self.whole[s:end]
+            estimate, mask = (v[: len(q) * len(part)].reshape(len(q), -1) for v in (room, high_enough))
+            np.matmul(ask, part.T, out=estimate)
+            width = far * (self.rest[s] + rounds) + 1e-9
+            if not s:  # k members surely between a number and the lowest top of a band: no band needs less than that number
+                may = fits(np.arange(len(q))[:, None], np.arange(estimate.shape[1])[None])
+                least = np.nextafter((np.where(none, np.iinfo(np.int64).max, high).min(axis=1) - width).astype(self.kind), self.kind(-np.inf))
+                may &= np.less_equal(estimate, least[:, None], out=mask)
+                sure = np.where(may, estimate, self.kind(-np.inf))
+                sure = np.pad(sure, ((0, 0), (0, -len(part) % 64)), constant_values=-np.inf) if len(part) % 64 else sure
+                most = sure.reshape(len(q), 64, -1).max(axis=2)
+                if k <= 64:
+                    bound = np.partition(most, 64 - k, axis=1)[:, 64 - k].astype(np.float64) - width
+                    floor = np.maximum(floor, np.where(np.isfinite(bound), np.floor(np.maximum(bound, -(2.0**62))), -(2.0**63)).astype(np.int64)[:, None])
+            asked = np.nextafter((floor.min(axis=1) - width).astype(self.kind), self.kind(-np.inf))
+            new_a, new_m = places(np.greater_equal(estimate, asked[:, None], out=mask))
+            near = (estimate[new_a, new_m] <= (top + width)[new_a]) & fits(new_a, s + new_m)
+            new_a, new_m = new_a[near], s + new_m[near]
+            found = self.scores(q, new_a, new_m, far.max(initial=0.0))
+            inside = ((found[:, None] >= floor[new_a]) & (found[:, None] <= high[new_a])).any(axis=1)
+            if not inside.any():
+                continue
+            a, m, score = np.append(a, new_a[inside]), np.append(m, new_m[inside]), np.append(score, found[inside])
+            order = np.lexsort((self.row[m], self.vec_id[m], -score, a))
+            a, m, score = a[order], m[order], score[order]
+            mine = (score[:, None] >= low[a]) & (score[:, None] <= high[a])
+            count = np.cumsum(mine, axis=0)
+            begin = np.searchsorted(a, a)
+            rank = np.where(mine, count - (count[begin] - mine[begin]), 0)  # from 1; 0: not in this band
+            last, band_of = np.nonzero(rank == k)
+            floor[a[last], band_of] = np.maximum(floor[a[last], band_of], score[last])
+            stay = ((rank > 0) & (rank <= k)).any(axis=1)
+            a, m, score, rank = a[stay], m[stay], score[stay], rank[stay]
+        at, band_of = np.nonzero((rank > 0) & (rank <= k))
+        return a[at], band_of, m[at], score[at]
+
+
+def in_bytes(values: np.ndarray) -> pa.Array:
+    """The rows of a matrix as their bytes."""
+    values = np.ascontiguousarray(values)
+    ends = np.arange(len(values) + 1, dtype=np.int32) * (values.shape[1] * values.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(ends), pa.py_buffer(values.reshape(-1))])
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the shortest type that holds them all."""
+    most = np.abs(x).max(initial=0)
+    return x.astype(next((k for k in (np.int8, np.int16, np.int32) if most <= np.iinfo(k).max), np.float64))
+
+
+def flat_bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all rows, and where each row ends, from the first one's start."""
+    column = column.cast(pa.large_binary()).combine_chunks()
+    column = column if isinstance(column, pa.Array) else column.chunk(0)
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
+
+def in_eights(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """Rows of equally many components of eight bytes."""
+    return flat_bytes(column)[0].view(kind).reshape(len(column), -1)
+
+
+def components(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Rows that ``narrow`` may have stored in different types."""
+    data, ends = flat_bytes(column)
+    size, out = np.diff(ends) // dim, np.empty((len(column), dim))
+    for kind in (np.int8, np.int16, np.int32, np.float64):
+        n = np.dtype(kind).itemsize
+        mine = np.flatnonzero(size == n)
+        if len(mine) == len(out):
+            return data.view(kind).reshape(-1, dim).astype(np.float64)
+        if len(mine):
+            out[mine] = data[ends[mine][:, None] + np.arange(n * dim)].view(kind)
+    return out
+
+
+def _encoded(codes: int, scale: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = batch.column(batch.schema.get_field_index("dim")).to_numpy(zero_copy_only=False)
-            for dim in np.unique(dims).tolist():
-                mine = np.flatnonzero(dims == dim)
-                rows = max(1, SHARD_VALUES // max(64, dim))
+            vectors = batch.column(batch.schema.get_field_index("e"))
+            dims = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            values, ends = vectors.flatten().to_numpy(zero_copy_only=False), np.cumsum(dims)
+            bad = np.append(0, np.cumsum(~np.isfinite(values)))
+            usable = (dims > 0) & (bad[ends] == bad[ends - dims])
+            for dim in np.unique(dims[usable]).tolist():
+                mine = np.flatnonzero(usable & (dims == dim))
+                rows = max(1, ENCODED_VALUES // max(64, dim))
                 for k in range(0, len(mine), rows):
-                    part = batch.take(pa.array(mine[k : k + rows]))
-                    words, align, rest = encode(matrix(part.column(part.schema.get_field_index("x"))), codes)
-                    n = len(align)
-                    lists = [pa.array(list(a.reshape(n, -1)), pa.list_(t)) for a, t in ((words.view(np.int64), pa.int64()), (align, pa.float64()), (rest, pa.float64()))]
-                    yield pa.RecordBatch.from_arrays([*part.columns, *lists], names=[*part.schema.names, "code", "align", "rest"])
+                    some = mine[k : k + rows]
+                    x = np.clip(np.floor(values[(ends - dims)[some][:, None] + np.arange(dim)] * scale), -(2.0**63), 2.0**63) + 0.0
+                    words, align, rest = encode(x, codes)
+                    new = {"dim": pa.array(np.full(len(x), dim), pa.int32()), "x": in_bytes(narrow(x)), "code": in_bytes(words.reshape(len(x), -1)), "align": in_bytes(align), "rest": in_bytes(rest)}
+                    kept = batch.take(pa.array(some))
+                    yield pa.RecordBatch.from_pydict({c: new[c] if c in new else kept.column(kept.schema.get_field_index(c)) for c in (f.split()[0] for f in STORED.split(", "))})
 
     return run
 
@@ -183,47 +342,81 @@ def _met(mode: str, k: int, planes: int, low: int, high: int):
 
     def run(group: pa.Table) -> pa.Table:
         member = group.column("side").to_numpy() == 0
+        if member.all() or not member.any():
+            return hits(*[()] * 8)
+        stored = group.filter(pa.array(member)).sort_by("row")
+        asked = group.filter(pa.array(~member))
+        dim = asked.column("dim")[0].as_py()
+        row, vec_id, label = (stored.column(c).to_numpy() for c in ("row", "vec_id", "label"))
+        align, rest, words = (in_eights(stored.column(c), t) for c, t in (("align", np.float64), ("rest", np.float64), ("code", np.uint64)))
+        words = words.reshape(len(row), align.shape[1], -1)
+        x, q = components(stored.column("x"), dim), components(asked.column("x"), dim)
+        if len(q) < FEW:
+            return one_by_one(Codes(x, words, align, rest), row, vec_id, label, q, asked)
+        return together(Chains(x, words, align, rest, row, vec_id, label), q, asked)
+
+    def one_by_one(shard: Codes, row: np.ndarray, vec_id: np.ndarray, label: np.ndarray, x: np.ndarray, asked: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        if member.any() and not member.all():
-            stored = group.filter(pa.array(member)).sort_by("row")
-            asked = group.filter(pa.array(~member))
-            row, vec_id, label = (stored.column(c).to_numpy() for c in ("row", "vec_id", "label"))
-            align = matrix(stored.column("align"))
-            words = matrix(stored.column("code"), np.int64).view(np.uint64).reshape(len(row), align.shape[1], -1)
-            shard = Codes(matrix(stored.column("x")), words, align, matrix(stored.column("rest")))
-            for q, own, own_id, own_label, wants in zip(matrix(asked.column("x")), *(asked.column(c).to_pylist() for c in ("row", "vec_id", "label", "wants"))):
-                if mode == "positives":
-                    live, score = shard.survivors(q, np.flatnonzero((label == own_label) & (row != own)), best(k), planes)
-                    top = first(score, vec_id[live], row[live], k)
-                    out += [(own, own_id, None, None, None, *r) for r in zip(row[live][top].tolist(), vec_id[live][top].tolist(), score[top].tolist())]
-                    continue
-                bands = [(w, *band(w["score"], low, high)) for w in wants]
-                bands = [b for b in bands if b[1] <= b[2]]
-                if not bands:
-                    continue
-                live, score = shard.survivors(q, np.flatnonzero(label != own_label), within([b[1:] for b in bands], k), planes)
-                for w, a, b in bands:
-                    mine = np.flatnonzero((score >= a) & (score <= b))
-                    mine = mine[first(score[mine], vec_id[live][mine], row[live][mine], k)]
-                    out += [(own, own_id, w["row"], w["vec_id"], w["score"], *r) for r in zip(row[live][mine].tolist(), vec_id[live][mine].tolist(), score[mine].tolist())]
-        columns = list(zip(*out)) or [()] * 8
-        return pa.table({c.split()[0]: pa.array(list(v), pa.int64()) for c, v in zip(HIT.split(", "), columns)})
+        for q, own, own_id, own_label, wants in zip(x, *(asked.column(c).to_pylist() for c in ("row", "vec_id", "label", "wants"))):
+            if mode == "positives":
+                live, score = shard.survivors(q, np.flatnonzero((label == own_label) & (row != own)), best(k), planes)
+                top = first(score, vec_id[live], row[live], k)
+                out += [(own, own_id, None, None, None, *r) for r in zip(row[live][top].tolist(), vec_id[live][top].tolist(), score[top].tolist())]
+                continue
+            bands = [(w, *band(w["score"], low, high)) for w in wants]
+            bands = [b for b in bands if b[1] <= b[2]]
+            if not bands:
+                continue
+            live, score = shard.survivors(q, np.flatnonzero(label != own_label), within([b[1:] for b in bands], k), planes)
+            for w, a, b in bands:
+                mine = np.flatnonzero((score >= a) & (score <= b))
+                mine = mine[first(score[mine], vec_id[live][mine], row[live][mine], k)]
+                out += [(own, own_id, w["row"], w["vec_id"], w["score"], *r) for r in zip(row[live][mine].tolist(), vec_id[live][mine].tolist(), score[mine].tolist())]
+        return hits(*(list(zip(*out)) or [()] * 8))
+
+    def together(shard: Chains, x: np.ndarray, asked: pa.Table) -> pa.Table:
+        own, own_id, own_label = (asked.column(c).to_numpy() for c in ("row", "vec_id", "label"))
+        asks = asked.column("wants").combine_chunks()
+        asks = asks if isinstance(asks, pa.Array) else asks.chunk(0)
+        count = pc.list_value_length(asks).to_numpy().astype(np.int64)
+        start, wanted = np.cumsum(count) - count, [asks.flatten().field(c).to_numpy() for c in ("row", "vec_id", "score")]
+        bands = np.array([band(s, low, high) for s in wanted[2].tolist()], np.int64).reshape(-1, 2)
+        edge, out = np.iinfo(np.int64), []
+        for g in range(0, len(x), GROUP):
+            one, ids = own[g : g + GROUP], own_id[g : g + GROUP]
+            if mode == "positives":
+                lows, highs = np.full((len(one), 1), edge.min), np.full((len(one), 1), edge.max)
+                fits = lambda a, m, of=own_label[g : g + GROUP], one=one: (shard.label[m] == of[a]) & (shard.row[m] != one[a])
+            else:
+                place = np.arange(count[g : g + GROUP].max())[None]
+                there, place = place < count[g : g + GROUP, None], place + start[g : g + GROUP, None]
+                lows, highs = np.ones(there.shape, np.int64), np.zeros(there.shape, np.int64)
+                lows[there], highs[there] = bands[place[there]].T
+                fits = lambda a, m, of=own_label[g : g + GROUP]: shard.label[m] != of[a]
+            a, b, m, score = shard.search(x[g : g + GROUP], fits, lows, highs, k)
+            for_what = [w[place[a, b]] for w in wanted] if mode == "negatives" else [[None] * len(a)] * 3
+            out.append(hits(one[a], ids[a], *for_what, shard.row[m], shard.vec_id[m], score))
+        return pa.concat_tables(out)
+
+    def hits(*columns) -> pa.Table:
+        return pa.table({c.split()[0]: pa.array(v if isinstance(v, np.ndarray) else list(v), pa.int64()) for c, v in zip(HIT.split(", "), columns)})
 
     return run
 
 
 def _tasks(members: DataFrame, anchors: DataFrame, by: list[str], shard_values: int, anchors_a_task: int) -> DataFrame:
     """Every anchor with every shard of its group; large groups have several shards and blocks."""
-    rows = F.greatest(F.lit(256), F.floor(F.lit(shard_values) / F.greatest(F.lit(1), F.max("dim"))))
+    rows = F.greatest(F.lit(256), F.floor(F.lit(shard_values) / F.greatest(F.lit(64), F.max("dim"))))
     shards = members.groupBy(*by).agg(F.ceil(F.count("*") / rows).cast("int").alias("shards"))
-    blocks = anchors.groupBy(*by).agg(F.ceil(F.count("*") / anchors_a_task).cast("int").alias("blocks"))
-    plan = shards.join(blocks, by)
+    blocks = anchors.groupBy(*by).agg(F.ceil(F.count("*") / F.least(F.lit(anchors_a_task), rows)).cast("int").alias("blocks"))
+    large = shards.join(blocks, by, "left").fillna(0, ["blocks"]).where("shards > 1 or blocks > 1")
+    # few rows: each stands for more than a shard or a block; other groups have one of each
+    known = lambda t: t.join(F.broadcast(large), by, "left").fillna(1, ["shards", "blocks"]).where("blocks > 0")
     own = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["vec_id", "label", "dim", "x", "row", "code", "align", "rest"]
-    empty = lambda t: F.array().cast(t)
-    left = members.join(plan, by).select(*columns, empty(WANTED).alias("wants"), F.lit(0).alias("side"), own("shards").alias("shard"), upto("blocks").alias("block"))
-    mine = anchors.join(plan, by).select("vec_id", "label", "dim", "x", "row", empty("array<bigint>").alias("code"), empty("array<double>").alias("align"), empty("array<double>").alias("rest"), "wants", F.lit(1).alias("side"), upto("shards").alias("shard"), own("blocks").alias("block"))
+    columns, no_code = ["vec_id", "label", "dim", "x", "row"], [F.lit(None).cast("binary").alias(c) for c in ("code", "align", "rest")]
+    left = known(members).select(*columns, "code", "align", "rest", F.array().cast(WANTED).alias("wants"), F.lit(0).alias("side"), own("shards").alias("shard"), upto("blocks").alias("block"))
+    mine = known(anchors).select(*columns, *no_code, "wants", F.lit(1).alias("side"), upto("shards").alias("shard"), own("blocks").alias("block"))
     return left.unionByName(mine).groupBy(*by, "shard", "block")
 
 
@@ -241,10 +434,8 @@ def mine(vectors: DataFrame, every: int = 50, positives: int = 5, negatives: int
     and is returned as null. Anchors without positives, and positives without a score in their band, give no rows.
     """
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("e"))
-    good = good.where(F.col("label").isNotNull() & usable(F.col("e")) & (F.size("e") > 0))
-    whole = F.transform("e", lambda x: F.floor(x * scale).cast("double"))
-    table = numbered(good.select(F.coalesce("vec_id", F.lit(NO_ID)).alias("vec_id"), "label", F.size("e").alias("dim"), whole.alias("x")))
-    stored = cut_lineage(table.mapInArrow(_encoded(codes), STORED))
+    table = good.where("label is not null and e is not null").select(F.coalesce("vec_id", F.lit(NO_ID)).alias("vec_id"), "label", "e", F.monotonically_increasing_id().alias("row"))
+    stored = cut_lineage(table.mapInArrow(_encoded(codes, scale), STORED))  # from here on, rows keep their numbers
     anchors = stored.where((F.col("vec_id") % every == 0) & (F.col("vec_id") < NO_ID)).select("vec_id", "label", "dim", "x", "row")
     order = [F.desc("score"), "vec_id", "row"]
     asked = anchors.withColumn("wants", F.array().cast(WANTED))

@@ -1,5 +1,7 @@
 """Hard negatives against plain loops, the intervals of the codes, and the edge cases."""
 
+import time
+
 import numpy as np
 from hypothesis import given, settings, strategies as st
 
@@ -78,3 +80,74 @@ def test_codes_leave_out_most_pairs(spark):
     for q in x[::200]:
         shard.survivors(q, np.arange(len(x)), h.best(5), h.PLANES)
     assert shard.scored < 0.25 * shard.compared
+
+
+def test_many_anchors_against_loops(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((5, 24))
+    near = lambda k: list(map(float, (centres[k % 5] + rng.standard_normal(24)) * (400.0 if k % 97 == 0 else 1.0)))
+    rows = [(k // 2 if k % 9 == 0 else k, near(k), int(rng.integers(0, 3))) for k in range(500)]
+    rows += [(600 + k, rows[k % 3][1], k % 2) for k in range(40)]  # copies, in and out of their label
+    rows += [(700, [float("inf"), *[1.0] * 23], 1), (702, [0.0] * 24, 1), (704, None, 1), (706, [None] * 24, 1), (None, near(1), 2), (None, near(2), 1), (708, near(3), None)]
+    rows += [(710 + 2 * k, list(map(float, rng.standard_normal(70) + 1)), k % 2) for k in range(30)] + [(801, near(4), 8)]  # no anchor has label 8
+    want = sorted(plain(rows, every=2), key=str)
+    assert mined(spark, rows, every=2) == want and len(want) > 1000
+    assert mined(spark, rows, every=2, shard_values=1 << 11, anchors_a_task=50) == want
+
+
+def searched(chains, q, fits, low, high, k):
+    got = [np.concatenate(v) for v in zip(*((a + g, b, chains.row[m], s) for g in range(0, len(q), h.GROUP) for a, b, m, s in [chains.search(q[g : g + h.GROUP], lambda a, m, g=g: fits(a + g, m), low[g : g + h.GROUP], high[g : g + h.GROUP], k)]))]
+    return sorted(zip(*(c.tolist() for c in got)))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10_000), st.integers(1, 130), st.sampled_from([0.2, 50, 3000, 1e6, 1e8]), st.sampled_from([1, 3]), st.sampled_from([1, 6]))
+def test_blocks_find_what_loops_find(seed, dim, size, k, codes):
+    rng = np.random.default_rng(seed)
+    x = np.floor(rng.standard_normal((200, dim)) * size * rng.choice([0.01, 1], (200, 1)))
+    x[rng.integers(0, 200, 30)] = x[0]
+    q, label, of, row, vec_id = x[:20], rng.integers(0, 3, 200), rng.integers(0, 3, 20), np.arange(200), rng.integers(0, 50, 200)
+    score = x[:20].astype(np.int64) @ x.astype(np.int64).T
+    top = np.sort(np.where(label == of[:, None], score, 0), axis=1)[:, -4:]
+    low, high = (np.array([[h.band(s, 50, 95)[side] for s in some] for some in top.tolist()], np.int64) for side in (0, 1))
+    kept = h.SLICE, h.FIRST
+    h.SLICE, h.FIRST = 48, 16
+    try:
+        chains = h.Chains(x, *h.encode(x, codes), row, vec_id, label)
+        got = searched(chains, q, lambda a, m: chains.label[m] != of[a], low, high, k)
+    finally:
+        h.SLICE, h.FIRST = kept
+    want = []
+    for a in range(20):
+        for b in range(4):
+            fit = sorted((-int(score[a, r]), int(vec_id[r]), r) for r in range(200) if label[r] != of[a] and low[a, b] <= score[a, r] <= high[a, b])
+            want += [(a, b, r, -s) for s, _, r in fit[:k]]
+    assert got == sorted(want)
+
+
+def test_zero_anchors_leave_long_members_whole():
+    x = np.array([[2.0**25 + 1, 1.0], [3.0, 2.0], [0.0, 0.0]])
+    chains = h.Chains(x, *h.encode(x, h.CODES), np.arange(3), np.arange(3), np.arange(3))
+    low, high = np.full((1, 1), -(2**62)), np.full((1, 1), 2**62)
+    for q, want in ((x[2:], [0, 0, 0]), (x[1:2], [3 * (2**25 + 1) + 2, 13, 0])):
+        _, _, m, score = chains.search(q, lambda a, m: (a >= 0) & (m >= 0), low, high, 3)
+        assert dict(zip(chains.row[m].tolist(), score.tolist())) == dict(enumerate(want))
+
+
+def test_anchors_meet_a_shard_in_matrix_products():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((8192, 64))
+    x = np.floor(256 * x / np.sqrt((x * x).sum(axis=1, keepdims=True)))
+    words, align, rest = h.encode(x, h.CODES)
+    row, q = np.arange(len(x)), x[::16]
+    shard, chains = h.Codes(x, words, align, rest), h.Chains(x, words, align, rest, row, row, row)
+    low, high = np.full((len(q), 1), np.iinfo(np.int64).min), np.full((len(q), 1), np.iinfo(np.int64).max)
+    took = []
+    for _ in range(3):
+        began = time.process_time()
+        alone = [(a, 0, int(r), int(s)) for a in range(16) for live, score in [shard.survivors(q[a], row[row != 16 * a], h.best(5), h.PLANES)] for r, s in [(live[i], score[i]) for i in h.first(score, live, live, 5)]]
+        between = time.process_time()
+        found = searched(chains, q, lambda a, m: chains.row[m] != 16 * a, low, high, 5)
+        took.append((time.process_time() - between) / len(q) / (between - began) * 16)
+    assert found[:80] == sorted(alone)
+    assert min(took) < 0.25, "an anchor in a block takes a small part of what it takes alone"
